@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessel.plans import flights as fl
+from tessel.plans import orders as od
 from tessel.plans import standins as si
 
 
@@ -73,6 +74,32 @@ def q_daily_series(spark, d):
     return fl.daily_series(_enriched(spark, d))
 
 
+def q_items_per_order(spark, d):
+    t = od.item_totals(si.order_items(spark, d))
+    return t.withColumn("total_sales", F.round("total_sales", 2))
+
+
+def q_order_dates(spark, d):
+    return od.order_dates(si.orders(spark, d))
+
+
+def q_order_delay(spark, d):
+    return od.order_delay(od.order_dates(si.orders(spark, d)))
+
+
+def q_geo_first(spark, d):
+    return od.unique_geolocations(si.geolocations(spark, d))
+
+
+def q_consolidate_orders(spark, d):
+    out = od.consolidate_orders(si.orders(spark, d), si.order_items(spark, d),
+                                si.customers(spark, d), si.geolocations(spark, d),
+                                si.states(spark, d))
+    # item count is NULL for orders without items: a float column, as after the pandas merge
+    return out.withColumns({"total_products": F.col("total_products").cast("double"),
+                            "total_sales": F.round("total_sales", 2)})
+
+
 QUERIES = {
     "count_top_k": q_count_top_k,
     "enrich_flights": q_enrich_flights,
@@ -87,4 +114,9 @@ QUERIES = {
     "top_routes": q_top_routes,
     "carrier_share": q_carrier_share,
     "daily_series": q_daily_series,
+    "items_per_order": q_items_per_order,
+    "order_dates": q_order_dates,
+    "order_delay": q_order_delay,
+    "geo_first": q_geo_first,
+    "consolidate_orders": q_consolidate_orders,
 }

@@ -11,7 +11,7 @@ them (:func:`write_enriched`).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import dates, scalars
@@ -124,8 +124,9 @@ def route_layer(routes: DataFrame, by_month: bool = True) -> DataFrame:
     largest route count of the same month (of the whole table when not by month).
     """
     if by_month:
-        mx = routes.groupBy(*MONTH).agg(F.max("total").alias("_max_total"))
-        df = routes.join(mx, MONTH, "inner")
+        # the route table is already aggregated: one month of routes per window partition,
+        # and no second pass over the flights (a self-join would recompute them)
+        df = routes.withColumn("_max_total", F.max("total").over(Window.partitionBy(*MONTH)))
     else:
         df = routes.withColumn("_max_total", routes.select(F.max("total")).scalar())
     weight = scalars.clamp(F.col("total") / F.col("_max_total") * 4.0, 0.5, 5.0)
@@ -172,10 +173,17 @@ def top_routes(routes: DataFrame, k: int = 10, by_month: bool = True) -> DataFra
 
 
 def carrier_share(routes: DataFrame, by_month: bool = True) -> DataFrame:
-    """AGG5 + AGG25: flights per carrier and its share of the month's flights."""
+    """AGG5 + AGG25: flights per carrier and its share of the month's flights.
+
+    The month total is a window sum over the per-carrier table (a handful of
+    rows per month), so the route table is read once.
+    """
     m = MONTH if by_month else []
     per = aggregate.sum_by(routes, m + ["AIRLINE"], "total")
-    return aggregate.share_of_total(per, "total", "share", by=m or None)
+    if not m:
+        return aggregate.share_of_total(per, "total", "share")
+    month_total = F.sum("total").over(Window.partitionBy(*m))
+    return per.withColumn("share", F.col("total") / month_total)
 
 
 def daily_series(df: DataFrame) -> DataFrame:

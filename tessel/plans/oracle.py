@@ -52,6 +52,66 @@ routes AS (
   GROUP BY ALL)"""
 
 
+TS = "'%Y-%m-%d %H:%M:%S'"
+
+SHOP = f"""ships AS (
+  SELECT l_orderkey, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship
+  FROM lineitem GROUP BY l_orderkey),
+orders_raw AS (
+  SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderstatus AS order_status,
+         strftime(o_orderdate, {TS}) AS order_purchase_timestamp,
+         strftime(o_orderdate + INTERVAL 1 HOUR, {TS}) AS order_approved_at,
+         strftime(first_ship, {TS}) AS order_delivered_carrier_date,
+         strftime(last_ship, {TS}) AS order_delivered_customer_date,
+         strftime(o_orderdate + INTERVAL 60 DAY, {TS}) AS order_estimated_delivery_date
+  FROM orders LEFT JOIN ships ON o_orderkey = l_orderkey),
+orders_ts AS (
+  SELECT order_id, customer_id, order_status,
+         TRY_CAST(order_purchase_timestamp AS TIMESTAMP) AS order_purchase_timestamp,
+         TRY_CAST(order_approved_at AS TIMESTAMP) AS order_approved_at,
+         TRY_CAST(order_delivered_carrier_date AS TIMESTAMP) AS order_delivered_carrier_date,
+         TRY_CAST(order_delivered_customer_date AS TIMESTAMP) AS order_delivered_customer_date,
+         TRY_CAST(order_estimated_delivery_date AS TIMESTAMP) AS order_estimated_delivery_date
+  FROM orders_raw),
+orders_dated AS (
+  SELECT *, CAST(year(order_purchase_timestamp) AS INT) AS year,
+         CAST(month(order_purchase_timestamp) AS INT) AS month,
+         CAST(year(order_purchase_timestamp) AS VARCHAR) || 'Q'
+           || CAST(quarter(order_purchase_timestamp) AS VARCHAR) AS quarter,
+         strftime(order_purchase_timestamp, '%Y-%m') AS year_month
+  FROM orders_ts),
+orders_delay AS (
+  SELECT *, CASE WHEN delta_days > 3 THEN 'long_delay'
+                 WHEN delta_days <= 0 THEN 'on_time' ELSE 'short_delay' END AS delay_status
+  FROM (SELECT *, (epoch_us(order_delivered_customer_date)
+                   - epoch_us(order_estimated_delivery_date)) / 86400000000.0 AS delta_days
+        FROM orders_dated)),
+items AS (
+  SELECT l_orderkey AS order_id, l_linenumber AS order_item_id, l_extendedprice AS price
+  FROM lineitem),
+items_agg AS (
+  SELECT order_id, CAST(count(order_item_id) AS BIGINT) AS total_products,
+         coalesce(sum(price), 0.0) AS total_sales
+  FROM items WHERE order_id IS NOT NULL GROUP BY order_id),
+customers_s AS (
+  SELECT c_custkey AS customer_id,
+         lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS customer_zip_code_prefix,
+         c_mktsegment AS customer_city
+  FROM customer),
+geo AS (
+  SELECT s_suppkey AS line_no,
+         lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS geolocation_zip_code_prefix,
+         s_acctbal AS geolocation_lat, -s_acctbal AS geolocation_lng,
+         s_name AS geolocation_city, 'R' || CAST(n_regionkey AS VARCHAR) AS geolocation_state
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+geo_first AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY geolocation_zip_code_prefix ORDER BY line_no) AS rn
+    FROM geo) WHERE rn = 1),
+states AS (
+  SELECT 'R' || CAST(r_regionkey AS VARCHAR) AS abbreviation, r_name AS state FROM region)"""
+
+
 def _with(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
@@ -127,4 +187,27 @@ SELECT Year, Month, AIRLINE, total,
 
     "daily_series": _with(FLIGHTS, """
 SELECT FlightDate, CAST(count(*) AS BIGINT) AS vuelos FROM enriched GROUP BY FlightDate"""),
+
+    "items_per_order": _with(SHOP, """
+SELECT order_id, total_products, round(total_sales, 2) AS total_sales FROM items_agg"""),
+
+    "order_dates": _with(SHOP, "SELECT * FROM orders_dated"),
+
+    "order_delay": _with(SHOP, "SELECT * FROM orders_delay"),
+
+    "geo_first": _with(SHOP, "SELECT * FROM geo_first"),
+
+    "consolidate_orders": _with(SHOP, """
+SELECT o.* EXCLUDE (total_products, total_sales),
+       CAST(o.total_products AS DOUBLE) AS total_products,
+       round(o.total_sales, 2) AS total_sales,
+       c.* EXCLUDE (customer_id)
+FROM (SELECT d.*, i.total_products, i.total_sales
+      FROM orders_delay d LEFT JOIN items_agg i USING (order_id)) o
+LEFT JOIN (
+  SELECT cu.*, g.*, s.*
+  FROM customers_s cu
+  LEFT JOIN geo_first g ON cu.customer_zip_code_prefix = g.geolocation_zip_code_prefix
+  LEFT JOIN states s ON g.geolocation_state = s.abbreviation) c
+USING (customer_id)"""),
 }
