@@ -12,11 +12,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessel.operators import aggregate as ag
+from tessel.operators import clean
+from tessel.operators import evaluate as ev
+from tessel.operators import ml
+from tessel.operators import ordering
+from tessel.operators import profile as pf
 from tessel.plans import flights as fl
 from tessel.plans import orders as od
 from tessel.plans import standins as si
 
 
+def _fix(c: str, k: int):
+    """Round half up with IEEE operations only (the SQL side uses the same formula), so
+    exact decimal ties cannot round differently in the two engines."""
+    return F.floor(F.col(c) * float(10 ** k) + 0.5) / float(10 ** k)
+
+
 def _enriched(spark, d):
     return fl.enrich_flights(si.flights(spark, d), fl.load_airports(si.airports(spark, d)))
 
@@ -100,6 +112,136 @@ def q_consolidate_orders(spark, d):
                             "total_sales": F.round("total_sales", 2)})
 
 
+# --- W5 explorations -------------------------------------------------------------
+
+def q_text_filter(spark, d):
+    return clean.where_text(si.airports_wide(spark, d), "Country = 'NATION_7'")
+
+
+def q_not_sentinel(spark, d):
+    return clean.not_sentinel(si.airports_wide(spark, d), "IATA")
+
+
+def q_count_by(spark, d):
+    airports = clean.not_sentinel(si.airports_wide(spark, d), "IATA")
+    return ag.count_non_null_by(airports, "Country", "AirportID")
+
+
+def q_sum_by_date_text(spark, d):
+    out = ag.sum_by(si.sales(spark, d), "Order Date", "Total Cost")
+    return out.withColumn("Total Cost", F.round("Total Cost", 2))
+
+
+def q_total_sum(spark, d):
+    return ag.total(si.sales(spark, d), "Total Cost").withColumn("total", F.round("total", 2))
+
+
+def q_sample_n(spark, d):
+    return ordering.sample_n(si.customers(spark, d), 10, seed=42, key_cols=["customer_id"])
+
+
+# --- profiling ----------------------------------------------------------------------
+
+NUMERIC_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def q_describe(spark, d):
+    out = pf.describe(si.clinical(spark, d))
+    return out.select("column", "count", *[_fix(c, 6).alias(c) for c in
+                                            ("mean", "std", "min", "p25", "p50", "p75", "max")])
+
+
+def q_table_info(spark, d):
+    return pf.table_info(si.clinical(spark, d))
+
+
+def q_table_shape(spark, d):
+    return pf.table_shape(si.clinical(spark, d))
+
+
+def q_size_profile(spark, d):
+    return pf.size_profile(si.airports_wide(spark, d))
+
+
+def q_corr_matrix(spark, d):
+    out = pf.corr_matrix(si.clinical(spark, d), NUMERIC_FEATURES + ["Outcome"])
+    return out.withColumn("corr", F.round("corr", 8))
+
+
+def q_histogram_by_class(spark, d):
+    return pf.histogram(si.clinical(spark, d), "l_extendedprice", 25, by="Outcome")
+
+
+def q_prob_histogram(spark, d):
+    return pf.histogram(si.scores(spark, d), "score", 20, by="label", common_range=False)
+
+
+def q_kde(spark, d):
+    out = pf.kde(si.clinical(spark, d), "l_quantity", by="Outcome")
+    return out.withColumns({"x": F.round("x", 8), "density": F.round("density", 10)})
+
+
+def q_pair_bins(spark, d):
+    return pf.pair_bins(si.clinical(spark, d), NUMERIC_FEATURES, 10)
+
+
+def q_column_profile_numeric(spark, d):
+    out = pf.column_profile(si.airports_wide(spark, d))
+    return out.where(F.col("dtype") != "string").select(
+        "column", "dtype", "n_unique", "n_missing", "min", "max")
+
+
+def q_column_profile_text(spark, d):
+    out = pf.column_profile(si.airports_wide(spark, d))
+    return out.where(F.col("dtype") == "string").select(
+        "column", "dtype", "n_unique", "n_missing", "top1", "top1_count", "top2", "top2_count",
+        "others_count")
+
+
+def q_column_histograms(spark, d):
+    return pf.column_histograms(si.airports_wide(spark, d), ["AirportID", "Altitude"], 10)
+
+
+# --- classifier -----------------------------------------------------------------------
+
+def q_impute_mean(spark, d):
+    out = ml.impute_mean(si.clinical(spark, d), ["l_discount", "l_tax"])
+    return out.select("l_orderkey", "l_linenumber", F.round("l_discount", 10).alias("l_discount"),
+                      F.round("l_tax", 10).alias("l_tax"))
+
+
+def q_stratified_split_sizes(spark, d):
+    orders = si.orders(spark, d)
+    split = ml.stratified_split(orders, "order_status", 0.3, 42, key_cols=["order_id"])
+    return ml.split_sizes(split, "order_status")
+
+
+def q_confusion(spark, d):
+    return ev.confusion(si.scores(spark, d))
+
+
+def q_class_report(spark, d):
+    return ev.class_report(si.scores(spark, d))
+
+
+def q_roc_points(spark, d):
+    return ev.roc_points(si.scores(spark, d))
+
+
+def q_auc(spark, d):
+    return ev.auc(si.scores(spark, d)).withColumn("auc", F.round("auc", 12))
+
+
+def q_train_predict(spark, d):
+    data = ml.impute_mean(si.clinical(spark, d), ["l_discount", "l_tax"])
+    split = ml.stratified_split(data, "Outcome", 0.3, 42, key_cols=["l_orderkey", "l_linenumber"])
+    train = split.where(F.col("split") == "train").drop("split")
+    test = split.where(F.col("split") == "test").drop("split")
+    model = ml.train_logistic(train, NUMERIC_FEATURES, "Outcome")
+    pred = ml.predict(model, test, NUMERIC_FEATURES)
+    return ml.prediction_table(pred, "Outcome", 20, tie_keys=["l_orderkey", "l_linenumber"])
+
+
 QUERIES = {
     "count_top_k": q_count_top_k,
     "enrich_flights": q_enrich_flights,
@@ -119,4 +261,29 @@ QUERIES = {
     "order_delay": q_order_delay,
     "geo_first": q_geo_first,
     "consolidate_orders": q_consolidate_orders,
+    "text_filter": q_text_filter,
+    "not_sentinel": q_not_sentinel,
+    "count_by": q_count_by,
+    "sum_by_date_text": q_sum_by_date_text,
+    "total_sum": q_total_sum,
+    "sample_n": q_sample_n,
+    "describe": q_describe,
+    "table_info": q_table_info,
+    "table_shape": q_table_shape,
+    "size_profile": q_size_profile,
+    "corr_matrix": q_corr_matrix,
+    "histogram_by_class": q_histogram_by_class,
+    "prob_histogram": q_prob_histogram,
+    "kde": q_kde,
+    "pair_bins": q_pair_bins,
+    "column_profile_numeric": q_column_profile_numeric,
+    "column_profile_text": q_column_profile_text,
+    "column_histograms": q_column_histograms,
+    "impute_mean": q_impute_mean,
+    "stratified_split_sizes": q_stratified_split_sizes,
+    "confusion": q_confusion,
+    "class_report": q_class_report,
+    "roc_points": q_roc_points,
+    "auc": q_auc,
+    "train_predict": q_train_predict,
 }

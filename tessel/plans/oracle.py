@@ -112,6 +112,229 @@ states AS (
   SELECT 'R' || CAST(r_regionkey AS VARCHAR) AS abbreviation, r_name AS state FROM region)"""
 
 
+AIRPORTS_WIDE = NN + r""",
+airports_wide AS (
+  SELECT c_custkey AS AirportID, c_name AS Name, c_mktsegment AS City, n_name AS Country,
+         CASE WHEN c_acctbal < 0 THEN '\N' ELSE c_name END AS IATA, c_acctbal AS Altitude
+  FROM customer JOIN nn ON c_nationkey = n_nationkey)"""
+
+SALES = """sales AS (
+  SELECT l_orderkey AS "Order ID", strftime(l_shipdate, '%-m/%-d/%Y') AS "Order Date",
+         l_extendedprice AS "Total Cost", l_extendedprice * l_discount AS "Total Profit"
+  FROM lineitem)"""
+
+CLINICAL = """clinical AS (
+  SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+         CAST(l_returnflag = 'R' AS INT) AS Outcome
+  FROM lineitem)"""
+
+SCORES = """scores AS (
+  SELECT event_id, CAST(event_type = 'click' AS INT) AS label,
+         floor(value / 5.0) / 100.0 AS score,
+         CAST(floor(value / 5.0) / 100.0 >= 0.5 AS INT) AS prediction
+  FROM events)"""
+
+CLINICAL_NUMERIC = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+                    "l_tax", "Outcome"]
+CLINICAL_TYPES = ["bigint", "int", "double", "double", "double", "double", "int"]
+FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _union(parts) -> str:
+    return "\nUNION ALL\n".join(parts)
+
+
+def _fix(x: str, k: int) -> str:
+    m = f"CAST({float(10 ** k)} AS DOUBLE)"
+    return f"floor(({x}) * {m} + CAST(0.5 AS DOUBLE)) / {m}"
+
+
+def _describe_sql() -> str:
+    parts = []
+    for c in CLINICAL_NUMERIC:
+        x = f"CAST({c} AS DOUBLE)"
+        stats = [("mean", f"avg({x})"), ("std", f"stddev_samp({x})"), ("min", f"min({x})"),
+                 ("p25", f"quantile_cont({x}, 0.25)"), ("p50", f"quantile_cont({x}, 0.5)"),
+                 ("p75", f"quantile_cont({x}, 0.75)"), ("max", f"max({x})")]
+        cols = ", ".join(f"{_fix(e, 6)} AS {name}" for name, e in stats)
+        parts.append(f"SELECT '{c}' AS \"column\", CAST(count({x}) AS BIGINT) AS count, {cols} "
+                     f"FROM clinical")
+    return _with(CLINICAL, _union(parts))
+
+
+def _table_info_sql() -> str:
+    parts = [f"SELECT {i} AS position, '{c}' AS \"column\", '{t}' AS dtype, "
+             f"CAST(count({c}) AS BIGINT) AS non_null, CAST(count(*) AS BIGINT) AS rows FROM clinical"
+             for i, (c, t) in enumerate(zip(CLINICAL_NUMERIC, CLINICAL_TYPES))]
+    return _with(CLINICAL, _union(parts))
+
+
+def _size_sql() -> str:
+    cols = [("AirportID", "bigint"), ("Name", "string"), ("City", "string"),
+            ("Country", "string"), ("IATA", "string"), ("Altitude", "double")]
+    parts = []
+    for c, t in cols:
+        e = f"sum(strlen({c}))" if t == "string" else f"count({c}) * 8"
+        parts.append(f"SELECT '{c}' AS \"column\", '{t}' AS dtype, "
+                     f"CAST(coalesce({e}, 0) AS BIGINT) AS bytes FROM airports_wide")
+    return _with(AIRPORTS_WIDE, _union(parts))
+
+
+def _corr_sql() -> str:
+    cols = FEATURES + ["Outcome"]
+    parts = []
+    for a in cols:
+        for b in cols:
+            v = (f"CASE WHEN stddev_samp({a}) > 0 THEN 1.0 END" if a == b
+                 else f"corr({a}, {b})")
+            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
+                         f"round(CAST({v} AS DOUBLE), 8) AS corr FROM clinical")
+    return _with(CLINICAL, _union(parts))
+
+
+def _hist_sql(source_ctes: str, table: str, col: str, bins: int, by: str | None,
+              common: bool) -> str:
+    g = f"{by}, " if by else ""
+    gsel = f"d.{by}, " if by else ""
+    data = f"data AS (SELECT {g}CAST({col} AS DOUBLE) AS v FROM {table} WHERE {col} IS NOT NULL)"
+    if common or not by:
+        rng = "rng AS (SELECT min(v) AS lo, max(v) AS hi FROM data)"
+        joined = "data d, rng r"
+        groups = (f"grp AS (SELECT DISTINCT {by}, lo, hi FROM data, rng)" if by
+                  else "grp AS (SELECT lo, hi FROM rng)")
+    else:
+        rng = f"rng AS (SELECT {by}, min(v) AS lo, max(v) AS hi FROM data GROUP BY {by})"
+        joined = f"data d JOIN rng r ON d.{by} = r.{by}"
+        groups = "grp AS (SELECT * FROM rng)"
+    ab = ("CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS a, "
+          "CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS b")
+    counts = (f"counts AS (SELECT {gsel}CAST(least(floor((v - a) / (b - a) * {bins}), {bins - 1}) AS INT)"
+              f" AS bin, count(*) AS c FROM (SELECT d.*, {ab} FROM {joined}) d GROUP BY ALL)")
+    grid = (f"cells AS (SELECT {g}CAST(i AS INT) AS bin, a, b FROM "
+            f"(SELECT *, {ab} FROM grp), range(0, {bins}) t(i))")
+    using = f"{by}, bin" if by else "bin"
+    body = (f"SELECT {g}bin, a + bin * ((b - a) / {bins}) AS bin_lo, "
+            f"a + (bin + 1) * ((b - a) / {bins}) AS bin_hi, "
+            f"CAST(coalesce(c, 0) AS BIGINT) AS count FROM cells LEFT JOIN counts USING ({using})")
+    return _with(f"{source_ctes},\n{data},\n{rng},\n{groups},\n{counts},\n{grid}", body)
+
+
+def _kde_sql() -> str:
+    ctes = CLINICAL + """,
+data AS (SELECT Outcome, CAST(l_quantity AS DOUBLE) AS v FROM clinical WHERE l_quantity IS NOT NULL),
+p1 AS (SELECT Outcome, count(*) AS n, stddev_samp(v) AS s, min(v) AS mn, max(v) AS mx
+       FROM data GROUP BY Outcome),
+p2 AS (SELECT *, s * pow(n, -0.2) AS h FROM p1),
+p3 AS (SELECT *, mn - 3.0 * h AS lo, (mx - mn + 6.0 * h) / 199 AS step FROM p2 WHERE h > 0),
+weights AS (SELECT Outcome, v, count(*) AS w FROM data GROUP BY ALL),
+sums AS (
+  SELECT Outcome, i,
+         sum(w * exp(-0.5 * ((lo + i * step - v) / h) * ((lo + i * step - v) / h))) AS k
+  FROM weights JOIN p3 USING (Outcome), range(0, 200) t(i) GROUP BY ALL)"""
+    body = """SELECT Outcome, CAST(i AS INT) AS i, round(lo + i * step, 8) AS x,
+       round(k / (n * h * sqrt(2 * pi())), 10) AS density, CAST(n AS BIGINT) AS n
+FROM sums JOIN p3 USING (Outcome)"""
+    return _with(ctes, body)
+
+
+def _pair_bins_sql() -> str:
+    rng = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in FEATURES)
+
+    def idx(c):
+        a = f"CASE WHEN lo_{c} = hi_{c} THEN lo_{c} - 0.5 ELSE lo_{c} END"
+        b = f"CASE WHEN lo_{c} = hi_{c} THEN hi_{c} + 0.5 ELSE hi_{c} END"
+        return f"CAST(least(floor(({c} - {a}) / ({b} - {a}) * 10), 9) AS INT)"
+
+    parts = []
+    for a in FEATURES:
+        for b in FEATURES:
+            if a != b:
+                parts.append(f"SELECT '{a}' AS x_col, '{b}' AS y_col, {idx(a)} AS bx, {idx(b)} AS \"by\" "
+                             f"FROM clinical, rng WHERE {a} IS NOT NULL AND {b} IS NOT NULL")
+    ctes = CLINICAL + f",\nrng AS (SELECT {rng} FROM clinical),\npairs AS ({_union(parts)})"
+    return _with(ctes, "SELECT x_col, y_col, bx, \"by\", CAST(count(*) AS BIGINT) AS count "
+                       "FROM pairs GROUP BY ALL")
+
+
+def _profile_numeric_sql() -> str:
+    parts = []
+    for c, t in (("AirportID", "bigint"), ("Altitude", "double")):
+        parts.append(
+            f"SELECT '{c}' AS \"column\", '{t}' AS dtype, "
+            f"CAST(count(DISTINCT CAST({c} AS DOUBLE)) AS BIGINT) AS n_unique, "
+            f"CAST(count(*) - count({c}) AS BIGINT) AS n_missing, "
+            f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM airports_wide")
+    return _with(AIRPORTS_WIDE, _union(parts))
+
+
+def _profile_text_sql() -> str:
+    cols = ["Name", "City", "Country", "IATA"]
+    vc = _union([f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS cnt FROM airports_wide "
+                 f"WHERE {c} IS NOT NULL GROUP BY ALL" for c in cols])
+    base = _union([f"SELECT '{c}' AS \"column\", count(*) AS rows, count({c}) AS non_null "
+                   f"FROM airports_wide" for c in cols])
+    ctes = AIRPORTS_WIDE + f""",
+vc AS ({vc}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY cnt DESC, value) AS r FROM vc),
+tops AS (
+  SELECT "column", count(*) AS n_unique,
+         max(CASE WHEN r = 1 THEN value END) AS top1, max(CASE WHEN r = 1 THEN cnt END) AS top1_count,
+         max(CASE WHEN r = 2 THEN value END) AS top2, max(CASE WHEN r = 2 THEN cnt END) AS top2_count
+  FROM ranked GROUP BY "column"),
+base AS ({base})"""
+    body = """SELECT "column", 'string' AS dtype, CAST(n_unique AS BIGINT) AS n_unique,
+       CAST(rows - non_null AS BIGINT) AS n_missing, top1, CAST(top1_count AS BIGINT) AS top1_count,
+       top2, CAST(top2_count AS BIGINT) AS top2_count,
+       CAST(non_null - coalesce(top1_count, 0) - coalesce(top2_count, 0) AS BIGINT) AS others_count
+FROM base JOIN tops USING ("column")"""
+    return _with(ctes, body)
+
+
+def _column_hist_sql() -> str:
+    parts = []
+    for c in ("AirportID", "Altitude"):
+        parts.append(f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS v FROM airports_wide "
+                     f"WHERE {c} IS NOT NULL")
+    ctes = AIRPORTS_WIDE + f",\nlong AS ({_union(parts)})"
+    return _hist_sql(ctes, "long", "v", 10, '"column"', False)
+
+
+EVAL = SCORES + """,
+per AS (
+  SELECT score, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS tp,
+         sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS fp
+  FROM scores WHERE score IS NOT NULL GROUP BY score),
+cum AS (
+  SELECT score, tp, fp,
+         sum(tp) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tps,
+         sum(fp) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fps,
+         lead(tp) OVER (ORDER BY score DESC) AS next_tp,
+         lead(fp) OVER (ORDER BY score DESC) AS next_fp,
+         count(*) OVER () AS k, max(score) OVER () AS top
+  FROM per),
+tot AS (SELECT sum(tp) AS P, sum(fp) AS N FROM per),
+cls AS (SELECT label AS c FROM scores UNION SELECT prediction FROM scores),
+counts AS (SELECT label, prediction, count(*) AS cnt FROM scores GROUP BY ALL),
+cm AS (
+  SELECT a.c AS label, b.c AS prediction, CAST(coalesce(cnt, 0) AS BIGINT) AS count
+  FROM cls a CROSS JOIN cls b
+  LEFT JOIN counts ON counts.label = a.c AND counts.prediction = b.c),
+pc AS (
+  SELECT c AS cls,
+         (SELECT coalesce(sum(count), 0) FROM cm WHERE label = c AND prediction = c) AS tp,
+         (SELECT coalesce(sum(count), 0) FROM cm WHERE label = c) AS support,
+         (SELECT coalesce(sum(count), 0) FROM cm WHERE prediction = c) AS pred
+  FROM cls),
+pm AS (
+  SELECT *, CASE WHEN pred > 0 THEN tp / pred ELSE 0.0 END AS precision,
+            CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall
+  FROM pc),
+pf AS (
+  SELECT *, CASE WHEN precision + recall > 0
+                 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END AS f1_score
+  FROM pm)"""
+
+
 def _with(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
@@ -188,6 +411,88 @@ SELECT Year, Month, AIRLINE, total,
     "daily_series": _with(FLIGHTS, """
 SELECT FlightDate, CAST(count(*) AS BIGINT) AS vuelos FROM enriched GROUP BY FlightDate"""),
 
+    "text_filter": _with(AIRPORTS_WIDE, "SELECT * FROM airports_wide WHERE Country = 'NATION_7'"),
+
+    "not_sentinel": _with(AIRPORTS_WIDE, r"""
+SELECT * FROM airports_wide WHERE IATA IS NOT NULL AND IATA <> '\N'"""),
+
+    "count_by": _with(AIRPORTS_WIDE, r"""
+SELECT Country, CAST(count(AirportID) AS BIGINT) AS AirportID FROM airports_wide
+WHERE IATA IS NOT NULL AND IATA <> '\N' AND Country IS NOT NULL GROUP BY Country"""),
+
+    "sum_by_date_text": _with(SALES, """
+SELECT "Order Date", round(coalesce(sum("Total Cost"), 0), 2) AS "Total Cost"
+FROM sales WHERE "Order Date" IS NOT NULL GROUP BY 1"""),
+
+    "total_sum": _with(SALES, """
+SELECT round(coalesce(sum("Total Cost"), 0), 2) AS total FROM sales"""),
+
+    "describe": _describe_sql(),
+
+    "table_info": _table_info_sql(),
+
+    "table_shape": _with(CLINICAL, """
+SELECT CAST(count(*) AS BIGINT) AS rows, 7 AS columns FROM clinical"""),
+
+    "size_profile": _size_sql(),
+
+    "corr_matrix": _corr_sql(),
+
+    "histogram_by_class": _hist_sql(CLINICAL, "clinical", "l_extendedprice", 25, "Outcome", True),
+
+    "prob_histogram": _hist_sql(SCORES, "scores", "score", 20, "label", False),
+
+    "kde": _kde_sql(),
+
+    "pair_bins": _pair_bins_sql(),
+
+    "column_profile_numeric": _profile_numeric_sql(),
+
+    "column_profile_text": _profile_text_sql(),
+
+    "column_histograms": _column_hist_sql(),
+
+    "impute_mean": _with(CLINICAL, """
+SELECT l_orderkey, l_linenumber,
+       round(coalesce(nullif(l_discount, 0),
+                      (SELECT avg(nullif(l_discount, 0)) FROM clinical)), 10) AS l_discount,
+       round(coalesce(nullif(l_tax, 0), (SELECT avg(nullif(l_tax, 0)) FROM clinical)), 10) AS l_tax
+FROM clinical"""),
+
+    "stratified_split_sizes": _with(SHOP, """
+SELECT order_status, split, CAST(n AS BIGINT) AS n FROM (
+  SELECT order_status, 'test' AS split, floor(n * 0.3 + 0.5) AS n FROM c
+  UNION ALL
+  SELECT order_status, 'train', n - floor(n * 0.3 + 0.5) FROM c)""".replace(
+        "FROM c", "FROM (SELECT order_status, count(*) AS n FROM orders_raw GROUP BY 1) c")),
+
+    "confusion": _with(EVAL, "SELECT * FROM cm"),
+
+    "class_report": _with(EVAL, """
+SELECT CAST(cls AS VARCHAR) AS name, round_even(precision, 3) AS precision,
+       round_even(recall, 3) AS recall, round_even(f1_score, 3) AS f1_score,
+       round_even(CAST(support AS DOUBLE), 3) AS support FROM pf
+UNION ALL
+SELECT 'accuracy', round_even(acc, 3), round_even(acc, 3), round_even(acc, 3), round_even(acc, 3)
+FROM (SELECT sum(tp) / sum(support) AS acc FROM pf)
+UNION ALL
+SELECT 'macro avg', round_even(avg(precision), 3), round_even(avg(recall), 3),
+       round_even(avg(f1_score), 3), round_even(CAST(sum(support) AS DOUBLE), 3) FROM pf
+UNION ALL
+SELECT 'weighted avg', round_even(sum(precision * support) / sum(support), 3),
+       round_even(sum(recall * support) / sum(support), 3),
+       round_even(sum(f1_score * support) / sum(support), 3),
+       round_even(CAST(sum(support) AS DOUBLE), 3) FROM pf"""),
+
+    "roc_points": _with(EVAL, """
+SELECT CAST('inf' AS DOUBLE) AS threshold, CAST(0.0 AS DOUBLE) AS fpr, CAST(0.0 AS DOUBLE) AS tpr
+UNION ALL
+SELECT score, fps / N, tps / P FROM cum, tot
+WHERE k <= 2 OR score = top OR next_tp IS NULL OR next_tp <> tp OR next_fp <> fp"""),
+
+    "auc": _with(EVAL, """
+SELECT round(sum(fp * (tps - tp / 2.0)) / (sum(tp) * sum(fp)), 12) AS auc FROM cum"""),
+
     "items_per_order": _with(SHOP, """
 SELECT order_id, total_products, round(total_sales, 2) AS total_sales FROM items_agg"""),
 

@@ -174,9 +174,12 @@ def clinical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    """Binary scores for evaluation without a model: label, score in [0, 1], prediction."""
+    """Binary scores for evaluation without a model: label, score in [0, 1), prediction.
+
+    score = value / 500 truncated to hundredths (many ties, as rounded probabilities have).
+    """
     e = read_table(spark, d, "events")
-    score = F.round(F.col("value") / 500.0, 2)
+    score = F.floor(F.col("value") / 5.0) / 100.0
     return e.select(
         "event_id",
         (F.col("event_type") == "click").cast("int").alias("label"),

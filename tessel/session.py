@@ -73,3 +73,14 @@ def shared_dir(spark: SparkSession, name: str = "scratch") -> str:
     """
     root = checkpoint_root(spark)
     return os.path.join(root, "tessel", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df):
+    """Cut the lineage of a table that several later steps read.
+
+    A reliable checkpoint into the shared checkpoint folder: later reads do
+    not re-run the plan, and a lost executor does not force recomputation
+    from the sources.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
