@@ -19,14 +19,19 @@ from tessel.operators import ml
 from tessel.operators import ordering
 from tessel.operators import profile as pf
 from tessel.plans import flights as fl
+from tessel.session import shared_dir
+from tessel.sources import files, sinks, workbook, zipped
 from tessel.plans import orders as od
 from tessel.plans import standins as si
 
 
-def _fix(c: str, k: int):
-    """Round half up with IEEE operations only (the SQL side uses the same formula), so
-    exact decimal ties cannot round differently in the two engines."""
-    return F.floor(F.col(c) * float(10 ** k) + 0.5) / float(10 ** k)
+def _sig(c: str, digits: int = 10):
+    """Round to ``digits`` significant digits with IEEE operations only (the SQL side uses
+    the same formula): summation-order noise in the last bits of a mean cannot change the
+    result, and neither can a value lying exactly on a decimal tie."""
+    x = F.col(c)
+    m = F.pow(F.lit(10.0), F.lit(digits) - F.ceil(F.log10(F.abs(x))))
+    return F.when(x == 0, x).otherwise(F.floor(x * m + 0.5) / m)
 
 
 def _enriched(spark, d):
@@ -147,7 +152,7 @@ NUMERIC_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 def q_describe(spark, d):
     out = pf.describe(si.clinical(spark, d))
-    return out.select("column", "count", *[_fix(c, 6).alias(c) for c in
+    return out.select("column", "count", *[_sig(c).alias(c) for c in
                                             ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
@@ -242,6 +247,55 @@ def q_train_predict(spark, d):
     return ml.prediction_table(pred, "Outcome", 20, tie_keys=["l_orderkey", "l_linenumber"])
 
 
+# --- sources and sinks: stage a stand-in table as files, read it back ---------------------
+
+FLIGHTS_CSV_SCHEMA = ("FlightDate string, Reporting_Airline string, "
+                      "Flight_Number_Reporting_Airline int, Origin string, OriginStateName string, "
+                      "Dest string, Distance double")
+CUSTOMERS_SCHEMA = "customer_id bigint, customer_zip_code_prefix string, customer_city string"
+AIRPORTS_WIDE_NAMES = ["AirportID", "Name", "City", "Country", "IATA", "Altitude"]
+AIRPORTS_WIDE_TYPES = ["bigint", "string", "string", "string", "string", "double"]
+
+
+def q_csv_roundtrip(spark, d):
+    """SNK1 + SRC1: flights written as CSV with a header, read back typed, then enriched."""
+    path = shared_dir(spark, "flights-csv")
+    sinks.write_csv(si.flights(spark, d), path)
+    raw = files.read_csv(spark, path, FLIGHTS_CSV_SCHEMA)
+    return fl.enrich_flights(raw, fl.load_airports(si.airports(spark, d)))
+
+
+def q_headerless_csv(spark, d):
+    """SRC2 + PRJ4: a headerless file with ``\\N`` for missing values, positional names."""
+    path = shared_dir(spark, "airports-csv")
+    sinks.write_csv(si.airports_wide(spark, d), path, header=False, null_value="\\N")
+    raw = files.read_csv(spark, path, files.schema_of([f"_c{i}" for i in range(6)],
+                                                      AIRPORTS_WIDE_TYPES),
+                         header=False, null_value="\\N")
+    return clean.rename_positional(raw, AIRPORTS_WIDE_NAMES)
+
+
+def q_json_source(spark, d):
+    """SRC8: JSON arrays of records."""
+    path = shared_dir(spark, "customers-json")
+    sinks.write_json_records(si.customers(spark, d), path)
+    return files.read_json_records(spark, path, CUSTOMERS_SCHEMA)
+
+
+def q_xlsx_source(spark, d):
+    """SRC7: workbooks; the zip prefix column keeps its leading zeros as text."""
+    path = shared_dir(spark, "customers-xlsx")
+    workbook.write_workbooks(si.customers(spark, d), path)
+    return workbook.read_workbooks(spark, path, CUSTOMERS_SCHEMA)
+
+
+def q_zip_source(spark, d):
+    """SRC10 + SRC4: CSV members of zip archives, read as one table."""
+    path = shared_dir(spark, "flights-zip")
+    zipped.write_zipped_csv(si.flights(spark, d), path)
+    return zipped.read_zipped_csv(spark, path, FLIGHTS_CSV_SCHEMA)
+
+
 QUERIES = {
     "count_top_k": q_count_top_k,
     "enrich_flights": q_enrich_flights,
@@ -286,4 +340,9 @@ QUERIES = {
     "roc_points": q_roc_points,
     "auc": q_auc,
     "train_predict": q_train_predict,
+    "csv_roundtrip": q_csv_roundtrip,
+    "headerless_csv": q_headerless_csv,
+    "json_source": q_json_source,
+    "xlsx_source": q_xlsx_source,
+    "zip_source": q_zip_source,
 }

@@ -144,22 +144,23 @@ def _union(parts) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def _fix(x: str, k: int) -> str:
-    m = f"CAST({float(10 ** k)} AS DOUBLE)"
-    return f"floor(({x}) * {m} + CAST(0.5 AS DOUBLE)) / {m}"
+def _sig(x: str, digits: int = 10) -> str:
+    m = f"pow(CAST(10.0 AS DOUBLE), {digits} - ceil(log10(abs({x}))))"
+    return f"CASE WHEN {x} = 0 THEN {x} ELSE floor({x} * {m} + CAST(0.5 AS DOUBLE)) / {m} END"
 
 
 def _describe_sql() -> str:
     parts = []
     for c in CLINICAL_NUMERIC:
         x = f"CAST({c} AS DOUBLE)"
-        stats = [("mean", f"avg({x})"), ("std", f"stddev_samp({x})"), ("min", f"min({x})"),
-                 ("p25", f"quantile_cont({x}, 0.25)"), ("p50", f"quantile_cont({x}, 0.5)"),
-                 ("p75", f"quantile_cont({x}, 0.75)"), ("max", f"max({x})")]
-        cols = ", ".join(f"{_fix(e, 6)} AS {name}" for name, e in stats)
-        parts.append(f"SELECT '{c}' AS \"column\", CAST(count({x}) AS BIGINT) AS count, {cols} "
-                     f"FROM clinical")
-    return _with(CLINICAL, _union(parts))
+        parts.append(
+            f"SELECT '{c}' AS \"column\", CAST(count({x}) AS BIGINT) AS count, avg({x}) AS mean, "
+            f"stddev_samp({x}) AS std, min({x}) AS min, quantile_cont({x}, 0.25) AS p25, "
+            f"quantile_cont({x}, 0.5) AS p50, quantile_cont({x}, 0.75) AS p75, max({x}) AS max "
+            f"FROM clinical")
+    stats = ", ".join(f"{_sig(c)} AS {c}" for c in ("mean", "std", "min", "p25", "p50", "p75",
+                                                      "max"))
+    return _with(CLINICAL, f'SELECT "column", count, {stats} FROM (\n{_union(parts)})')
 
 
 def _table_info_sql() -> str:
@@ -493,6 +494,22 @@ WHERE k <= 2 OR score = top OR next_tp IS NULL OR next_tp <> tp OR next_fp <> fp
     "auc": _with(EVAL, """
 SELECT round(sum(fp * (tps - tp / 2.0)) / (sum(tp) * sum(fp)), 12) AS auc FROM cum"""),
 
+    "csv_roundtrip": _with(FLIGHTS, "SELECT * FROM enriched"),
+
+    "headerless_csv": _with(AIRPORTS_WIDE, r"""
+SELECT AirportID, Name, City, Country, CASE WHEN IATA = '\N' THEN NULL ELSE IATA END AS IATA,
+       Altitude FROM airports_wide"""),
+
+    "json_source": _with(SHOP, "SELECT * FROM customers_s"),
+
+    "xlsx_source": _with(SHOP, "SELECT * FROM customers_s"),
+
+    "zip_source": _with(FLIGHTS.replace(
+        "so.n_name AS Origin, so.r_name AS OriginStateName, cd.n_name AS Dest",
+        "l_linenumber AS Flight_Number_Reporting_Airline, so.n_name AS Origin, "
+        "so.r_name AS OriginStateName, cd.n_name AS Dest, l_quantity AS Distance"),
+        "SELECT * FROM flights"),
+
     "items_per_order": _with(SHOP, """
 SELECT order_id, total_products, round(total_sales, 2) AS total_sales FROM items_agg"""),
 
