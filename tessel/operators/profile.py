@@ -225,12 +225,16 @@ def pair_bins(df: DataFrame, cols, bins: int = 10) -> DataFrame:
     """
     cols = list(cols)
     binned = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    # all ranges in one aggregate, attached once as a struct column (one scalar subquery)
+    rng = binned.select(F.struct(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
+                                 *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)])).scalar()
+    binned = binned.withColumn("_rng", rng)
     idx = {}
-    for c in cols:
-        lo = binned.select(F.min(c)).scalar()
-        hi = binned.select(F.max(c)).scalar()
-        a, b = _widen(lo, hi)
+    for i, c in enumerate(cols):
+        a, b = _widen(F.col(f"_rng.lo{i}"), F.col(f"_rng.hi{i}"))
         idx[c] = _bin_index(F.col(c), a, b, bins)
+    binned = binned.select(*[idx[c].alias(f"_b{i}") for i, c in enumerate(cols)])
+    idx = {c: F.col(f"_b{i}") for i, c in enumerate(cols)}
     pairs = [F.struct(F.lit(a).alias("x_col"), F.lit(b).alias("y_col"),
                       idx[a].alias("bx"), idx[b].alias("by"))
              for a in cols for b in cols if a != b]

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.session import materialize
+
 DEFAULT_BUCKETS = 256
 
 
@@ -45,10 +47,11 @@ def exact_quantiles(df: DataFrame, cols, probs, buckets: int = DEFAULT_BUCKETS)
     Columns without values give no rows.
     """
     probs = [float(p) for p in probs]
-    vc = value_counts(long_values(df, cols))
+    # distinct values with multiplicities: read by several steps below, so checkpointed once
+    vc = materialize(value_counts(long_values(df, cols)))
     fractions = [i / buckets for i in range(1, buckets)]
-    bounds = vc.groupBy("column").agg(
-        F.percentile_approx("value", fractions, 10 * buckets).alias("bounds"))
+    bounds = materialize(vc.groupBy("column").agg(
+        F.percentile_approx("value", fractions, 10 * buckets).alias("bounds")))
     # bucket = number of bounds strictly below the value (0 .. buckets-1)
     vb = (vc.join(bounds, "column")
           .withColumn("b", F.size(F.filter("bounds", lambda x: x < F.col("value"))))
@@ -57,6 +60,7 @@ def exact_quantiles(df: DataFrame, cols, probs, buckets: int = DEFAULT_BUCKETS)
     w = Window.partitionBy("column").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = (per_bucket.withColumn("before", F.coalesce(F.sum("bcnt").over(w), F.lit(0)))
                   .withColumn("n", F.sum("bcnt").over(Window.partitionBy("column"))))
+    per_bucket = materialize(per_bucket)  # columns x buckets rows
     # wanted 0-based ranks: floor(h) and floor(h) + 1 (capped at n - 1)
     pr = F.explode(F.array(*[F.lit(p) for p in probs])).alias("p")
     ranks = (per_bucket.select("column", "n").distinct().select("column", "n", pr)
@@ -77,10 +81,12 @@ def exact_quantiles(df: DataFrame, cols, probs, buckets: int = DEFAULT_BUCKETS)
     picked = (targets.join(inside, ["column", "b"])
               .where((F.col("r_in") >= F.col("from")) & (F.col("r_in") < F.col("upto")))
               .select("column", "r", "value"))
-    lo_v = picked.select("column", F.col("r").alias("lo"), F.col("value").alias("v_lo"))
-    hi_v = picked.select("column", F.col("r").alias("hi"), F.col("value").alias("v_hi"))
-    out = ranks.join(lo_v, ["column", "lo"]).join(hi_v, ["column", "hi"])
-    q = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")
+    # at most 2 x len(probs) picked values per column: gather them in a map rank -> value
+    found = picked.groupBy("column").agg(
+        F.map_from_entries(F.collect_list(F.struct("r", "value"))).alias("at"))
+    out = ranks.join(found, "column")
+    v_lo, v_hi = F.element_at("at", F.col("lo")), F.element_at("at", F.col("hi"))
+    q = v_lo + (v_hi - v_lo) * F.col("frac")
     return out.select("column", "p", q.alias("quantile"))
 
 
