@@ -19,7 +19,7 @@ MICROS_PER_DAY = 86_400_000_000.0
 def parse_date(c, fmt: str | None = None) -> Column:
     """SC1: text -> DATE, unparsable -> NULL."""
     c = col_of(c)
-    return F.try_to_date(c, F.lit(fmt)) if fmt else F.try_to_date(c)
+    return F.try_to_date(c, fmt) if fmt else F.try_to_date(c)
 
 
 def parse_timestamp(c, fmt: str | None = None) -> Column:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.operators.quantiles import count_below
 from tessel.session import materialize
 
 DEFAULT_BUCKETS = 256
@@ -103,9 +104,10 @@ def cumulative_by_score(df: DataFrame, label: str = "label", score: str = "score
                       F.sum(F.when(F.col(label) == F.lit(pos_label), 0).otherwise(1)).alias("fp")))
     per_score = materialize(per_score)
     bounds = _score_bounds(per_score, buckets)
-    # bucket 0 holds the highest scores: count of bounds at or above the score
-    b = F.size(F.filter("_bounds", lambda x: x >= F.col("score")))
-    ps = per_score.withColumn("_bounds", bounds).withColumn("b", b).drop("_bounds")
+    # bucket 0 holds the highest scores: b = (number of bounds) - (bounds strictly below)
+    ps = count_below(per_score.withColumn("_bounds", bounds), "score", "_bounds", buckets - 1,
+                     "_below")
+    ps = ps.withColumn("b", F.size("_bounds") - F.col("_below")).drop("_bounds", "_below")
     per_bucket = ps.groupBy("b").agg(
         F.sum("tp").alias("btp"), F.sum("fp").alias("bfp"),
         F.max_by(F.struct("tp", "fp"), "score").alias("first"))

@@ -101,16 +101,21 @@ def corr_matrix(df: DataFrame, cols=None) -> DataFrame:
     """AGG18: Pearson correlation of every pair of numeric columns, ``(col_a, col_b, corr)``.
 
     Pairwise-complete (a row counts for a pair when both values are present),
-    one aggregation pass with d(d-1)/2 correlation aggregates; the diagonal
-    is 1 and the matrix is mirrored.
+    one aggregation pass computing, per pair, the sample covariance and both
+    standard deviations over the rows where the pair is complete; the diagonal
+    is 1 and the matrix is mirrored.  A constant column gives NULL (NaN in
+    pandas) where ``corr`` would divide by zero.
     """
     cols = list(cols) if cols else numeric_columns(df)
     aggs, names = [], []
     for i, a in enumerate(cols):
         for b in cols[i + 1:]:
             names.append((a, b))
-            aggs.append(F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
-                        .alias(f"{a}\0{b}"))
+            x, y = F.col(a).cast("double"), F.col(b).cast("double")
+            # pairwise-complete moments; NULL (not an error) when either side is constant
+            sx = F.stddev_samp(F.when(y.isNotNull(), x))
+            sy = F.stddev_samp(F.when(x.isNotNull(), y))
+            aggs.append(F.try_divide(F.covar_samp(x, y), sx * sy).alias(f"{a}\0{b}"))
     if not aggs:
         return df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols],
                                                "col_a string, col_b string, corr double")
@@ -131,7 +136,8 @@ def corr_matrix(df: DataFrame, cols=None) -> DataFrame:
 def _bin_index(value, lo, hi, bins: int):
     """0-based equal-width bin of ``value`` over ``[lo, hi]``; the top edge joins the last bin."""
     idx = F.floor((value - lo) / (hi - lo) * F.lit(bins))
-    return F.least(idx, F.lit(bins - 1)).cast("int")
+    # not least(): it skips NULLs and would put a missing value in the last bin
+    return F.when(idx > F.lit(bins - 1), F.lit(bins - 1)).otherwise(idx).cast("int")
 
 
 def _widen(lo, hi):

@@ -12,6 +12,9 @@ column in one task.  Here the work is spread out:
 4. the buckets holding the wanted ranks are found in that small table, and
    only their rows are ranked (a window per target bucket).
 
+Steps 2-4 are used only when some column has more distinct values than a
+bound; below it, one sorted window partition per column is cheaper.
+
 Interpolation is the "linear" rule of pandas / NumPy / SQL
 ``quantile_cont``: position ``h = (n - 1) p``, value
 ``v[floor h] + (h - floor h) (v[floor h + 1] - v[floor h])``.
@@ -25,6 +28,35 @@ from pyspark.sql import functions as F
 from tessel.session import materialize
 
 DEFAULT_BUCKETS = 256
+# Distinct values per column up to which one sorted window partition per column is used.
+DIRECT_MAX_DISTINCT = 1_000_000
+
+
+def count_below(df: DataFrame, value_col: str, bounds_col: str, n_bounds: int,
+                out: str, strict: bool = True) -> DataFrame:
+    """Add ``out`` = how many elements of the ascending array ``bounds_col`` are below
+    ``value_col`` (``<`` when ``strict``, else ``<=``).
+
+    A binary search of fixed depth ``ceil(log2(n_bounds + 1))``, written as one
+    fold over the step sizes: a few comparisons per row instead of a scan of the
+    whole array.  NULL bounds (a group with fewer values than buckets) never count.
+    """
+    steps = []
+    step = 1
+    while step <= n_bounds:
+        steps.append(step)
+        step *= 2
+    steps.reverse()
+    bounds, v = F.col(bounds_col), F.col(value_col)
+
+    def probe(acc, st):
+        cand = acc + st
+        at = F.element_at(bounds, cand)
+        below = (at < v) if strict else (at <= v)
+        return F.when((cand <= F.size(bounds)) & F.coalesce(below, F.lit(False)), cand) \
+            .otherwise(acc)
+
+    return df.withColumn(out, F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), probe))
 
 
 def long_values(df: DataFrame, cols, name_col: str = "column", value_col: str = "value"
@@ -41,36 +73,72 @@ def value_counts(long_df: DataFrame, name_col: str = "column", value_col: str =
     return long_df.groupBy(name_col, value_col).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def exact_quantiles(df: DataFrame, cols, probs, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def _ranks(n_by_column: DataFrame, probs) -> DataFrame:
+    """Per column and probability: the two 0-based ranks to read and the interpolation weight."""
+    pr = F.explode(F.array(*[F.lit(p) for p in probs])).alias("p")
+    return (n_by_column.select("column", "n", pr)
+            .withColumn("h", (F.col("n") - 1) * F.col("p"))
+            .withColumn("lo", F.floor("h"))
+            .withColumn("frac", F.col("h") - F.col("lo"))
+            .withColumn("hi", F.least(F.col("lo") + 1, F.col("n") - 1)))
+
+
+def _interpolate(ranks: DataFrame, picked: DataFrame) -> DataFrame:
+    """Combine the values found at the wanted ranks into the interpolated quantiles."""
+    # at most 2 x len(probs) picked values per column: gather them in a map rank -> value
+    found = picked.groupBy("column").agg(
+        F.map_from_entries(F.collect_list(F.struct("r", "value"))).alias("at"))
+    out = ranks.join(found, "column")
+    v_lo, v_hi = F.element_at("at", F.col("lo")), F.element_at("at", F.col("hi"))
+    return out.select("column", "p", (v_lo + (v_hi - v_lo) * F.col("frac")).alias("quantile"))
+
+
+def _wanted(ranks: DataFrame) -> DataFrame:
+    return ranks.select("column", F.explode(F.array("lo", "hi")).alias("r")).distinct()
+
+
+def exact_quantiles(df: DataFrame, cols, probs, buckets: int = DEFAULT_BUCKETS,
+                    max_direct: int = DIRECT_MAX_DISTINCT) -> DataFrame:
     """Rows ``(column, p, quantile)`` for every column and probability.
 
-    Columns without values give no rows.
+    Columns without values give no rows.  When no column has more than
+    ``max_direct`` distinct values, each column's distinct values are ranked
+    directly in one window partition (a bounded sort per task); beyond that
+    bound the bucketed selection keeps every task small.
     """
     probs = [float(p) for p in probs]
-    # distinct values with multiplicities: read by several steps below, so checkpointed once
+    # distinct values with multiplicities: read by several steps below, so written once
     vc = materialize(value_counts(long_values(df, cols)))
+    sizes = vc.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"),
+                                     F.sum("cnt").alias("n"))
+    largest = sizes.agg(F.max("distinct")).first()[0] or 0
+    if largest <= max_direct:
+        w = Window.partitionBy("column").orderBy("value")
+        ranked = (vc.withColumn("upto", F.sum("cnt").over(
+            w.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("from", F.col("upto") - F.col("cnt")))
+        ranks = _ranks(sizes.select("column", "n"), probs)
+        picked = (ranked.join(F.broadcast(_wanted(ranks)), "column")
+                  .where((F.col("r") >= F.col("from")) & (F.col("r") < F.col("upto")))
+                  .select("column", "r", "value"))
+        return _interpolate(ranks, picked)
+
     fractions = [i / buckets for i in range(1, buckets)]
     bounds = materialize(vc.groupBy("column").agg(
         F.percentile_approx("value", fractions, 10 * buckets).alias("bounds")))
     # bucket = number of bounds strictly below the value (0 .. buckets-1)
-    vb = (vc.join(bounds, "column")
-          .withColumn("b", F.size(F.filter("bounds", lambda x: x < F.col("value"))))
-          .drop("bounds"))
+    vb = count_below(vc.join(F.broadcast(bounds), "column"), "value", "bounds", buckets - 1,
+                     "b").drop("bounds")
     per_bucket = vb.groupBy("column", "b").agg(F.sum("cnt").alias("bcnt"))
     w = Window.partitionBy("column").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = (per_bucket.withColumn("before", F.coalesce(F.sum("bcnt").over(w), F.lit(0)))
-                  .withColumn("n", F.sum("bcnt").over(Window.partitionBy("column"))))
-    per_bucket = materialize(per_bucket)  # columns x buckets rows
+    per_bucket = materialize(  # columns x buckets rows
+        per_bucket.withColumn("before", F.coalesce(F.sum("bcnt").over(w), F.lit(0)))
+        .withColumn("n", F.sum("bcnt").over(Window.partitionBy("column"))))
     # wanted 0-based ranks: floor(h) and floor(h) + 1 (capped at n - 1)
-    pr = F.explode(F.array(*[F.lit(p) for p in probs])).alias("p")
-    ranks = (per_bucket.select("column", "n").distinct().select("column", "n", pr)
-             .withColumn("h", (F.col("n") - 1) * F.col("p"))
-             .withColumn("lo", F.floor("h"))
-             .withColumn("frac", F.col("h") - F.col("lo"))
-             .withColumn("hi", F.least(F.col("lo") + 1, F.col("n") - 1)))
-    wanted = ranks.select("column", F.explode(F.array("lo", "hi")).alias("r")).distinct()
-    targets = (wanted.join(per_bucket, "column")
-               .where((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("bcnt")))
+    ranks = _ranks(per_bucket.select("column", "n").distinct(), probs)
+    targets = (_wanted(ranks).join(per_bucket, "column")
+               .where((F.col("r") >= F.col("before"))
+                      & (F.col("r") < F.col("before") + F.col("bcnt")))
                .select("column", "b", "r", (F.col("r") - F.col("before")).alias("r_in")))
     # rows of the target buckets only, ranked inside their bucket by value
     tb = targets.select("column", "b").distinct()
@@ -81,13 +149,7 @@ def exact_quantiles(df: DataFrame, cols, probs, buckets: int = DEFAULT_BUCKETS)
     picked = (targets.join(inside, ["column", "b"])
               .where((F.col("r_in") >= F.col("from")) & (F.col("r_in") < F.col("upto")))
               .select("column", "r", "value"))
-    # at most 2 x len(probs) picked values per column: gather them in a map rank -> value
-    found = picked.groupBy("column").agg(
-        F.map_from_entries(F.collect_list(F.struct("r", "value"))).alias("at"))
-    out = ranks.join(found, "column")
-    v_lo, v_hi = F.element_at("at", F.col("lo")), F.element_at("at", F.col("hi"))
-    q = v_lo + (v_hi - v_lo) * F.col("frac")
-    return out.select("column", "p", q.alias("quantile"))
+    return _interpolate(ranks, picked)
 
 
 def approx_quantiles(df: DataFrame, cols, probs, accuracy: int = 10_000) -> DataFrame:

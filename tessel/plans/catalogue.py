@@ -112,8 +112,9 @@ def q_consolidate_orders(spark, d):
     out = od.consolidate_orders(si.orders(spark, d), si.order_items(spark, d),
                                 si.customers(spark, d), si.geolocations(spark, d),
                                 si.states(spark, d))
-    # item count is NULL for orders without items: a float column, as after the pandas merge
+    # integer columns a left join can leave NULL become floats, as after the pandas merge
     return out.withColumns({"total_products": F.col("total_products").cast("double"),
+                            "line_no": F.col("line_no").cast("double"),
                             "total_sales": F.round("total_sales", 2)})
 
 

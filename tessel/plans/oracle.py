@@ -523,7 +523,7 @@ SELECT order_id, total_products, round(total_sales, 2) AS total_sales FROM items
 SELECT o.* EXCLUDE (total_products, total_sales),
        CAST(o.total_products AS DOUBLE) AS total_products,
        round(o.total_sales, 2) AS total_sales,
-       c.* EXCLUDE (customer_id)
+       c.* EXCLUDE (customer_id, line_no), CAST(c.line_no AS DOUBLE) AS line_no
 FROM (SELECT d.*, i.total_products, i.total_sales
       FROM orders_delay d LEFT JOIN items_agg i USING (order_id)) o
 LEFT JOIN (

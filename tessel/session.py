@@ -75,12 +75,15 @@ def shared_dir(spark: SparkSession, name: str = "scratch") -> str:
     return os.path.join(root, "tessel", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df):
+def materialize(df, name: str = "table"):
     """Cut the lineage of a table that several later steps read.
 
-    A reliable checkpoint into the shared checkpoint folder: later reads do
-    not re-run the plan, and a lost executor does not force recomputation
-    from the sources.
+    The table is written as parquet to a fresh folder under the shared
+    checkpoint root and read back: later reads do not re-run its plan, a lost
+    executor does not force recomputation from the sources, and the planner
+    sees the table's real size (so a small result can be broadcast safely).
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)

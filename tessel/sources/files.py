@@ -37,8 +37,9 @@ def read_csv(spark: SparkSession, path, schema, header: bool = True, sep: str =
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
+    # RFC 4180 quoting: a quote inside a quoted field is doubled ("")
     reader = (spark.read.schema(schema).option("header", header).option("sep", sep)
-              .option("mode", "PERMISSIVE"))
+              .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE"))
     if null_value is not None:
         reader = reader.option("nullValue", null_value)
     if timestamp_format:

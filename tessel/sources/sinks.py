@@ -23,7 +23,7 @@ def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwr
     only for small results.
     """
     out = df.coalesce(1) if single_file else df
-    w = out.write.mode(mode).option("header", header)
+    w = out.write.mode(mode).option("header", header).option("quote", '"').option("escape", '"')
     if null_value is not None:
         w = w.option("nullValue", null_value)
     w.csv(path)

@@ -65,7 +65,7 @@ def read_zipped_csv(spark: SparkSession, path: str, schema, header: bool = True,
     lines = archive_lines(spark, path, member_glob)
     if header:
         lines = lines.where(F.col("line_no") > 0)
-    opts = {"sep": sep, "mode": "PERMISSIVE"}
+    opts = {"sep": sep, "mode": "PERMISSIVE", "quote": '"', "escape": '"'}
     if null_value is not None:
         opts["nullValue"] = null_value
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
