@@ -18,6 +18,7 @@ from tessel.operators import evaluate as ev
 from tessel.operators import ml
 from tessel.operators import ordering
 from tessel.operators import profile as pf
+from tessel.plans import classifier as cl
 from tessel.plans import flights as fl
 from tessel.session import shared_dir
 from tessel.sources import files, sinks, workbook, zipped
@@ -239,13 +240,12 @@ def q_auc(spark, d):
 
 
 def q_train_predict(spark, d):
-    data = ml.impute_mean(si.clinical(spark, d), ["l_discount", "l_tax"])
-    split = ml.stratified_split(data, "Outcome", 0.3, 42, key_cols=["l_orderkey", "l_linenumber"])
-    train = split.where(F.col("split") == "train").drop("split")
-    test = split.where(F.col("split") == "test").drop("split")
-    model = ml.train_logistic(train, NUMERIC_FEATURES, "Outcome")
-    pred = ml.predict(model, test, NUMERIC_FEATURES)
-    return ml.prediction_table(pred, "Outcome", 20, tie_keys=["l_orderkey", "l_linenumber"])
+    """W4 end to end: impute, stratified split, fit, predict the test part, top 20 table."""
+    data = cl.load_clinical(si.clinical(spark, d), ["l_discount", "l_tax"])
+    keys = ["l_orderkey", "l_linenumber"]
+    trained = cl.train_classifier(data, "Outcome", NUMERIC_FEATURES, 0.3, 42, key_cols=keys)
+    pred = cl.predict(trained, trained["test"])
+    return cl.evaluate_classifier(pred, "Outcome", tie_keys=keys)["predictions"]
 
 
 # --- sources and sinks: stage a stand-in table as files, read it back ---------------------
@@ -297,6 +297,20 @@ def q_zip_source(spark, d):
     return zipped.read_zipped_csv(spark, path, FLIGHTS_CSV_SCHEMA)
 
 
+def q_stream_enrichment(spark, d):
+    """Structured Streaming: flight CSV files enriched incrementally (stream-static joins,
+    several micro-batches, parquet sink with checkpoint), read back as a table."""
+    from tessel.streaming import flights as sf
+
+    lay = sf.stage_layout(shared_dir(spark, "flights-stream"))
+    sinks.write_csv(si.flights(spark, d), lay["input"])
+    stream = sf.read_flight_files(spark, lay["input"], FLIGHTS_CSV_SCHEMA, max_files_per_trigger=2)
+    q = sf.run_enrichment(stream, fl.load_airports(si.airports(spark, d)), lay["output"],
+                          lay["checkpoint"])
+    q.awaitTermination()
+    return sf.enriched_output(spark, lay["output"])
+
+
 QUERIES = {
     "count_top_k": q_count_top_k,
     "enrich_flights": q_enrich_flights,
@@ -346,4 +360,5 @@ QUERIES = {
     "json_source": q_json_source,
     "xlsx_source": q_xlsx_source,
     "zip_source": q_zip_source,
+    "stream_enrichment": q_stream_enrichment,
 }

@@ -496,6 +496,8 @@ SELECT round(sum(fp * (tps - tp / 2.0)) / (sum(tp) * sum(fp)), 12) AS auc FROM c
 
     "csv_roundtrip": _with(FLIGHTS, "SELECT * FROM enriched"),
 
+    "stream_enrichment": _with(FLIGHTS, "SELECT * FROM enriched"),
+
     "headerless_csv": _with(AIRPORTS_WIDE, r"""
 SELECT AirportID, Name, City, Country, CASE WHEN IATA = '\N' THEN NULL ELSE IATA END AS IATA,
        Altitude FROM airports_wide"""),

@@ -148,3 +148,36 @@ def test_train_predict_pipeline_on_test_tables(spark):
     model = ml.train_logistic(split.where("split = 'train'"), feats, "Outcome")
     pred = ml.predict(model, split.where("split = 'test'"), feats)
     assert pred.count() == split.where("split = 'test'").count()
+
+
+def test_classifier_plan_end_to_end(spark):
+    from tessel.plans import classifier as cl
+
+    rng = np.random.default_rng(9)
+    n = 500
+    pdf = pd.DataFrame({"id": np.arange(n), "Glucose": rng.normal(120, 30, n).round(),
+                        "BMI": rng.normal(32, 6, n).round(1), "Age": rng.integers(21, 80, n)})
+    pdf.loc[::17, "Glucose"] = 0.0  # zero = not measured
+    pdf["Outcome"] = ((pdf.Glucose > 130) ^ (rng.random(n) < 0.15)).astype(int)
+    data = cl.load_clinical(spark.createDataFrame(pdf))
+    assert data.where("Glucose = 0").count() == 0
+    for exact in (False, True):
+        t = cl.train_classifier(data, "Outcome", ["Glucose", "BMI", "Age"], key_cols=["id"],
+                                exact_objective=exact)
+        res = cl.evaluate_classifier(cl.predict(t, t["test"]), "Outcome", tie_keys=["id"])
+        assert res["predictions"].count() == 20
+        assert 0.5 < res["auc"].first()[0] <= 1.0
+        assert res["confusion"].select(F.sum("count")).first()[0] == t["test"].count()
+        assert res["probability_histogram"].count() == 40
+    views = cl.explore(data)
+    assert {"describe", "correlation", "histogram_Glucose", "pair_bins"} <= set(views)
+    assert views["histogram_Glucose"].select(F.sum("count")).first()[0] == n
+
+
+def test_profile_table_job(spark):
+    from tessel.plans.profiling import profile_table
+
+    out = profile_table(si.airports_wide(spark, SF001))
+    assert out["shape"].first()[0] == 150
+    assert {r.column for r in out["describe"].collect()} == {"AirportID", "Altitude"}
+    assert out["column_histograms"].select(F.sum("count")).first()[0] == 300
