@@ -73,13 +73,18 @@ def top_k_per_group(df: DataFrame, group, order, k: int, salt_buckets: int = 16,
             .where(F.col(rank_name) <= k))
 
 
-def sample_n(df: DataFrame, n: int, seed: int = 42, key_cols=None) -> DataFrame:
+def sample_n(df: DataFrame, n: int, seed: int = 42, key_cols=None, hash: str = "xxhash64"
+             ) -> DataFrame:
     """ORD7: exactly n rows chosen uniformly at random (all rows if fewer).
 
     Rows are ranked by a seeded hash of ``key_cols`` (all columns by default),
     then a per-task heap keeps the n smallest: repeatable for a given seed
-    whatever the partitioning, and never a global sort.
+    whatever the partitioning, and never a global sort.  ``hash="md5"`` ranks by
+    the MD5 of ``"seed|key|..."`` text instead, which any SQL engine can reproduce.
     """
     cols = list(key_cols) if key_cols else df.columns
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
+    if hash == "md5":
+        h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
+    else:
+        h = F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
     return (df.withColumn("_h", h).orderBy("_h", *cols).limit(n).drop("_h"))

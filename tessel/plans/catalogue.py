@@ -144,7 +144,8 @@ def q_total_sum(spark, d):
 
 
 def q_sample_n(spark, d):
-    return ordering.sample_n(si.customers(spark, d), 10, seed=42, key_cols=["customer_id"])
+    return ordering.sample_n(si.customers(spark, d), 10, seed=42, key_cols=["customer_id"],
+                             hash="md5")
 
 
 # --- profiling ----------------------------------------------------------------------

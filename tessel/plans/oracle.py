@@ -428,6 +428,10 @@ FROM sales WHERE "Order Date" IS NOT NULL GROUP BY 1"""),
     "total_sum": _with(SALES, """
 SELECT round(coalesce(sum("Total Cost"), 0), 2) AS total FROM sales"""),
 
+    "sample_n": _with(SHOP, """
+SELECT customer_id, customer_zip_code_prefix, customer_city FROM customers_s
+ORDER BY md5('42|' || CAST(customer_id AS VARCHAR)), customer_id LIMIT 10"""),
+
     "describe": _describe_sql(),
 
     "table_info": _table_info_sql(),

@@ -140,3 +140,14 @@ def test_one_per_key_and_union(spark):
     assert u.count() == 3
     assert rows(dedup.one_per_key(u, "k")) == [("X", 1.0), ("Y", 5.0)]
     assert rows(dedup.distinct_values(u, "k")) == [("X",), ("Y",)]
+
+
+def test_sample_n_md5_is_engine_independent(spark):
+    import duckdb
+
+    df = spark.range(0, 300).withColumnRenamed("id", "k")
+    got = [r.k for r in ordering.sample_n(df, 7, seed=3, key_cols=["k"], hash="md5").collect()]
+    want = [r[0] for r in duckdb.sql("SELECT range AS k FROM range(300) "
+                                     "ORDER BY md5('3|' || CAST(range AS VARCHAR)), k "
+                                     "LIMIT 7").fetchall()]
+    assert got == want
