@@ -100,36 +100,36 @@ def size_profile(df: DataFrame) -> DataFrame:
 def corr_matrix(df: DataFrame, cols=None) -> DataFrame:
     """AGG18: Pearson correlation of every pair of numeric columns, ``(col_a, col_b, corr)``.
 
-    Pairwise-complete (a row counts for a pair when both values are present),
-    one aggregation pass computing, per pair, the sample covariance and both
-    standard deviations over the rows where the pair is complete; the diagonal
-    is 1 and the matrix is mirrored.  A constant column gives NULL (NaN in
-    pandas) where ``corr`` would divide by zero.
+    Pairwise-complete (a row counts for a pair when both values are present).
+    A first pass finds, per pair, whether both sides vary over the pair's rows
+    (min != max); the second pass computes ``corr`` for those pairs only, so a
+    constant column yields NULL (NaN in pandas) instead of a division by zero
+    under ANSI mode.  Both passes are single code-generated aggregations; the
+    matrix is mirrored and the diagonal is 1 (NULL for a constant column).
     """
     cols = list(cols) if cols else numeric_columns(df)
-    aggs, names = [], []
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            names.append((a, b))
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            # pairwise-complete moments; NULL (not an error) when either side is constant
-            sx = F.stddev_samp(F.when(y.isNotNull(), x))
-            sy = F.stddev_samp(F.when(x.isNotNull(), y))
-            aggs.append(F.try_divide(F.covar_samp(x, y), sx * sy).alias(f"{a}\0{b}"))
-    if not aggs:
-        return df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols],
-                                               "col_a string, col_b string, corr double")
-    aggs += [F.stddev_samp(F.col(c).cast("double")).alias(f"{c}\0sd") for c in cols]
-    wide = df.agg(*aggs)
+    x = {c: F.col(c).cast("double") for c in cols}
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    checks = []
+    for a, b in pairs:
+        xa = F.when(x[b].isNotNull(), x[a])
+        xb = F.when(x[a].isNotNull(), x[b])
+        checks.append(((F.min(xa) < F.max(xa)) & (F.min(xb) < F.max(xb))).alias(f"{a}\0{b}"))
+    checks += [(F.min(x[c]) < F.max(x[c])).alias(f"{c}\0{c}") for c in cols]
+    varies = df.agg(*checks).first().asDict() if cols else {}
+    aggs = [F.corr(x[a], x[b]).alias(f"{a}\0{b}") for a, b in pairs if varies[f"{a}\0{b}"]]
+    if aggs:
+        wide = df.agg(*aggs)
+    else:
+        wide = df.limit(1).select(F.lit(1).alias("_one"))
     rows = []
-    for a, b in names:
-        v = F.col(f"`{a}\0{b}`")
+    for a, b in pairs:
+        v = F.col(f"`{a}\0{b}`") if varies[f"{a}\0{b}"] else F.lit(None).cast("double")
         rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), v.alias("corr")))
         rows.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), v.alias("corr")))
     for c in cols:
-        # 1 on the diagonal, NULL for a constant column (its correlation is undefined)
-        rows.append(F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"),
-                             F.when(F.col(f"`{c}\0sd`") > 0, F.lit(1.0)).alias("corr")))
+        one = F.lit(1.0) if varies[f"{c}\0{c}"] else F.lit(None).cast("double")
+        rows.append(F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), one.alias("corr")))
     return wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
 
 

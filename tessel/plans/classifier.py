@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessel.operators import evaluate as ev
 from tessel.operators import ml
 from tessel.operators import profile as pf
+from tessel.session import materialize
 
 # The clinical columns in which 0 means "not measured".
 ZERO_MEANS_MISSING = ["Glucose", "BloodPressure", "SkinThickness", "Insulin", "BMI"]
@@ -36,7 +37,9 @@ def train_classifier(data: DataFrame, label: str = "Outcome", features=None,
     """
     features = list(features) if features else [c for c in data.columns
                                                 if c != label and c not in (key_cols or [])]
-    split = ml.stratified_split(data, label, test_size, seed, key_cols=key_cols)
+    # written once: the fit, its row count and the scoring of the test part all read it
+    split = materialize(ml.stratified_split(data, label, test_size, seed, key_cols=key_cols),
+                        "split")
     train = split.where(F.col("split") == "train").drop("split")
     test = split.where(F.col("split") == "test").drop("split")
     out = {"train": train, "test": test, "features": features}

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.operators.joins import checked_broadcast
 from tessel.sources.tables import read_table
 
 
@@ -78,6 +79,8 @@ def flights(spark: SparkSession, d: str) -> DataFrame:
         "c_custkey", F.col("n_name").alias("Dest"))
     origin_of = supp.join(F.broadcast(names), supp.s_nationkey == names.n_nationkey).select(
         "s_suppkey", F.col("n_name").alias("Origin"), F.col("r_name").alias("OriginStateName"))
+    # customer and supplier are dimensions: broadcast them when their size is checked small
+    dest_of, origin_of = checked_broadcast(dest_of), checked_broadcast(origin_of)
     order_dest = orders.join(dest_of, orders.o_custkey == dest_of.c_custkey).select(
         "o_orderkey", "Dest")
     return (li.join(order_dest, li.l_orderkey == order_dest.o_orderkey)
