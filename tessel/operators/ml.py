@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import scalars
-from tessel.session import materialize
 
 DEFAULT_SPLIT_BITS = 16
 
@@ -63,9 +62,9 @@ def stratified_split(df: DataFrame, label: str, test_size: float = 0.3, seed: in
     cut = (per_bucket.where((F.col("_before") < k) & (k <= F.col("_before") + F.col("_c")))
            .select(F.col("_cls").alias("_cut_cls"), F.col("_bkt").alias("_cut_bkt"),
                    (k - F.col("_before")).alias("_need")))
-    # one row per class; materialised so both branches below read it without recomputing
-    cut = materialize(cut)
-    joined = data.join(F.broadcast(cut), data["_cls"].eqNullSafe(cut["_cut_cls"]), "left")
+    # one row per class: both branches below share this exchange (reused within the query),
+    # and adaptive execution broadcasts it from its measured size
+    joined = data.join(cut, data["_cls"].eqNullSafe(cut["_cut_cls"]), "left")
     in_cut = F.col("_bkt") == F.col("_cut_bkt")
     below = F.col("_bkt") < F.col("_cut_bkt")
     simple = joined.where(~in_cut | F.col("_cut_bkt").isNull()).withColumn(

@@ -57,22 +57,54 @@ def predict(trained: dict, df: DataFrame) -> DataFrame:
     return ml.predict_with_weights(trained["weights"], df, trained["features"])
 
 
+class LazyTables(dict):
+    """A mapping of table name -> DataFrame whose tables are built on first access.
+
+    Some evaluation tables write a small intermediate table when they are built;
+    a caller that reads only one of them does not pay for the others.
+    """
+
+    def __init__(self, builders: dict):
+        super().__init__()
+        self._builders = dict(builders)
+
+    def __getitem__(self, key):
+        if not dict.__contains__(self, key):
+            dict.__setitem__(self, key, self._builders[key]())
+        return dict.__getitem__(self, key)
+
+    def __contains__(self, key):
+        return key in self._builders
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self):
+        return len(self._builders)
+
+    def keys(self):
+        return self._builders.keys()
+
+
 def evaluate_classifier(pred: DataFrame, label: str = "Outcome",
-                        target_names: dict | None = None, top: int = 20, tie_keys=()) -> dict:
+                        target_names: dict | None = None, top: int = 20,
+                        tie_keys=()) -> LazyTables:
     """ML6-ML10 + AGG20/AGG21 on a prediction table: confusion matrix, report, ROC
-    curve, AUC, per-class probability histograms and densities, top predictions."""
+    curve, AUC, per-class probability histograms and densities, top predictions.
+
+    Tables are built when first read from the returned mapping."""
     scored = pred.select(F.col(label).alias("label"), F.col("predicted").alias("prediction"),
                          F.col("probability_1").alias("score"))
-    return {
-        "confusion": ev.confusion(scored),
-        "report": ev.class_report(scored, target_names=target_names),
-        "roc": ev.roc_points(scored),
-        "auc": ev.auc(scored),
-        "probability_histogram": pf.histogram(scored, "score", 20, by="label",
-                                              common_range=False),
-        "probability_density": pf.kde(scored, "score", by="label"),
-        "predictions": ml.prediction_table(pred, label, top, tie_keys=tie_keys),
-    }
+    return LazyTables({
+        "confusion": lambda: ev.confusion(scored),
+        "report": lambda: ev.class_report(scored, target_names=target_names),
+        "roc": lambda: ev.roc_points(scored),
+        "auc": lambda: ev.auc(scored),
+        "probability_histogram": lambda: pf.histogram(scored, "score", 20, by="label",
+                                                      common_range=False),
+        "probability_density": lambda: pf.kde(scored, "score", by="label"),
+        "predictions": lambda: ml.prediction_table(pred, label, top, tie_keys=tie_keys),
+    })
 
 
 def explore(data: DataFrame, label: str = "Outcome", hist_cols=("Glucose", "BMI"),
