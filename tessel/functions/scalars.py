@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +40,18 @@ def hex_colour(c) -> Column:
     return F.concat(F.lit("#"), F.substring(F.md5(col_of(c).cast("string")), 1, 6))
 
 
+def custom_colour(c, fn) -> Column:
+    """UDF1: a caller's own Python function ``key -> colour text``, applied in Arrow
+    batches (a pandas UDF), for colour schemes no built-in expression expresses.
+    Prefer :func:`hex_colour`, which stays in the JVM."""
+
+    @F.pandas_udf("string")
+    def apply(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: None if k is None else fn(k))
+
+    return apply(col_of(c))
+
+
 def join_text(a, b, sep: str = " → ") -> Column:
     """SC12: ``a + sep + b``; NULL if either side is NULL."""
     return F.concat(col_of(a), F.lit(sep), col_of(b))

@@ -67,10 +67,16 @@ def total(df: DataFrame, col: str, name: str = "total") -> DataFrame:
     return df.agg(F.coalesce(F.sum(col), F.lit(0)).alias(name))
 
 
-def count_days_mean(df: DataFrame, day_col: str) -> DataFrame:
-    """AGG9-AGG11: rows, distinct days and rows per day (0 when there are no days), one pass."""
+def count_days_mean(df: DataFrame, day_col: str, approx: bool = False) -> DataFrame:
+    """AGG9-AGG11: rows, distinct days and rows per day (0 when there are no days), one pass.
+
+    ``approx`` counts distinct days with a HyperLogLog++ sketch (bounded memory per
+    task, about 1% error) instead of an exact distinct count.  NULL days are not
+    counted (S7).
+    """
     n = F.count(F.lit(1))
-    d = F.count_distinct(F.col(day_col))
+    d = (F.approx_count_distinct(F.col(day_col), 0.01) if approx
+         else F.count_distinct(F.col(day_col)))
     return df.agg(n.alias("total_flights"), d.alias("num_days"),
                   F.when(d > 0, n / d).otherwise(F.lit(0.0)).alias("mean_per_day"))
 

@@ -27,13 +27,15 @@ def schema_of(names, types) -> T.StructType:
 
 def read_csv(spark: SparkSession, path, schema, header: bool = True, sep: str = ",",
              null_value: str | None = None, extra_null_tokens=(),
-             timestamp_format: str | None = None) -> DataFrame:
+             timestamp_format: str | None = None, nan_as_null: bool = True) -> DataFrame:
     """SRC1 / SRC4 / SRC5 / SRC6 / SRC11: CSV with an explicit schema.
 
     ``path`` may be a folder, a glob (parentheses are literal) or a list.
     ``null_value``: the one token Spark's reader maps to NULL (``\\N`` for the
     airport file).  ``extra_null_tokens``: further text tokens meaning missing
     (S16), applied to string columns as an expression after the read.
+    ``nan_as_null``: a ``NaN`` read into a floating column becomes NULL (S1), so
+    filters and aggregates treat it as missing, as the dataframe code did.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
@@ -45,6 +47,12 @@ def read_csv(spark: SparkSession, path, schema, header: bool = True, sep: str =
     if timestamp_format:
         reader = reader.option("timestampFormat", timestamp_format)
     df = reader.csv(path)
+    if nan_as_null:
+        floats = [f.name for f in schema.fields
+                  if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+        if floats:
+            df = df.withColumns({c: F.when(F.isnan(c), F.lit(None)).otherwise(F.col(c))
+                                 for c in floats})
     if extra_null_tokens:
         tokens = list(extra_null_tokens)
         df = df.withColumns({f.name: F.when(F.col(f.name).isin(tokens), F.lit(None))

@@ -109,3 +109,9 @@ def test_no_python_udf_in_expressions(spark):
                     F.lit(1).alias("one"))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
+
+
+def test_custom_colour_runs_in_arrow_batches(spark):
+    df = spark.createDataFrame([("AA",), (None,)], "a string")
+    out = df.select(scalars.custom_colour("a", lambda k: "#" + k.lower() * 3)).collect()
+    assert [r[0] for r in out] == ["#aaaaaa", None]

@@ -151,3 +151,10 @@ def test_sample_n_md5_is_engine_independent(spark):
                                      "ORDER BY md5('3|' || CAST(range AS VARCHAR)), k "
                                      "LIMIT 7").fetchall()]
     assert got == want
+
+
+def test_approx_distinct_days(spark):
+    df = spark.range(0, 5000).withColumn("day", (F.col("id") % 365).cast("string"))
+    exact = ag.count_days_mean(df, "day").first()
+    approx = ag.count_days_mean(df, "day", approx=True).first()
+    assert exact.num_days == 365 and abs(approx.num_days - 365) <= 15

@@ -122,3 +122,13 @@ def test_keep_and_shared_dir(spark, scratch):
     d1, d2 = shared_dir(spark, "x"), shared_dir(spark, "x")
     assert d1 != d2
 
+
+
+def test_nan_text_is_missing_after_load(spark, scratch):
+    path = os.path.join(scratch, "nan.csv")
+    with open(path, "w") as fh:
+        fh.write("x,y\n1.5,a\nNaN,b\n")
+    got = rows(files.read_csv(spark, path, "x double, y string"))
+    assert got == [(1.5, "a"), (None, "b")]
+    kept = files.read_csv(spark, path, "x double, y string", nan_as_null=False).collect()
+    assert kept[1].x != kept[1].x  # NaN kept when asked
