@@ -59,11 +59,14 @@ def daily_counts_stream(enriched_stream: DataFrame, lateness: str = "2 days") ->
     Rows ``(FlightDate, vuelos)``; in append mode a day is emitted once the
     watermark passes its end, and state for older days is dropped.
     """
-    ts = F.col("FlightDate").cast("timestamp")
+    # event time = the UTC-midnight instant of the date, so day windows are calendar days
+    # whatever the session time zone
+    ts = F.timestamp_seconds(F.unix_date(F.col("FlightDate")).cast("bigint") * 86400)
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
     return (enriched_stream.withColumn("_t", ts).withWatermark("_t", lateness)
             .groupBy(F.window("_t", "1 day").alias("w"))
             .agg(F.count(F.lit(1)).alias("vuelos"))
-            .select(F.to_date(F.col("w.start")).alias("FlightDate"), "vuelos"))
+            .select(day.alias("FlightDate"), "vuelos"))
 
 
 def enriched_output(spark: SparkSession, out_path: str) -> DataFrame:
