@@ -65,8 +65,20 @@ def not_sentinel(df: DataFrame, col: str, sentinel: str = "\\N") -> DataFrame:
 
 
 def where_all(df: DataFrame, **equalities) -> DataFrame:
-    """FLT3 / FLT4: conjunction of equalities; a parameter given as ``None`` means "all"."""
-    preds = [F.col(k) == F.lit(v) for k, v in equalities.items() if v is not None]
+    """FLT3 / FLT4: conjunction of equalities; a parameter given as ``None`` means "all".
+
+    A number compared with a text column is compared as text (S11): a postal
+    code is a code, and casting the column to a number would fail on codes
+    that are not numeric.
+    """
+    types = dict(df.dtypes)
+
+    def lit_for(k, v):
+        if types.get(k) == "string" and not isinstance(v, str):
+            return F.lit(str(v))
+        return F.lit(v)
+
+    preds = [F.col(k) == lit_for(k, v) for k, v in equalities.items() if v is not None]
     return df.where(reduce(lambda a, b: a & b, preds)) if preds else df
 
 

@@ -24,15 +24,21 @@ from tessel.functions import scalars
 DEFAULT_SPLIT_BITS = 16
 
 
-def impute_mean(df: DataFrame, cols, zero_is_missing: bool = True) -> DataFrame:
+def impute_mean(df: DataFrame, cols, zero_is_missing: bool = True,
+                fit_on: DataFrame | None = None) -> DataFrame:
     """ML1 (SC9 + AGG13 + SC10): replace missing values (and zeros) by the column mean.
 
-    The mean is taken over the non-missing values of all rows (as the
-    original does, before any split).
+    By default the mean is taken over the non-missing values of all rows of
+    ``df`` (as the original does, before any split, S13); pass ``fit_on`` (e.g.
+    the training part) to take the means from those rows only.
     """
-    cleaned = df.withColumns({c: scalars.zero_to_null(c) if zero_is_missing else F.col(c)
+    def clean(d):
+        return d.withColumns({c: scalars.zero_to_null(c) if zero_is_missing else F.col(c)
                               for c in cols})
-    means = {c: cleaned.select(F.avg(c)).scalar() for c in cols}
+
+    cleaned = clean(df)
+    source = cleaned if fit_on is None else clean(fit_on)
+    means = {c: source.select(F.avg(c)).scalar() for c in cols}
     return cleaned.withColumns({c: F.coalesce(F.col(c), means[c]) for c in cols})
 
 

@@ -181,3 +181,12 @@ def test_profile_table_job(spark):
     assert out["shape"].first()[0] == 150
     assert {r.column for r in out["describe"].collect()} == {"AirportID", "Altitude"}
     assert out["column_histograms"].select(F.sum("count")).first()[0] == 300
+
+
+def test_impute_mean_can_fit_on_training_rows(spark):
+    df = spark.createDataFrame([(1, 0.0), (2, 2.0), (3, 4.0), (4, 10.0)], "id int, a double")
+    train = df.where("id <= 3")
+    out = {r.id: r.a for r in ml.impute_mean(df, ["a"], fit_on=train).collect()}
+    assert out[1] == 3.0 and out[4] == 10.0  # mean of the training part's non-zero values
+    leak = {r.id: r.a for r in ml.impute_mean(df, ["a"]).collect()}
+    assert leak[1] == pytest.approx(16.0 / 3)

@@ -158,3 +158,8 @@ def test_approx_distinct_days(spark):
     exact = ag.count_days_mean(df, "day").first()
     approx = ag.count_days_mean(df, "day", approx=True).first()
     assert exact.num_days == 365 and abs(approx.num_days - 365) <= 15
+
+
+def test_number_against_text_key_compares_as_text(spark):
+    df = spark.createDataFrame([("24220", 1), ("0A1", 2), ("024220", 3)], "zip string, v int")
+    assert [r.v for r in clean.where_all(df, zip=24220).collect()] == [1]
