@@ -51,6 +51,10 @@ def q_flight_metrics(spark, d):
     return fl.flight_metrics(_enriched(spark, d))
 
 
+def q_flight_metrics_text(spark, d):
+    return fl.flight_metrics_text(_enriched(spark, d))
+
+
 def q_filter_options(spark, d):
     return fl.filter_options(_enriched(spark, d))
 
@@ -316,6 +320,7 @@ QUERIES = {
     "count_top_k": q_count_top_k,
     "enrich_flights": q_enrich_flights,
     "flight_metrics": q_flight_metrics,
+    "flight_metrics_text": q_flight_metrics_text,
     "filter_options": q_filter_options,
     "route_options": q_route_options,
     "route_counts": q_route_counts,

@@ -355,6 +355,12 @@ SELECT CAST(count(*) AS BIGINT) AS total_flights,
             THEN count(*) / count(DISTINCT FlightDate) ELSE 0.0 END AS mean_per_day
 FROM enriched"""),
 
+    "flight_metrics_text": _with(FLIGHTS, """
+SELECT format('{:,}', CAST(count(*) AS BIGINT)) AS total_flights,
+       printf('%.2f', count(*) / count(DISTINCT FlightDate)) AS mean_per_day,
+       format('{:,}', CAST(count(DISTINCT FlightDate) AS BIGINT)) AS num_days
+FROM enriched"""),
+
     "filter_options": _with(FLIGHTS, """
 SELECT DISTINCT 'year' AS kind, CAST(Year AS VARCHAR) AS value FROM enriched
 UNION ALL

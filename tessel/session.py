@@ -25,18 +25,36 @@ DEFAULT_CONF = {
 }
 
 
+# Sizing for very large inputs (tens of TB on hundreds of executors): big file splits
+# and shuffle partitions sized by AQE from a large initial count, so each task handles a
+# few hundred MB and shuffles spread over the whole cluster; skewed partitions (a key
+# with a third of the rows) are split by AQE's skew join.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+}
+
+
 def get_session(master: str | None = None, app_name: str = "tessel",
                 shuffle_partitions: int | None = None,
-                conf: dict | None = None) -> SparkSession:
+                conf: dict | None = None, cluster: bool = False) -> SparkSession:
     """Return the active session or build one with the defaults above.
 
-    On a cluster ``master`` stays ``None`` so the launcher decides; tests pass
-    ``local[*]`` and a small ``shuffle_partitions``.
+    On a cluster ``master`` stays ``None`` so the launcher decides and
+    ``cluster=True`` adds :data:`CLUSTER_CONF`; tests pass ``local[*]`` and a
+    small ``shuffle_partitions``.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     settings = dict(DEFAULT_CONF)
+    if cluster:
+        settings.update(CLUSTER_CONF)
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf or {})
