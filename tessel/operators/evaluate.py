@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.operators.quantiles import count_below
+from tessel.operators.quantiles import MAX_BUCKETS, TARGET_PER_BUCKET, count_below
 from tessel.session import materialize
 
 DEFAULT_BUCKETS = 256
@@ -93,7 +93,7 @@ def _score_bounds(per_score: DataFrame, buckets: int):
 
 
 def cumulative_by_score(df: DataFrame, label: str = "label", score: str = "score",
-                        pos_label=1, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                        pos_label=1, buckets: int | None = None) -> DataFrame:
     """Per distinct score (descending): own positives ``tp`` / negatives ``fp`` and the
     running totals ``tps`` / ``fps`` down to that score, plus ``next_tp`` / ``next_fp``
     of the next lower score (NULL for the lowest).
@@ -103,6 +103,9 @@ def cumulative_by_score(df: DataFrame, label: str = "label", score: str = "score
                  .agg(F.sum(F.when(F.col(label) == F.lit(pos_label), 1).otherwise(0)).alias("tp"),
                       F.sum(F.when(F.col(label) == F.lit(pos_label), 0).otherwise(1)).alias("fp")))
     per_score = materialize(per_score)
+    if buckets is None:
+        # about TARGET_PER_BUCKET distinct scores per bucket (the table is already written)
+        buckets = min(MAX_BUCKETS, max(DEFAULT_BUCKETS, -(-per_score.count() // TARGET_PER_BUCKET)))
     bounds = _score_bounds(per_score, buckets)
     # bucket 0 holds the highest scores: b = (number of bounds) - (bounds strictly below)
     ps = count_below(per_score.withColumn("_bounds", bounds), "score", "_bounds", buckets - 1,
@@ -130,7 +133,7 @@ def cumulative_by_score(df: DataFrame, label: str = "label", score: str = "score
 
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "score", pos_label=1,
-               drop_intermediate: bool = True, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+               drop_intermediate: bool = True, buckets: int | None = None) -> DataFrame:
     """ML8: ROC curve rows ``(threshold, fpr, tpr)``, thresholds descending from +inf.
 
     One point per distinct score (tied scores share a point), preceded by
@@ -157,7 +160,7 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score", pos_la
 
 
 def auc(df: DataFrame, label: str = "label", score: str = "score", pos_label=1,
-        buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+        buckets: int | None = None) -> DataFrame:
     """ML9: area under the ROC curve by the trapezoid rule, one row ``(auc)``.
 
     Equal to the Mann-Whitney statistic: each distinct score adds its negatives

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from tessel.session import materialize
 
 DEFAULT_BUCKETS = 256
+MAX_BUCKETS = 16_384
+TARGET_PER_BUCKET = 250_000
 # Distinct values per column up to which one sorted window partition per column is used.
 DIRECT_MAX_DISTINCT = 1_000_000
 
@@ -97,14 +99,15 @@ def _wanted(ranks: DataFrame) -> DataFrame:
     return ranks.select("column", F.explode(F.array("lo", "hi")).alias("r")).distinct()
 
 
-def exact_quantiles(df: DataFrame, cols, probs, buckets: int = DEFAULT_BUCKETS,
+def exact_quantiles(df: DataFrame, cols, probs, buckets: int | None = None,
                     max_direct: int = DIRECT_MAX_DISTINCT) -> DataFrame:
     """Rows ``(column, p, quantile)`` for every column and probability.
 
     Columns without values give no rows.  When no column has more than
     ``max_direct`` distinct values, each column's distinct values are ranked
     directly in one window partition (a bounded sort per task); beyond that
-    bound the bucketed selection keeps every task small.
+    bound the bucketed selection keeps every task small; ``buckets=None`` sizes
+    the buckets from the largest distinct count.
     """
     probs = [float(p) for p in probs]
     # distinct values with multiplicities: read by several steps below, so written once
@@ -123,6 +126,9 @@ def exact_quantiles(df: DataFrame, cols, probs, buckets: int = DEFAULT_BUCKETS,
                   .select("column", "r", "value"))
         return _interpolate(ranks, picked)
 
+    if buckets is None:
+        # about TARGET_PER_BUCKET distinct values per bucket, within [DEFAULT, MAX] buckets
+        buckets = min(MAX_BUCKETS, max(DEFAULT_BUCKETS, -(-largest // TARGET_PER_BUCKET)))
     fractions = [i / buckets for i in range(1, buckets)]
     bounds = materialize(vc.groupBy("column").agg(
         F.percentile_approx("value", fractions, 10 * buckets).alias("bounds")))
