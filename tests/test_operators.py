@@ -163,3 +163,16 @@ def test_approx_distinct_days(spark):
 def test_number_against_text_key_compares_as_text(spark):
     df = spark.createDataFrame([("24220", 1), ("0A1", 2), ("024220", 3)], "zip string, v int")
     assert [r.v for r in clean.where_all(df, zip=24220).collect()] == [1]
+
+
+def test_large_sample_uses_exact_threshold_path(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SAMPLE_HEAP_MAX", 10)
+    df = spark.range(0, 3000).withColumn("x", F.col("id") % 3)
+    heap = {r.id for r in ordering.sample_n(df, 10, seed=5).collect()}  # heap path
+    for n, bits in [(700, 4), (700, 16), (11, 1), (2999, 8), (5000, 8)]:
+        got = [r.id for r in ordering.sample_n(df.repartition(4), n, seed=5, bits=bits).collect()]
+        want = sorted(r.id for r in ordering.sample_n(df, n, seed=5, bits=bits).collect())
+        assert len(got) == min(n, 3000) and len(set(got)) == len(got)
+        assert sorted(got) == want
+    big = {r.id for r in ordering.sample_n(df, 700, seed=5, bits=6).collect()}
+    assert heap <= big  # the same ranking: a larger sample contains the smaller one
