@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tessel.functions.columns import col_of
 
 MICROS_PER_DAY = 86_400_000_000.0
+# The delay classes, from late to early.
+DELAY_CLASSES = ("long_delay", "short_delay", "on_time")
 
 
 def parse_date(c, fmt: str | None = None) -> Column:
@@ -69,8 +71,9 @@ def delay_class(delta_days, long_after: float = 3.0, on_time_upto: float = 0.0,
     does; pass ``missing_label`` to give it its own class instead.
     """
     d = col_of(delta_days)
-    expr = F.when(d > F.lit(long_after), F.lit("long_delay")).when(
-        d <= F.lit(on_time_upto), F.lit("on_time"))
+    long_delay, short_delay, on_time = DELAY_CLASSES
+    expr = F.when(d > F.lit(long_after), F.lit(long_delay)).when(
+        d <= F.lit(on_time_upto), F.lit(on_time))
     if missing_label is not None:
         expr = expr.when(d.isNull(), F.lit(missing_label))
-    return expr.otherwise(F.lit("short_delay"))
+    return expr.otherwise(F.lit(short_delay))

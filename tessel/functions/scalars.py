@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from tessel.functions.columns import col_of
 
 
-def match_label(a, b, same: str = "Correcto", different: str = "Incorrecto") -> Column:
+# The labels of a correct / an incorrect prediction.
+MATCH_LABELS = ("Correcto", "Incorrecto")
+
+
+def match_label(a, b, same: str = MATCH_LABELS[0], different: str = MATCH_LABELS[1]) -> Column:
     """SC8: two-way label by equality of two columns."""
     return F.when(col_of(a) == col_of(b), F.lit(same)).otherwise(F.lit(different))
 

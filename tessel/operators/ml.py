@@ -170,16 +170,20 @@ def predict_with_weights(weights, df: DataFrame, features, prob_col: str = "prob
     return df.withColumn(prob_col, p).withColumn(pred_col, (F.col(prob_col) > 0.5).cast("int"))
 
 
+# Column names of the prediction table.
+REAL_COLUMN, PROBABILITY_COLUMN, ERROR_COLUMN = "real_Outcome", "probability (y=1)", "Error"
+
+
 def prediction_table(pred: DataFrame, label: str, k: int | None = 20,
                      prob_col: str = "probability_1", pred_col: str = "predicted",
                      tie_keys=()) -> DataFrame:
     """ML10 (SC8 + SC14 + ORD6): features with real class, prediction, probability
     rounded to 4 places, and ``Correcto`` / ``Incorrecto``; the k most probable first.
     """
-    out = (pred.withColumnRenamed(label, "real_Outcome")
-           .withColumn("probability (y=1)", scalars.round_half_even(prob_col, 4))
-           .withColumn("Error", scalars.match_label("real_Outcome", pred_col))
+    out = (pred.withColumnRenamed(label, REAL_COLUMN)
+           .withColumn(PROBABILITY_COLUMN, scalars.round_half_even(prob_col, 4))
+           .withColumn(ERROR_COLUMN, scalars.match_label(REAL_COLUMN, pred_col))
            .drop(prob_col))
     if k is None:
         return out
-    return out.orderBy(F.col("probability (y=1)").desc(), *[F.col(c) for c in tie_keys]).limit(k)
+    return out.orderBy(F.col(PROBABILITY_COLUMN).desc(), *[F.col(c) for c in tie_keys]).limit(k)

@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 from tessel.functions import dates, scalars
 from tessel.operators import aggregate, clean, dedup, joins, ordering
 
+# Column names and labels of the dashboard tables.
 FLIGHT_RENAMES = {"Origin": "IATA_ORIGIN", "Dest": "IATA_DEST",
                   "Reporting_Airline": "AIRLINE"}
+DAILY_COUNT = "vuelos"
+ROUTE_LABEL = "Ruta"
+ROUTE_SEPARATOR = " → "
 ROUTE_KEYS = ["IATA_ORIGIN", "OriginLat", "OriginLon", "IATA_DEST", "DestLat", "DestLon",
               "AIRLINE"]
 MONTH = ["Year", "Month"]
@@ -169,7 +173,8 @@ def top_routes(routes: DataFrame, k: int = 10, by_month: bool = True) -> DataFra
         top = ordering.top_k_per_group(pairs, m, ["-total", "IATA_ORIGIN", "IATA_DEST"], k)
     else:
         top = ordering.top_k(pairs, "total", k, ["IATA_ORIGIN", "IATA_DEST"])
-    return top.withColumn("Ruta", scalars.join_text("IATA_ORIGIN", "IATA_DEST"))
+    return top.withColumn(ROUTE_LABEL,
+                          scalars.join_text("IATA_ORIGIN", "IATA_DEST", ROUTE_SEPARATOR))
 
 
 def carrier_share(routes: DataFrame, by_month: bool = True) -> DataFrame:
@@ -188,7 +193,7 @@ def carrier_share(routes: DataFrame, by_month: bool = True) -> DataFrame:
 
 def daily_series(df: DataFrame) -> DataFrame:
     """AGG3 + ORD1: flights per day, in date order."""
-    return aggregate.count_rows_by(df, "FlightDate", "vuelos").orderBy("FlightDate")
+    return aggregate.count_rows_by(df, "FlightDate", DAILY_COUNT).orderBy("FlightDate")
 
 
 def count_top_k(df: DataFrame, keys=("FlightDate", "OriginStateName"), k: int = 30,

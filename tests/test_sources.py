@@ -26,7 +26,7 @@ def scratch():
 
 
 def test_read_airports_null_token_quotes_and_bad_numbers(spark, scratch):
-    path = os.path.join(scratch, "airports.dat")
+    path = os.path.join(scratch, "airport_list.csv")
     with open(path, "w") as fh:
         fh.write(AIRPORTS_DAT)
     df = files.read_airports(spark, path).orderBy("AirportID")
