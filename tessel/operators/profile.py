@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tessel.functions.columns import numeric_columns
 from tessel.operators import quantiles as qt
 from tessel.operators.ordering import top_k_per_group
+from tessel.session import materialize
 
 DTYPE_WIDTH = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8,
                "boolean": 1, "date": 4, "timestamp": 8, "timestamp_ntz": 8}
@@ -28,30 +29,48 @@ def describe(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
     """AGG14: per numeric column ``count, mean, std, min, p25, p50, p75, max``.
 
     ``std`` is the sample standard deviation; quartiles interpolate linearly.
-    ``exact=False`` takes quartiles from a sketch instead of the distributed
-    exact selection.
+    Exact mode reads the table once: its distinct values with multiplicities
+    are written once, and every statistic comes from that table (the standard
+    deviation by a second, numerically stable pass over it), quartiles by the
+    distributed exact selection.  ``exact=False`` computes all statistics and
+    sketch quartiles in one aggregation pass.
     """
     cols = list(cols) if cols else numeric_columns(df)
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}\0count"), F.avg(x).alias(f"{c}\0mean"),
-                 F.stddev_samp(x).alias(f"{c}\0std"), F.min(x).alias(f"{c}\0min"),
-                 F.max(x).alias(f"{c}\0max")]
-    wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column"),
-                     F.col(f"`{c}\0count`").alias("count"), F.col(f"`{c}\0mean`").alias("mean"),
-                     F.col(f"`{c}\0std`").alias("std"), F.col(f"`{c}\0min`").alias("min"),
-                     F.col(f"`{c}\0max`").alias("max")) for c in cols]
-    stats = wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
-    qfun = qt.exact_quantiles if exact else qt.approx_quantiles
-    q = qfun(df, cols, [0.25, 0.5, 0.75])
+    order = ["column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"]
+    if not exact:
+        aggs = []
+        for c in cols:
+            x = F.col(c).cast("double")
+            aggs += [F.count(x).alias(f"{c}\0count"), F.avg(x).alias(f"{c}\0mean"),
+                     F.stddev_samp(x).alias(f"{c}\0std"), F.min(x).alias(f"{c}\0min"),
+                     F.max(x).alias(f"{c}\0max"),
+                     F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias(f"{c}\0q")]
+        wide = df.agg(*aggs)
+        rows = [F.struct(F.lit(c).alias("column"), *[
+            F.col(f"`{c}\0{k}`").alias(k) for k in ("count", "mean", "std", "min", "max")],
+            *[F.col(f"`{c}\0q`")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
+            for c in cols]
+        return wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*").select(*order)
+    vc = materialize(qt.value_counts(qt.long_values(df, cols)))
+    first = vc.groupBy("column").agg(
+        F.sum("cnt").alias("count"),
+        (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    second = (vc.join(first.select("column", "mean"), "column")
+              .groupBy("column").agg(F.sum(F.col("cnt") * (F.col("value") - F.col("mean"))
+                                           * (F.col("value") - F.col("mean"))).alias("ss")))
+    stats = first.join(second, "column").withColumn(
+        "std", F.when(F.col("count") > 1, F.sqrt(F.col("ss") / (F.col("count") - 1))))
+    q = qt.quantiles_from_counts(vc, [0.25, 0.5, 0.75])
     qw = q.groupBy("column").agg(
         F.max(F.when(F.col("p") == 0.25, F.col("quantile"))).alias("p25"),
         F.max(F.when(F.col("p") == 0.5, F.col("quantile"))).alias("p50"),
         F.max(F.when(F.col("p") == 0.75, F.col("quantile"))).alias("p75"))
-    return (stats.join(qw, "column", "left")
-            .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
+    # a column without any value still gets a row (count 0), as in pandas; the list of
+    # names comes from the schema, not from the data
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    out = names.join(stats.join(qw, "column", "left"), "column", "left")
+    return out.withColumn("count", F.coalesce("count", F.lit(0))).select(*order)
 
 
 def table_info(df: DataFrame) -> DataFrame:

@@ -109,9 +109,16 @@ def exact_quantiles(df: DataFrame, cols, probs, buckets: int | None = None,
     bound the bucketed selection keeps every task small; ``buckets=None`` sizes
     the buckets from the largest distinct count.
     """
-    probs = [float(p) for p in probs]
     # distinct values with multiplicities: read by several steps below, so written once
     vc = materialize(value_counts(long_values(df, cols)))
+    return quantiles_from_counts(vc, probs, buckets, max_direct)
+
+
+def quantiles_from_counts(vc: DataFrame, probs, buckets: int | None = None,
+                          max_direct: int = DIRECT_MAX_DISTINCT) -> DataFrame:
+    """:func:`exact_quantiles` from a table of ``(column, value, cnt)`` distinct values
+    (as :func:`value_counts` gives, ideally materialized)."""
+    probs = [float(p) for p in probs]
     sizes = vc.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"),
                                      F.sum("cnt").alias("n"))
     largest = sizes.agg(F.max("distinct")).first()[0] or 0

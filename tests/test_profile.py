@@ -146,3 +146,14 @@ def test_profiles_on_test_tables_agree_with_pandas(spark):
     assert prof["Altitude"].n_unique == pdf.Altitude.nunique()
     assert pf.table_shape(df).first()[0] == len(pdf)
     assert df.select(F.count("*")).first()[0] == len(pdf)
+
+
+def test_describe_modes_and_empty_column(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None), (4.0, None)], "a double, b double")
+    exact = {r.column: r for r in pf.describe(df).collect()}
+    assert exact["a"]["count"] == 3 and exact["a"].mean == pytest.approx(7 / 3)
+    assert exact["a"].std == pytest.approx(np.std([1, 2, 4], ddof=1)) and exact["a"].p50 == 2.0
+    assert exact["b"]["count"] == 0 and exact["b"].mean is None
+    approx = {r.column: r for r in pf.describe(df, exact=False).collect()}
+    assert approx["a"]["count"] == 3 and approx["a"].std == pytest.approx(exact["a"].std)
+    assert approx["a"].p50 == 2.0
