@@ -269,53 +269,50 @@ def pair_bins(df: DataFrame, cols, bins: int = 10) -> DataFrame:
 
 
 def column_profile(df: DataFrame, top: int = 2) -> DataFrame:
-    """AGG24: per column: unique and missing counts; min / max of numbers; for text
-    the ``top`` most frequent values with counts and the count of all others.
-
-    Rows ``(column, dtype, n_unique, n_missing, min, max, top1, top1_count,
-    top2, top2_count, others_count)``.  Distinct counts come from per-column
-    value counts (one hash aggregate over the unpivoted values), not from
-    many ``count(DISTINCT)`` expansions.
+    """AGG24: per column: unique and missing counts; min / max of numbers; for other
+    columns the ``top`` most frequent values (as text) with counts and the count of
+    all others.
+
+    Rows ``(column, dtype, n_unique, n_missing, min, max, top1, top1_count, ...,
+    others_count)``.  One scan of the table: every column is packed as a
+    (text, number) pair, unpivoted, and its values counted once (partial
+    aggregation, written once); all figures come from that table, and the top
+    values per column from a salted two-stage ranking.
     """
-    num = numeric_columns(df)
-    txt = [c for c, t in df.dtypes if t == "string"]
-    base = table_info(df).select("column", "dtype", "non_null", "rows")
-    parts = []
-    if num:
-        vc = qt.value_counts(qt.long_values(df, num))
-        parts.append(vc.groupBy("column").agg(
-            F.count(F.lit(1)).alias("n_unique"), F.min("value").alias("min"),
-            F.max("value").alias("max")))
-    if txt:
-        lv = (df.select(*[F.col(c) for c in txt]).unpivot([], txt, "column", "value")
-              .where(F.col("value").isNotNull()))
-        vc = lv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-        uniq = vc.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
-        best = top_k_per_group(vc, "column", ["-cnt", "value"], top, rank_name="r")
-        tops = best.groupBy("column").agg(
-            *[F.max(F.when(F.col("r") == i, F.col("value"))).alias(f"top{i}") for i in
-              range(1, top + 1)],
-            *[F.max(F.when(F.col("r") == i, F.col("cnt"))).alias(f"top{i}_count") for i in
-              range(1, top + 1)])
-        parts.append(uniq.join(tops, "column", "left")
-                     .withColumn("min", F.lit(None).cast("double"))
-                     .withColumn("max", F.lit(None).cast("double")))
-    stats = parts[0]
-    for p in parts[1:]:
-        stats = stats.unionByName(p, allowMissingColumns=True)
-    out = base.join(stats, "column", "left")
-    topcols = []
-    for i in range(1, top + 1):
-        if f"top{i}" not in out.columns:
-            out = out.withColumn(f"top{i}", F.lit(None).cast("string")) \
-                     .withColumn(f"top{i}_count", F.lit(None).cast("bigint"))
-        topcols += [f"top{i}", f"top{i}_count"]
+    num = set(numeric_columns(df))
+    packed = []
+    for c, _ in df.dtypes:
+        col = F.col(f"`{c}`")
+        if c in num:
+            pair = F.struct(F.lit(None).cast("string").alias("s"), col.cast("double").alias("d"))
+        else:
+            pair = F.struct(col.cast("string").alias("s"), F.lit(None).cast("double").alias("d"))
+        packed.append(pair.alias(c))
+    long = (df.select(*packed).unpivot([], df.columns, "column", "v")
+            .select("column", F.col("v.s").alias("s"), F.col("v.d").alias("d")))
+    vc = materialize(long.groupBy("column", "s", "d").agg(F.count(F.lit(1)).alias("cnt")))
+    missing = F.col("s").isNull() & F.col("d").isNull()
+    stats = vc.groupBy("column").agg(
+        F.sum("cnt").alias("rows"),
+        F.coalesce(F.sum(F.when(missing, F.col("cnt"))), F.lit(0)).alias("n_missing"),
+        F.count(F.when(~missing, F.lit(1))).alias("n_unique"),
+        F.min("d").alias("min"), F.max("d").alias("max"))
+    best = top_k_per_group(vc.where(F.col("s").isNotNull()).select("column", "s", "cnt"),
+                           "column", ["-cnt", "s"], top, rank_name="r")
+    tops = best.groupBy("column").agg(
+        *[F.max(F.when(F.col("r") == i, F.col("s"))).alias(f"top{i}") for i in range(1, top + 1)],
+        *[F.max(F.when(F.col("r") == i, F.col("cnt"))).alias(f"top{i}_count")
+          for i in range(1, top + 1)])
+    types = df.sparkSession.createDataFrame(
+        [(c, t) for c, t in df.dtypes], "column string, dtype string")
+    out = types.join(stats, "column", "left").join(tops, "column", "left")
     taken = sum((F.coalesce(F.col(f"top{i}_count"), F.lit(0)) for i in range(1, top + 1)),
                 F.lit(0))
-    others = F.when(F.col("dtype") == "string", F.col("non_null") - taken)
-    return out.select("column", "dtype", F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
-                      (F.col("rows") - F.col("non_null")).alias("n_missing"), "min", "max",
-                      *topcols, others.alias("others_count"))
+    non_null = F.col("rows") - F.col("n_missing")
+    others = F.when(~F.col("column").isin(list(num)), non_null - taken)
+    topcols = [x for i in range(1, top + 1) for x in (f"top{i}", f"top{i}_count")]
+    return out.select("column", "dtype", "n_unique", "n_missing", "min", "max", *topcols,
+                      others.alias("others_count"))
 
 
 def column_histograms(df: DataFrame, cols=None, bins: int = 10) -> DataFrame:
