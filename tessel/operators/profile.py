@@ -207,21 +207,38 @@ def kde(df: DataFrame, col: str, by=None, gridsize: int = 200, cut: float = 3.0)
     Bandwidth by Scott's rule, ``h = s n^(-1/5)`` with ``s`` the sample
     standard deviation; the grid spans ``[min - cut h, max + cut h]``.
     Rows ``(by..., i, x, density, n)``; ``density * n * bin_width`` gives the
-    curve on a count histogram.  Work: the distinct values (with weights) are
-    expanded to the grid points and summed with a partial aggregate, so a
-    task emits at most groups x gridsize rows and no cross join is formed.
+    curve on a count histogram.  Work: one scan of the input builds the
+    distinct values with weights (written once); the group sizes, means,
+    standard deviations (two-pass) and ranges come from that table, and the
+    weighted values are expanded to the grid points and summed with a partial
+    aggregate, so a task emits at most groups x gridsize rows and no cross join
+    is formed.
     """
     by = [by] if isinstance(by, str) else list(by or [])
     x = F.col(col).cast("double")
     data = df.select(*by, x.alias("_v")).where(F.col("_v").isNotNull())
-    params = (data.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("_v").alias("s"),
-                                    F.min("_v").alias("mn"), F.max("_v").alias("mx"))
+    # the only scan of the input: distinct values with weights, written once
+    weights = materialize(data.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("w")), "kde")
+    moments = weights.groupBy(*by).agg(
+        F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("_v")) / F.sum("w")).alias("mean"),
+        F.min("_v").alias("mn"), F.max("_v").alias("mx"))
+    dev2 = F.col("w") * (F.col("_v") - F.col("mean")) * (F.col("_v") - F.col("mean"))
+    if by:
+        spread = (weights.join(moments.select(*by, "mean"), by).groupBy(*by)
+                  .agg(F.sum(dev2).alias("ss")))
+        params = moments.join(spread, by)
+    else:
+        mean = moments.select("mean").scalar()
+        params = moments.withColumn("ss", weights.withColumn("mean", mean)
+                                    .select(F.sum(dev2)).scalar())
+    params = (params
+              .withColumn("s", F.when(F.col("n") > 1,
+                                      F.sqrt(F.col("ss") / (F.col("n") - 1))))
               .withColumn("h", F.col("s") * F.pow(F.col("n"), F.lit(-0.2)))
               .where(F.col("h") > 0)
               .withColumn("lo", F.col("mn") - F.lit(cut) * F.col("h"))
               .withColumn("step", (F.col("mx") - F.col("mn") + F.lit(2 * cut) * F.col("h"))
                           / F.lit(gridsize - 1)))
-    weights = data.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("w"))
     if by:
         expanded = weights.join(params.select(*by, "h", "lo", "step"), by)
     else:
