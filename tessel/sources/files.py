@@ -68,11 +68,16 @@ def read_airports(spark: SparkSession, path, null_value: str | None = "\\N") ->
                     null_value=null_value)
 
 
-def read_json_records(spark: SparkSession, path, schema) -> DataFrame:
-    """SRC8: JSON file(s) holding an array of records (one file may span many lines)."""
+def read_json_records(spark: SparkSession, path, schema, lines: bool = False) -> DataFrame:
+    """SRC8: JSON file(s) holding an array of records (one file may span many lines).
+
+    An array file is read by one task per file; ``lines=True`` reads JSON Lines
+    (one record per line), which Spark splits across tasks - the layout to
+    prefer for large inputs.
+    """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: str | None = None,

@@ -132,3 +132,11 @@ def test_nan_text_is_missing_after_load(spark, scratch):
     assert got == [(1.5, "a"), (None, "b")]
     kept = files.read_csv(spark, path, "x double, y string", nan_as_null=False).collect()
     assert kept[1].x != kept[1].x  # NaN kept when asked
+
+
+def test_json_lines_mode(spark, scratch):
+    path = os.path.join(scratch, "rows.jsonl")
+    with open(path, "w") as fh:
+        fh.write('{"id": 1, "s": "a"}\n{"id": 2, "s": null}\n')
+    assert rows(files.read_json_records(spark, path, "id long, s string", lines=True)) == [
+        (1, "a"), (2, None)]
