@@ -4,7 +4,6 @@ import os
 import tempfile
 import zipfile
 
-import pandas as pd
 import pytest
 
 from conftest import rows
