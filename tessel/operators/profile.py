@@ -56,6 +56,8 @@ def describe(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
         F.sum("cnt").alias("count"),
         (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"),
         F.min("value").alias("min"), F.max("value").alias("max"))
+    # one row per column of the schema: a proven bound, so broadcast
+    first = F.broadcast(first)
     second = (vc.join(first.select("column", "mean"), "column")
               .groupBy("column").agg(F.sum(F.col("cnt") * (F.col("value") - F.col("mean"))
                                            * (F.col("value") - F.col("mean"))).alias("ss")))

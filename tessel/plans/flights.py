@@ -91,24 +91,25 @@ def select_month(enriched: DataFrame, year: int | None = None, month: int | None
 def filter_options(enriched: DataFrame) -> DataFrame:
     """AGG23 + SET4: the years and months offered by the dashboard's selectors.
 
-    Rows ``(kind, value)`` with ``kind`` = ``year`` or ``month``; sorted by kind, then number.
+    Rows ``(kind, value)`` with ``kind`` = ``year`` or ``month``; sorted by kind, then
+    number.  One pass: each row yields both (kind, number) pairs.
     """
-    years = enriched.select(F.lit("year").alias("kind"), F.col("Year").alias("n")).distinct()
-    months = enriched.select(F.lit("month").alias("kind"), F.col("Month").alias("n")).distinct()
-    return (dedup.union_all(years, months).orderBy("kind", "n")
+    pairs = F.explode(F.array(
+        F.struct(F.lit("year").alias("kind"), F.col("Year").alias("n")),
+        F.struct(F.lit("month").alias("kind"), F.col("Month").alias("n")))).alias("p")
+    return (enriched.select(pairs).select("p.*").distinct().orderBy("kind", "n")
             .select("kind", F.col("n").cast("string").alias("value")))
 
 
 def route_options(enriched: DataFrame) -> DataFrame:
     """AGG23 + SET4: per month, the origins and destinations offered after choosing it.
 
-    Rows ``(Year, Month, kind, value)`` with ``kind`` = ``origin`` or ``dest``.
+    Rows ``(Year, Month, kind, value)`` with ``kind`` = ``origin`` or ``dest``; one pass.
     """
-    origins = enriched.select(*MONTH, F.lit("origin").alias("kind"),
-                              F.col("IATA_ORIGIN").alias("value"))
-    dests = enriched.select(*MONTH, F.lit("dest").alias("kind"),
-                            F.col("IATA_DEST").alias("value"))
-    return dedup.union_all(origins, dests).distinct()
+    pairs = F.explode(F.array(
+        F.struct(F.lit("origin").alias("kind"), F.col("IATA_ORIGIN").alias("value")),
+        F.struct(F.lit("dest").alias("kind"), F.col("IATA_DEST").alias("value")))).alias("p")
+    return enriched.select(*MONTH, pairs).select(*MONTH, "p.*").distinct()
 
 
 def route_counts(df: DataFrame, by_month: bool = True) -> DataFrame:
@@ -142,11 +143,13 @@ def route_layer(routes: DataFrame, by_month: bool = True) -> DataFrame:
 def airport_markers(routes: DataFrame, by_month: bool = True) -> DataFrame:
     """LAY2 (SET1 + SET2 + SC17): each airport of the routes once, with its point."""
     m = MONTH if by_month else []
-    origins = routes.select(*m, F.col("IATA_ORIGIN").alias("IATA"),
-                            F.col("OriginLat").alias("lat"), F.col("OriginLon").alias("lon"))
-    dests = routes.select(*m, F.col("IATA_DEST").alias("IATA"),
-                          F.col("DestLat").alias("lat"), F.col("DestLon").alias("lon"))
-    markers = dedup.one_per_key(dedup.union_all(origins, dests), m + ["IATA"])
+    # both ends of every route from one pass over the route table (SET1 as an unpivot)
+    ends = F.explode(F.array(
+        F.struct(F.col("IATA_ORIGIN").alias("IATA"), F.col("OriginLat").alias("lat"),
+                 F.col("OriginLon").alias("lon")),
+        F.struct(F.col("IATA_DEST").alias("IATA"), F.col("DestLat").alias("lat"),
+                 F.col("DestLon").alias("lon")))).alias("e")
+    markers = dedup.one_per_key(routes.select(*m, ends).select(*m, "e.*"), m + ["IATA"])
     return markers.withColumn("location", scalars.point("lat", "lon"))
 
 
