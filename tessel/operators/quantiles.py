@@ -90,7 +90,7 @@ def _interpolate(ranks: DataFrame, picked: DataFrame) -> DataFrame:
     # at most 2 x len(probs) picked values per column: gather them in a map rank -> value
     found = picked.groupBy("column").agg(
         F.map_from_entries(F.collect_list(F.struct("r", "value"))).alias("at"))
-    out = ranks.join(found, "column")
+    out = ranks.join(F.broadcast(found), "column")  # one row per column
     v_lo, v_hi = F.element_at("at", F.col("lo")), F.element_at("at", F.col("hi"))
     return out.select("column", "p", (v_lo + (v_hi - v_lo) * F.col("frac")).alias("quantile"))
 
