@@ -71,7 +71,8 @@ def describe(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
     # a column without any value still gets a row (count 0), as in pandas; the list of
     # names comes from the schema, not from the data
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    out = names.join(stats.join(F.broadcast(qw), "column", "left"), "column", "left")
+    per_column = stats.join(F.broadcast(qw), "column", "left")
+    out = names.join(F.broadcast(per_column), "column", "left")
     return out.withColumn("count", F.coalesce("count", F.lit(0))).select(*order)
 
 
