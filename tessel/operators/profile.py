@@ -168,21 +168,24 @@ def _widen(lo, hi):
     return (F.when(same, lo - 0.5).otherwise(lo), F.when(same, hi + 0.5).otherwise(hi))
 
 
-def histogram(df: DataFrame, col: str, bins: int = 25, by=None, common_range: bool = True
-              ) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int = 25, by=None, common_range: bool = True,
+              bounded_groups: bool = False) -> DataFrame:
     """AGG19 / AGG20: equal-width histogram of ``col``, per ``by`` group if given.
 
     ``common_range``: one range over all rows (the hue histogram); otherwise
     each group gets its own range (the per-class probability histograms).
     Rows ``(by..., bin, bin_lo, bin_hi, count)`` for every bin, empty bins
-    included; NULL values are not counted.
+    included; NULL values are not counted.  ``bounded_groups``: the caller
+    knows the number of groups is small (e.g. one per schema column), so the
+    per-group ranges are broadcast; otherwise adaptive execution decides from
+    their measured size.
     """
     by = [by] if isinstance(by, str) else list(by or [])
     x = F.col(col).cast("double")
     data = df.select(*by, x.alias("_v")).where(F.col("_v").isNotNull())
     if by and not common_range:
         rng = data.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        data = data.join(rng, by)
+        data = data.join(F.broadcast(rng) if bounded_groups else rng, by)
         groups = rng
     else:
         lo = data.select(F.min("_v")).scalar()
@@ -342,4 +345,4 @@ def column_histograms(df: DataFrame, cols=None, bins: int = 10) -> DataFrame:
     """
     cols = list(cols) if cols else numeric_columns(df)
     lv = qt.long_values(df, cols, "column", "v")
-    return histogram(lv, "v", bins, by="column", common_range=False)
+    return histogram(lv, "v", bins, by="column", common_range=False, bounded_groups=True)
