@@ -199,6 +199,7 @@ def histogram(df: DataFrame, col: str, bins: int = 25, by=None, common_range: bo
     grid = (groups.select(*by, lo_c.alias("_a"), hi_c.alias("_b"))
             .withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))))
     width = (F.col("_b") - F.col("_a")) / F.lit(bins)
+    counts = F.broadcast(counts) if bounded_groups or not by else counts  # groups x bins rows
     out = (grid.join(counts, by + ["bin"], "left")
            .select(*by, "bin",
                    (F.col("_a") + F.col("bin") * width).alias("bin_lo"),
