@@ -3,11 +3,12 @@
 customers ⟕ first geolocation per zip prefix ⟕ state names;
 orders (parsed timestamps, period labels, delivery delay and its class)
 ⟕ per-order item totals; the two joined on the customer id into one wide
-table.  One lazy plan with a single write at the end: scans run in
-parallel, the per-order aggregate is hash-partitioned by ``order_id`` and
-reused by the join, the state list is broadcast after a size check, and
-derived sides are left to adaptive execution, which broadcasts them at run
-time only when their measured size is small.
+table.  Scans run in parallel; the per-order aggregate is hash-partitioned
+by ``order_id`` and that partitioning serves the join with the orders
+(adaptive execution broadcasts the totals instead when they are measured
+small); the first geolocation per zip prefix is written once and, like the
+state list, broadcast after a row-count check, so the customer table is not
+shuffled for it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 
 from tessel.functions import dates
 from tessel.operators import aggregate, dedup, joins
+from tessel.session import materialize
 
 TIMESTAMP_COLUMNS = ["order_purchase_timestamp", "order_approved_at",
                      "order_delivered_carrier_date", "order_delivered_customer_date",
@@ -68,8 +70,11 @@ def customers_with_state(customers: DataFrame, geo_unique: DataFrame, states: Da
     ``null_safe`` lets a missing state match a missing abbreviation, as the
     pandas merge does (S4).
     """
+    # one row per zip prefix: written once, then broadcast if its row count is within the
+    # bound (a cheap check on the written table), so the customer table is not shuffled
+    geo_unique = materialize(geo_unique, "geo-first")
     cg = joins.left_join(customers, geo_unique, left_on="customer_zip_code_prefix",
-                         right_on="geolocation_zip_code_prefix", broadcast_max_rows=None)
+                         right_on="geolocation_zip_code_prefix")
     return joins.left_join(cg, states, left_on="geolocation_state", right_on="abbreviation",
                            null_safe=null_safe)
 
