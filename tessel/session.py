@@ -105,3 +105,33 @@ def materialize(df, name: str = "table"):
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (once per application).
+
+    Operators that run Python in tasks (workbook and zip readers, JSON-array
+    and workbook writers, the custom-colour pandas UDF) need the package on
+    the workers.  When it is not installed there, an archive of it is handed
+    to ``SparkContext.addPyFile``, which distributes it to every executor.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="tessel-pyfiles-")
+    archive = os.path.join(out_dir, "tessel.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(pkg_dir):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
