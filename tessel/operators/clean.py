@@ -95,3 +95,17 @@ def mask_by(df: DataFrame, col, value) -> DataFrame:
 def is_empty(df: DataFrame) -> bool:
     """FLT8: emptiness test; runs a limit-1 job at the edge of a pipeline."""
     return df.isEmpty()
+
+
+def pivot_wide(df: DataFrame, index, column: str, value: str, values=None) -> DataFrame:
+    """PRJ9: long ``(index..., column, value)`` rows to one row per index with one column
+    per ``column`` value - the transposed display form of a summary (correlation
+    matrix, confusion matrix, statistics per column).
+
+    Give ``values`` (the pivot values, e.g. the schema's column names) to skip the
+    extra job that finds them.
+    """
+    index = [index] if isinstance(index, str) else list(index)
+    grouped = df.groupBy(*index)
+    pivoted = grouped.pivot(column, list(values)) if values is not None else grouped.pivot(column)
+    return pivoted.agg(F.first(value))

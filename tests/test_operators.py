@@ -176,3 +176,16 @@ def test_large_sample_uses_exact_threshold_path(spark, monkeypatch):
         assert sorted(got) == want
     big = {r.id for r in ordering.sample_n(df, 700, seed=5, bits=6).collect()}
     assert heap <= big  # the same ranking: a larger sample contains the smaller one
+
+
+def test_pivot_wide_correlation_and_confusion(spark):
+    from tessel.operators import evaluate as ev
+    from tessel.operators import profile as pf
+
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.5), (3.0, 5.0)], "a double, b double")
+    wide = clean.pivot_wide(pf.corr_matrix(df), "col_a", "col_b", "corr", ["a", "b"])
+    got = {r.col_a: (r.a, r.b) for r in wide.collect()}
+    assert got["a"][0] == 1.0 and got["a"][1] == got["b"][0]
+    cm = ev.confusion(spark.createDataFrame([(0, 0), (1, 0), (1, 1)], "label int, prediction int"))
+    wcm = rows(clean.pivot_wide(cm, "label", "prediction", "count", [0, 1]), ["label"])
+    assert wcm == [(0, 1, 0), (1, 1, 1)]
