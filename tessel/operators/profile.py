@@ -29,51 +29,37 @@ def describe(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
     """AGG14: per numeric column ``count, mean, std, min, p25, p50, p75, max``.
 
     ``std`` is the sample standard deviation; quartiles interpolate linearly.
-    Exact mode reads the table once: its distinct values with multiplicities
-    are written once, and every statistic comes from that table (the standard
-    deviation by a second, numerically stable pass over it), quartiles by the
-    distributed exact selection.  ``exact=False`` computes all statistics and
-    sketch quartiles in one aggregation pass.
+    Count, mean, std, min and max come from one code-generated aggregation over
+    the table (no shuffle).  Exact quartiles come from the distributed exact
+    selection over the columns' distinct values; ``exact=False`` adds sketch
+    quartiles to that same single aggregation instead.
     """
     cols = list(cols) if cols else numeric_columns(df)
     order = ["column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"]
+    aggs = []
+    for c in cols:
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"{c}\0count"), F.avg(x).alias(f"{c}\0mean"),
+                 F.stddev_samp(x).alias(f"{c}\0std"), F.min(x).alias(f"{c}\0min"),
+                 F.max(x).alias(f"{c}\0max")]
+        if not exact:
+            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias(f"{c}\0q"))
+    wide = df.agg(*aggs)
+    quart = ("p25", "p50", "p75")
+    rows = [F.struct(F.lit(c).alias("column"), *[
+        F.col(f"`{c}\0{k}`").alias(k) for k in ("count", "mean", "std", "min", "max")],
+        *([F.col(f"`{c}\0q`")[i].alias(n) for i, n in enumerate(quart)] if not exact else []))
+        for c in cols]
+    stats = wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
     if not exact:
-        aggs = []
-        for c in cols:
-            x = F.col(c).cast("double")
-            aggs += [F.count(x).alias(f"{c}\0count"), F.avg(x).alias(f"{c}\0mean"),
-                     F.stddev_samp(x).alias(f"{c}\0std"), F.min(x).alias(f"{c}\0min"),
-                     F.max(x).alias(f"{c}\0max"),
-                     F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias(f"{c}\0q")]
-        wide = df.agg(*aggs)
-        rows = [F.struct(F.lit(c).alias("column"), *[
-            F.col(f"`{c}\0{k}`").alias(k) for k in ("count", "mean", "std", "min", "max")],
-            *[F.col(f"`{c}\0q`")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
-            for c in cols]
-        return wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*").select(*order)
-    vc = materialize(qt.value_counts(qt.long_values(df, cols)))
-    first = vc.groupBy("column").agg(
-        F.sum("cnt").alias("count"),
-        (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    # one row per column of the schema: a proven bound, so broadcast
-    first = F.broadcast(first)
-    second = (vc.join(first.select("column", "mean"), "column")
-              .groupBy("column").agg(F.sum(F.col("cnt") * (F.col("value") - F.col("mean"))
-                                           * (F.col("value") - F.col("mean"))).alias("ss")))
-    stats = first.join(second, "column").withColumn(
-        "std", F.when(F.col("count") > 1, F.sqrt(F.col("ss") / (F.col("count") - 1))))
-    q = qt.quantiles_from_counts(vc, [0.25, 0.5, 0.75])
+        return stats.select(*order)
+    q = qt.exact_quantiles(df, cols, [0.25, 0.5, 0.75])
     qw = q.groupBy("column").agg(
         F.max(F.when(F.col("p") == 0.25, F.col("quantile"))).alias("p25"),
         F.max(F.when(F.col("p") == 0.5, F.col("quantile"))).alias("p50"),
         F.max(F.when(F.col("p") == 0.75, F.col("quantile"))).alias("p75"))
-    # a column without any value still gets a row (count 0), as in pandas; the list of
-    # names comes from the schema, not from the data
-    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    per_column = stats.join(F.broadcast(qw), "column", "left")
-    out = names.join(F.broadcast(per_column), "column", "left")
-    return out.withColumn("count", F.coalesce("count", F.lit(0))).select(*order)
+    # one row per column of the schema on both sides: broadcast
+    return stats.join(F.broadcast(qw), "column", "left").select(*order)
 
 
 def table_info(df: DataFrame) -> DataFrame:
@@ -214,38 +200,25 @@ def kde(df: DataFrame, col: str, by=None, gridsize: int = 200, cut: float = 3.0)
     Bandwidth by Scott's rule, ``h = s n^(-1/5)`` with ``s`` the sample
     standard deviation; the grid spans ``[min - cut h, max + cut h]``.
     Rows ``(by..., i, x, density, n)``; ``density * n * bin_width`` gives the
-    curve on a count histogram.  Work: one scan of the input builds the
-    distinct values with weights (written once); the group sizes, means,
-    standard deviations (two-pass) and ranges come from that table, and the
-    weighted values are expanded to the grid points and summed with a partial
-    aggregate, so a task emits at most groups x gridsize rows and no cross join
-    is formed.
+    curve on a count histogram.  Work: the group parameters are one aggregate
+    (written once, a row per group); the distinct values with weights are
+    expanded to the grid points and summed with a partial aggregate, so a task
+    emits at most groups x gridsize rows and no cross join is formed.
     """
     by = [by] if isinstance(by, str) else list(by or [])
     x = F.col(col).cast("double")
     data = df.select(*by, x.alias("_v")).where(F.col("_v").isNotNull())
-    # the only scan of the input: distinct values with weights, written once
-    weights = materialize(data.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("w")), "kde")
-    moments = weights.groupBy(*by).agg(
-        F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("_v")) / F.sum("w")).alias("mean"),
-        F.min("_v").alias("mn"), F.max("_v").alias("mx"))
-    dev2 = F.col("w") * (F.col("_v") - F.col("mean")) * (F.col("_v") - F.col("mean"))
-    if by:
-        spread = (weights.join(moments.select(*by, "mean"), by).groupBy(*by)
-                  .agg(F.sum(dev2).alias("ss")))
-        params = moments.join(spread, by)
-    else:
-        mean = moments.select("mean").scalar()
-        params = moments.withColumn("ss", weights.withColumn("mean", mean)
-                                    .select(F.sum(dev2)).scalar())
-    params = (params
-              .withColumn("s", F.when(F.col("n") > 1,
-                                      F.sqrt(F.col("ss") / (F.col("n") - 1))))
-              .withColumn("h", F.col("s") * F.pow(F.col("n"), F.lit(-0.2)))
-              .where(F.col("h") > 0)
-              .withColumn("lo", F.col("mn") - F.lit(cut) * F.col("h"))
-              .withColumn("step", (F.col("mx") - F.col("mn") + F.lit(2 * cut) * F.col("h"))
-                          / F.lit(gridsize - 1)))
+    # group parameters: one code-generated aggregate, written once (one row per group)
+    # because both the expansion and the normalisation read it
+    params = materialize(
+        data.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("_v").alias("s"),
+                              F.min("_v").alias("mn"), F.max("_v").alias("mx"))
+        .withColumn("h", F.col("s") * F.pow(F.col("n"), F.lit(-0.2)))
+        .where(F.col("h") > 0)
+        .withColumn("lo", F.col("mn") - F.lit(cut) * F.col("h"))
+        .withColumn("step", (F.col("mx") - F.col("mn") + F.lit(2 * cut) * F.col("h"))
+                    / F.lit(gridsize - 1)), "kde-params")
+    weights = data.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("w"))
     if by:
         expanded = weights.join(params.select(*by, "h", "lo", "step"), by)
     else:
