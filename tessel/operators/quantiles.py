@@ -13,7 +13,8 @@ column in one task.  Here the work is spread out:
    only their rows are ranked (a window per target bucket).
 
 Steps 2-4 are used only when some column has more distinct values than a
-bound; below it, one sorted window partition per column is cheaper.
+bound; below it, ``percentile`` over the value counts (a bounded map per
+column) is cheaper.
 
 Interpolation is the "linear" rule of pandas / NumPy / SQL
 ``quantile_cont``: position ``h = (n - 1) p``, value
@@ -104,10 +105,10 @@ def exact_quantiles(df: DataFrame, cols, probs, buckets: int | None = None,
     """Rows ``(column, p, quantile)`` for every column and probability.
 
     Columns without values give no rows.  When no column has more than
-    ``max_direct`` distinct values, each column's distinct values are ranked
-    directly in one window partition (a bounded sort per task); beyond that
-    bound the bucketed selection keeps every task small; ``buckets=None`` sizes
-    the buckets from the largest distinct count.
+    ``max_direct`` distinct values, Spark's exact ``percentile`` with the value
+    counts as frequencies is used (its per-column map is bounded by that
+    check); beyond that bound the bucketed selection keeps every task small;
+    ``buckets=None`` sizes the buckets from the largest distinct count.
     """
     # distinct values with multiplicities: read by several steps below, so written once
     vc = materialize(value_counts(long_values(df, cols)))
@@ -123,15 +124,13 @@ def quantiles_from_counts(vc: DataFrame, probs, buckets: int | None = None,
                                      F.sum("cnt").alias("n"))
     largest = sizes.agg(F.max("distinct")).first()[0] or 0
     if largest <= max_direct:
-        w = Window.partitionBy("column").orderBy("value")
-        ranked = (vc.withColumn("upto", F.sum("cnt").over(
-            w.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("from", F.col("upto") - F.col("cnt")))
-        ranks = _ranks(sizes.select("column", "n"), probs)
-        picked = (ranked.join(F.broadcast(_wanted(ranks)), "column")
-                  .where((F.col("r") >= F.col("from")) & (F.col("r") < F.col("upto")))
-                  .select("column", "r", "value"))
-        return _interpolate(ranks, picked)
+        # bounded per column: Spark's exact percentile over the value counts (its value
+        # map per column holds at most max_direct entries)
+        qs = vc.groupBy("column").agg(
+            F.percentile("value", [float(p) for p in probs], F.col("cnt")).alias("qs"))
+        ps = F.array(*[F.lit(p) for p in probs])
+        return qs.select("column", F.posexplode("qs").alias("i", "quantile")).select(
+            "column", F.element_at(ps, F.col("i") + 1).alias("p"), "quantile")
 
     if buckets is None:
         # about TARGET_PER_BUCKET distinct values per bucket, within [DEFAULT, MAX] buckets
