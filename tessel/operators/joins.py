@@ -14,9 +14,17 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a broadcast side may have.  A dimension of a few narrow columns at this
-# bound is some tens of MB, well under executor memory.
+# Rows a broadcast side may have at most, and the memory budget it must fit in.
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024
+# Estimated bytes per value by type, for the budget (text and nested values: a guess).
+_WIDTH = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8,
+          "boolean": 1, "date": 4, "timestamp": 8, "timestamp_ntz": 8}
+
+
+def row_bytes(df: DataFrame) -> int:
+    """Estimated in-memory bytes of one row of ``df`` (from its schema)."""
+    return 16 + sum(_WIDTH.get(t, 16 if t.startswith("decimal") else 48) for _, t in df.dtypes)
 
 
 def row_count_at_most(df: DataFrame, bound: int) -> bool:
@@ -24,9 +32,17 @@ def row_count_at_most(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when the row count is proven within ``max_rows``."""
-    if max_rows and row_count_at_most(df, max_rows):
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                      max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only when the row count is proven within the bound.
+
+    The bound is ``max_rows``, lowered so that rows of this width fit in
+    ``max_bytes``: a wide dimension gets a smaller row bound than a narrow one.
+    """
+    if not max_rows:
+        return df
+    bound = max(1, min(max_rows, max_bytes // row_bytes(df)))
+    if row_count_at_most(df, bound):
         return F.broadcast(df)
     return df
 

@@ -189,3 +189,12 @@ def test_pivot_wide_correlation_and_confusion(spark):
     cm = ev.confusion(spark.createDataFrame([(0, 0), (1, 0), (1, 1)], "label int, prediction int"))
     wcm = rows(clean.pivot_wide(cm, "label", "prediction", "count", [0, 1]), ["label"])
     assert wcm == [(0, 1, 0), (1, 1, 1)]
+
+
+def test_broadcast_bound_shrinks_with_row_width(spark):
+    narrow = spark.range(0, 100)
+    wide = spark.range(0, 100).select(*[F.col("id").cast("string").alias(f"c{i}") for i in range(50)])
+    assert joins.row_bytes(wide) > 20 * joins.row_bytes(narrow)
+    budget = joins.row_bytes(wide) * 50  # room for 50 wide rows only
+    assert joins.checked_broadcast(wide, 10_000, budget) is wide
+    assert joins.checked_broadcast(narrow, 10_000, budget) is not narrow
