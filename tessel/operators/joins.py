@@ -2,9 +2,10 @@
 
 Only left outer equi-joins occur in the workloads.  A dimension side is
 broadcast only after its row count is checked against a bound
-(``limit(bound + 1).count()``, a cheap job that stops early); beyond the
-bound the join is left to the planner (sort-merge, or a runtime switch by
-adaptive execution), so nothing unbounded is ever shipped to every task.
+(``limit(bound + 1).count()``, a cheap job that stops early); the bound is
+a row limit lowered to fit a memory budget at the schema's row width.
+Beyond it the join is left to the planner (sort-merge, or a runtime switch
+by adaptive execution), so nothing unbounded is ever shipped to every task.
 """
 
 from __future__ import annotations
