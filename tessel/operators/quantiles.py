@@ -104,17 +104,37 @@ def exact_quantiles(df: DataFrame, cols, probs, buckets: int | None = None,
                     max_direct: int = DIRECT_MAX_DISTINCT) -> DataFrame:
     """Rows ``(column, p, quantile)`` for every column and probability.
 
-    Columns without values give no rows.  When no column has more than
-    ``max_direct`` distinct values, Spark's exact ``percentile`` with the value
-    counts as frequencies is used (its per-column map is bounded by that
-    check); beyond that bound the bucketed selection keeps every task small;
-    ``buckets=None`` sizes the buckets from the largest distinct count.
+    Columns without values give no rows.  A HyperLogLog pass estimates each
+    column's distinct count: when none exceeds ``max_direct``, Spark's exact
+    ``percentile`` with the value counts as frequencies runs in the same job as
+    the counting (its per-column map is bounded by that check); beyond the
+    bound the counts are written once and the bucketed selection keeps every
+    task small; ``buckets=None`` sizes the buckets from the largest distinct
+    count.
     """
+    cols = list(cols)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, p double, quantile double")
+    # a sketch pass (HyperLogLog, one code-generated aggregate) picks the path
+    est = df.agg(*[F.approx_count_distinct(F.col(c).cast("double")).alias(f"_{i}")
+                   for i, c in enumerate(cols)]).first()
+    if max(est) <= max_direct:
+        return _percentile_of_counts(value_counts(long_values(df, cols)), probs)
     # distinct values with multiplicities: read by several steps below, so written once
     vc = materialize(value_counts(long_values(df, cols)))
     return quantiles_from_counts(vc, probs, buckets, max_direct)
 
 
+def _percentile_of_counts(vc: DataFrame, probs) -> DataFrame:
+    """Spark's exact ``percentile`` over value counts: for columns whose number of distinct
+    values is known to be bounded (the per-column value map holds them all)."""
+    qs = vc.groupBy("column").agg(
+        F.percentile("value", [float(p) for p in probs], F.col("cnt")).alias("qs"))
+    ps = F.array(*[F.lit(float(p)) for p in probs])
+    return qs.select("column", F.posexplode("qs").alias("i", "quantile")).select(
+        "column", F.element_at(ps, F.col("i") + 1).alias("p"), "quantile")
+
+
 def quantiles_from_counts(vc: DataFrame, probs, buckets: int | None = None,
                           max_direct: int = DIRECT_MAX_DISTINCT) -> DataFrame:
     """:func:`exact_quantiles` from a table of ``(column, value, cnt)`` distinct values
@@ -124,13 +144,8 @@ def quantiles_from_counts(vc: DataFrame, probs, buckets: int | None = None,
                                      F.sum("cnt").alias("n"))
     largest = sizes.agg(F.max("distinct")).first()[0] or 0
     if largest <= max_direct:
-        # bounded per column: Spark's exact percentile over the value counts (its value
-        # map per column holds at most max_direct entries)
-        qs = vc.groupBy("column").agg(
-            F.percentile("value", [float(p) for p in probs], F.col("cnt")).alias("qs"))
-        ps = F.array(*[F.lit(p) for p in probs])
-        return qs.select("column", F.posexplode("qs").alias("i", "quantile")).select(
-            "column", F.element_at(ps, F.col("i") + 1).alias("p"), "quantile")
+        # bounded per column: exact percentile over the counts (at most max_direct entries)
+        return _percentile_of_counts(vc, probs)
 
     if buckets is None:
         # about TARGET_PER_BUCKET distinct values per bucket, within [DEFAULT, MAX] buckets
