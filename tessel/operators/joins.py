@@ -73,6 +73,10 @@ def left_join(left: DataFrame, right: DataFrame, on=None, left_on=None, right_on
         return l.join(r, cond, "left").select("_l.*", *rest)
     lk = [left_on] if isinstance(left_on, str) else list(left_on)
     rk = [right_on] if isinstance(right_on, str) else list(right_on)
+    clash = sorted(set(left.columns) & set(right.columns))
+    if clash:
+        # both keys are kept, so every other name must be unique across the two sides
+        raise ValueError(f"columns on both sides of the join: {clash}; rename them first")
     l, r = left.alias("_l"), right.alias("_r")
     pairs = zip(lk, rk)
     cond = reduce(lambda a, b: a & b, [

@@ -198,3 +198,12 @@ def test_broadcast_bound_shrinks_with_row_width(spark):
     budget = joins.row_bytes(wide) * 50  # room for 50 wide rows only
     assert joins.checked_broadcast(wide, 10_000, budget) is wide
     assert joins.checked_broadcast(narrow, 10_000, budget) is not narrow
+
+
+def test_left_join_rejects_ambiguous_columns(spark):
+    import pytest
+
+    left = spark.createDataFrame([("a", 1)], "k string, v int")
+    right = spark.createDataFrame([("a", 2)], "k2 string, v int")
+    with pytest.raises(ValueError):
+        joins.left_join(left, right, left_on="k", right_on="k2")
