@@ -27,7 +27,8 @@ def schema_of(names, types) -> T.StructType:
 
 def read_csv(spark: SparkSession, path, schema, header: bool = True, sep: str = ",",
              null_value: str | None = None, extra_null_tokens=(),
-             timestamp_format: str | None = None, nan_as_null: bool = True) -> DataFrame:
+             timestamp_format: str | None = None, nan_as_null: bool = True,
+             by_name: bool = False) -> DataFrame:
     """SRC1 / SRC4 / SRC5 / SRC6 / SRC11: CSV with an explicit schema.
 
     ``path`` may be a folder, a glob (parentheses are literal) or a list.
@@ -36,9 +37,26 @@ def read_csv(spark: SparkSession, path, schema, header: bool = True, sep: str =
     (S16), applied to string columns as an expression after the read.
     ``nan_as_null``: a ``NaN`` read into a floating column becomes NULL (S1), so
     filters and aggregates treat it as missing, as the dataframe code did.
+    ``by_name``: the schema names a subset of the header's columns, in any order
+    (a wide file such as the monthly flight files); they are taken by name from
+    the header and cast leniently.  Otherwise the schema describes every column
+    in file order (Spark maps a given schema to columns by position).
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
+    if by_name and header:
+        text = (spark.read.option("header", True).option("sep", sep).option("quote", '"')
+                .option("escape", '"').option("mode", "PERMISSIVE"))
+        if null_value is not None:
+            text = text.option("nullValue", null_value)
+        raw = text.csv(path)
+        missing = [f.name for f in schema.fields if f.name not in raw.columns]
+        if missing:
+            raise ValueError(f"columns not in the file header: {missing}")
+        df = raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name)
+                          if not isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
+                          for f in schema.fields])
+        return _missing_values(df, schema, nan_as_null, extra_null_tokens)
     # RFC 4180 quoting: a quote inside a quoted field is doubled ("")
     reader = (spark.read.schema(schema).option("header", header).option("sep", sep)
               .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE"))
@@ -47,6 +65,11 @@ def read_csv(spark: SparkSession, path, schema, header: bool = True, sep: str =
     if timestamp_format:
         reader = reader.option("timestampFormat", timestamp_format)
     df = reader.csv(path)
+    return _missing_values(df, schema, nan_as_null, extra_null_tokens)
+
+
+def _missing_values(df: DataFrame, schema: T.StructType, nan_as_null: bool,
+                    extra_null_tokens) -> DataFrame:
     if nan_as_null:
         floats = [f.name for f in schema.fields
                   if isinstance(f.dataType, (T.DoubleType, T.FloatType))]

@@ -139,3 +139,13 @@ def test_json_lines_mode(spark, scratch):
         fh.write('{"id": 1, "s": "a"}\n{"id": 2, "s": null}\n')
     assert rows(files.read_json_records(spark, path, "id long, s string", lines=True)) == [
         (1, "a"), (2, None)]
+
+
+def test_read_csv_by_name_from_a_wide_header(spark, scratch):
+    path = os.path.join(scratch, "wide.csv")
+    with open(path, "w") as fh:
+        fh.write("a,Origin,b,FlightDate,Distance\n1,JFK,x,2024-01-01,12.5\n2,LAX,y,2024-01-02,bad\n")
+    df = files.read_csv(spark, path, "FlightDate string, Origin string, Distance double",
+                        by_name=True)
+    assert df.columns == ["FlightDate", "Origin", "Distance"]
+    assert rows(df) == [("2024-01-01", "JFK", 12.5), ("2024-01-02", "LAX", None)]
