@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, minhash, mixing, sharding
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -22,7 +23,28 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), path), path)
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all ``documents``."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of the sources of ``documents`` at 95 % of the largest entropy, at most four epochs
+    of any source, as many tokens as the table has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs)
+    return mixed.select("doc_id", "source", "mix.tokens", "mix.epoch", "mix.block", F.round("mix.position", 9).alias("position"), F.round("mix.weight", 9).alias("weight"))
+
+
+def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in 16 shards by 4096 virtual slots and a rebalanced slot map."""
+    return sharding.assign(table(spark, sf_dir, "documents"), 16)
+
+
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_minhash_dedup": op4_minhash_dedup,
+    "op6_temperature_mix": op6_temperature_mix,
+    "op8_virtual_slots": op8_virtual_slots,
 }
 ORACLE: dict[str, str] = {}
