@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, sharding
+from . import bpe, langid, minhash, mixing, sharding, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,19 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every row of ``pages`` (markup language, address suffix and host from the page)
+    and of ``documents`` (declared ``lang``, ``source`` as host)."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = langid.fit(docs, "doc_id", "text", "lang")
+    parts = langid.page_columns(pages)
+    rows = docs.select(F.lit("documents").alias("table"), "doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("lang").alias("declared"),
+                       F.lit(None).cast("string").alias("suffix"), F.concat(F.lit("source/"), "source").alias("host"))
+    rows = rows.union(pages.select(F.lit("pages"), F.lit(None).cast("long"), "page_id", *[parts[c].alias(c) for c in ("text", "declared", "suffix", "host")]))
+    done = langid.identify(rows, model, *[F.col(c) for c in ("text", "declared", "suffix", "host")], keep=["table", "doc_id", "page_id"])
+    return done.select("table", "doc_id", "page_id", "language.*")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of ``documents``."""
     path = vocabulary_path()
@@ -36,15 +49,23 @@ def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix.tokens", "mix.epoch", "mix.block", F.round("mix.position", 9).alias("position"), F.round("mix.weight", 9).alias("weight"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every whole text of ``documents`` by a model of the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in 16 shards by 4096 virtual slots and a rebalanced slot map."""
     return sharding.assign(table(spark, sf_dir, "documents"), 16)
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op6_temperature_mix": op6_temperature_mix,
+    "op7_toxicity": op7_toxicity,
     "op8_virtual_slots": op8_virtual_slots,
 }
 ORACLE: dict[str, str] = {}
