@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, mixing, sharding, toxicity
+from . import bpe, collision, hnsw, langid, minhash, mixing, sharding, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -60,6 +60,16 @@ def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 16)
 
 
+def op9_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all ``embeddings`` at cosine 0.9."""
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op10_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every hundredth vector among all ``embeddings``."""
+    return collision.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_byte_bpe": op3_byte_bpe,
@@ -67,5 +77,7 @@ QUERIES = {
     "op6_temperature_mix": op6_temperature_mix,
     "op7_toxicity": op7_toxicity,
     "op8_virtual_slots": op8_virtual_slots,
+    "op9_hnsw_dedup": op9_hnsw_dedup,
+    "op10_collision_ann": op10_collision_ann,
 }
 ORACLE: dict[str, str] = {}
