@@ -268,7 +268,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 GRAPH = "dim int, shard int, ids array<long>, weights array<long>, vectors array<double>, links binary, sizes array<int>"
 
 
-def build_shard(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def build_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """One shard's graph as one row: ids, weights and vectors in node order, links per layer."""
     pdf = pdf.sort_values("node")
     x = np.array(pdf["vector"].tolist(), np.float64)

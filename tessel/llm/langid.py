@@ -158,12 +158,15 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
     k = len(model.languages)
     keep = rows.columns if keep is None else keep
     name = free_name(rows, "language")
+    if not k:
+        nothing = F.struct(F.lit(None).cast("string").alias("code"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_code"), F.lit(False).alias("accepted"))
+        return rows.select(*[col(rows, c) for c in keep], nothing.alias(name))
     codes = F.array(*[F.lit(x) for x in model.languages], F.lit(None).cast("string"))
     clean = lambda c: F.when(F.trim(c) != "", F.lower(F.trim(c)))
     base = rows.select(F.struct(*[col(rows, c) for c in keep]).alias("row"), log_likelihood(text.cast("string"), model).alias("ll"),
                        clean(declared).alias("declared"), clean(suffix).alias("suffix"), clean(host).alias("host"))
     base = materialize(base, "language-evidence")
-    prior = F.array(*[F.lit(float(np.log(1 / max(k, 1)))) for _ in range(k)], F.lit(float(np.log(UNDETERMINED_PRIOR))))
+    prior = F.array(*[F.lit(float(np.log(1 / k))) for _ in range(k)], F.lit(float(np.log(UNDETERMINED_PRIOR))))
     seen = base.where(F.size("ll") > 0).select("declared", "suffix", "host", _softmax(_add(F.col("ll"), prior)).alias("p"))
     sums = [F.sum(F.col("p")[i]).alias(f"c{i}") for i in range(k)]
     counts = lambda key: seen.where(F.col(key).isNotNull()).groupBy(key).agg(*sums)
@@ -176,7 +179,7 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
         return c.select(key, F.array(*logs, F.lit(float(-np.log(max(total["n"], 1))))).alias(f"{key}_log"))
 
     by_host = materialize(counts("host").withColumn("domain", parent_domain(F.col("host"))), "host-counts")
-    total = by_host.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).first() if k else {}
+    total = by_host.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).first()
     flat = np.array([total[f"c{i}"] or 0.0 for i in range(k)]) + 1.0
     flat = flat / max(flat.sum(), 1e-300)
     mass = lambda p: sum((F.col(f"{p}{i}") for i in range(k)), F.lit(0.0))
@@ -190,7 +193,7 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
     for key, evidence in (("host", hosts), ("declared", given("declared")), ("suffix", given("suffix"))):
         fused = fused.join(materialize(evidence, f"evidence-{key}"), key, "left")
     score = _add(_add(_add(F.coalesce("host_log", flat_log), F.col("ll")), F.col("declared_log")), F.col("suffix_log"))
-    fused = fused.select("row", "ll", F.when((F.size("ll") > 0) & F.lit(k > 0), _softmax(score)).alias("p"))
+    fused = fused.select("row", "ll", F.when(F.size("ll") > 0, _softmax(score)).alias("p"))
     best = F.array_position(F.col("p"), F.array_max("p")).cast("int") - 1
     own_best = F.array_position(F.col("ll"), F.array_max("ll")).cast("int") - 1
     out = F.struct(F.when(F.col("p").isNotNull(), F.get(codes, best)).alias("code"), F.coalesce(F.array_max("p"), F.lit(0.0)).alias("confidence"),
