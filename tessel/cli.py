@@ -37,6 +37,8 @@ def main(argv=None) -> None:
     c = sub.add_parser("consolidate-orders")
     for name in ("orders", "items", "customers", "geolocations", "states", "out"):
         c.add_argument(f"--{name}", required=True)
+    ap.add_argument("--format", choices=("csv", "parquet"), default="csv",
+                    help="output of consolidate-orders")
     ap.add_argument("--master", default=None, help="e.g. local[*]; unset on a cluster")
     args = ap.parse_args(argv)
 
@@ -63,7 +65,10 @@ def main(argv=None) -> None:
         geo = geo.withColumn("line_no", _file_order())
         states = files.read_json_records(spark, args.states, "abbreviation string, state string")
         out = od.consolidate_orders(orders, items, customers, geo, states)
-        sinks.write_parquet(out, args.out)
+        if args.format == "csv":
+            sinks.write_csv(out, args.out)
+        else:
+            sinks.write_parquet(out, args.out)
 
 
 def _file_order():

@@ -22,9 +22,8 @@ def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction
     """ML6: ``(label, prediction, count)`` for every pair of classes seen in either column,
     zero cells included.
     """
-    counts = materialize(
-        df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction"))
-        .agg(F.count(F.lit(1)).alias("count")))
+    counts = (df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction"))
+              .agg(F.count(F.lit(1)).alias("count")))
     classes = counts.agg(F.array_sort(F.array_union(F.collect_set("label"),
                                                     F.collect_set("prediction"))).alias("cls"))
     grid = (classes.select(F.explode("cls").alias("label"), "cls")
@@ -41,7 +40,7 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
     transposed report: the ``accuracy`` row repeats the accuracy in every
     column.  A zero denominator gives 0.  ``digits``: round half to even.
     """
-    cm = materialize(confusion(df, label, prediction))
+    cm = confusion(df, label, prediction)
     per = cm.groupBy(F.col("label").alias("cls")).agg(
         F.sum(F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0)).alias("tp"),
         F.sum("count").alias("support"))
@@ -53,7 +52,7 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
     f1 = F.when(F.col("precision") + F.col("recall") > 0,
                 F.lit(2.0) * F.col("precision") * F.col("recall")
                 / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0))
-    per = materialize(per.withColumn("f1_score", f1))
+    per = per.withColumn("f1_score", f1)
     if target_names:
         name = F.coalesce(F.element_at(F.create_map(*[x for k, v in target_names.items()
                                                       for x in (F.lit(k), F.lit(v))]),
@@ -168,5 +167,5 @@ def auc(df: DataFrame, label: str = "label", score: str = "score", pos_label=1,
     one class is absent.
     """
     cum = cumulative_by_score(df, label, score, pos_label, buckets)
-    area = F.sum(F.col("fp") * (F.col("tps") - F.col("tp") / 2.0))
-    return cum.agg(F.try_divide(area, F.sum("tp") * F.sum("fp")).alias("auc"))
+    area = F.sum(F.col("fp").cast("double") * (F.col("tps") - F.col("tp") / 2.0))
+    return cum.agg(F.try_divide(area, F.sum("tp").cast("double") * F.sum("fp").cast("double")).alias("auc"))

@@ -1,10 +1,9 @@
 """Equi left joins (JN1-JN6) with a size-checked broadcast.
 
 Only left outer equi-joins occur in the workloads.  A dimension side is
-broadcast only after its row count is checked against a bound
-(``limit(bound + 1).count()``, a cheap job that stops early); the bound is
-a row limit lowered to fit a memory budget at the schema's row width.
-Beyond it the join is left to the planner (sort-merge, or a runtime switch
+broadcast only after its rows and their bytes are measured against bounds (one
+aggregate over at most ``max_rows + 1`` rows; long text counts its real length).
+Beyond them the join is left to the planner (sort-merge, or a runtime switch
 by adaptive execution), so nothing unbounded is ever shipped to every task.
 """
 
@@ -15,37 +14,40 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a broadcast side may have at most, and the memory budget it must fit in.
+# Rows and measured bytes a broadcast side may have at most.
 BROADCAST_MAX_ROWS = 2_000_000
 BROADCAST_MAX_BYTES = 256 * 1024 * 1024
-# Estimated bytes per value by type, for the budget (text and nested values: a guess).
 _WIDTH = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8,
           "boolean": 1, "date": 4, "timestamp": 8, "timestamp_ntz": 8}
 
 
-def row_bytes(df: DataFrame) -> int:
-    """Estimated in-memory bytes of one row of ``df`` (from its schema)."""
-    return 16 + sum(_WIDTH.get(t, 16 if t.startswith("decimal") else 48) for _, t in df.dtypes)
+def measured(df: DataFrame, max_rows: int) -> tuple[int, int]:
+    """Rows and bytes of ``df``, from its values; reads at most ``max_rows + 1`` rows.
 
-
-def row_count_at_most(df: DataFrame, bound: int) -> bool:
-    """True when ``df`` has at most ``bound`` rows (reads at most bound + 1)."""
-    return df.limit(bound + 1).count() <= bound
+    Text and binary values count their own bytes, nested values those of their JSON
+    text, other types their width; 16 bytes are added per row.
+    """
+    size = F.lit(16)
+    for name, t in df.dtypes:
+        c = F.col(f"`{name}`")
+        if t in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif t in _WIDTH or t.startswith("decimal"):
+            size = size + F.lit(_WIDTH.get(t, 16))
+        else:
+            size = size + F.octet_length(F.to_json(F.struct(c)))
+    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+                                     F.coalesce(F.sum(size.cast("bigint")), F.lit(0)).alias("b")).first()
+    return row["n"], row["b"]
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
                       max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Broadcast hint only when the row count is proven within the bound.
-
-    The bound is ``max_rows``, lowered so that rows of this width fit in
-    ``max_bytes``: a wide dimension gets a smaller row bound than a narrow one.
-    """
+    """Broadcast hint only when the rows and their measured bytes are within the bounds."""
     if not max_rows:
         return df
-    bound = max(1, min(max_rows, max_bytes // row_bytes(df)))
-    if row_count_at_most(df, bound):
-        return F.broadcast(df)
-    return df
+    n, size = measured(df, max_rows)
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
 
 
 def left_join(left: DataFrame, right: DataFrame, on=None, left_on=None, right_on=None,

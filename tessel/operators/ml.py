@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import scalars
+from tessel.operators.joins import checked_broadcast
+from tessel.session import materialize
 
 DEFAULT_SPLIT_BITS = 16
 
@@ -50,9 +52,11 @@ def stratified_split(df: DataFrame, label: str, test_size: float = 0.3, seed: in
 
     Rows are taken in order of ``xxhash64(seed, key_cols)`` (then the key
     columns), so the split is repeatable and independent of partitioning;
-    ``key_cols`` (all columns by default) should identify a row.  The class
-    cut-off is found in a ``classes x 2**bits`` table of bucket counts; only
-    rows of the cut-off bucket (about ``n_c / 2**bits`` of them) are ranked.
+    ``key_cols`` (all columns by default) must identify a row: rows with equal
+    keys fall on the same side.  The class cut-off bucket is found in a
+    ``classes x 2**bits`` table of bucket counts, its last test row by ranking
+    that bucket's rows alone (about ``n_c / 2**bits``); every row is then
+    labelled by one comparison with its class's cut-off.
     """
     keys = list(key_cols) if key_cols else [c for c in df.columns]
     h = F.xxhash64(F.lit(seed), *[F.col(c) for c in keys])
@@ -68,19 +72,18 @@ def stratified_split(df: DataFrame, label: str, test_size: float = 0.3, seed: in
     cut = (per_bucket.where((F.col("_before") < k) & (k <= F.col("_before") + F.col("_c")))
            .select(F.col("_cls").alias("_cut_cls"), F.col("_bkt").alias("_cut_bkt"),
                    (k - F.col("_before")).alias("_need")))
-    # one row per class: both branches below share this exchange (reused within the query),
-    # and adaptive execution broadcasts it from its measured size
-    joined = data.join(cut, data["_cls"].eqNullSafe(cut["_cut_cls"]), "left")
-    in_cut = F.col("_bkt") == F.col("_cut_bkt")
-    below = F.col("_bkt") < F.col("_cut_bkt")
-    simple = joined.where(~in_cut | F.col("_cut_bkt").isNull()).withColumn(
-        split_col, F.when(below, F.lit("test")).otherwise(F.lit("train")))
-    wr = Window.partitionBy("_cls", "_bkt").orderBy("_h", *keys)
-    ranked = joined.where(in_cut).withColumn(
-        split_col, F.when(F.row_number().over(wr) <= F.col("_need"), F.lit("test"))
-        .otherwise(F.lit("train")))
-    out = simple.unionByName(ranked)
-    return out.drop("_h", "_cls", "_bkt", "_cut_cls", "_cut_bkt", "_need")
+    # one row per class, written, measured and broadcast: the table itself is never shuffled
+    cut = checked_broadcast(materialize(cut, "split-buckets"))
+    same = data["_cls"].eqNullSafe(cut["_cut_cls"])
+    place = F.struct("_h", *keys)
+    inside = (data.join(cut, same & (data["_bkt"] == cut["_cut_bkt"]))
+              .withColumn("_r", F.row_number().over(Window.partitionBy("_cls", "_bkt").orderBy("_h", *keys))))
+    last = (inside.where(F.col("_r") == F.col("_need"))
+            .select(F.col("_cut_cls").alias("_last_cls"), place.alias("_last")))
+    last = checked_broadcast(materialize(last, "split-cuts"))
+    out = data.join(last, data["_cls"].eqNullSafe(last["_last_cls"]), "left")
+    side = F.when(place <= F.col("_last"), F.lit("test")).otherwise(F.lit("train"))
+    return out.withColumn(split_col, side).drop("_h", "_cls", "_bkt", "_last_cls", "_last")
 
 
 def split_sizes(split: DataFrame, label: str, split_col: str = "split") -> DataFrame:
@@ -120,8 +123,8 @@ def train_logistic_newton(train: DataFrame, features, label: str, C: float = 1.0
     weight on a constant 1.
 
     Newton's method; each step is one aggregation pass over ``train`` that
-    returns the gradient and Hessian sums (d + d(d+1)/2 numbers).  Returns
-    the weights ``[w_1..w_d, intercept]``.
+    returns the gradient and Hessian sums (d + d(d+1)/2 numbers).  Raises if
+    ``max_iter`` steps do not converge.  Returns the weights ``[w_1..w_d, intercept]``.
     """
     feats = list(features) + ["__one"]
     data = train.select(*[F.col(f).cast("double").alias(f) for f in features],
@@ -146,8 +149,8 @@ def train_logistic_newton(train: DataFrame, features, label: str, C: float = 1.0
         step = np.linalg.solve(H, g)
         w = w - step
         if np.max(np.abs(step)) < tol:
-            break
-    return w
+            return w
+    raise RuntimeError(f"Newton's method has not converged after {max_iter} steps")
 
 
 def predict(model, df: DataFrame, features, prob_col: str = "probability_1",

@@ -73,32 +73,26 @@ def top_k_per_group(df: DataFrame, group, order, k: int, salt_buckets: int = 16,
             .where(F.col(rank_name) <= k))
 
 
-# Up to this many rows a sample is taken with per-task heaps merged in one task.
-SAMPLE_HEAP_MAX = 10_000
-
-
 def sample_n(df: DataFrame, n: int, seed: int = 42, key_cols=None, hash: str = "xxhash64",
              bits: int = 16) -> DataFrame:
     """ORD7: exactly n rows chosen uniformly at random (all rows if fewer).
 
-    Rows are ranked by a seeded hash of ``key_cols`` (all columns by default)
-    and the n smallest are kept: repeatable for a given seed whatever the
-    partitioning.  Up to :data:`SAMPLE_HEAP_MAX` rows a per-task heap does it
-    (``TakeOrderedAndProject``).  Beyond, the cut-off is found exactly without
-    funnelling n rows through one task: counts per bucket of the hash's top
-    ``bits`` bits, a running sum over that small table, and a ranking of the
-    rows of the one bucket that holds the cut-off.  ``hash="md5"`` ranks by the
-    MD5 of ``"seed|key|..."`` text, which any SQL engine can reproduce (heap
-    path only).
+    Rows are ranked by a seeded hash of ``key_cols`` (all columns by default) and
+    the n smallest are kept: repeatable for a given seed whatever the
+    partitioning.  One path for every n: counts per bucket of the hash's top
+    ``bits`` bits, a running sum over that small table (at most ``2**bits`` rows),
+    and a ranking of the rows of the one bucket that holds the cut-off.
+    ``hash="md5"`` ranks by the MD5 of ``"seed|key|..."`` text, which any SQL
+    engine can reproduce.
     """
     cols = list(key_cols) if key_cols else df.columns
     if hash == "md5":
         h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
-        return df.withColumn("_h", h).orderBy("_h", *cols).limit(n).drop("_h")
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
-    if n <= SAMPLE_HEAP_MAX:
-        return df.withColumn("_h", h).orderBy("_h", *cols).limit(n).drop("_h")
-    data = df.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 64 - bits))
+        bucket = F.shiftright(F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint"), 32 - bits)
+    else:
+        h = F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
+        bucket = F.shiftright("_h", 64 - bits)
+    data = df.withColumn("_h", h).withColumn("_b", bucket)
     per = data.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most 2**bits rows
     per = per.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))

@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions.columns import numeric_columns
+from tessel.functions.scalars import nan_to_null
 from tessel.operators import quantiles as qt
+from tessel.operators.joins import checked_broadcast
 from tessel.operators.ordering import top_k_per_group
 from tessel.session import materialize
 
@@ -25,39 +27,42 @@ DTYPE_WIDTH = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "
                "boolean": 1, "date": 4, "timestamp": 8, "timestamp_ntz": 8}
 
 
+def _number(c):
+    """A column as double with NaN as missing, as the dataframe code skips it."""
+    return nan_to_null(F.col(c).cast("double") if isinstance(c, str) else c.cast("double"))
+
+
 def describe(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
     """AGG14: per numeric column ``count, mean, std, min, p25, p50, p75, max``.
 
     ``std`` is the sample standard deviation; quartiles interpolate linearly.
-    Count, mean, std, min and max come from one code-generated aggregation over
-    the table (no shuffle).  Exact quartiles come from the distributed exact
+    Two passes: count, mean, std, min, max and the distinct-count estimate come from
+    one code-generated aggregation over the table (no shuffle); exact quartiles come from the distributed exact
     selection over the columns' distinct values; ``exact=False`` adds sketch
     quartiles to that same single aggregation instead.
     """
     cols = list(cols) if cols else numeric_columns(df)
     order = ["column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"]
+    df = df.select(*[_number(c).alias(c) for c in cols])
+    kinds = ("count", "mean", "std", "min", "max")
     aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}\0count"), F.avg(x).alias(f"{c}\0mean"),
-                 F.stddev_samp(x).alias(f"{c}\0std"), F.min(x).alias(f"{c}\0min"),
-                 F.max(x).alias(f"{c}\0max")]
-        if not exact:
-            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias(f"{c}\0q"))
-    wide = df.agg(*aggs)
+    for i, c in enumerate(cols):
+        x = F.col(c)
+        aggs += [f(x).alias(f"{k}{i}") for k, f in zip(kinds, (F.count, F.avg, F.stddev_samp, F.min, F.max))]
+        aggs.append(F.approx_count_distinct(x).alias(f"distinct{i}") if exact
+                    else F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias(f"q{i}"))
+    row = df.agg(*aggs).first() if cols else None  # one row, a few numbers per column
     quart = ("p25", "p50", "p75")
-    rows = [F.struct(F.lit(c).alias("column"), *[
-        F.col(f"`{c}\0{k}`").alias(k) for k in ("count", "mean", "std", "min", "max")],
-        *([F.col(f"`{c}\0q`")[i].alias(n) for i, n in enumerate(quart)] if not exact else []))
-        for c in cols]
-    stats = wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+    rows = [(c, *[row[f"{k}{i}"] for k in kinds], *((row[f"q{i}"] or [None] * 3) if not exact else []))
+            for i, c in enumerate(cols)]
+    schema = "column string, count bigint, mean double, std double, min double, max double"
+    stats = df.sparkSession.createDataFrame(rows, schema + ("" if exact else ", p25 double, p50 double, p75 double"))
     if not exact:
         return stats.select(*order)
-    q = qt.exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-    qw = q.groupBy("column").agg(
-        F.max(F.when(F.col("p") == 0.25, F.col("quantile"))).alias("p25"),
-        F.max(F.when(F.col("p") == 0.5, F.col("quantile"))).alias("p50"),
-        F.max(F.when(F.col("p") == 0.75, F.col("quantile"))).alias("p75"))
+    largest = max((row[f"distinct{i}"] for i in range(len(cols))), default=0)
+    q = qt.exact_quantiles(df, cols, [0.25, 0.5, 0.75], estimated_distinct=largest)
+    qw = q.groupBy("column").agg(*[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(n)
+                                   for p, n in zip((0.25, 0.5, 0.75), quart)])
     # one row per column of the schema on both sides: broadcast
     return stats.join(F.broadcast(qw), "column", "left").select(*order)
 
@@ -109,36 +114,24 @@ def corr_matrix(df: DataFrame, cols=None) -> DataFrame:
     """AGG18: Pearson correlation of every pair of numeric columns, ``(col_a, col_b, corr)``.
 
     Pairwise-complete (a row counts for a pair when both values are present).
-    A first pass finds, per pair, whether both sides vary over the pair's rows
-    (min != max); the second pass computes ``corr`` for those pairs only, so a
-    constant column yields NULL (NaN in pandas) instead of a division by zero
-    under ANSI mode.  Both passes are single code-generated aggregations; the
-    matrix is mirrored and the diagonal is 1 (NULL for a constant column).
+    One code-generated aggregation: covariance and both deviations over the pair's
+    rows; a constant column yields NULL (NaN in pandas) instead of a division by zero.
+    The matrix is mirrored and the diagonal is 1 (NULL for a constant column).
     """
     cols = list(cols) if cols else numeric_columns(df)
-    x = {c: F.col(c).cast("double") for c in cols}
+    x = {c: _number(c) for c in cols}
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    checks = []
-    for a, b in pairs:
-        xa = F.when(x[b].isNotNull(), x[a])
-        xb = F.when(x[a].isNotNull(), x[b])
-        checks.append(((F.min(xa) < F.max(xa)) & (F.min(xb) < F.max(xb))).alias(f"{a}\0{b}"))
-    checks += [(F.min(x[c]) < F.max(x[c])).alias(f"{c}\0{c}") for c in cols]
-    varies = df.agg(*checks).first().asDict() if cols else {}
-    aggs = [F.corr(x[a], x[b]).alias(f"{a}\0{b}") for a, b in pairs if varies[f"{a}\0{b}"]]
-    if aggs:
-        wide = df.agg(*aggs)
-    else:
-        wide = df.limit(1).select(F.lit(1).alias("_one"))
-    rows = []
+    aggs = []
     for a, b in pairs:
-        v = F.col(f"`{a}\0{b}`") if varies[f"{a}\0{b}"] else F.lit(None).cast("double")
-        rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), v.alias("corr")))
-        rows.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), v.alias("corr")))
-    for c in cols:
-        one = F.lit(1.0) if varies[f"{c}\0{c}"] else F.lit(None).cast("double")
-        rows.append(F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), one.alias("corr")))
-    return wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+        xa, xb = F.when(x[b].isNotNull(), x[a]), F.when(x[a].isNotNull(), x[b])
+        aggs.append(F.try_divide(F.covar_samp(x[a], x[b]), F.stddev_samp(xa) * F.stddev_samp(xb)).alias(f"{a}\0{b}"))
+    aggs += [F.when(F.min(x[c]) < F.max(x[c]), F.lit(1.0)).alias(f"{c}\0{c}") for c in cols]
+    if not cols:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
+    cell = lambda a, b, name: F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"`{name}`").alias("corr"))
+    rows = [cell(p, q, f"{a}\0{b}") for a, b in pairs for p, q in ((a, b), (b, a))]
+    rows += [cell(c, c, f"{c}\0{c}") for c in cols]
+    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("s")).select("s.*")
 
 
 def _bin_index(value, lo, hi, bins: int):
@@ -154,44 +147,40 @@ def _widen(lo, hi):
     return (F.when(same, lo - 0.5).otherwise(lo), F.when(same, hi + 0.5).otherwise(hi))
 
 
-def histogram(df: DataFrame, col: str, bins: int = 25, by=None, common_range: bool = True,
-              bounded_groups: bool = False) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int = 25, by=None, common_range: bool = True
+              ) -> DataFrame:
     """AGG19 / AGG20: equal-width histogram of ``col``, per ``by`` group if given.
 
     ``common_range``: one range over all rows (the hue histogram); otherwise
     each group gets its own range (the per-class probability histograms).
     Rows ``(by..., bin, bin_lo, bin_hi, count)`` for every bin, empty bins
-    included; NULL values are not counted.  ``bounded_groups``: the caller
-    knows the number of groups is small (e.g. one per schema column), so the
-    per-group ranges are broadcast; otherwise adaptive execution decides from
-    their measured size.
+    included; missing values (NULL, NaN) and rows of a NULL group are left out,
+    as the plotting call does.  Two passes over the rows.
     """
     by = [by] if isinstance(by, str) else list(by or [])
-    x = F.col(col).cast("double")
-    data = df.select(*by, x.alias("_v")).where(F.col("_v").isNotNull())
-    if by and not common_range:
-        rng = data.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        data = data.join(F.broadcast(rng) if bounded_groups else rng, by)
-        groups = rng
+    data = df.select(*by, _number(col).alias("_v")).where(F.col("_v").isNotNull())
+    for c in by:
+        data = data.where(F.col(c).isNotNull())
+    # ranges: one aggregate, written (a row per group), measured and broadcast, so the
+    # rows themselves are never shuffled by a class that may hold most of them
+    rng = materialize(data.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "ranges")
+    if common_range or not by:
+        both = rng.agg(F.min("_lo").alias("lo"), F.max("_hi").alias("hi"))
+        lo, hi = both.select("lo").scalar(), both.select("hi").scalar()
+        data, groups = data.withColumns({"_lo": lo, "_hi": hi}), rng.where(F.col("_lo").isNotNull()).withColumns({"_lo": lo, "_hi": hi})
     else:
-        lo = data.select(F.min("_v")).scalar()
-        hi = data.select(F.max("_v")).scalar()
-        data = data.withColumns({"_lo": lo, "_hi": hi})
-        groups = (data.select(*by, "_lo", "_hi").distinct() if by
-                  else data.select("_lo", "_hi").limit(1))
+        data, groups = data.join(checked_broadcast(rng), by), rng
     lo_c, hi_c = _widen(F.col("_lo"), F.col("_hi"))
     counts = (data.withColumn("bin", _bin_index(F.col("_v"), lo_c, hi_c, bins))
               .groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("count")))
     grid = (groups.select(*by, lo_c.alias("_a"), hi_c.alias("_b"))
             .withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))))
     width = (F.col("_b") - F.col("_a")) / F.lit(bins)
-    counts = F.broadcast(counts) if bounded_groups or not by else counts  # groups x bins rows
-    out = (grid.join(counts, by + ["bin"], "left")
-           .select(*by, "bin",
-                   (F.col("_a") + F.col("bin") * width).alias("bin_lo"),
-                   (F.col("_a") + (F.col("bin") + 1) * width).alias("bin_hi"),
-                   F.coalesce(F.col("count"), F.lit(0)).alias("count")))
-    return out
+    return (grid.join(counts, by + ["bin"], "left")
+            .select(*by, "bin",
+                    (F.col("_a") + F.col("bin") * width).alias("bin_lo"),
+                    (F.col("_a") + (F.col("bin") + 1) * width).alias("bin_hi"),
+                    F.coalesce(F.col("count"), F.lit(0)).alias("count")))
 
 
 def kde(df: DataFrame, col: str, by=None, gridsize: int = 200, cut: float = 3.0) -> DataFrame:
@@ -206,8 +195,7 @@ def kde(df: DataFrame, col: str, by=None, gridsize: int = 200, cut: float = 3.0)
     emits at most groups x gridsize rows and no cross join is formed.
     """
     by = [by] if isinstance(by, str) else list(by or [])
-    x = F.col(col).cast("double")
-    data = df.select(*by, x.alias("_v")).where(F.col("_v").isNotNull())
+    data = df.select(*by, _number(col).alias("_v")).where(F.col("_v").isNotNull())
     # group parameters: one code-generated aggregate, written once (one row per group)
     # because both the expansion and the normalisation read it
     params = materialize(
@@ -241,12 +229,12 @@ def pair_bins(df: DataFrame, cols, bins: int = 10) -> DataFrame:
     """AGG22: joint distribution of every ordered pair of columns as 2-D bin counts.
 
     Each column is binned over its own range (ranges as scalar subqueries);
-    one pass explodes the d(d-1) pairs of a row and a partial aggregate
-    counts ``(x_col, y_col, bx, by)``.  Rows where either value is NULL are
+    one pass explodes the d(d-1)/2 unordered pairs of a row, a partial aggregate counts
+    them, and the small result is mirrored into ``(x_col, y_col, bx, by)``.  Rows where either value is NULL are
     left out of that pair.
     """
     cols = list(cols)
-    binned = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    binned = df.select(*[_number(c).alias(c) for c in cols])
     # all ranges in one aggregate, attached once as a struct column (one scalar subquery)
     rng = binned.select(F.struct(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
                                  *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)])).scalar()
@@ -259,10 +247,15 @@ def pair_bins(df: DataFrame, cols, bins: int = 10) -> DataFrame:
     idx = {c: F.col(f"_b{i}") for i, c in enumerate(cols)}
     pairs = [F.struct(F.lit(a).alias("x_col"), F.lit(b).alias("y_col"),
                       idx[a].alias("bx"), idx[b].alias("by"))
-             for a in cols for b in cols if a != b]
+             for i, a in enumerate(cols) for b in cols[i + 1:]]
     exploded = binned.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
-    return (exploded.where(F.col("bx").isNotNull() & F.col("by").isNotNull())
-            .groupBy("x_col", "y_col", "bx", "by").agg(F.count(F.lit(1)).alias("count")))
+    counts = (exploded.where(F.col("bx").isNotNull() & F.col("by").isNotNull())
+              .groupBy("x_col", "y_col", "bx", "by").agg(F.count(F.lit(1)).alias("count")))
+    # each unordered pair is counted once; its transpose has the same counts
+    both = F.explode(F.array(
+        F.struct("x_col", "y_col", "bx", "by", "count"),
+        F.struct(F.col("y_col").alias("x_col"), F.col("x_col").alias("y_col"), F.col("by").alias("bx"), F.col("bx").alias("by"), "count")))
+    return counts.select(both.alias("p")).select("p.*")
 
 
 def column_profile(df: DataFrame, top: int = 2) -> DataFrame:
@@ -278,23 +271,26 @@ def column_profile(df: DataFrame, top: int = 2) -> DataFrame:
     """
     num = set(numeric_columns(df))
     packed = []
-    for c, _ in df.dtypes:
+    for c, t in df.dtypes:
         col = F.col(f"`{c}`")
         if c in num:
-            pair = F.struct(F.lit(None).cast("string").alias("s"), col.cast("double").alias("d"))
+            # distinct values are told apart in the native type (a double merges large integers)
+            exact = nan_to_null(col) + 0.0 if t in ("float", "double") else col
+            pair = F.struct(exact.cast("string").alias("s"), _number(col).alias("d"))
         else:
             pair = F.struct(col.cast("string").alias("s"), F.lit(None).cast("double").alias("d"))
         packed.append(pair.alias(c))
     long = (df.select(*packed).unpivot([], df.columns, "column", "v")
             .select("column", F.col("v.s").alias("s"), F.col("v.d").alias("d")))
     vc = materialize(long.groupBy("column", "s", "d").agg(F.count(F.lit(1)).alias("cnt")))
-    missing = F.col("s").isNull() & F.col("d").isNull()
+    missing = F.col("s").isNull()
     stats = vc.groupBy("column").agg(
         F.sum("cnt").alias("rows"),
         F.coalesce(F.sum(F.when(missing, F.col("cnt"))), F.lit(0)).alias("n_missing"),
         F.count(F.when(~missing, F.lit(1))).alias("n_unique"),
         F.min("d").alias("min"), F.max("d").alias("max"))
-    best = top_k_per_group(vc.where(F.col("s").isNotNull()).select("column", "s", "cnt"),
+    text_only = F.col("s").isNotNull() & ~F.col("column").isin(list(num))
+    best = top_k_per_group(vc.where(text_only).select("column", "s", "cnt"),
                            "column", ["-cnt", "s"], top, rank_name="r")
     tops = best.groupBy("column").agg(
         *[F.max(F.when(F.col("r") == i, F.col("s"))).alias(f"top{i}") for i in range(1, top + 1)],
@@ -319,4 +315,4 @@ def column_histograms(df: DataFrame, cols=None, bins: int = 10) -> DataFrame:
     """
     cols = list(cols) if cols else numeric_columns(df)
     lv = qt.long_values(df, cols, "column", "v")
-    return histogram(lv, "v", bins, by="column", common_range=False, bounded_groups=True)
+    return histogram(lv, "v", bins, by="column", common_range=False)

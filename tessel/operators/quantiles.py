@@ -101,7 +101,8 @@ def _wanted(ranks: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, cols, probs, buckets: int | None = None,
-                    max_direct: int = DIRECT_MAX_DISTINCT) -> DataFrame:
+                    max_direct: int = DIRECT_MAX_DISTINCT,
+                    estimated_distinct: int | None = None) -> DataFrame:
     """Rows ``(column, p, quantile)`` for every column and probability.
 
     Columns without values give no rows.  A HyperLogLog pass estimates each
@@ -110,15 +111,16 @@ def exact_quantiles(df: DataFrame, cols, probs, buckets: int | None = None,
     the counting (its per-column map is bounded by that check); beyond the
     bound the counts are written once and the bucketed selection keeps every
     task small; ``buckets=None`` sizes the buckets from the largest distinct
-    count.
+    count.  ``estimated_distinct``: that estimate, when the caller already has it.
     """
     cols = list(cols)
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, p double, quantile double")
-    # a sketch pass (HyperLogLog, one code-generated aggregate) picks the path
-    est = df.agg(*[F.approx_count_distinct(F.col(c).cast("double")).alias(f"_{i}")
-                   for i, c in enumerate(cols)]).first()
-    if max(est) <= max_direct:
+    if estimated_distinct is None:
+        # a sketch pass (HyperLogLog, one code-generated aggregate) picks the path
+        estimated_distinct = max(df.agg(*[F.approx_count_distinct(F.col(c).cast("double")).alias(f"_{i}")
+                                          for i, c in enumerate(cols)]).first())
+    if estimated_distinct <= max_direct:
         return _percentile_of_counts(value_counts(long_values(df, cols)), probs)
     # distinct values with multiplicities: read by several steps below, so written once
     vc = materialize(value_counts(long_values(df, cols)))

@@ -22,6 +22,9 @@ from tessel.plans import classifier as cl
 from tessel.plans import flights as fl
 from tessel.session import shared_dir
 from tessel.sources import files, sinks, workbook, zipped
+from tessel.functions import scalars
+from tessel.operators import quantiles as qt
+from tessel.plans import staging
 from tessel.plans import orders as od
 from tessel.plans import standins as si
 
@@ -68,12 +71,12 @@ def q_route_counts(spark, d):
 
 
 def q_route_layer(spark, d):
-    # the polyline array is left out of the comparison; its four coordinates are columns
-    return fl.route_layer(fl.route_counts(_enriched(spark, d))).drop("path")
+    # arrays travel as their JSON text, so both engines compare them
+    return fl.route_layer(fl.route_counts(_enriched(spark, d))).withColumn("path", F.to_json("path"))
 
 
 def q_airport_markers(spark, d):
-    return fl.airport_markers(fl.route_counts(_enriched(spark, d))).drop("location")
+    return fl.airport_markers(fl.route_counts(_enriched(spark, d))).withColumn("location", F.to_json("location"))
 
 
 def q_top_origin(spark, d):
@@ -119,7 +122,6 @@ def q_consolidate_orders(spark, d):
                                 si.states(spark, d))
     # integer columns a left join can leave NULL become floats, as after the pandas merge
     return out.withColumns({"total_products": F.col("total_products").cast("double"),
-                            "line_no": F.col("line_no").cast("double"),
                             "total_sales": F.round("total_sales", 2)})
 
 
@@ -176,7 +178,7 @@ def q_size_profile(spark, d):
 
 
 def q_corr_matrix(spark, d):
-    out = pf.corr_matrix(si.clinical(spark, d), NUMERIC_FEATURES + ["Outcome"])
+    out = pf.corr_matrix(si.clinical(spark, d))
     return out.withColumn("corr", F.round("corr", 8))
 
 
@@ -281,25 +283,125 @@ def q_headerless_csv(spark, d):
     return clean.rename_positional(raw, AIRPORTS_WIDE_NAMES)
 
 
+def _with_large_ids(customers):
+    """Customers with an integer column that holds NULLs and values above 2**53."""
+    large = F.when(F.col("customer_id") % 7 != 0, F.col("customer_id") + F.lit(9007199254740993))
+    return customers.withColumn("large_id", large)
+
+
+def _ids_as_text(df):
+    """The integer column read back, as text: pandas, which compares the engines, would turn an
+    integer column with NULLs into floats."""
+    return df.withColumn("large_id", F.col("large_id").cast("string"))
+
+
+LARGE_SCHEMA = CUSTOMERS_SCHEMA + ", large_id bigint"
+
+
 def q_json_source(spark, d):
-    """SRC8: JSON arrays of records."""
+    """SRC8: JSON arrays of records, NULL and large integers included."""
     path = shared_dir(spark, "customers-json")
-    sinks.write_json_records(si.customers(spark, d), path)
-    return files.read_json_records(spark, path, CUSTOMERS_SCHEMA)
+    staging.write_json_records(_with_large_ids(si.customers(spark, d)), path)
+    return _ids_as_text(files.read_json_records(spark, path, LARGE_SCHEMA))
 
 
 def q_xlsx_source(spark, d):
     """SRC7: workbooks; the zip prefix column keeps its leading zeros as text."""
     path = shared_dir(spark, "customers-xlsx")
-    workbook.write_workbooks(si.customers(spark, d), path)
-    return workbook.read_workbooks(spark, path, CUSTOMERS_SCHEMA)
+    staging.write_workbooks(_with_large_ids(si.customers(spark, d)), path)
+    return _ids_as_text(workbook.read_workbooks(spark, path, LARGE_SCHEMA))
 
 
 def q_zip_source(spark, d):
-    """SRC10 + SRC4: CSV members of zip archives, read as one table."""
-    path = shared_dir(spark, "flights-zip")
-    zipped.write_zipped_csv(si.flights(spark, d), path)
-    return zipped.read_zipped_csv(spark, path, FLIGHTS_CSV_SCHEMA)
+    """SRC10 + SRC4: CSV members of zip archives, six of their columns by header name, in another
+    order; one holds quoted newlines, one NULLs and large integers."""
+    path = shared_dir(spark, "customers-zip")
+    note = F.concat(F.col("customer_city"), F.lit(',\n"'), F.col("customer_id").cast("string"), F.lit('"'))
+    staging.write_zipped_csv(_with_large_ids(si.customers(spark, d)).withColumns({"note": note, "unused": F.lit("NaN")}), path)
+    return _ids_as_text(zipped.read_zipped_csv(
+        spark, path, "note string, large_id bigint, customer_zip_code_prefix string, customer_id bigint, unused double"))
+
+
+def q_month_selection(spark, d):
+    """FLT3 + FLT4: one month of one origin."""
+    return fl.select_month(_enriched(spark, d), 1995, 3, origin="NATION_7")
+
+
+def q_bad_cells_csv(spark, d):
+    """SRC3 + SC20: a headerless file whose ``\\N`` stays text; bad numbers become NULL."""
+    path = shared_dir(spark, "airports-bad")
+    wide = si.airports_wide(spark, d)
+    bad = F.when(F.col("AirportID") % 11 == 0, F.concat(F.lit("x"), F.col("AirportID").cast("string"))).otherwise(F.col("AirportID").cast("string"))
+    sinks.write_csv(wide.withColumn("AirportID", bad), path, header=False)
+    raw = files.read_csv(spark, path, files.schema_of(AIRPORTS_WIDE_NAMES, AIRPORTS_WIDE_TYPES), header=False)
+    return raw.withColumn("AirportID", F.col("AirportID").cast("string"))  # see _ids_as_text
+
+
+def q_glob_csv(spark, d):
+    """SRC4 + SRC5 + SNK1: files of two folders with different column orders, read by a glob and by
+    name; the zip prefix stays text."""
+    path = shared_dir(spark, "customers-glob")
+    c = si.customers(spark, d)
+    even = F.col("customer_id") % 2 == 0
+    sinks.write_csv(c.where(even), f"{path}/part=a")
+    sinks.write_csv(c.where(~even).select(*reversed(c.columns)), f"{path}/part=b")
+    return files.read_csv(spark, f"{path}/part=*/*.csv", CUSTOMERS_SCHEMA, by_name=True)
+
+
+def q_head(spark, d):
+    """ORD2: the first rows in a given order."""
+    return ordering.head(si.customers(spark, d), 7, order=["-customer_city", "customer_id"])
+
+
+def q_distinct_list(spark, d):
+    """SNK5: distinct values handed to the caller (bounded by the caller), as rows again."""
+    values = sinks.distinct_list(si.airports_wide(spark, d), "Country", 1000)
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "position int, value string")
+
+
+def q_custom_colour(spark, d):
+    """UDF1: a caller's own colour function over route keys."""
+    import hashlib
+
+    own = lambda key: "#" + hashlib.md5(key[::-1].encode()).hexdigest()[:6].upper()
+    flights = si.flights(spark, d).select("Origin", "Reporting_Airline").distinct()
+    return flights.withColumn("color", scalars.custom_colour("Origin", own))
+
+
+def q_sample_n_large(spark, d):
+    """ORD7 for a sample far above one bucket."""
+    keys = ["l_orderkey", "l_linenumber"]
+    return ordering.sample_n(si.clinical(spark, d), 12_345, seed=42, key_cols=keys, hash="md5").select(*keys)
+
+
+def q_quantiles_bucketed(spark, d):
+    """The distributed selection of exact quantiles (columns above the direct bound)."""
+    out = qt.exact_quantiles(si.clinical(spark, d), ["l_extendedprice", "l_quantity"], [0.1, 0.5, 0.99], max_direct=40)
+    return out.withColumn("quantile", F.round("quantile", 6))
+
+
+FIXED_WEIGHTS = [0.02, -0.00001, 1.5, -2.0, -0.75]
+
+
+def q_predict_fixed(spark, d):
+    """ML4 + ML5 + ML10 (SC8, SC14, SC16, ORD6, PRJ11): given weights, the top 20 table."""
+    keys = ["l_orderkey", "l_linenumber"]
+    pred = ml.predict_with_weights(FIXED_WEIGHTS, si.clinical(spark, d), NUMERIC_FEATURES)
+    return ml.prediction_table(pred, "Outcome", 20, tie_keys=keys)
+
+
+def q_newton_gradient(spark, d):
+    """ML3: the objective's gradient at the fitted weights, over the training rows: zero."""
+    train = cl.load_clinical(si.clinical(spark, d), ["l_discount", "l_tax"]).withColumns(
+        {"l_extendedprice": F.col("l_extendedprice") / 1000.0})
+    w = ml.train_logistic_newton(train, NUMERIC_FEATURES, "Outcome")
+    scored = ml.predict_with_weights(w, train, NUMERIC_FEATURES)
+    r = F.col("probability_1") - F.col("Outcome")
+    x = [*[F.col(c) for c in NUMERIC_FEATURES], F.lit(1.0)]
+    g = scored.agg(*[(F.lit(float(w[j])) + F.sum(r * x[j])).alias(f"g{j}") for j in range(len(x))])
+    rows = F.array(*[F.struct(F.lit(n).alias("weight"), F.abs(F.round(F.col(f"g{j}"), 4)).alias("gradient"))
+                     for j, n in enumerate([*NUMERIC_FEATURES, "intercept"])])
+    return g.select(F.explode(rows).alias("s")).select("s.*")
 
 
 def q_stream_enrichment(spark, d):
@@ -367,4 +469,14 @@ QUERIES = {
     "xlsx_source": q_xlsx_source,
     "zip_source": q_zip_source,
     "stream_enrichment": q_stream_enrichment,
+    "month_selection": q_month_selection,
+    "bad_cells_csv": q_bad_cells_csv,
+    "glob_csv": q_glob_csv,
+    "head": q_head,
+    "distinct_list": q_distinct_list,
+    "custom_colour": q_custom_colour,
+    "sample_n_large": q_sample_n_large,
+    "quantiles_bucketed": q_quantiles_bucketed,
+    "predict_fixed": q_predict_fixed,
+    "newton_gradient": q_newton_gradient,
 }

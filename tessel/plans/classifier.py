@@ -37,6 +37,7 @@ def train_classifier(data: DataFrame, label: str = "Outcome", features=None,
     """
     features = list(features) if features else [c for c in data.columns
                                                 if c != label and c not in (key_cols or [])]
+    data = materialize(data, "classifier-input")  # the split reads it several times
     # written once: the fit, its row count and the scoring of the test part all read it
     split = materialize(ml.stratified_split(data, label, test_size, seed, key_cols=key_cols),
                         "split")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions import dates, scalars
 from tessel.operators import aggregate, clean, dedup, joins, ordering
+from tessel.session import materialize
 
 # Column names and labels of the dashboard tables.
 FLIGHT_RENAMES = {"Origin": "IATA_ORIGIN", "Dest": "IATA_DEST",
@@ -129,9 +130,11 @@ def route_layer(routes: DataFrame, by_month: bool = True) -> DataFrame:
     largest route count of the same month (of the whole table when not by month).
     """
     if by_month:
-        # the route table is already aggregated: one month of routes per window partition,
-        # and no second pass over the flights (a self-join would recompute them)
-        df = routes.withColumn("_max_total", F.max("total").over(Window.partitionBy(*MONTH)))
+        # a row per month: partial maxima, then a join the planner broadcasts when small
+        top = (routes.groupBy(*MONTH).agg(F.max("total").alias("_max_total"))
+               .withColumnsRenamed({"Year": "_year", "Month": "_month"}))
+        same = F.col("Year").eqNullSafe(F.col("_year")) & F.col("Month").eqNullSafe(F.col("_month"))
+        df = routes.join(top, same).drop("_year", "_month")
     else:
         df = routes.withColumn("_max_total", routes.select(F.max("total")).scalar())
     weight = scalars.clamp(F.col("total") / F.col("_max_total") * 4.0, 0.5, 5.0)
@@ -212,21 +215,43 @@ def count_top_k(df: DataFrame, keys=("FlightDate", "OriginStateName"), k: int =
 
 def route_analysis(enriched: DataFrame, year: int | None = None, month: int | None = None,
                    origin: str | None = None, dest: str | None = None, k: int = 10) -> dict:
-    """W2: every table behind the route dashboard for one selection, as lazy DataFrames.
-
-    With ``year`` and ``month`` given the tables cover that month (no month
-    keys); with both ``None`` they cover every month, keyed by ``Year, Month``.
+    """W2: every table behind the route dashboard for one selection.
+
+    With ``year`` and ``month`` given the tables cover that month (no month keys) and
+    ``label`` is its ``yyyy-MM`` text; with both ``None`` they cover every month, keyed by
+    ``Year, Month``.  One of the two alone raises: it would pool unlabelled months.
+    Two passes over the flights: the route table (AGG1) is written once and every table but
+    the daily series is derived from it.  ``filter_options`` offers every year and month,
+    ``route_options`` every origin and destination of the chosen month (of each month).
     """
-    by_month = year is None and month is None
-    df = select_month(enriched, year, month, origin, dest)
-    routes = route_counts(df, by_month)
-    return {
-        "routes": route_layer(routes, by_month),
-        "markers": airport_markers(routes, by_month),
-        "top_origin": top_airport(df, "origin", by_month),
-        "top_dest": top_airport(df, "dest", by_month),
-        "top_routes": top_routes(routes, k, by_month),
-        "carrier_share": carrier_share(routes, by_month),
-        "daily": daily_series(df),
-        "total": aggregate.count_rows_by(df, MONTH if by_month else [], "total_flights"),
+    if (year is None) != (month is None):
+        raise ValueError("give both year and month, or neither")
+    by_month = year is None
+    every = materialize(route_counts(enriched, True), "routes")
+    in_month = select_month(every, year, month)
+    routes = select_month(in_month, None, None, origin, dest)
+    shown = routes if by_month else routes.drop(*MONTH)
+    keys = MONTH if by_month else []
+
+    def busiest(role: str) -> DataFrame:
+        col = "IATA_ORIGIN" if role == "origin" else "IATA_DEST"
+        counts = aggregate.sum_by(shown, keys + [col], "total").withColumnRenamed("total", "count")
+        return (ordering.argmax_by_group(counts, keys, col, "count") if keys
+                else ordering.top_k(counts, "count", 1, [col]))
+
+    total = F.coalesce(F.sum("total"), F.lit(0)).alias("total_flights")
+    out = {
+        "routes": route_layer(shown, by_month),
+        "markers": airport_markers(shown, by_month),
+        "top_origin": busiest("origin"),
+        "top_dest": busiest("dest"),
+        "top_routes": top_routes(shown, k, by_month),
+        "carrier_share": carrier_share(shown, by_month),
+        "daily": daily_series(select_month(enriched, year, month, origin, dest)),
+        "total": shown.groupBy(*keys).agg(total) if keys else shown.agg(total),
+        "filter_options": filter_options(every),
+        "route_options": route_options(in_month),
     }
+    if not by_month:
+        out["label"] = out["total"].select(scalars.year_month_label(F.lit(year), F.lit(month)).alias("label"))
+    return out

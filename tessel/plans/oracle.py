@@ -140,6 +140,10 @@ CLINICAL_TYPES = ["bigint", "int", "double", "double", "double", "double", "int"
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+#: An integer column with NULLs and values above 2**53.
+LARGE_ID = "CAST(CASE WHEN customer_id % 7 <> 0 THEN customer_id + 9007199254740993 END AS VARCHAR) AS large_id"
+
+
 def _union(parts) -> str:
     return "\nUNION ALL\n".join(parts)
 
@@ -182,7 +186,7 @@ def _size_sql() -> str:
 
 
 def _corr_sql() -> str:
-    cols = FEATURES + ["Outcome"]
+    cols = CLINICAL_NUMERIC
     parts = []
     for a in cols:
         for b in cols:
@@ -262,7 +266,7 @@ def _profile_numeric_sql() -> str:
     for c, t in (("AirportID", "bigint"), ("Altitude", "double")):
         parts.append(
             f"SELECT '{c}' AS \"column\", '{t}' AS dtype, "
-            f"CAST(count(DISTINCT CAST({c} AS DOUBLE)) AS BIGINT) AS n_unique, "
+            f"CAST(count(DISTINCT {c}) AS BIGINT) AS n_unique, "
             f"CAST(count(*) - count({c}) AS BIGINT) AS n_missing, "
             f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM airports_wide")
     return _with(AIRPORTS_WIDE, _union(parts))
@@ -374,12 +378,14 @@ SELECT DISTINCT Year, Month, 'dest', IATA_DEST FROM enriched"""),
     "route_counts": _with(FLIGHTS, "SELECT * FROM routes"),
 
     "route_layer": _with(FLIGHTS, """
-SELECT r.*, greatest(0.5, least(5.0, r.total / m.max_total * 4.0)) AS weight
+SELECT r.*, greatest(0.5, least(5.0, r.total / m.max_total * 4.0)) AS weight,
+       replace(CAST([[OriginLat, OriginLon], [DestLat, DestLon]] AS VARCHAR), ' ', '') AS path
 FROM routes r JOIN (SELECT Year, Month, max(total) AS max_total FROM routes GROUP BY ALL) m
   USING (Year, Month)"""),
 
     "airport_markers": _with(FLIGHTS, """
-SELECT Year, Month, IATA, min_row.lat AS lat, min_row.lon AS lon FROM (
+SELECT Year, Month, IATA, min_row.lat AS lat, min_row.lon AS lon,
+       replace(CAST([min_row.lat, min_row.lon] AS VARCHAR), ' ', '') AS location FROM (
   SELECT Year, Month, IATA, min({'lat': lat, 'lon': lon}) AS min_row FROM (
     SELECT Year, Month, IATA_ORIGIN AS IATA, OriginLat AS lat, OriginLon AS lon FROM routes
     UNION ALL
@@ -512,15 +518,53 @@ SELECT round(sum(fp * (tps - tp / 2.0)) / (sum(tp) * sum(fp)), 12) AS auc FROM c
 SELECT AirportID, Name, City, Country, CASE WHEN IATA = '\N' THEN NULL ELSE IATA END AS IATA,
        Altitude FROM airports_wide"""),
 
-    "json_source": _with(SHOP, "SELECT * FROM customers_s"),
+    "json_source": _with(SHOP, f"SELECT *, {LARGE_ID} FROM customers_s"),
+
+    "xlsx_source": _with(SHOP, f"SELECT *, {LARGE_ID} FROM customers_s"),
+
+    "zip_source": _with(SHOP, f"""
+SELECT customer_city || ',' || chr(10) || '"' || customer_id || '"' AS note, {LARGE_ID},
+       customer_zip_code_prefix, customer_id, CAST(NULL AS DOUBLE) AS unused FROM customers_s"""),
+
+    "month_selection": _with(FLIGHTS, """
+SELECT * FROM enriched WHERE Year = 1995 AND Month = 3 AND IATA_ORIGIN = 'NATION_7'"""),
+
+    "bad_cells_csv": _with(AIRPORTS_WIDE, """
+SELECT CAST(CASE WHEN AirportID % 11 <> 0 THEN AirportID END AS VARCHAR) AS AirportID, Name, City, Country, IATA,
+       Altitude FROM airports_wide"""),
+
+    "glob_csv": _with(SHOP, "SELECT * FROM customers_s"),
+
+    "head": _with(SHOP, "SELECT * FROM customers_s ORDER BY customer_city DESC, customer_id LIMIT 7"),
+
+    "distinct_list": _with(AIRPORTS_WIDE, """
+SELECT CAST(row_number() OVER (ORDER BY Country) - 1 AS INT) AS position, Country AS value
+FROM (SELECT DISTINCT Country FROM airports_wide)"""),
+
+    "custom_colour": _with(FLIGHTS, """
+SELECT DISTINCT Origin, Reporting_Airline, '#' || upper(substr(md5(reverse(Origin)), 1, 6)) AS color
+FROM flights"""),
+
+    "sample_n_large": _with(CLINICAL, """
+SELECT l_orderkey, l_linenumber FROM clinical
+ORDER BY md5('42|' || l_orderkey || '|' || l_linenumber), l_orderkey, l_linenumber LIMIT 12345"""),
+
+    "quantiles_bucketed": _with(CLINICAL, _union([
+        f"SELECT '{c}' AS \"column\", CAST({p} AS DOUBLE) AS p, "
+        f"round(quantile_cont(CAST({c} AS DOUBLE), {p}), 6) AS quantile FROM clinical"
+        for c in ("l_extendedprice", "l_quantity") for p in (0.1, 0.5, 0.99)])),
 
-    "xlsx_source": _with(SHOP, "SELECT * FROM customers_s"),
+    "predict_fixed": _with(CLINICAL, """
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+       Outcome AS "real_Outcome", CAST(p > 0.5 AS INT) AS predicted,
+       round_even(p, 4) AS "probability (y=1)",
+       CASE WHEN Outcome = CAST(p > 0.5 AS INT) THEN 'Correcto' ELSE 'Incorrecto' END AS "Error"
+FROM (SELECT *, 1.0 / (1.0 + exp(-(0.02 * l_quantity - 0.00001 * l_extendedprice + 1.5 * l_discount
+                                   - 2.0 * l_tax - 0.75))) AS p FROM clinical)
+ORDER BY round_even(p, 4) DESC, l_orderkey, l_linenumber LIMIT 20"""),
 
-    "zip_source": _with(FLIGHTS.replace(
-        "so.n_name AS Origin, so.r_name AS OriginStateName, cd.n_name AS Dest",
-        "l_linenumber AS Flight_Number_Reporting_Airline, so.n_name AS Origin, "
-        "so.r_name AS OriginStateName, cd.n_name AS Dest, l_quantity AS Distance"),
-        "SELECT * FROM flights"),
+    "newton_gradient": _union([f"SELECT '{c}' AS weight, CAST(0.0 AS DOUBLE) AS gradient"
+                               for c in [*FEATURES, "intercept"]]),
 
     "items_per_order": _with(SHOP, """
 SELECT order_id, total_products, round(total_sales, 2) AS total_sales FROM items_agg"""),
@@ -535,7 +579,7 @@ SELECT order_id, total_products, round(total_sales, 2) AS total_sales FROM items
 SELECT o.* EXCLUDE (total_products, total_sales),
        CAST(o.total_products AS DOUBLE) AS total_products,
        round(o.total_sales, 2) AS total_sales,
-       c.* EXCLUDE (customer_id, line_no), CAST(c.line_no AS DOUBLE) AS line_no
+       c.* EXCLUDE (customer_id, line_no)
 FROM (SELECT d.*, i.total_products, i.total_sales
       FROM orders_delay d LEFT JOIN items_agg i USING (order_id)) o
 LEFT JOIN (

@@ -87,5 +87,8 @@ def consolidate_orders(orders: DataFrame, items: DataFrame, customers: DataFrame
     totals = item_totals(items)
     prepared = order_delay(order_dates(orders, timestamp_format), missing_label=missing_label)
     orders_totals = joins.left_join(prepared, totals, on="order_id", broadcast_max_rows=None)
-    cust = customers_with_state(customers, unique_geolocations(geolocations, geo_order), states)
+    geo = unique_geolocations(geolocations, geo_order)
+    if isinstance(geo_order, str):
+        geo = geo.drop(geo_order)  # only told the first row per zip prefix
+    cust = customers_with_state(customers, geo, states)
     return joins.left_join(orders_totals, cust, on="customer_id", broadcast_max_rows=None)

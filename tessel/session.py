@@ -68,14 +68,17 @@ def get_session(master: str | None = None, app_name: str = "tessel",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting is always used.  Only when nothing is configured
-    (unit tests on one machine) is a local temporary folder created and
-    registered, so that ``DataFrame.checkpoint()`` works there too.
+    The cluster's setting is always used.  Only when nothing is configured and
+    the master is local (unit tests on one machine) is a temporary folder created
+    and registered, so that ``DataFrame.checkpoint()`` works there too; on a
+    cluster an unset folder raises, since executors do not share local disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tessel-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:

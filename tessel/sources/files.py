@@ -39,23 +39,13 @@ def read_csv(spark: SparkSession, path, schema, header: bool = True, sep: str =
     filters and aggregates treat it as missing, as the dataframe code did.
     ``by_name``: the schema names a subset of the header's columns, in any order
     (a wide file such as the monthly flight files); they are taken by name from
-    the header and cast leniently.  Otherwise the schema describes every column
+    each file's own header and cast leniently.  Otherwise the schema describes every column
     in file order (Spark maps a given schema to columns by position).
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     if by_name and header:
-        text = (spark.read.option("header", True).option("sep", sep).option("quote", '"')
-                .option("escape", '"').option("mode", "PERMISSIVE"))
-        if null_value is not None:
-            text = text.option("nullValue", null_value)
-        raw = text.csv(path)
-        missing = [f.name for f in schema.fields if f.name not in raw.columns]
-        if missing:
-            raise ValueError(f"columns not in the file header: {missing}")
-        df = raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name)
-                          if not isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
-                          for f in schema.fields])
+        df = _read_by_name(spark, path, schema, sep, null_value, timestamp_format)
         return _missing_values(df, schema, nan_as_null, extra_null_tokens)
     # RFC 4180 quoting: a quote inside a quoted field is doubled ("")
     reader = (spark.read.schema(schema).option("header", header).option("sep", sep)
@@ -68,6 +58,53 @@ def read_csv(spark: SparkSession, path, schema, header: bool = True, sep: str =
     return _missing_values(df, schema, nan_as_null, extra_null_tokens)
 
 
+def _header_lines(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
+    """Files by their first line, read through Hadoop (any file system, compressed or not)."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    out: dict[str, list[str]] = {}
+    for f in files:
+        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
+        stream, codec = p.getFileSystem(conf).open(p), codecs.getCodec(p)
+        if codec is not None:
+            stream = codec.createInputStream(stream)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        out.setdefault(reader.readLine() or "", []).append(f)
+        reader.close()
+    return out
+
+
+def _read_by_name(spark, path, schema, sep, null_value, timestamp_format) -> DataFrame:
+    """Columns of ``schema`` by header name; files are read in groups of equal headers, since
+    Spark applies one file's header to all files of a read by position."""
+    reader = (spark.read.option("header", True).option("sep", sep).option("quote", '"')
+              .option("escape", '"').option("mode", "PERMISSIVE"))
+    if null_value is not None:
+        reader = reader.option("nullValue", null_value)
+
+    def typed(f):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.TimestampType) and timestamp_format:
+            return F.try_to_timestamp(c, F.lit(timestamp_format)).alias(f.name)
+        return c if isinstance(f.dataType, T.StringType) else c.try_cast(f.dataType).alias(f.name)
+
+    parts = []
+    for line, group in _header_lines(spark, spark.read.text(path).inputFiles()).items():
+        if not line:
+            continue  # an empty file
+        raw = reader.csv(group)
+        missing = [f.name for f in schema.fields if f.name not in raw.columns]
+        if missing:
+            raise ValueError(f"columns not in the header of {group[0]}: {missing}")
+        parts.append(raw.select(*[typed(f) for f in schema.fields]))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _missing_values(df: DataFrame, schema: T.StructType, nan_as_null: bool,
                     extra_null_tokens) -> DataFrame:
     if nan_as_null:

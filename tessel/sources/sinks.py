@@ -7,14 +7,8 @@ bound first instead of trusting the caller.
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import DataFrame
 
-DRIVER_MAX_ROWS = 100_000
-
-
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite",
               null_value: str | None = None, single_file: bool = False) -> None:
     """SNK1 / SNK2: CSV with a header and no index column.
@@ -37,33 +31,9 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     w.parquet(path)
 
 
-def write_json_records(df: DataFrame, folder: str) -> int:
-    """Write ``df`` as JSON arrays of records, one file per partition, into ``folder`` (a path
-    every task can write) - the layout :func:`tessel.sources.files.read_json_records` reads.
-    Returns the number of files."""
-    import uuid
-
-    import pandas as pd
-
-    local = folder[len("file:"):] if folder.startswith("file:") else folder
-
-    def write(batches):
-        frames = [b for b in batches]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        os.makedirs(local, exist_ok=True)
-        name = os.path.join(local, f"part-{uuid.uuid4().hex}.json")
-        records = json.loads(pdf.to_json(orient="records", date_format="iso"))
-        with open(name, "w", encoding="utf-8") as fh:
-            json.dump(records, fh, ensure_ascii=False, indent=1)
-        yield pd.DataFrame({"file": [name], "rows": [len(pdf)]})
-
-    return df.mapInPandas(write, "file string, rows long").count()
-
-
-def to_pandas_small(df: DataFrame, max_rows: int = DRIVER_MAX_ROWS):
-    """SNK3: a reduced result as pandas, refusing anything above ``max_rows`` rows."""
+def to_pandas_small(df: DataFrame, max_rows: int):
+    """SNK3: a reduced result as pandas; raises if it has more rows than the caller's bound.
+    The whole result is ``df`` itself."""
     head = df.limit(max_rows + 1).toPandas()
     if len(head) > max_rows:
         raise ValueError(f"result has more than {max_rows} rows; aggregate or limit it first")
@@ -78,8 +48,9 @@ def scalar(df: DataFrame):
     return rows[0][0]
 
 
-def distinct_list(df: DataFrame, col: str, max_values: int = DRIVER_MAX_ROWS) -> list:
-    """SNK5: sorted distinct values of a column as a Python list (bounded)."""
+def distinct_list(df: DataFrame, col: str, max_values: int) -> list:
+    """SNK5: sorted distinct values of a column as a Python list; raises above the caller's
+    bound.  The whole result is ``df.select(col).distinct()``."""
     pdf = to_pandas_small(df.select(col).distinct().orderBy(col), max_values)
     return pdf[col].tolist()
 

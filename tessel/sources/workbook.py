@@ -109,90 +109,3 @@ def read_workbooks(spark: SparkSession, path: str, schema, header: bool = True,
     return text.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name)
                          if not isinstance(f.dataType, T.StringType) else F.col(f.name)
                          for f in schema.fields])
-
-
-def _cell_xml(ref: str, value) -> str:
-    if value is None or (isinstance(value, float) and value != value):
-        return ""
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
-        return f'<c r="{ref}"><v>{value!r}</v></c>'
-    text = (str(value).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
-    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
-
-
-def _col_letters(i: int) -> str:
-    s = ""
-    i += 1
-    while i:
-        i, r = divmod(i - 1, 26)
-        s = chr(65 + r) + s
-    return s
-
-
-def workbook_bytes(pdf: pd.DataFrame) -> bytes:
-    """A minimal single-sheet ``.xlsx`` (header row + values) for a pandas frame."""
-    rows = [list(pdf.columns)] + pdf.astype(object).values.tolist()
-    sheet_rows = []
-    for ri, row in enumerate(rows, start=1):
-        cells = "".join(_cell_xml(f"{_col_letters(ci)}{ri}",
-                                  v.item() if hasattr(v, "item") else v)
-                        for ci, v in enumerate(row))
-        sheet_rows.append(f'<row r="{ri}">{cells}</row>')
-    sheet = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-             f'<worksheet xmlns="{NS["m"]}"><sheetData>{"".join(sheet_rows)}</sheetData>'
-             '</worksheet>')
-    parts = {
-        "[Content_Types].xml":
-            '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-            '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
-            '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.'
-            'relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
-            '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-'
-            'officedocument.spreadsheetml.sheet.main+xml"/>'
-            '<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.'
-            'openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
-        "_rels/.rels":
-            '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-            '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
-            '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/'
-            'relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml":
-            '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-            f'<workbook xmlns="{NS["m"]}" xmlns:r="http://schemas.openxmlformats.org/'
-            'officeDocument/2006/relationships"><sheets><sheet name="Sheet1" sheetId="1" '
-            'r:id="rId1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels":
-            '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-            '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
-            '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/'
-            'relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": sheet,
-    }
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in parts.items():
-            z.writestr(name, text)
-    return buf.getvalue()
-
-
-def write_workbooks(df: DataFrame, folder: str) -> int:
-    """Write ``df`` as one workbook per partition into ``folder`` (a path every task can
-    write, e.g. a mounted shared folder); returns the number of workbooks written."""
-    import os
-    import uuid
-
-    local = folder[len("file:"):] if folder.startswith("file:") else folder
-
-    def write(batches):
-        frames = [b for b in batches]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        os.makedirs(local, exist_ok=True)
-        name = os.path.join(local, f"part-{uuid.uuid4().hex}.xlsx")
-        with open(name, "wb") as fh:
-            fh.write(workbook_bytes(pdf))
-        yield pd.DataFrame({"file": [name], "rows": [len(pdf)]})
-
-    written = df.mapInPandas(write, "file string, rows long")
-    return written.count()

@@ -1,15 +1,15 @@
 """CSV members of zip archives (SRC10) - the monthly download format of the flight data.
 
-``binaryFile`` reads each archive (any Hadoop file system); a
-``mapInPandas`` task opens it with the standard library and streams the
-lines of every member matching ``member_glob`` (directories inside the
-archive are ignored, like ``unzip -j``); ``from_csv`` then parses each line
-with the given schema JVM-side.  Header lines are dropped per member.  One
-task per archive, parallel across archives.
+``binaryFile`` reads each archive (any Hadoop file system); a ``mapInPandas`` task opens it
+with the standard library and parses the records of every member matching ``member_glob``
+(directories inside the archive are ignored, like ``unzip -j``), quoted newlines included.
+Fields come by header name as text; Spark casts them leniently.  One task per archive,
+parallel across archives; a task holds its archive (compressed) in memory.
 """
 
 from __future__ import annotations
 
+import csv
 import fnmatch
 import io
 import os
@@ -20,85 +20,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LINES_PER_BATCH = 50_000
+from tessel.sources.files import _missing_values
 
+RECORDS_PER_BATCH = 20_000
 
-def archive_lines(spark: SparkSession, path: str, member_glob: str = "*.csv",
-                  glob: str = "*.zip", encoding: str = "utf-8") -> DataFrame:
-    """Rows ``(archive, member, line_no, line)`` for every member line (line_no from 0)."""
 
-    def explode(batches):
-        for pdf in batches:
-            for archive, data in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
-                    for info in z.infolist():
-                        base = os.path.basename(info.filename)
-                        if info.is_dir() or not fnmatch.fnmatch(base, member_glob):
-                            continue
-                        with z.open(info) as fh:
-                            text = io.TextIOWrapper(fh, encoding=encoding, newline="")
-                            buf, start = [], 0
-                            for i, line in enumerate(text):
-                                buf.append(line.rstrip("\r\n"))
-                                if len(buf) >= LINES_PER_BATCH:
-                                    yield pd.DataFrame({"archive": archive, "member": base,
-                                                        "line_no": range(start, start + len(buf)),
-                                                        "line": buf})
-                                    start += len(buf)
-                                    buf = []
-                            if buf:
-                                yield pd.DataFrame({"archive": archive, "member": base,
-                                                    "line_no": range(start, start + len(buf)),
-                                                    "line": buf})
-
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", True).load(path).select("path", "content"))
-    return files.mapInPandas(explode, "archive string, member string, line_no long, line string")
+def _members(data: bytes, member_glob: str, encoding: str):
+    """Text streams of the matching members, by name."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        for info in z.infolist():
+            base = os.path.basename(info.filename)
+            if not info.is_dir() and fnmatch.fnmatch(base, member_glob):
+                with z.open(info) as fh:
+                    yield base, io.TextIOWrapper(fh, encoding=encoding, newline="")
 
 
 def read_zipped_csv(spark: SparkSession, path: str, schema, header: bool = True,
-                    member_glob: str = "*.csv", sep: str = ",",
-                    null_value: str | None = None) -> DataFrame:
-    """SRC10: every CSV member of every archive under ``path`` as one typed table."""
+                    member_glob: str = "*.csv", sep: str = ",", null_value: str | None = None,
+                    nan_as_null: bool = True, glob: str = "*.zip", encoding: str = "utf-8") -> DataFrame:
+    """SRC10: every CSV member of every archive under ``path`` as one typed table.
+
+    With ``header`` the schema names any of the members' columns, in any order (each member's
+    own header counts; a member without one of them raises); otherwise it lists all columns by
+    position.  Short records are padded with NULL; bad cells become NULL; ``NaN`` is missing
+    (``nan_as_null``), as in :func:`tessel.sources.files.read_csv`.
+    """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    lines = archive_lines(spark, path, member_glob)
-    if header:
-        lines = lines.where(F.col("line_no") > 0)
-    opts = {"sep": sep, "mode": "PERMISSIVE", "quote": '"', "escape": '"'}
-    if null_value is not None:
-        opts["nullValue"] = null_value
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    parsed = lines.where(F.length("line") > 0).select(F.from_csv("line", ddl, opts).alias("r"))
-    return parsed.select("r.*")
-
+    names = [f.name for f in schema.fields]
 
-def write_zipped_csv(df: DataFrame, folder: str, header: bool = True) -> int:
-    """Write ``df`` as CSV, one zip archive (one member) per partition, into ``folder``
-    (a path every task can write); returns the number of archives."""
-    import csv
-    import uuid
-
-    local = folder[len("file:"):] if folder.startswith("file:") else folder
-    cols = df.columns
-
-    def write(batches):
-        frames = [b for b in batches]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        os.makedirs(local, exist_ok=True)
-        sio = io.StringIO()
-        w = csv.writer(sio, lineterminator="\n")
-        if header:
-            w.writerow(cols)
-        for row in pdf.itertuples(index=False, name=None):
-            w.writerow(["" if (v is None or (isinstance(v, float) and v != v)) else v
-                        for v in row])
-        stem = uuid.uuid4().hex
-        name = os.path.join(local, f"archive-{stem}.zip")
-        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr(f"data/part-{stem}.csv", sio.getvalue())
-        yield pd.DataFrame({"file": [name], "rows": [len(pdf)]})
+    def records(batches):
+        for pdf in batches:
+            for data in pdf["content"]:
+                for base, text in _members(bytes(data), member_glob, encoding):
+                    rows = csv.reader(text, delimiter=sep)
+                    at = list(range(len(names)))
+                    if header:
+                        head = next(rows, None)
+                        if head is None:
+                            continue
+                        lost = [n for n in names if n not in head]
+                        if lost:
+                            raise ValueError(f"columns not in the header of {base}: {lost}")
+                        at = [head.index(n) for n in names]
+                    out = []
+                    for r in rows:
+                        if not r:
+                            continue  # an empty line
+                        out.append([r[i] if i < len(r) and r[i] not in ("", null_value) else None for i in at])
+                        if len(out) >= RECORDS_PER_BATCH:
+                            yield pd.DataFrame(out, columns=names, dtype=object)
+                            out = []
+                    if out:
+                        yield pd.DataFrame(out, columns=names, dtype=object)
 
-    return df.mapInPandas(write, "file string, rows long").count()
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+             .option("recursiveFileLookup", True).load(path).select("content"))
+    text = files.mapInPandas(records, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    typed = text.select(*[F.col(f"`{f.name}`") if isinstance(f.dataType, T.StringType)
+                          else F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    return _missing_values(typed, schema, nan_as_null, ())

@@ -33,8 +33,11 @@ def read_flight_files(spark: SparkSession, folder: str, schema, max_files_per_tr
 
 def enrich_stream(flights_stream: DataFrame, airports: DataFrame,
                   date_format: str | None = None) -> DataFrame:
-    """Stream-static form of :func:`tessel.plans.flights.enrich_flights` (same plan)."""
-    return fl.enrich_flights(flights_stream, airports, date_format)
+    """Stream-static form of :func:`tessel.plans.flights.enrich_flights`.
+
+    No broadcast hint: it would outlive the size check while the dimension grows; each
+    micro-batch's planner decides from the dimension's current size."""
+    return fl.enrich_flights(flights_stream, airports, date_format, broadcast_max_rows=None)
 
 
 def run_enrichment(flights_stream: DataFrame, airports: DataFrame, out_path: str,

@@ -25,7 +25,8 @@ def rows(df, order=None):
 
 
 def plan_of(df) -> str:
-    """The executed physical plan (after adaptive re-planning)."""
-    df.write.format("noop").mode("overwrite").save()
+    """The physical plan that ran (after adaptive re-planning): the DataFrame itself is collected,
+    since a write would execute another plan."""
+    df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     return plan.split("== Initial Plan ==")[0]

@@ -4,6 +4,7 @@ import os
 import tempfile
 
 from conftest import SF001
+from tessel.plans import staging
 from tessel import cli
 from tessel.plans import standins as si
 from tessel.sources import sinks, workbook
@@ -29,16 +30,16 @@ def test_cli_jobs(spark):
     top = spark.read.option("header", True).csv(os.path.join(root, "top")).collect()
     assert [(r.FlightDate, r.OriginStateName, r.len) for r in top] == [("2024-02-01", "TX", "2")]
 
-    workbook.write_workbooks(si.customers(spark, SF001), os.path.join(root, "cust"))
+    staging.write_workbooks(si.customers(spark, SF001), os.path.join(root, "cust"))
     sinks.write_csv(si.order_items(spark, SF001).select("order_id", "order_item_id", "price"),
                     os.path.join(root, "items"))
     sinks.write_csv(si.orders(spark, SF001).drop("order_status"), os.path.join(root, "orders"))
     sinks.write_csv(si.geolocations(spark, SF001).orderBy("line_no").select(
         "geolocation_zip_code_prefix", "geolocation_state").coalesce(1), os.path.join(root, "geo"))
-    sinks.write_json_records(si.states(spark, SF001), os.path.join(root, "states"))
+    staging.write_json_records(si.states(spark, SF001), os.path.join(root, "states"))
     cli.main(["consolidate-orders", "--orders", os.path.join(root, "orders"),
               "--items", os.path.join(root, "items"), "--customers", os.path.join(root, "cust"),
               "--geolocations", os.path.join(root, "geo"), "--states", os.path.join(root, "states"),
               "--out", os.path.join(root, "c")])
-    out = spark.read.parquet(os.path.join(root, "c"))
+    out = spark.read.option("header", True).csv(os.path.join(root, "c"))
     assert out.count() == 1500 and "delay_status" in out.columns and "state" in out.columns

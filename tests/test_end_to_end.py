@@ -6,6 +6,7 @@ import tempfile
 import pandas as pd
 
 from conftest import SF001
+from tessel.plans import staging
 from tessel.plans import flights as fl
 from tessel.plans import orders as od
 from tessel.plans import standins as si
@@ -60,12 +61,12 @@ def test_flights_from_files_to_month_dashboard(spark):
 def test_orders_from_files_to_consolidated_csv(spark):
     root = tempfile.mkdtemp(prefix="tessel-e2e-")
     d = SF001
-    workbook.write_workbooks(si.customers(spark, d), os.path.join(root, "customers"))
+    staging.write_workbooks(si.customers(spark, d), os.path.join(root, "customers"))
     sinks.write_csv(si.geolocations(spark, d).orderBy("line_no").coalesce(1),
                     os.path.join(root, "geo"))
     sinks.write_csv(si.order_items(spark, d), os.path.join(root, "items"))
     sinks.write_csv(si.orders(spark, d), os.path.join(root, "orders"))
-    sinks.write_json_records(si.states(spark, d), os.path.join(root, "states"))
+    staging.write_json_records(si.states(spark, d), os.path.join(root, "states"))
 
     customers = workbook.read_workbooks(
         spark, os.path.join(root, "customers"),

@@ -7,6 +7,7 @@ import zipfile
 import pytest
 
 from conftest import rows
+from tessel.plans import staging
 from tessel.session import shared_dir
 from tessel.sources import files, sinks, workbook, zipped
 
@@ -59,7 +60,7 @@ def test_csv_sink_and_json_records_round_trip(spark, scratch):
     back = files.read_csv(spark, out, "id long, s string, v double")
     assert rows(back) == rows(df)
     jdir = os.path.join(scratch, "json")
-    sinks.write_json_records(df, jdir)
+    staging.write_json_records(df, jdir)
     jb = files.read_json_records(spark, jdir, "id long, s string, v double")
     assert rows(jb) == rows(df)
 
@@ -67,7 +68,7 @@ def test_csv_sink_and_json_records_round_trip(spark, scratch):
 def test_workbook_round_trip_keeps_text_codes(spark, scratch):
     df = spark.createDataFrame([(1, "01001", "São Paulo & <Rio>"), (2, "00007", None)],
                                "customer_id long, zip string, city string")
-    n = workbook.write_workbooks(df.repartition(2), scratch)
+    n = staging.write_workbooks(df.repartition(2), scratch)
     assert n >= 1
     back = workbook.read_workbooks(spark, scratch, "customer_id bigint, zip string, city string")
     assert rows(back) == rows(df)
@@ -93,15 +94,18 @@ def test_workbook_parser_shared_strings():
 
 def test_zipped_csv_members_and_directories(spark, scratch):
     df = spark.createDataFrame([(i, f"n{i}") for i in range(25)], "id long, name string")
-    n = zipped.write_zipped_csv(df.repartition(3), scratch)
+    n = staging.write_zipped_csv(df.repartition(3), scratch)
     assert n == 3
     with zipfile.ZipFile(os.path.join(scratch, "extra.zip"), "w") as z:
         z.writestr("nested/dir/more.csv", "id,name\n100,deep\n")
         z.writestr("readme.txt", "not a csv\n")
     back = zipped.read_zipped_csv(spark, scratch, "id long, name string")
     assert back.count() == 26 and back.where("name = 'deep'").count() == 1
-    lines = zipped.archive_lines(spark, scratch)
-    assert lines.where("member = 'readme.txt'").count() == 0
+    with zipfile.ZipFile(os.path.join(scratch, "more.zip"), "w") as z:
+        z.writestr("a.csv", 'name,extra,id\n"two\nlines, ""q""",NaN,9007199254740993\n"",x,bad\nshort\n')
+    back = zipped.read_zipped_csv(spark, scratch, "id long, name string", glob="more.zip")
+    assert rows(back) == rows(spark.createDataFrame([(9007199254740993, 'two\nlines, "q"'), (None, None), (None, "short")], "id long, name string"))
+    assert rows(zipped.read_zipped_csv(spark, scratch, "extra double", glob="more.zip")) == [(None,)] * 3
 
 
 def test_driver_hand_off_is_bounded(spark):
@@ -110,7 +114,7 @@ def test_driver_hand_off_is_bounded(spark):
     with pytest.raises(ValueError):
         sinks.to_pandas_small(df, 9)
     assert sinks.scalar(df.selectExpr("max(id)")) == 9
-    assert sinks.distinct_list(spark.createDataFrame([(3,), (1,), (3,)], "x int"), "x") == [1, 3]
+    assert sinks.distinct_list(spark.createDataFrame([(3,), (1,), (3,)], "x int"), "x", 5) == [1, 3]
 
 
 def test_keep_and_shared_dir(spark, scratch):
@@ -141,6 +145,31 @@ def test_json_lines_mode(spark, scratch):
         (1, "a"), (2, None)]
 
 
+def test_staged_integers_survive_nulls_and_size(spark, scratch):
+    df = spark.createDataFrame([(1, "a"), (None, None), (9007199254740993, "b")], "id long, s string").coalesce(1)
+    staging.write_json_records(df, os.path.join(scratch, "j"))
+    staging.write_workbooks(df, os.path.join(scratch, "x"))
+    staging.write_zipped_csv(df, os.path.join(scratch, "z"))
+    for got in (files.read_json_records(spark, os.path.join(scratch, "j"), "id long, s string"),
+                workbook.read_workbooks(spark, os.path.join(scratch, "x"), "id bigint, s string"),
+                zipped.read_zipped_csv(spark, os.path.join(scratch, "z"), "id bigint, s string")):
+        assert rows(got) == rows(df)
+    with pytest.raises(ValueError):
+        staging.write_workbooks(df, "hdfs://host/x")
+
+
+def test_read_csv_by_name_over_files_with_other_headers(spark, scratch):
+    for name, text in (("a", "FlightDate,Origin,T\n2024-01-01,AAA,05/02/2024 10:00\n"), ("b", "Origin,T,FlightDate\nBBB,x,2024-02-01\n")):
+        with open(os.path.join(scratch, f"{name}.csv"), "w") as fh:
+            fh.write(text)
+    got = files.read_csv(spark, os.path.join(scratch, "*.csv"), "FlightDate string, Origin string, T timestamp", by_name=True, timestamp_format="dd/MM/yyyy HH:mm")
+    assert sorted((r.FlightDate, r.Origin, str(r["T"])) for r in got.collect()) == [("2024-01-01", "AAA", "2024-02-05 10:00:00"), ("2024-02-01", "BBB", "None")]
+    with open(os.path.join(scratch, "c.csv"), "w") as fh:
+        fh.write("Other\n1\n")
+    with pytest.raises(ValueError):
+        files.read_csv(spark, os.path.join(scratch, "*.csv"), "FlightDate string", by_name=True)
+
+
 def test_read_csv_by_name_from_a_wide_header(spark, scratch):
     path = os.path.join(scratch, "wide.csv")
     with open(path, "w") as fh:
