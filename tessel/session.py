@@ -103,10 +103,14 @@ def materialize(df, name: str = "table"):
     checkpoint root and read back: later reads do not re-run its plan, a lost
     executor does not force recomputation from the sources, and the planner
     sees the table's real size (so a small result can be broadcast safely).
+    The folder lives as long as the application and is deleted when it ends.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.parquet(path)
 
 
