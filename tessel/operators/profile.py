@@ -258,7 +258,28 @@ def pair_bins(df: DataFrame, cols, bins: int = 10) -> DataFrame:
     return counts.select(both.alias("p")).select("p.*")
 
 
-def column_profile(df: DataFrame, top: int = 2) -> DataFrame:
+def _approximate_profile(df: DataFrame, num: set, top: int) -> DataFrame:
+    """One code-generated aggregate, no shuffle of values: sketched distinct counts, exact
+    missing counts, minima and maxima; the most frequent values stay NULL."""
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, (c, t) in enumerate(df.dtypes):
+        x = nan_to_null(F.col(f"`{c}`")) if t in ("float", "double") else F.col(f"`{c}`")
+        key = x if c in num else x.cast("string")
+        aggs += [F.approx_count_distinct(key).alias(f"u{i}"), F.count(x).alias(f"n{i}")]
+        if c in num:
+            aggs += [F.min(_number(x)).alias(f"lo{i}"), F.max(_number(x)).alias(f"hi{i}")]
+    none = lambda kind: F.lit(None).cast(kind)
+    cells = []
+    for i, (c, t) in enumerate(df.dtypes):
+        tops = [e for k in range(1, top + 1) for e in (none("string").alias(f"top{k}"), none("bigint").alias(f"top{k}_count"))]
+        lo, hi = (F.col(f"lo{i}"), F.col(f"hi{i}")) if c in num else (none("double"), none("double"))
+        cells.append(F.struct(F.lit(c).alias("column"), F.lit(t).alias("dtype"), F.col(f"u{i}").alias("n_unique"),
+                              (F.col("rows") - F.col(f"n{i}")).alias("n_missing"), lo.alias("min"), hi.alias("max"),
+                              *tops, none("bigint").alias("others_count")))
+    return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+
+
+def column_profile(df: DataFrame, top: int = 2, exact: bool = True) -> DataFrame:
     """AGG24: per column: unique and missing counts; min / max of numbers; for other
     columns the ``top`` most frequent values (as text) with counts and the count of
     all others.
@@ -267,9 +288,12 @@ def column_profile(df: DataFrame, top: int = 2) -> DataFrame:
     others_count)``.  One scan of the table: every column is packed as a
     (text, number) pair, unpivoted, and its values counted once (partial
     aggregation, written once); all figures come from that table, and the top
-    values per column from a salted two-stage ranking.
+    values per column from a salted two-stage ranking.  ``exact=False`` shuffles no
+    values: distinct counts are sketched and the top values are left out.
     """
     num = set(numeric_columns(df))
+    if not exact:
+        return _approximate_profile(df, num, top)
     packed = []
     for c, t in df.dtypes:
         col = F.col(f"`{c}`")

@@ -63,6 +63,15 @@ def test_column_profile_tells_large_integers_apart(spark):
     assert (r["n_unique"], r["n_missing"]) == (2, 1)
 
 
+def test_approximate_profile_has_the_same_form(spark):
+    df = si.airports_wide(spark, SF001)
+    exact, rough = ({r["column"]: r for r in pf.column_profile(df, exact=e).collect()} for e in (True, False))
+    assert pf.column_profile(df).columns == pf.column_profile(df, exact=False).columns
+    for c, r in exact.items():
+        assert abs(rough[c]["n_unique"] - r["n_unique"]) <= 0.15 * r["n_unique"]
+        assert (rough[c]["n_missing"], rough[c]["min"], rough[c]["max"]) == (r["n_missing"], r["min"], r["max"])
+
+
 def test_auc_counts_do_not_overflow(spark):
     big = 4 * 10**9
     cum = spark.createDataFrame([(0.9, big, 0, big, 0), (0.1, 0, big, big, big)], "score double, tp long, fp long, tps long, fps long")
