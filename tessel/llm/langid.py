@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import col, free_name, materialize, prepare, runs, utf8
 
 CELLS = 1 << 14
-#: Most labelled rows (expected number, by hash of the id) that the text model is fitted on.
+#: Most labelled rows (expected number, by hash of id and text) that the text model is fitted on.
 SAMPLE_ROWS = 2000
 #: Most languages of the model: the most frequent of the sample with at least LEAST_ROWS rows.
 MOST_LANGUAGES, LEAST_ROWS = 64, 3
@@ -97,7 +97,7 @@ def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str) -> TextModel
     prepare(rows.sparkSession)
     rows = rows.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != ""))
     n = rows.count()
-    share = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(min(1.0, SAMPLE_ROWS / max(n, 1)) * (1 << 20))
+    share = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)) < int(min(1.0, SAMPLE_ROWS / max(n, 1)) * (1 << 20))
     sample = rows.where(share).select(F.lower(lang_col).alias("language"), F.col(text_col).cast("string").alias("text"))
     by = sample.groupBy("language").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS)
     languages = sorted(r["language"] for r in by.orderBy(F.desc("n"), "language").limit(MOST_LANGUAGES).collect())

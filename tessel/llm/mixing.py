@@ -11,7 +11,7 @@ meet in one task (blocks are bounded in tokens, the block table is what a window
 
 Defined cases: a document's tokens are its words plus one, so empty and null texts count one;
 a null source is a source of its own; rows with equal ids share a hash and stand or fall
-together; a single source gets weight 1; an empty table gives no rows.
+together (rows without an id by their text); a single source gets weight 1; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,10 +42,16 @@ def hash60(*parts: Column) -> Column:
 
 def slim_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     """Source key, document hash and tokens of every row."""
-    return docs.select(source_key(F.col(source_col)).alias("src"), hash60(F.lit(seed), F.col(id_col)).alias("h"),
+    return docs.select(source_key(F.col(source_col)).alias("src"), document_hash(F.col(id_col), F.col(text_col), seed).alias("h"),
                        token_count(F.col(text_col).cast("string")).alias("tokens"))
 
 
+def document_hash(id_: Column, text: Column, seed: int) -> Column:
+    """By the id; documents without one hash by their text, so they spread over the blocks."""
+    own = F.concat(F.lit("null:"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+    return hash60(F.lit(seed), F.coalesce(id_.cast("string"), own))
+
+
 def source_key(source: Column) -> Column:
     """Never null: '=' and the name, '~' for null."""
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("~"))
@@ -139,7 +145,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     w = materialize(weights(stats, entropy_share, most_epochs, budget_share, block_tokens), "mix-weights")
     blocks = materialize(plan(slim, w, seed).join(w.select("src", "n", "weight", "quota"), "src"), "mix-plan")
     row = F.struct(*[col(docs, c) for c in docs.columns])
-    keyed = docs.select(row.alias("row"), source_key(F.col(source_col)).alias("src"), hash60(F.lit(seed), F.col(id_col)).alias("h"),
+    keyed = docs.select(row.alias("row"), source_key(F.col(source_col)).alias("src"), document_hash(F.col(id_col), F.col(text_col), seed).alias("h"),
                         token_count(F.col(text_col).cast("string")).alias("tokens"))
     placed = (keyed.join(w.select("src", "blocks"), "src").withColumn("block", F.pmod("h", "blocks"))
               .join(blocks.select("src", "block", "epoch", "before", "upto", "n", "weight", "quota"), ["src", "block"]))

@@ -41,7 +41,7 @@ FROM c LEFT JOIN s USING (page_id, url, fetch_day)
 OP6 = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) + 1 AS tokens,
-         ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h,
+         ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS h,
          coalesce('=' || source, '~') AS src
   FROM documents
 ), st AS (SELECT src, sum(tokens)::BIGINT AS n FROM d GROUP BY src
