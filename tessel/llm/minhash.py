@@ -40,8 +40,6 @@ BANDS, ROWS = 42, 6
 COORDINATES = BANDS * ROWS
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Cells of the token-frequency table that orders prefixes (fixed size, whatever the input).
-CELLS = 1 << 20
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -170,59 +168,32 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .where((100 + PERCENT) * both >= PERCENT * (F.col("sa") + F.col("sb"))).select("a", "b").distinct())
 
 
-def _frequencies(batches):
-    cells = np.zeros(CELLS, np.int64)
-    for batch in batches:
-        tokens = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        cells += np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-    some = np.flatnonzero(cells)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(cells[some])], ["cell", "n"])
-
-
-PREFIX = "node long, component long, size long, token long, at long"
-
-
-def prefixes(sets: DataFrame, probe: bool) -> DataFrame:
-    """Prefix tokens with their place (from 1) in the global order: of the larger set of a pair
-    (``probe``) or of the smaller one.  The order is by a frequency table of fixed size."""
-    spark = sets.sparkSession
-    counted = sets.select("tokens").mapInArrow(_frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()  # at most CELLS rows
-    table = np.zeros(CELLS, np.int64)
-    table[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(table)
-
-    def ordered(batches):
-        cells = shared.value
-        for batch in batches:
-            ends = batch.column(3).offsets.to_numpy().astype(np.int64)
-            flat = batch.column(3).values.to_numpy(zero_copy_only=False)
-            rows, tokens, at = [], [], []
-            for i, (x, y) in enumerate(zip(ends, ends[1:])):
-                t, n = flat[x:y], int(y - x)
-                t = t[np.lexsort((t, cells[(t.view(np.uint64) & np.uint64(CELLS - 1)).astype(np.int64)]))]
-                least = -(-PERCENT * n // 100) if probe else -(-2 * PERCENT * n // (100 + PERCENT))
-                k = n - least + 1
-                rows.append(np.full(k, i))
-                tokens.append(t[:k])
-                at.append(np.arange(1, k + 1))
-            pick = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(j).take(pick) for j in range(3)] + [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (tokens, at)],
-                                             ["node", "component", "size", "token", "at"])
-
-    return sets.select("node", "component", "size", "tokens").mapInArrow(ordered, PREFIX)
+def prefixes(sets: DataFrame) -> DataFrame:
+    """Prefix tokens of each set with their place ``at`` (from 1) in one global order: by the
+    number of sets that hold a token, then by the token.  Tokens of one set only come first and
+    match nothing, so they are counted, not listed.  ``sets (node, component, size, tokens)``."""
+    own = ["node", "component", "size", "sid"]
+    tokens = sets.withColumn("sid", F.xxhash64("tokens")).select(*own, F.explode("tokens").alias("token"))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ordered = tokens.join(often, "token").groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("l"))
+    unique = F.col("size") - F.size("l")
+    longest = F.col("size") - F.ceil(F.lit(PERCENT) * F.col("size") / 100) + 1
+    kept = F.slice("l", 1, F.greatest(F.lit(0), longest - unique).cast("int"))
+    return (ordered.select("node", "component", "size", unique.alias("unique"), F.posexplode(kept).alias("pos", "t"))
+            .select("node", "component", "size", F.col("t.token").alias("token"), (F.col("unique") + F.col("pos") + 1).alias("at")))
 
 
 def prefix_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs of different components that an exact prefix and position filter leaves.
-    ``sets (node, component, size, tokens)``."""
-    small = prefixes(sets, False).select(F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"), "token", F.col("at").alias("pa"))
-    large = prefixes(sets, True).select(F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), "token", F.col("at").alias("pb"))
+    """Pairs of different components that an exact prefix and position filter leaves."""
+    all_ = materialize(prefixes(sets), "prefixes")
+    # The smaller set of a pair needs a shorter prefix: its least overlap with any larger set.
+    shorter = F.col("size") - F.ceil(F.lit(2 * PERCENT) * F.col("size") / (100 + PERCENT)) + 1
+    small = all_.where(F.col("at") <= shorter).select(F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"), "token", F.col("at").alias("pa"))
+    large = all_.select(F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), "token", F.col("at").alias("pb"))
     reach = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) + 1
     allowed = ((F.col("ca") != F.col("cb")) & ((F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b"))))
                & (100 * F.col("sa") >= PERCENT * F.col("sb")) & ((100 + PERCENT) * reach >= PERCENT * (F.col("sa") + F.col("sb"))))
-    used = large.select("token").distinct()
-    return (small.join(used, "token", "left_semi").join(large, "token").where(allowed).select("a", "b").distinct())
+    return small.join(large, "token").where(allowed).select("a", "b").distinct()
 
 
 def repeated(rows: DataFrame) -> bool:
