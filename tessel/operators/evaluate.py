@@ -24,12 +24,14 @@ def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction
     """
     counts = (df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction"))
               .agg(F.count(F.lit(1)).alias("count")))
-    classes = counts.agg(F.array_sort(F.array_union(F.collect_set("label"),
-                                                    F.collect_set("prediction"))).alias("cls"))
-    grid = (classes.select(F.explode("cls").alias("label"), "cls")
-            .select("label", F.explode("cls").alias("prediction")))
-    return (grid.join(counts, ["label", "prediction"], "left")
-            .select("label", "prediction", F.coalesce("count", F.lit(0)).alias("count")))
+    # the cells of a few classes in one row: one pass over the input
+    one = counts.agg(F.collect_list(F.struct("label", "prediction", "count")).alias("cells"),
+                     F.array_sort(F.array_union(F.collect_set("label"),
+                                                F.collect_set("prediction"))).alias("cls"))
+    grid = (one.select(F.explode("cls").alias("label"), "cls", "cells")
+            .select("label", F.explode("cls").alias("prediction"), "cells"))
+    own = F.filter("cells", lambda c: (c["label"] == F.col("label")) & (c["prediction"] == F.col("prediction")))
+    return grid.select("label", "prediction", F.coalesce(F.get(own, F.lit(0))["count"], F.lit(0)).alias("count"))
 
 
 def class_report(df: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -41,11 +43,14 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
     column.  A zero denominator gives 0.  ``digits``: round half to even.
     """
     cm = confusion(df, label, prediction)
-    per = cm.groupBy(F.col("label").alias("cls")).agg(
-        F.sum(F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0)).alias("tp"),
-        F.sum("count").alias("support"))
-    predicted = cm.groupBy(F.col("prediction").alias("cls")).agg(F.sum("count").alias("pred"))
-    per = per.join(predicted, "cls")
+    # every cell counts once for its label and once for its prediction: one pass
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(F.lit(0))
+    none = F.lit(0).cast("bigint")
+    both = F.array(
+        F.struct(F.col("label").alias("cls"), hit.alias("tp"), F.col("count").alias("support"), none.alias("pred")),
+        F.struct(F.col("prediction").alias("cls"), none.alias("tp"), none.alias("support"), F.col("count").alias("pred")))
+    per = (cm.select(F.explode(both).alias("c")).select("c.*").groupBy("cls")
+           .agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("pred").alias("pred")))
     p = F.when(F.col("pred") > 0, F.col("tp") / F.col("pred")).otherwise(F.lit(0.0))
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     per = per.withColumns({"precision": p, "recall": r})
@@ -59,14 +64,15 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
                                        F.col("cls")), F.col("cls").cast("string"))
     else:
         name = F.col("cls").cast("string")
-    rows = per.select(name.alias("name"), F.col("cls").cast("double").alias("_order"),
-                      "precision", "recall", "f1_score", F.col("support").cast("double"))
+    each = F.struct(name.alias("name"), F.col("cls").cast("double").alias("_order"), "precision",
+                    "recall", "f1_score", F.col("support").cast("double").alias("support"))
     tot = per.agg(F.sum("support").alias("n"), F.sum("tp").alias("tp"),
                   F.avg("precision").alias("mp"), F.avg("recall").alias("mr"),
                   F.avg("f1_score").alias("mf"),
                   (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
                   (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-                  (F.sum(F.col("f1_score") * F.col("support")) / F.sum("support")).alias("wf"))
+                  (F.sum(F.col("f1_score") * F.col("support")) / F.sum("support")).alias("wf"),
+                  F.collect_list(each).alias("rows"))  # a row per class
     acc = F.col("tp") / F.col("n")
     def row(name, order, p, r, f, sup):
         return F.struct(F.lit(name).alias("name"), F.lit(order).alias("_order"),
@@ -74,12 +80,11 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
                         sup.alias("support"))
 
     n = F.col("n").cast("double")
-    summary = tot.select(F.explode(F.array(
+    summary = F.array(
         row("accuracy", 1e300, acc, acc, acc, acc),
         row("macro avg", 2e300, F.col("mp"), F.col("mr"), F.col("mf"), n),
-        row("weighted avg", 3e300, F.col("wp"), F.col("wr"), F.col("wf"), n))).alias("s")
-    ).select("s.*")
-    out = rows.unionByName(summary).orderBy("_order").drop("_order")
+        row("weighted avg", 3e300, F.col("wp"), F.col("wr"), F.col("wf"), n))
+    out = tot.select(F.explode(F.concat("rows", summary)).alias("s")).select("s.*").orderBy("_order").drop("_order")
     if digits is not None:
         out = out.select("name", *[F.bround(c, digits).alias(c)
                                    for c in ("precision", "recall", "f1_score", "support")])
