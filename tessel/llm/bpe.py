@@ -18,6 +18,7 @@ import functools
 import hashlib
 import heapq
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -99,8 +100,9 @@ def _automaton():
 
 
 @functools.cache
-def _classes() -> np.ndarray:
-    """The class of every codepoint, by the Unicode tables of the installed tokenizer library."""
+def class_table() -> bytes:
+    """The class of every codepoint, by the Unicode tables of the installed tokenizer library;
+    compressed, so that it travels with a task (building it takes a worker 100 MB)."""
     import tiktoken
 
     every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
@@ -112,7 +114,12 @@ def _classes() -> np.ndarray:
         out[cps] = cls
     for chars, cls in ((" ", SPACE), ("'", QUOTE), ("stmd", STMD), ("e", LETTER_E), ("rv", LETTER_RV), ("l", LETTER_L)):
         out[[ord(c) for c in chars]] = cls
-    return out
+    return zlib.compress(out.tobytes())
+
+
+@functools.lru_cache(maxsize=1)
+def _classes(table: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(table), np.uint8)
 
 
 def _scan(f: np.ndarray, width: int = 64) -> np.ndarray:
@@ -136,14 +143,14 @@ def _scan(f: np.ndarray, width: int = 64) -> np.ndarray:
     return np.ascontiguousarray(lanes.T).ravel()[:n]
 
 
-def slice_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def slice_starts(data: np.ndarray, offsets: np.ndarray, table: bytes) -> np.ndarray:
     """Byte positions, ascending, at which slices start in texts that lie end to end in ``data``."""
     gens, _, apply, marks = _automaton()
     cps = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     if len(lead) != len(cps):
         raise ValueError("a text is not valid UTF-8")
-    cls = _classes()[cps]
+    cls = _classes(table)[cps]
     ends = np.searchsorted(lead, offsets[1:])  # of each text, in characters
     with_end = np.insert(cls, ends, END)
     state = np.zeros(len(with_end), np.uint8)
@@ -233,16 +240,18 @@ def _pack(ids: list[int]) -> bytes:
 
 
 class _Cache(dict):
-    """Ids of a slice as packed little-endian 32-bit integers; emptied when ``most`` are held."""
+    """Ids of a slice as packed little-endian 32-bit integers.  When ``most`` are held they
+    become the old generation, which still answers; slices in use move on to the new one."""
 
     def __init__(self, ranks: Ranks, most: int):
         super().__init__()
-        self.ranks, self.most = ranks, most
+        self.ranks, self.most, self.old = ranks, most, {}
 
     def __missing__(self, piece: bytes) -> bytes:
-        ids = _pack(merge_pairs(piece, self.ranks))
+        ids = self.old.get(piece) or _pack(merge_pairs(piece, self.ranks))
         if len(piece) <= 64:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -250,20 +259,21 @@ class _Cache(dict):
 
 @functools.lru_cache(maxsize=2)
 def _cache(path: str) -> _Cache:
-    return _Cache(load_ranks(path), 400_000)
+    return _Cache(load_ranks(path), 100_000)
 
 
-def encode_arrow(texts: pa.Array, path: str) -> pa.Array:
+def encode_arrow(texts: pa.Array, path: str, table: bytes | None = None) -> pa.Array:
     """Struct of ids, byte end and id end of each slice, per text."""
+    table = table or class_table()
     data, offsets = utf8(texts)
     cache = _cache(path)
     blobs, per_slice, byte_ends, slices = [], [], [], np.zeros(len(offsets), np.int64)
-    for a, b in runs(offsets, 2_000_000):
+    for a, b in runs(offsets, 1_000_000):
         lo, hi = offsets[a], offsets[b]
         if hi == lo:
             continue
         part = data[lo:hi]
-        starts = slice_starts(part, offsets[a:b + 1] - lo)
+        starts = slice_starts(part, offsets[a:b + 1] - lo, table)
         ends = np.append(starts[1:], hi - lo)
         raw = part.tobytes()
         found = [cache[raw[s:e]] for s, e in zip(starts.tolist(), ends.tolist())]
@@ -329,9 +339,11 @@ ENCODED = "struct<ids:array<int>,slice_bytes:array<int>,slice_ids:array<int>>"
 def encode(text: Column, path: str) -> Column:
     """Struct of ``ids`` and, for each slice in order, the byte (``slice_bytes``) and the id
     (``slice_ids``) at which it ends.  ``path`` must be readable on every executor."""
+    table = class_table()
+
     @F.arrow_udf(ENCODED)
     def bpe_encode(texts: pa.Array) -> pa.Array:
-        return encode_arrow(texts, path)
+        return encode_arrow(texts, path, table)
 
     return bpe_encode(text)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessel.session import materialize, ship_package
 
 #: Bytes of one Arrow batch handed to a Python worker; bounds a worker's memory on long texts.
-BATCH_BYTES = 8 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def prepare(spark: SparkSession) -> None:

@@ -75,7 +75,7 @@ def _count_batches(languages):
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             lang = np.array([known.get(x, -1) for x in batch.column(0).to_pylist()])
-            for a, b in runs(offsets, 2_000_000):
+            for a, b in runs(offsets, 500_000):
                 cells, owner = trigram_cells(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 use = lang[a:b][owner] >= 0
                 np.add.at(sums, (lang[a:b][owner][use], cells[use]), 1)
@@ -120,7 +120,7 @@ def log_likelihood(text: Column, model: TextModel) -> Column:
         data, offsets = utf8(texts)
         n, k = len(offsets) - 1, logp.shape[1]
         out, count = np.zeros((n, k)), np.zeros(n, np.int64)
-        for a, b in runs(offsets, 1_000_000):
+        for a, b in runs(offsets, 500_000):
             cells, owner = trigram_cells(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
             count[a:b] = np.bincount(owner, minlength=b - a)
             some = np.flatnonzero(count[a:b])

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_name, materialize, prepare, utf8
+from .common import col, free_name, materialize, prepare, runs, utf8
 from .components import components
 
 WORDS = 5
@@ -55,7 +55,7 @@ class _Words(dict):
     """64-bit hash of a word; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 60_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
@@ -113,6 +113,13 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return acc
 
 
+def _chunks(offsets: np.ndarray):
+    """Ranges of at most 256 rows and about half a megabyte."""
+    for a, b in runs(offsets, 500_000):
+        for x in range(a, b, 256):
+            yield x, min(x + 256, b)
+
+
 SKETCH = "doc_id long, n_shingles long, set_id string, bands array<long>"
 
 
@@ -120,8 +127,8 @@ def _sketch_batches(batches):
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         raw = data.tobytes()
-        for a in range(0, len(offsets) - 1, 256):
-            cut = offsets[a:a + 257].tolist()
+        for a, b in _chunks(offsets):
+            cut = offsets[a:b + 1].tolist()
             sets = [shingle_set(raw[x:y]) for x, y in zip(cut, cut[1:])]
             size = np.array([len(s) for s in sets], np.int64)
             some = np.flatnonzero(size)
@@ -141,8 +148,8 @@ def _set_batches(batches):
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         raw = data.tobytes()
-        for a in range(0, len(offsets) - 1, 256):
-            cut = offsets[a:a + 257].tolist()
+        for a, b in _chunks(offsets):
+            cut = offsets[a:b + 1].tolist()
             sets = [shingle_set(raw[x:y]) for x, y in zip(cut, cut[1:])]
             ends = np.append(0, np.cumsum([len(s) for s in sets]))
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)

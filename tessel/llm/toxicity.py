@@ -78,7 +78,7 @@ class _Known(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 80_000:
             self.clear()
         core, hidden, stretched = plain_word(word)
         strength = max((self.lexicon.get(s, 0.0) for s in stems(core)), default=0.0) if core else 0.0
@@ -137,7 +137,7 @@ def features(data: np.ndarray, offsets: np.ndarray, known: _Known) -> np.ndarray
 
 def features_of(texts: pa.Array, known: _Known) -> np.ndarray:
     data, offsets = utf8(texts)
-    parts = [features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], known) for a, b in runs(offsets, 2_000_000)]
+    parts = [features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], known) for a, b in runs(offsets, 500_000)]
     return np.concatenate(parts) if parts else np.zeros((0, FEATURES), np.float32)
 
 
