@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, runs, utf8
+from .common import claim, prepare, runs, utf8
 
 # Classes.  Letters that can belong to a contraction ('s 't 'm 'd 're 've 'll) have their own.
 END, SPACE, BLANK, LETTER, STMD, LETTER_E, LETTER_RV, LETTER_L, NUMBER, QUOTE, OTHER = range(11)
@@ -262,8 +262,14 @@ def _cache(path: str) -> _Cache:
     return _Cache(load_ranks(path), 100_000)
 
 
+def _drop() -> None:
+    for held in (_cache, load_ranks, _table, _classes):
+        held.cache_clear()
+
+
 def encode_arrow(texts: pa.Array, path: str, table: bytes | None = None) -> pa.Array:
     """Struct of ids, byte end and id end of each slice, per text."""
+    claim("bpe", _drop)
     table = table or class_table()
     data, offsets = utf8(texts)
     cache = _cache(path)

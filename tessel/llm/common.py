@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,22 @@ from tessel.session import materialize, ship_package
 BATCH_BYTES = 4 * 1024 * 1024
 
 
+_DROPS: dict = {}
+_owner = [None]
+
+
+def claim(owner: str, drop) -> None:
+    """Called by an operator's code in a worker: ``drop`` empties its caches when another operator
+    takes over the process, which Spark keeps from job to job."""
+    _DROPS[owner] = drop
+    if _owner[0] != owner:
+        _owner[0] = owner
+        for name, other in _DROPS.items():
+            if name != owner:
+                other()
+        gc.collect()
+
+
 def prepare(spark: SparkSession) -> None:
     """Make the package importable in Python workers and bound their Arrow batches."""
     ship_package(spark)
@@ -58,4 +76,4 @@ def runs(offsets: np.ndarray, most: int):
         a = min(b, n)
 
 
-__all__ = ["BATCH_BYTES", "col", "free_name", "materialize", "prepare", "runs", "table", "utf8"]
+__all__ = ["BATCH_BYTES", "claim", "col", "free_name", "materialize", "prepare", "runs", "table", "utf8"]

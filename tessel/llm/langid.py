@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_name, materialize, prepare, runs, utf8
+from .common import claim, col, free_name, materialize, prepare, runs, utf8
 
 CELLS = 1 << 14
 #: Most labelled rows (expected number, by hash of id and text) that the text model is fitted on.
@@ -47,6 +47,7 @@ def _letters() -> np.ndarray:
 
 def trigram_cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cell of each trigram of letters and single blanks (centred on a letter), and its text."""
+    claim("langid", int)  # holds no caches
     text = data.tobytes().decode("utf-8", "replace")
     cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     ends = np.searchsorted(np.flatnonzero((data & 0xC0) != 0x80), offsets[1:])

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_name, materialize, prepare, runs, utf8
+from .common import claim, col, free_name, materialize, prepare, runs, utf8
 from .components import components
 
 WORDS = 5
@@ -71,6 +71,7 @@ def shingle_set(text: bytes) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
+    claim("minhash", _WORDS.clear)
     known = _WORDS
     h = np.fromiter([known[w] for w in words], np.uint64, len(words))
     k = min(WORDS, len(h))

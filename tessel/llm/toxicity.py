@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, runs, utf8
+from .common import claim, materialize, prepare, runs, utf8
 
 SAMPLE_ROWS = 12_000
 MOST_ENTRIES = 4000
@@ -136,6 +136,7 @@ def features(data: np.ndarray, offsets: np.ndarray, known: _Known) -> np.ndarray
 
 
 def features_of(texts: pa.Array, known: _Known) -> np.ndarray:
+    claim("toxicity", int)  # its caches end with the task
     data, offsets = utf8(texts)
     parts = [features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], known) for a, b in runs(offsets, 500_000)]
     return np.concatenate(parts) if parts else np.zeros((0, FEATURES), np.float32)
