@@ -167,13 +167,15 @@ _NONE = 1 << 40  # above every id
 
 
 class Ranks(dict):
-    """Token bytes -> id, with the id of every joinable pair of ids beside it."""
+    """Token bytes -> id, with the id of every joinable pair of ids and of every byte beside it."""
 
     pairs: dict[int, int] | None = None
+    single: list[int] = []
 
 
 def _pairs(ranks: Ranks) -> dict[int, int]:
     if ranks.pairs is None:
+        ranks.single = [ranks[bytes([i])] for i in range(256)]
         ranks.pairs = {
             a << 32 | b: i
             for token, i in ranks.items()
@@ -191,8 +193,9 @@ def merge_pairs(piece: bytes, ranks: Ranks) -> list[int]:
     n = len(piece)
     if n <= 200:
         pairs = _pairs(ranks)
-        parts = [ranks[piece[i:i + 1]] for i in range(n)]
-        found = [pairs.get(a << 32 | b, _NONE) for a, b in zip(parts, parts[1:])]
+        get, single = pairs.get, ranks.single
+        parts = [single[c] for c in piece]
+        found = [get(a << 32 | b, _NONE) for a, b in zip(parts, parts[1:])]
         while found:
             best = min(found)
             if best == _NONE:
@@ -201,9 +204,9 @@ def merge_pairs(piece: bytes, ranks: Ranks) -> list[int]:
             parts[i:i + 2] = [best]
             del found[i]
             if i:
-                found[i - 1] = pairs.get(parts[i - 1] << 32 | best, _NONE)
+                found[i - 1] = get(parts[i - 1] << 32 | best, _NONE)
             if i < len(found):
-                found[i] = pairs.get(best << 32 | parts[i + 1], _NONE)
+                found[i] = get(best << 32 | parts[i + 1], _NONE)
         return parts
     end = list(range(1, n + 1))  # part that starts at i ends at end[i]; 0: no part starts here
     prev = list(range(-1, n - 1))
@@ -259,7 +262,7 @@ class _Cache(dict):
 
 @functools.lru_cache(maxsize=2)
 def _cache(path: str) -> _Cache:
-    return _Cache(load_ranks(path), 100_000)
+    return _Cache(load_ranks(path), 200_000)
 
 
 def _drop() -> None:
