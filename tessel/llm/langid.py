@@ -2,7 +2,8 @@
 
 posterior(l) ~ host prior(l) * P(text | l) * P(declared markup language | l) * P(address suffix | l)
 
-* Text: hashed letter trigrams, multinomial, trained on a bounded sample of labelled rows; the
+* Text: hashed letter trigrams, multinomial, trained on a bounded sample of the labelled rows of
+  each language, whose set comes from all rows (a language takes CELLS floats); the
   log-likelihood is divided by ``TEMPER`` (neighbouring trigrams are not independent).  An extra
   hypothesis, undetermined, is uniform over the trigram cells.
 * Declared language and suffix: P(value | l) from counts of all rows, each row counted by its
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 from .common import claim, col, free_name, materialize, prepare, runs, utf8
 
 CELLS = 1 << 14
-#: Most labelled rows (expected number, by hash of id and text) that the text model is fitted on.
-SAMPLE_ROWS = 2000
-#: Most languages of the model: the most frequent of the sample with at least LEAST_ROWS rows.
-MOST_LANGUAGES, LEAST_ROWS = 64, 3
+#: Distinct labelled rows of each language (expected number, by hash of id and text) that the text
+#: model is fitted on.
+LANGUAGE_ROWS = 400
+#: A language of the model has at least so many labelled rows in the whole table.
+LEAST_ROWS = 3
 TEMPER = 4.0
 #: Strength, in rows, of the parent's distribution in a host's or a domain's prior.
 KAPPA = 20.0
@@ -93,19 +95,29 @@ class TextModel:
         self.languages, self.logp = languages, logp
 
 
+def languages_of(rows: DataFrame) -> DataFrame:
+    """Languages of ``rows (language, h)``, counted over all of them, and the largest hash of each
+    one's sample: about ``LANGUAGE_ROWS`` distinct rows, and never less than one."""
+    by = rows.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h", 0.02).alias("d"), F.min("h").alias("least"))
+    share = F.least(F.lit(1.0), F.lit(float(LANGUAGE_ROWS)) / F.greatest(F.col("d"), F.lit(1)))
+    return by.where(F.col("n") >= LEAST_ROWS).select("language", F.greatest("least", (share * float(1 << 62)).cast("long")).alias("most"))
+
+
 def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str) -> TextModel:
-    """A text model from a hash sample of about ``SAMPLE_ROWS`` of the labelled rows."""
-    prepare(rows.sparkSession)
-    rows = rows.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != ""))
-    n = rows.count()
-    share = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)) < int(min(1.0, SAMPLE_ROWS / max(n, 1)) * (1 << 20))
-    sample = rows.where(share).select(F.lower(lang_col).alias("language"), F.col(text_col).cast("string").alias("text"))
-    by = sample.groupBy("language").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS)
-    languages = sorted(r["language"] for r in by.orderBy(F.desc("n"), "language").limit(MOST_LANGUAGES).collect())
+    """A text model of every language with ``LEAST_ROWS`` labelled rows, each from a hash sample of
+    about ``LANGUAGE_ROWS`` of its distinct rows (equal rows count once)."""
+    spark = rows.sparkSession
+    prepare(spark)
+    rows = (rows.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != ""))
+            .select(F.lower(lang_col).alias("language"), F.col(text_col).cast("string").alias("text"), F.shiftrightunsigned(F.xxhash64(id_col, text_col), 2).alias("h")))
+    parts = [(r["language"], r["most"]) for r in languages_of(rows.select("language", "h")).collect()]
+    languages = sorted(x for x, _ in parts)
     sums = np.zeros((len(languages), CELLS))
     if languages:
+        bounds = F.broadcast(spark.createDataFrame(parts, "language string, most long"))
+        sample = rows.join(bounds, "language").where("h <= most").dropDuplicates(["language", "h"]).select("language", "text")
         counted = sample.mapInArrow(_count_batches(languages), "language long, cell long, n long").groupBy("language", "cell").agg(F.sum("n").alias("n"))
-        got = counted.toPandas()  # at most MOST_LANGUAGES * CELLS rows
+        got = counted.toPandas()  # at most CELLS rows of a language
         sums[got["language"], got["cell"]] = got["n"]
     smooth = sums + 0.1
     logp = np.log(smooth / smooth.sum(1, keepdims=True))
@@ -183,11 +195,11 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
     total = by_host.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).first()
     flat = np.array([total[f"c{i}"] or 0.0 for i in range(k)]) + 1.0
     flat = flat / max(flat.sum(), 1e-300)
-    mass = lambda p: sum((F.col(f"{p}{i}") for i in range(k)), F.lit(0.0))
+    mass = lambda p: F.aggregate(F.array(*[F.col(f"{p}{i}") for i in range(k)]), F.lit(0.0), lambda s, y: s + y)
     domain = by_host.groupBy("domain").agg(*[F.sum(f"c{i}").alias(f"d{i}") for i in range(k)])
-    smooth = by_host.join(domain, "domain")
-    up = [(F.col(f"d{i}") + KAPPA * float(flat[i])) / (mass("d") + KAPPA) for i in range(k)]
-    own = [F.log((F.col(f"c{i}") + KAPPA * up[i]) / (mass("c") + KAPPA)) for i in range(k)]
+    smooth = by_host.withColumn("c", mass("c")).join(domain.withColumn("d", mass("d")), "domain")
+    up = [(F.col(f"d{i}") + KAPPA * float(flat[i])) / (F.col("d") + KAPPA) for i in range(k)]
+    own = [F.log((F.col(f"c{i}") + KAPPA * up[i]) / (F.col("c") + KAPPA)) for i in range(k)]
     hosts = smooth.select("host", F.array(*own, F.lit(float(np.log(UNDETERMINED_PRIOR)))).alias("host_log"))
     flat_log = F.array(*[F.lit(float(np.log(x))) for x in flat], F.lit(float(np.log(UNDETERMINED_PRIOR))))
     fused = base

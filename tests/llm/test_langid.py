@@ -92,3 +92,16 @@ def test_trigram_cells_do_not_cross_texts():
     a = langid.trigram_cells(np.frombuffer(b"abcd", np.uint8), np.array([0, 2, 4]))
     b = [langid.trigram_cells(np.frombuffer(t, np.uint8), np.array([0, 2]))[0] for t in (b"ab", b"cd")]
     assert a[0].tolist() == np.concatenate(b).tolist() and a[1].tolist() == [0, 0, 1, 1]
+
+
+def test_rare_languages_stay(spark):
+    """A language of a small share, one of equal rows only, and more than 64 languages."""
+    rows = [(i, f"{EN} {i}", "en") for i in range(9000)] + [(10_000 + i, DE[i:] + DE, "de") for i in range(4)] + [(None, FR, "fr")] * 5
+    for k in range(70):
+        rows += [(20_000 + 10 * k + i, " ".join(chr(0x4E00 + 20 * k + (i + j) % 20) * 3 for j in range(30)), f"q{k:02}") for i in range(3)]
+    rows += [(30_000, "zz zz", "xx"), (30_001, "zz zz zz", "xx")]  # fewer than LEAST_ROWS
+    model = langid.fit(docs(spark, rows), "doc_id", "text", "lang")
+    assert model.languages == sorted(["en", "de", "fr"] + [f"q{k:02}" for k in range(70)])
+    texts = [(1, EN), (2, DE), (3, FR), (4, rows[9009][1]), (5, rows[-3][1])]
+    got, _ = run(spark, model, [(i, t, None, None, None, None) for i, t in texts])
+    assert [got[i]["code"] for i, _ in texts] == ["en", "de", "fr", "q00", "q69"]
