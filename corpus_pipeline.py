@@ -29,8 +29,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each near-duplicate component."""
-    return minhash.deduplicate(docs)
+    """Keep the document of the smallest id of each near-duplicate component (similarity 0.8)."""
+    return minhash.deduplicate(docs, percent=80)
 
 
 def temperature_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

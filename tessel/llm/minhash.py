@@ -7,7 +7,8 @@ shingle to bin j, so each coordinate fills in bounded time, with the concentrati
 min-hashes.  Sets alike in a share J of their union agree in each coordinate with probability J.
 
 Banding.  ``BANDS`` keys of ``ROWS`` coordinates each; sets meet if one key is equal.  At the
-threshold a pair fails to meet with probability (1 - 0.85**6)**42 = 3e-9.
+threshold a pair fails to meet with probability (1 - 0.85**6)**42 = 3e-9 at 85 percent and
+(1 - 0.8**6)**42 = 3e-6 at 80.
 
 Verification never samples and never lists all pairs of a bucket:
  1. equal sets are one representative (smallest doc_id);
@@ -38,7 +39,7 @@ from .components import components
 WORDS = 5
 BANDS, ROWS = 42, 6
 COORDINATES = BANDS * ROWS
-#: Links: 100 * intersection >= PERCENT * union.
+#: Links: 100 * intersection >= percent * union; this is the default.
 PERCENT = 85
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -164,19 +165,19 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return wanted.select("doc_id", "text").mapInArrow(_set_batches, SETS)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs ``(a, b)`` whose full sets reach the threshold."""
     left = sets.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    close = (100 * F.least("sa", "sb") >= PERCENT * F.greatest("sa", "sb"))
+    close = (100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))
     sized = (pairs.join(sets.select(F.col("node").alias("a"), F.col("size").alias("sa")), "a")
              .join(sets.select(F.col("node").alias("b"), F.col("size").alias("sb")), "b").where(close).select("a", "b").distinct())
     return (sized.join(right, "b").join(left, "a")
-            .where((100 + PERCENT) * both >= PERCENT * (F.col("sa") + F.col("sb"))).select("a", "b").distinct())
+            .where((100 + percent) * both >= percent * (F.col("sa") + F.col("sb"))).select("a", "b").distinct())
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
+def prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Prefix tokens of each set with their place ``at`` (from 1) in one global order: by the
     number of sets that hold a token, then by the token.  Tokens of one set only come first and
     match nothing, so they are counted, not listed.  ``sets (node, component, size, tokens)``."""
@@ -185,22 +186,22 @@ def prefixes(sets: DataFrame) -> DataFrame:
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ordered = tokens.join(often, "token").groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("l"))
     unique = F.col("size") - F.size("l")
-    longest = F.col("size") - F.ceil(F.lit(PERCENT) * F.col("size") / 100) + 1
+    longest = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100) + 1
     kept = F.slice("l", 1, F.greatest(F.lit(0), longest - unique).cast("int"))
     return (ordered.select("node", "component", "size", unique.alias("unique"), F.posexplode(kept).alias("pos", "t"))
             .select("node", "component", "size", F.col("t.token").alias("token"), (F.col("unique") + F.col("pos") + 1).alias("at")))
 
 
-def prefix_pairs(sets: DataFrame) -> DataFrame:
+def prefix_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of different components that an exact prefix and position filter leaves."""
-    all_ = materialize(prefixes(sets), "prefixes")
+    all_ = materialize(prefixes(sets, percent), "prefixes")
     # The smaller set of a pair needs a shorter prefix: its least overlap with any larger set.
-    shorter = F.col("size") - F.ceil(F.lit(2 * PERCENT) * F.col("size") / (100 + PERCENT)) + 1
+    shorter = F.col("size") - F.ceil(F.lit(2 * percent) * F.col("size") / (100 + percent)) + 1
     small = all_.where(F.col("at") <= shorter).select(F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"), "token", F.col("at").alias("pa"))
     large = all_.select(F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), "token", F.col("at").alias("pb"))
     reach = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) + 1
     allowed = ((F.col("ca") != F.col("cb")) & ((F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b"))))
-               & (100 * F.col("sa") >= PERCENT * F.col("sb")) & ((100 + PERCENT) * reach >= PERCENT * (F.col("sa") + F.col("sb"))))
+               & (100 * F.col("sa") >= percent * F.col("sb")) & ((100 + percent) * reach >= percent * (F.col("sa") + F.col("sb"))))
     return small.join(large, "token").where(allowed).select("a", "b").distinct()
 
 
@@ -210,7 +211,7 @@ def repeated(rows: DataFrame) -> bool:
     return not ids.where("n > 1").isEmpty()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id, kept``."""
     spark = docs.sparkSession
     prepare(spark)
@@ -234,15 +235,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = materialize(shared.join(lead, "key").where("node <> lead")
                         .select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "pairs")
     sets = materialize(full_sets(docs, shared.select("node")), "sets")
-    links = materialize(verified(stars, sets), "links")
+    links = materialize(verified(stars, sets, percent), "links")
     found = materialize(components(links), "components")
     # Buckets of three or more that still hold several components: exact prefix filter.
     where = F.coalesce("component", "node")
     labelled = shared.where("n > 2").join(found, "node", "left").select("key", "node", where.alias("component"))
     open_ = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     rest = materialize(labelled.join(open_, "key", "left_semi").select("node", "component").distinct(), "open")
-    pairs = materialize(prefix_pairs(materialize(sets.join(rest, "node"), "open-sets")), "pairs")
-    all_links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(pairs, sets))
+    pairs = materialize(prefix_pairs(materialize(sets.join(rest, "node"), "open-sets"), percent), "pairs")
+    all_links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(pairs, sets, percent))
     # Rows that share a doc_id are one document: its sets' representatives are linked too.
     if again:
         own = real.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("doc_id")
@@ -255,10 +256,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (where an id has
     several rows, the least row by text and the other columns).  Rows without an id stay."""
-    groups = materialize(near_duplicates(docs, id_col, text_col), "groups")
+    groups = materialize(near_duplicates(docs, id_col, text_col, percent), "groups")
     name = free_name(docs, "gone")
     gone = groups.where("not kept").select(F.col("doc_id").alias(name)).distinct()
     left = docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+
+import corpus_pipeline
 from helpers import docs, edited, words
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from tessel.llm import minhash
 from tessel.llm.components import components
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """Components from every pair's true word shingles."""
     sets = {}
     for i, text in rows:
@@ -18,7 +20,7 @@ def brute(rows):
     ids = [i for i in sets if i is not None]
     for a in ids:
         for b in ids:
-            if a < b and any(x and y and 100 * len(x & y) >= 85 * len(x | y) for x in sets[a] for y in sets[b]):
+            if a < b and any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
                 lo, hi = sorted((comp[a], comp[b]))
                 comp = {k: lo if v == hi else v for k, v in comp.items()}
     return comp
@@ -90,3 +92,14 @@ def test_components_of_chains_and_stars(spark):
     got = {x["node"]: x["component"] for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(1, 200)}, **{1000 + k: 1000 for k in range(1, 50)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_stage_links_from_080(spark):
+    """The pipeline's stage takes 0.80, op4 0.85: a pair between them, and the crowd."""
+    a = words(3, 100)
+    rows = crowd() + [(600, " ".join(a)), (601, " ".join([*a, *words(4, 20)]))]  # 96 of 116 shingles
+    table = docs(spark, rows)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(table, percent=80).collect()}
+    assert got == brute(rows, 80) and got[601] == 600 and brute(rows)[601] == 601
+    left = corpus_pipeline.minhash_dedup(spark, table, "").collect()
+    assert {r["doc_id"] for r in left} == {i for i, c in got.items() if i == c}
