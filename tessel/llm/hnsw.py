@@ -2,9 +2,13 @@
 
 Distinct vectors hash into shards; each shard's graph is built in one task (bounded rows) and
 kept as a written table.  Every vector is then searched in every shard, in blocks.  A search's
-beam widens where all of it is above the threshold, and for the whole block while an audit (a
-few queries compared with every vector of the shard) finds less than ``AUDIT_RECALL`` of the
-true links; at the widest the shard is scanned.  Hits are confirmed by cosine in double
+beam widens where all of it is above the threshold, and for the whole block while an audit (queries
+compared with every vector of the shard) finds less than ``AUDIT_RECALL`` of a query's true links
+on average; at the widest the shard is scanned.  An audit judges ``AUDIT_QUERIES`` queries that
+have links, itself left out: queries of the block, drawn until there are enough or
+``AUDIT_MOST`` were drawn, then queries planted at the threshold's distance from vectors of the
+shard, so it does not run empty where a shard holds few links.  Queries whose beams filled up to
+the scan are exact and not judged.  A block with too few to judge is scanned.  Hits are confirmed by cosine in double
 precision on the original vectors.  A task returns link counts per query and a spanning forest
 of its links (at most one link per vector it saw), never all pairs of a crowd; the forests'
 union is contracted to components.
@@ -35,6 +39,8 @@ BLOCK_ROWS = 32_768
 LINKS = 16  # of a node in the upper layers; twice as many in the lowest
 BUILD_BEAM, BEAM, WIDEST = 48, 32, 1024
 AUDIT_QUERIES, AUDIT_RECALL = 48, 0.99
+#: Most queries of a block, and most planted ones, that an audit draws.
+AUDIT_MOST = 1024
 
 
 def usable(vector: Column) -> Column:
@@ -212,40 +218,103 @@ def _scan(graph: Graph, q: np.ndarray, least: float):
     return (np.concatenate(qi), np.concatenate(ni)) if qi else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def range_search(graph: Graph, q: np.ndarray, threshold: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs of approximate similarity near ``threshold`` or more; audited."""
+def _planted(graph: Graph, at: np.ndarray, threshold: float, rng) -> np.ndarray:
+    """Unit vectors of a cosine just above ``threshold`` to the nodes ``at``, in random directions."""
+    x = graph.x[at].astype(np.float64)
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.maximum(np.sqrt((side * side).sum(1, keepdims=True)), 1e-12)
+    c = min(1.0, threshold + 1e-3)
+    return unit(c * x + np.sqrt(1 - c * c) * side)
+
+
+def _links_of(graph: Graph, q: np.ndarray, least: float, own: np.ndarray) -> list[np.ndarray]:
+    """Every node each query links to but itself (``own``: its node or -1)."""
+    qi, ni = _scan(graph, q, least)
+    keep = ni != own[qi]
+    return np.split(ni[keep], np.searchsorted(qi[keep], np.arange(1, len(q))))
+
+
+def audit_queries(graph: Graph, q: np.ndarray, threshold: float, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict, bool]:
+    """Rows of ``q`` to judge and planted queries after them, the true links of each by its number
+    (planted ones count on from ``len(q)``), and whether there are enough of them.  A query counts
+    if it has links, but fewer than fill the widest beam."""
+    least, rng = threshold - 1e-4, np.random.default_rng(11)
+    truth, enough = {}, 0
+    planted = np.zeros((0, q.shape[1]), np.float32)
+    for plant in (False, True):
+        order = rng.permutation(len(graph.x) if plant else len(q))[:AUDIT_MOST]
+        for a in range(0, len(order), AUDIT_QUERIES):
+            if enough >= AUDIT_QUERIES:
+                break
+            draw = order[a:a + AUDIT_QUERIES]
+            if plant:
+                part, self_, number = _planted(graph, draw, threshold, rng), np.full(len(draw), -1), len(q) + len(planted) + np.arange(len(draw))
+                planted = np.concatenate([planted, part])
+            else:
+                part, self_, number = q[draw], own[draw], draw
+            for i, links in zip(number.tolist(), _links_of(graph, part, least, self_)):
+                if len(links):
+                    truth[i] = links
+                    enough += len(links) < WIDEST // 4
+    return np.array([i for i in truth if i < len(q)], np.int64), planted, truth, enough >= AUDIT_QUERIES
+
+
+def _search_all(graph: Graph, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, node) pairs of beams from ``width`` on, and the queries that ended in the scan."""
+    qi, ni, rest, beam = [], [], np.arange(len(q)), width
+    while len(rest):
+        if beam >= min(WIDEST, len(graph.x)):
+            i, j = _scan(graph, q[rest], least)
+            qi.append(rest[i])
+            ni.append(j)
+            break
+        wider = []
+        chunk = max(16, min(512, 24_000_000 // len(graph.x)))
+        for a in range(0, len(rest), chunk):
+            part = rest[a:a + chunk]
+            ids, sims = graph.search(q[part], beam)
+            full = sims[:, -1] >= least
+            wider.append(part[full])
+            i, j = np.nonzero((sims >= least) & ~full[:, None])
+            qi.append(part[i])
+            ni.append(ids[i, j])
+        rest, beam = np.concatenate(wider), beam * 4
+    qi, ni = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (qi, ni))
+    return qi, ni, rest
+
+
+def audit_recall(truth: dict, qi: np.ndarray, ni: np.ndarray, scanned: np.ndarray) -> float:
+    """Mean share of a query's true links that were found, over queries not scanned."""
+    exact, order = set(scanned.tolist()), np.argsort(qi, kind="stable")
+    qi, ni = qi[order], ni[order]
+    found = []
+    for i, links in truth.items():
+        if i not in exact:
+            a, b = np.searchsorted(qi, [i, i + 1])
+            found.append(np.isin(links, ni[a:b]).mean())
+    return float(np.mean(found)) if found else 1.0
+
+
+def range_search(graph: Graph, q: np.ndarray, threshold: float = COSINE, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs of approximate similarity near ``threshold`` or more; audited.  ``own``
+    is each query's own node, -1 for none."""
     least = threshold - 1e-4
-    audit = np.unique(np.linspace(0, len(q) - 1, AUDIT_QUERIES).astype(np.int64)) if len(q) else np.zeros(0, np.int64)
-    ai, aj = _scan(graph, q[audit], least)
-    truth = set(zip(audit[ai].tolist(), aj.tolist()))
+    if not len(q):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    own = np.full(len(q), -1) if own is None else own
+    judged, planted, truth, enough = audit_queries(graph, q, threshold, own)
+    if not enough:
+        return _scan(graph, q, least)
+    both = np.concatenate([q[judged], planted])
+    number = np.concatenate([judged, len(q) + np.arange(len(planted))])
     width = BEAM
-    while True:
-        qi, ni, rest = [], [], np.arange(len(q))
-        beam = width
-        while len(rest):
-            if beam >= min(WIDEST, len(graph.x)):
-                i, j = _scan(graph, q[rest], least)
-                qi.append(rest[i])
-                ni.append(j)
-                break
-            wider = []
-            chunk = max(16, min(512, 24_000_000 // len(graph.x)))
-            for a in range(0, len(rest), chunk):
-                part = rest[a:a + chunk]
-                ids, sims = graph.search(q[part], beam)
-                full = sims[:, -1] >= least
-                wider.append(part[full])
-                i, j = np.nonzero((sims >= least) & ~full[:, None])
-                qi.append(part[i])
-                ni.append(ids[i, j])
-            rest, beam = np.concatenate(wider), beam * 4
-        qi, ni = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (qi, ni))
-        if width >= min(WIDEST, len(graph.x)):
-            return qi, ni
-        got = set(zip(qi.tolist(), ni.tolist())) if truth else set()
-        if len(truth & got) >= AUDIT_RECALL * len(truth):
-            return qi, ni
+    while width < min(WIDEST, len(graph.x)):  # the audit's queries alone, until it passes
+        qi, ni, scanned = _search_all(graph, both, least, width)
+        if audit_recall(truth, number[qi], ni, number[scanned]) >= AUDIT_RECALL:
+            break
         width *= 4
+    return _search_all(graph, q, least, width)[:2]
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,7 +371,9 @@ def search_block(queries: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
     g, ids, weights, x = _load(graph.iloc[0])
     q = np.array(queries["vector"].tolist(), np.float64)
     node = queries["node"].to_numpy(np.int64)
-    qi, ni = range_search(g, unit(q))
+    by = np.argsort(ids, kind="stable")
+    at = by[np.minimum(np.searchsorted(ids, node, sorter=by), len(ids) - 1)]
+    qi, ni = range_search(g, unit(q), own=np.where(ids[at] == node, at, -1))
     keep = np.zeros(len(qi), bool)
     for a in range(0, len(qi), 100_000):
         keep[a:a + 100_000] = cosine(q[qi[a:a + 100_000]], x[ni[a:a + 100_000]]) >= COSINE
