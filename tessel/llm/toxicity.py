@@ -6,13 +6,14 @@ capitals, punctuation, obfuscation and lengths.  The learned lexicon keeps words
 far more frequent in toxic than in other training texts, so it follows the corpus's languages.
 
 Training uses a bounded hash sample of the labelled rows that are not held out (SAMPLE_ROWS,
-expected number).  Two folds keep it honest: a training row's lexicon features come from the
+expected number), drawn per class: a class of up to half of the bound is taken whole, and
+calibration weighs the rows back to the classes' true shares.  Two folds keep it honest: a training row's lexicon features come from the
 other fold's lexicon, and calibration uses trees fitted on the other fold.  Everything else
 (scoring) runs over all rows.
 
 Defined cases: null and empty texts have zero features and get the model's score for them;
-without labels, or with one class only, every score is the training share of label 1 (0 with no
-labels); repeated rows get equal scores; labels other than 0 and 1 are ignored; a doc_id
+without labels, or with fewer than two rows of a class in a fold, every score is the training
+share of label 1 (0 with no labels); repeated rows get equal scores; labels other than 0 and 1 are ignored; a doc_id
 labelled more than once takes its largest label; an empty table gives no rows.
 """
 
@@ -199,11 +200,12 @@ class Trees:
         return out
 
 
-def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing least-squares fit (pool adjacent violators); ties pooled."""
+def isotonic(raw: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the non-decreasing (weighted) least-squares fit (pool adjacent violators); ties pooled."""
+    weights = np.ones(len(y)) if weights is None else weights
     value, place = np.unique(raw, return_inverse=True)
-    weight = np.bincount(place).astype(float)
-    mean = np.bincount(place, y) / weight
+    weight = np.bincount(place, weights)
+    mean = np.bincount(place, y * weights) / weight
     blocks: list[list[float]] = []  # mean, weight, first, last
     for v, m, w in zip(value, mean, weight):
         blocks.append([m, w, v, v])
@@ -258,16 +260,20 @@ def _lexicon(counts, toxic_rows: int, other_rows: int) -> dict[str, float]:
     return {s: o for _, s, o in sorted(scored, key=lambda z: (-z[0], z[1]))[:MOST_ENTRIES]}
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``fold, toxic, text``: a hash sample of the labelled rows that are not held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict[int, float]]:
+    """``label_id, fold, toxic, text``: a hash sample, drawn per class, of the labelled rows that are
+    not held out; and the share of each class that was drawn."""
     own = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(held_out(F.col("doc_id")) == F.lit(False))
            .groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("toxic").cast("long").alias("toxic")))
-    n = own.count()
-    place = F.pmod(F.xxhash64(F.col("label_id")), F.lit(1 << 20))
-    sample = own.where(place < int(min(1.0, SAMPLE_ROWS / max(n, 1)) * (1 << 20)))  # bounded: broadcast
+    n = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    half = SAMPLE_ROWS // 2
+    share = {y: min(1.0, max(half, SAMPLE_ROWS - n.get(1 - y, 0)) / max(n.get(y, 0), 1)) for y in (0, 1)}
+    place = F.pmod(F.xxhash64(F.col("label_id")), F.lit(1 << 40))
+    sample = own.where(place < F.when(F.col("toxic") == 1, int(share[1] * (1 << 40))).otherwise(int(share[0] * (1 << 40))))  # bounded: broadcast
     text = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text"))
     fold = F.pmod(F.xxhash64(F.col("label_id"), F.lit(1)), F.lit(2)).cast("long")
-    return materialize(text.join(F.broadcast(sample), "label_id").select("label_id", fold.alias("fold"), "toxic", "text").dropDuplicates(), "toxic-sample")
+    rows = text.join(F.broadcast(sample), "label_id").select("label_id", fold.alias("fold"), "toxic", "text").dropDuplicates()
+    return materialize(rows, "toxic-sample"), share
 
 
 def held_out(doc_id: Column) -> Column:
@@ -277,9 +283,10 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit lexicon, trees and calibration (see the module's notes for the bound)."""
     prepare(docs.sparkSession)
-    rows = training_rows(docs, labels, id_col, text_col)
+    rows, share = training_rows(docs, labels, id_col, text_col)
     size = {(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = (sum(v for (_, y), v in size.items() if y == k) for k in (1, 0))
+    n1, n0 = (sum(v for (_, y), v in size.items() if y == k) / share[k] for k in (1, 0))
+    # A rare class is sampled whole, so this tells of all labels.
     if min((size.get((f, y), 0) for f in (0, 1) for y in (0, 1))) < 2:
         return Model(n1 / (n1 + n0) if n1 + n0 else 0.0)
     schema = "stem string, fold long, toxic long, n long"
@@ -314,7 +321,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     raw = np.zeros(len(y))
     for f in (0, 1):
         raw[fold == f] = Trees().fit(x[fold != f], y[fold != f]).raw(x[fold == f])
-    return Model(None, lexicon((0, 1)), Trees().fit(x, y), isotonic(raw, y))
+    return Model(None, lexicon((0, 1)), Trees().fit(x, y), isotonic(raw, y, np.where(y == 1, 1 / share[1], 1 / share[0])))
 
 
 def score(text: Column, model: Model) -> Column:

@@ -92,3 +92,26 @@ def test_trees_learn_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     fit = toxicity.Trees().fit(x[:600], y[:600])
     assert auc(fit.raw(x[600:]), y[600:]) > 0.95
+
+
+def test_a_rare_class_is_sampled_whole(spark, monkeypatch):
+    """Labels far beyond the sample's bound, of which a few in a thousand are toxic."""
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 400)
+    rows, marks = [], []
+    for i in range(8000):
+        w, toxic = words(i, 12, 20), i % 150 == 0
+        if toxic:
+            w[i % 5], w[5 + i % 7] = "zorgle", "zorgle"
+        rows.append((i, " ".join(w)))
+        marks.append((i, 1, int(toxic)))
+    table, labels = docs(spark, rows), spark.createDataFrame(marks, LABELS)
+    model = toxicity.train(table, labels)
+    assert model.constant is None
+    got = toxicity.predict(table, model).join(labels.select("doc_id", "toxic"), "doc_id").toPandas()
+    assert (got["predicted"] == got["toxic"]).all()
+    kept, share = toxicity.training_rows(table, labels, "doc_id", "text")
+    sampled = {r["toxic"]: r["count"] for r in kept.groupBy("toxic").count().collect()}
+    true = got[[not h for h in got["held_out"]]]["toxic"]
+    assert sampled[1] == true.sum() and 250 < sampled[0] < 450 and share[1] == 1.0
+    assert abs(sampled[0] / share[0] - (true == 0).sum()) < 0.25 * len(true)
+    assert abs(got["score"].mean() - got["toxic"].mean()) < 0.01
