@@ -13,7 +13,9 @@ are formed before the join.
 Defined cases: an address without a host, or null, matches nothing and is not blocked; a capture
 without a day matches nothing; events with a null list, kind, value, day or unknown action are
 ignored; repeated captures give repeated rows; repeated events count once; hosts compare without
-case and without user, port or a closing dot; an empty list blocks nothing.
+case and without user, port or a closing dot, in list values as in captures; a prefix's empty
+segments are left out, and a bare host is a prefix of all its addresses; a host or domain value
+with a path, or a value without a host, is ignored; an empty list blocks nothing.
 """
 
 from __future__ import annotations
@@ -46,17 +48,24 @@ def domains_of(host: Column) -> Column:
 
 
 def prefixes_of(host: Column, segments: Column, deepest: int) -> Column:
-    """Host with the first 1, 2, .. ``deepest`` path segments."""
+    """Host with the first 0, 1, .. ``deepest`` path segments."""
     n = F.least(F.size(segments), F.lit(deepest))
-    steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(steps, lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, i), "/")))
+    return F.transform(F.sequence(F.lit(0), n), lambda i: F.concat_ws("/", host, F.slice(segments, 1, i)))
+
+
+def entry_value(kind: Column, value: Column) -> Column:
+    """A list value under the rules of captures' hosts and segments; null if it can match none."""
+    url = F.when(value.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), value).otherwise(F.concat(F.lit("x://"), value))
+    host, segments = host_of(url), F.transform(path_segments(url), F.lower)
+    return F.when(host.isNotNull() & ((kind == "prefix") | (F.size(segments) == 0)), F.concat_ws("/", host, segments))
 
 
 def intervals(events: DataFrame) -> DataFrame:
     """``list, policy, kind, value, since, until`` (``until`` excluded; null: still valid) from
     ``events (list, policy, kind, value, action, day)``."""
     known = events.where("list is not null and kind in ('host', 'domain', 'prefix') and value is not null and day is not null and action in ('add', 'remove')")
-    daily = known.groupBy("list", "kind", F.lower("value").alias("value"), F.col("day").cast("date").alias("since")).agg(
+    known = known.withColumn("value", entry_value(F.col("kind"), F.col("value"))).where("value is not null")
+    daily = known.groupBy("list", "kind", "value", F.col("day").cast("date").alias("since")).agg(
         F.max(F.col("action") == "add").alias("on"), F.max("policy").alias("policy"))
     order = Window.partitionBy("list", "kind", "value").orderBy("since")
     return (daily.withColumn("until", F.lead("since").over(order)).where("on")

@@ -61,3 +61,15 @@ def test_empty_tables(spark):
     assert urlfilter.judge(none, events).count() == 0
     assert [r["verdict_"]["blocked"] for r in urlfilter.judge(some, events.limit(0)).collect()] == [False]
     assert [r["verdict_"]["blocked"] for r in urlfilter.judge(some, events).collect()] == [True]
+
+
+def test_list_values_follow_the_rules_of_captures(spark):
+    url = "https://u@example.com.:80/ads//x?y"
+    forms = [("prefix", v, True) for v in ("example.com/ads/", "Example.com//ads", "example.com", "example.com/", "example.com.:443/ads/x/", "https://example.com/ads")]
+    forms += [("host", v, True) for v in ("example.com.", "EXAMPLE.com:80", "example.com/")] + [("domain", v, True) for v in ("com.", "example.com.")]
+    forms += [("prefix", v, False) for v in ("example.com/ad", "xample.com", "/ads", "", "example.com/ads/x/y/")] + [("host", "example.com/ads", False), ("domain", ".", False)]
+    captures = spark.createDataFrame([(1, url, day(5), None), (2, "https://example.org/ads", day(5), None)], CAPTURES)
+    events = spark.createDataFrame([(f"l{i}", "block", kind, v, "add", day(0)) for i, (kind, v, _) in enumerate(forms)], EVENTS)
+    got = {r["page_id"]: r["verdict_"] for r in urlfilter.judge(captures, events).collect()}
+    assert got[1]["matches"] == sum(fits for *_, fits in forms) and got[1]["blocked"] and got[2]["matches"] == 0
+    assert got[1]["rule"] == "l0:prefix:example.com/ads"
