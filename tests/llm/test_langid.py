@@ -105,3 +105,44 @@ def test_rare_languages_stay(spark):
     texts = [(1, EN), (2, DE), (3, FR), (4, rows[9009][1]), (5, rows[-3][1])]
     got, _ = run(spark, model, [(i, t, None, None, None, None) for i, t in texts])
     assert [got[i]["code"] for i, _ in texts] == ["en", "de", "fr", "q00", "q69"]
+
+
+def test_posterior_equals_loops(spark, model):
+    """Host, domain, declared and suffix evidence recomputed row by row from the texts' likelihoods."""
+    texts, hosts = [EN, DE, FR, "in", "die", "le", "ab", "12", None], ["a.x.at", "b.x.at", "c.d.uk", "x.at", None, " "]
+    rows = [(i, texts[i % 9], ["EN ", "de", None, "", "fr"][i * 7 % 5], ["at", None, "uk"][i * 5 % 3], hosts[i * 11 % 6], None) for i in range(200)]
+    got, _ = run(spark, model, rows)
+    df = spark.createDataFrame(rows, SCHEMA).select("id", langid.log_likelihood(F.col("text"), model).alias("v"))
+    ll = {r["id"]: np.array(r["v"]) for r in df.collect()}
+    k = len(model.languages)
+    clean = lambda v: (v or "").strip().lower() or None
+    softmax = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    prior = np.log([1 / k] * k + [langid.UNDETERMINED_PRIOR])
+    sums = {"declared": {}, "suffix": {}, "host": {}, "domain": {}}
+    values = {}
+    for i, _, declared, suffix, host, _ in rows:
+        values[i] = {"declared": clean(declared), "suffix": clean(suffix), "host": clean(host)}
+        values[i]["domain"] = values[i]["host"] and ".".join(values[i]["host"].split(".")[-2:])
+        for key, v in values[i].items():
+            if v and len(ll[i]):
+                sums[key][v] = sums[key].get(v, 0) + softmax(ll[i] + prior)[:k]
+    flat = sum(sums["host"].values()) + 1
+    flat = flat / flat.sum()
+    for i, v in values.items():
+        if not len(ll[i]):
+            assert got[i]["code"] is None and not got[i]["accepted"]
+            continue
+        own = flat
+        if v["host"] in sums["host"]:
+            for key in ("domain", "host"):
+                c = sums[key][v[key]]
+                own = (c + langid.KAPPA * own) / (c.sum() + langid.KAPPA)
+        score = ll[i] + np.append(np.log(own), np.log(langid.UNDETERMINED_PRIOR))
+        for key in ("declared", "suffix"):
+            n = len(sums[key])
+            if v[key]:
+                score = score + np.append(np.log((sums[key][v[key]] + 0.5) / (sum(sums[key].values()) + 0.5 * n)), -np.log(n))
+        p = softmax(score)
+        best = int(p.argmax())
+        assert abs(p.max() - got[i]["confidence"]) < 1e-9
+        assert got[i]["code"] == [*model.languages, None][best] and got[i]["accepted"] == (best < k and p.max() >= 0.5)
