@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, collision, hnsw, langid, minhash, mixing, sharding, toxicity, urlfilter
+from . import bpe, chat, collision, hnsw, langid, minhash, mixing, rans, sharding, toxicity, urlfilter
 from .common import table
 from .oracle import ORACLE
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def op1_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +108,12 @@ def op10_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` as entropy-coded token files, and what is read back from them."""
+    path = rans.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+    return rans.read(spark, path, with_ids=False)
+
+
 QUERIES = {
     "op1_chat_repair": op1_chat_repair,
     "op2_language_id": op2_language_id,
@@ -119,4 +125,5 @@ QUERIES = {
     "op8_virtual_slots": op8_virtual_slots,
     "op9_hnsw_dedup": op9_hnsw_dedup,
     "op10_collision_ann": op10_collision_ann,
+    "op11_rans_tokens": op11_rans_tokens,
 }

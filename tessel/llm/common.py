@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.session import materialize, ship_package
+from tessel.session import materialize, shared_dir, ship_package
 
 #: Bytes of one Arrow batch handed to a Python worker; bounds a worker's memory on long texts.
 BATCH_BYTES = 4 * 1024 * 1024
@@ -67,6 +67,17 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]] if len(offsets) else data[:0], offsets - offsets[0]
 
 
+def clean_utf8(array: pa.Array) -> pa.Array:
+    """The strings with every invalid byte sequence replaced by U+FFFD; nulls stay.  Spark keeps
+    the bytes of a text as they were read, so they need not be valid UTF-8."""
+    if isinstance(array, pa.ChunkedArray):
+        array = array.combine_chunks()
+    try:
+        return array.cast(pa.binary()).cast(pa.string())  # this cast validates
+    except pa.ArrowInvalid:
+        return pa.array([None if b is None else b.decode("utf-8", "replace") for b in array.cast(pa.binary()).to_pylist()], pa.string())
+
+
 def runs(offsets: np.ndarray, most: int):
     """Ranges of rows of at most ``most`` bytes each (a longer row is a range of its own)."""
     a, n = 0, len(offsets) - 1
@@ -76,4 +87,4 @@ def runs(offsets: np.ndarray, most: int):
         a = min(b, n)
 
 
-__all__ = ["BATCH_BYTES", "claim", "col", "free_name", "materialize", "prepare", "runs", "table", "utf8"]
+__all__ = ["BATCH_BYTES", "claim", "clean_utf8", "col", "free_name", "materialize", "prepare", "runs", "shared_dir", "table", "utf8"]
