@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, collision, hnsw, langid, minhash, mixing, rans, sharding, toxicity, urlfilter
+from . import alignment, bpe, chat, collision, hnsw, langid, minhash, mixing, orchard, rans, sharding, toxicity, urlfilter
 from .common import table
 from .oracle import ORACLE
 
@@ -114,6 +114,16 @@ def op11_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read(spark, path, with_ids=False)
 
 
+def op12_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all ``embeddings`` by four codebooks of 256 entries moved four times."""
+    return orchard.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers aligned over all ``documents``, links scored by an index of pair bitmaps."""
+    return alignment.align_documents(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_chat_repair": op1_chat_repair,
     "op2_language_id": op2_language_id,
@@ -126,4 +136,6 @@ QUERIES = {
     "op9_hnsw_dedup": op9_hnsw_dedup,
     "op10_collision_ann": op10_collision_ann,
     "op11_rans_tokens": op11_rans_tokens,
+    "op12_orchard_codes": op12_orchard_codes,
+    "op13_pair_bitmaps": op13_pair_bitmaps,
 }

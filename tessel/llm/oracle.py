@@ -90,4 +90,35 @@ SELECT doc_id, source, tokens::BIGINT AS tokens, epoch, block, round((epoch * n
 FROM z WHERE epoch < whole OR before + block_tokens <= rest OR run < rest
 """
 
-ORACLE = {"op5_temporal_url_filter": OP5, "op6_temperature_mix": OP6}
+
+
+def _op12(rounds: int = 4) -> str:
+    """Every part compared with every entry, round by round."""
+    ctes = ["""kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), comp AS MATERIALIZED (
+  SELECT vec_id, ((i - 1) // (len(v) // 4))::INT AS part, ((i - 1) % (len(v) // 4))::INT AS place, v[i] AS x
+  FROM kept, LATERAL (SELECT unnest(range(1, len(v) + 1)) AS i)
+), b0 AS MATERIALIZED (
+  SELECT part, entry, place, x FROM comp JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept) USING (vec_id) WHERE entry < 256
+)"""]
+    for k in range(rounds + 1):
+        ctes.append(f"""a{k} AS MATERIALIZED (
+  SELECT vec_id, part, min(d * 256 + entry) % 256 AS entry, min(d * 256 + entry) // 256 AS d FROM (
+    SELECT c.vec_id, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x))::BIGINT AS d FROM comp c JOIN b{k} b USING (part, place) GROUP BY ALL) GROUP BY ALL
+)""")
+        if k < rounds:
+            ctes.append(f"""b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.place, coalesce((s - ((s % n) + n) % n) // n, b.x)::BIGINT AS x FROM b{k} b
+  LEFT JOIN (SELECT part, entry, place, sum(x)::BIGINT AS s, count(*) AS n FROM comp JOIN a{k} USING (vec_id, part) GROUP BY ALL) m USING (part, entry, place)
+)""")
+    return "WITH " + ", ".join(ctes) + f"""
+SELECT vec_id, code, error, label_error, sha256(books) AS codebooks_sha256
+FROM (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+JOIN (SELECT vec_id, sum(e) OVER (PARTITION BY label)::BIGINT AS label_error FROM kept JOIN (SELECT vec_id, sum(d) AS e FROM a{rounds} GROUP BY vec_id) USING (vec_id)) USING (vec_id),
+(SELECT string_agg(x::VARCHAR, ',' ORDER BY part, entry, place) AS books FROM b{rounds})
+"""
+
+
+ORACLE = {"op5_temporal_url_filter": OP5, "op6_temperature_mix": OP6, "op12_orchard_codes": _op12()}

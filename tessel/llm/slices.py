@@ -48,26 +48,6 @@ def token_bytes(tokenizer) -> list[bytes]:
     return out
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """Starts of all cuts: the start of every text that is not empty, every blank after a character
-    that is certainly not white space, and every one of ``signs`` after an ASCII letter."""
-    n = len(data)
-    start = np.zeros(n + 1, bool)
-    if n > 1:
-        at = np.flatnonzero(_BLANK[data[1:]] & ~_ASCII_SPACE[data[:-1]]) + 1
-        wide = at[data[at - 1] >= 0x80]
-        last, before, first = data[wide - 1], data[wide - 2], data[np.maximum(wide - 3, 0)]
-        space = (before == 0xC2) & ((last == 0x85) | (last == 0xA0))
-        space |= (first == 0xE1) & (before == 0x9A) | (first == 0xE2) & (before == 0x81) & (last == 0x9F)
-        space |= (first == 0xE2) & (before == 0x80) & ((last <= 0x8A) | (last == 0xA8) | (last == 0xA9) | (last == 0xAF))
-        space |= (first == 0xE3) & (before == 0x80) & (last == 0x80)
-        start[at] = True
-        start[wide[space]] = False
-        start[1:n] |= signs[data[1:]] & _LETTER[data[:-1]]
-    start[offsets[:-1]] = True
-    return np.flatnonzero(start[:n])
-
-
 class SliceEncoder:
     """Ids of texts by one tokenizer file; ``plain_special``: strings of special tokens are text."""
 
@@ -85,7 +65,30 @@ class SliceEncoder:
             self.signs[[b for a, b in zip(token.content.encode(), token.content.encode()[1:]) if _LETTER[a]]] = False
         self.clear()
 
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Starts of all cuts: the start of every text that is not empty, every blank after a character
+        that is certainly not white space, and every sign after an ASCII letter."""
+        n = len(data)
+        start = np.zeros(n + 1, bool)
+        if n > 1:
+            at = np.flatnonzero(_BLANK[data[1:]] & ~_ASCII_SPACE[data[:-1]]) + 1
+            wide = at[data[at - 1] >= 0x80]
+            last, before, first = data[wide - 1], data[wide - 2], data[np.maximum(wide - 3, 0)]
+            space = (before == 0xC2) & ((last == 0x85) | (last == 0xA0))
+            space |= (first == 0xE1) & (before == 0x9A) | (first == 0xE2) & (before == 0x81) & (last == 0x9F)
+            space |= (first == 0xE2) & (before == 0x80) & ((last <= 0x8A) | (last == 0xA8) | (last == 0xA9) | (last == 0xAF))
+            space |= (first == 0xE3) & (before == 0x80) & (last == 0x80)
+            start[at] = True
+            start[wide[space]] = False
+            start[1:n] |= self.signs[data[1:]] & _LETTER[data[:-1]]
+        start[offsets[:-1]] = True
+        return np.flatnonzero(start[:n])
+
     def clear(self) -> None:
+        #: Whether the bytes of all ids handed out were those of their cuts.
+        self.exact = True
+        self.tokens = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.token_at = np.cumsum(self.width) - self.width
         self.slot = np.full(_SLOTS, -1, np.int32)
         self.n = 0
         self.hash, self.first, self.count, self.text = (np.zeros(1024, t) for t in (np.uint64, np.int64, np.int32, np.int64))
@@ -115,6 +118,11 @@ class SliceEncoder:
         at = np.cumsum(length) - length
         blob = data[np.repeat(start - at, length) + np.arange(int(length.sum()))]
         ids, size = self._library(blob, length)
+        width = self.width[ids]
+        if self.exact:
+            end = np.cumsum(width)
+            self.exact = bool(np.array_equal(end[np.cumsum(size) - 1], np.cumsum(length)) and np.array_equal(
+                self.tokens[np.repeat(self.token_at[ids] - (end - width), width) + np.arange(len(blob))], blob))
         n = len(start)
         for name, values, a in (("hash", hashes, self.n), ("first", self.n_ids + np.cumsum(size) - size, self.n), ("count", size, self.n),
                                 ("text", self.n_blob + at, self.n), ("ids", ids, self.n_ids), ("blob", blob, self.n_blob)):
@@ -150,7 +158,7 @@ class SliceEncoder:
         ``data`` is valid UTF-8 cut by ``offsets``."""
         if self.n > MOST:
             self.clear()
-        start = cuts(data, offsets, self.signs)
+        start = self.cuts(data, offsets)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         size = np.diff(np.append(start, len(data)))
