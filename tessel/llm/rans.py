@@ -179,18 +179,19 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def token_rows(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids, n_tokens``: the library's ids and the end id of each text, little-endian
-    unsigned 32-bit."""
+    """``doc_id, ids, n_tokens``: the library's ids and the end id of each text as little-endian
+    unsigned integers, of 16 bits if the vocabulary allows it, else of 32."""
     def run(batches):
         for batch in batches:
             code = encoder(path)
             data, offsets = _texts(batch.column(1))
             ids, ends = code.encode(data, offsets)
             n = len(offsets) - 1
-            values = np.full(len(ids) + n, end_id, "<u4")
+            kind = "<u2" if max(len(code.bytes_of), end_id + 1) <= 1 << 16 else "<u4"
+            values = np.full(len(ids) + n, end_id, kind)
             size = np.diff(ends)
             values[np.arange(len(ids)) + np.repeat(np.arange(n), size)] = ids
-            cut = 4 * (ends + np.arange(n + 1))
+            cut = values.itemsize * (ends + np.arange(n + 1))
             blob = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cut.astype(np.int64).tobytes()), pa.py_buffer(values.tobytes())])
             yield pa.RecordBatch.from_arrays([batch.column(0), blob.cast(pa.binary()), pa.array(size + 1)], ["doc_id", "ids", "n_tokens"])
 
@@ -199,6 +200,11 @@ def token_rows(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_i
     return slim.mapInArrow(run, "doc_id long, ids binary, n_tokens long")
 
 
+def _ids(raw: bytes, n: int) -> np.ndarray:
+    """The ``n`` ids of :func:`token_rows` bytes."""
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
+
+
 def count_ids(tokens: DataFrame) -> np.ndarray:
     """How often each id occurs: one partial row per id and task; the sum has a row per id of the
     vocabulary, which bounds what reaches the driver."""
@@ -206,13 +212,13 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
         total = np.zeros(0, np.int64)
         for batch in batches:
             data, _ = utf8(batch.column(0))
-            part = np.bincount(np.frombuffer(data.tobytes(), "<u4"), minlength=len(total))
+            part = np.bincount(_ids(data.tobytes(), pa.compute.sum(batch.column(1)).as_py() or 0), minlength=len(total))
             part[:len(total)] += total
             total = part
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = tokens.select("ids", "n_tokens").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = rows.column("id").to_numpy(), rows.column("n").to_numpy()
     out = np.zeros(int(ids.max(initial=-1)) + 1, np.int64)
     out[ids] = n
@@ -222,7 +228,7 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
 SEGMENTS = "part int, first long, doc_ids array<long>, n_tokens array<long>, n_ids long, payload binary"
 
 
-def write(tokens: DataFrame, path: str) -> None:
+def write(tokens: DataFrame, path: str, segment_ids: int = SEGMENT) -> None:
     """Write ``tokens (doc_id, ids, n_tokens)`` in ascending order of doc_id: the folder
     ``path/table`` holds the frequencies, ``path/segments`` the coded ids and their documents."""
     spark = tokens.sparkSession
@@ -236,19 +242,19 @@ def write(tokens: DataFrame, path: str) -> None:
         names, sizes, pieces, held = [], [], [], 0
 
         def segment():
-            ids = np.frombuffer(b"".join(pieces), "<u4").astype(np.int64)
+            ids = np.concatenate(pieces).astype(np.int64)
             columns = [pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([names], pa.list_(pa.int64())),
                        pa.array([sizes], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([encode_segment(ids, table)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["part", "first", "doc_ids", "n_tokens", "n_ids", "payload"])
 
         for batch in batches:
-            for name, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = ids.as_py()
-                if held and held + len(ids) > 4 * SEGMENT:
+            for name, raw, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                ids = _ids(raw.as_py(), n)
+                if held and held + len(ids) > segment_ids:
                     yield segment()
-                    first, names, sizes, pieces, held = first + held // 4, [], [], [], 0
+                    first, names, sizes, pieces, held = first + held, [], [], [], 0
                 names.append(name)
-                sizes.append(len(ids) // 4)
+                sizes.append(len(ids))
                 pieces.append(ids)
                 held += len(ids)
         if names:
@@ -256,9 +262,9 @@ def write(tokens: DataFrame, path: str) -> None:
 
     # The row's own number keeps a crowd of equal rows from being one indivisible range.
     keys = ["doc_id", "tie", "row"]
-    numbered = tokens.select("doc_id", "ids", F.xxhash64("ids").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    numbered = tokens.select("doc_id", "ids", "n_tokens", F.xxhash64("ids").alias("tie"), F.monotonically_increasing_id().alias("row"))
     ordered = numbered.repartitionByRange(*keys).sortWithinPartitions("doc_id", "tie", "ids", "row")
-    ordered.select("doc_id", "ids").mapInArrow(run, SEGMENTS).write.parquet(f"{path}/segments")
+    ordered.select("doc_id", "ids", "n_tokens").mapInArrow(run, SEGMENTS).write.parquet(f"{path}/segments")
 
 
 def read_table(spark: SparkSession, path: str) -> np.ndarray:
@@ -299,8 +305,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     return stored.select("part", "first", "doc_ids", "n_tokens", "payload").mapInArrow(run, out)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, path: str | None = None) -> str:
+def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, path: str | None = None, segment_ids: int = SEGMENT) -> str:
     """Encode and write ``docs (doc_id, text)``; the folder's path (new, in shared storage, by default)."""
     path = path or shared_dir(docs.sparkSession, "token-files")
-    write(materialize(token_rows(docs, vocabulary, end_id), "token-rows"), path)
+    write(materialize(token_rows(docs, vocabulary, end_id), "token-rows"), path, segment_ids)
     return path

@@ -128,12 +128,11 @@ def test_damage_is_noticed():
         rans.decode_segment(payload, rans.Table(rans.quantise(np.bincount(ids) + 1)))
 
 
-def test_files_against_plain_loops(spark, library, monkeypatch, tmp_path):
-    monkeypatch.setattr(rans, "SEGMENT", 50)
+def test_files_against_plain_loops(spark, library):
     rows = [(7, "it's  fine\n"), (None, None), (2, ""), (7, "it's  fine\n"), (7, "else"), (3, "long " * 30000), (None, "x"), (-4, "<|endoftext|> a")]
     rows += [(i, f"number {i} of many") for i in range(100, 140)]
     table = docs(spark, rows).selectExpr("*", "1 as ids", "2 as n_tokens", "3 as `a.b`").repartition(5)
-    path = rans.encode_documents(table, PATH)
+    path = rans.encode_documents(table, PATH, segment_ids=50)
     got = sorted(rans.read(spark, path).collect(), key=lambda r: r["start"])
     want = [library.encode(t or "", add_special_tokens=False).ids + [0] for _, t in rows]
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, bytes(r["ids"])) for r in got) == sorted(
