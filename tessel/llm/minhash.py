@@ -17,7 +17,8 @@ Verification never samples and never lists all pairs of a bucket:
  3. members of buckets that still hold several components get an exact prefix filter: tokens in
     one global order (rarest first), pairs of different components that share a prefix token and
     whose positions still allow the threshold are compared on full sets.  Any linked pair shares
-    such a token, so nothing is lost; near-copy crowds that stay under the threshold share none.
+    such a token, so nothing is lost; a token's largest component is met only by rows outside it, so
+    a linked crowd costs its size, and near-copy crowds under the threshold share no such token.
 
 Defined cases: words are runs of other than ASCII white space, A-Z lower-cased; fewer than five
 words make one shingle; null, empty or blank texts have an empty set, link with nothing and stay;
@@ -192,17 +193,30 @@ def prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             .select("node", "component", "size", F.col("t.token").alias("token"), (F.col("unique") + F.col("pos") + 1).alias("at")))
 
 
+def token_meetings(held: DataFrame) -> DataFrame:
+    """Rows of ``held (node, component, size, token, at)`` met over a token that several components
+    hold: every row outside the token's largest component with all rows of the token.  A pair of
+    different components has an end outside that one, so none is lost, and a crowd that is one
+    component is never met with itself."""
+    crowds = held.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = (crowds.groupBy("token").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
+            .select("token", F.col("m.component").alias("main")))
+    shared = held.join(main, "token")
+    outside = shared.where("component <> main").select(F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"), "token", F.col("at").alias("pa"))
+    return outside.join(shared.select(F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), "token", F.col("at").alias("pb")), "token")
+
+
 def prefix_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of different components that an exact prefix and position filter leaves."""
-    all_ = materialize(prefixes(sets, percent), "prefixes")
+    met = token_meetings(materialize(prefixes(sets, percent), "prefixes"))
+    low, high = F.least("sa", "sb"), F.greatest("sa", "sb")
     # The smaller set of a pair needs a shorter prefix: its least overlap with any larger set.
-    shorter = F.col("size") - F.ceil(F.lit(2 * percent) * F.col("size") / (100 + percent)) + 1
-    small = all_.where(F.col("at") <= shorter).select(F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"), "token", F.col("at").alias("pa"))
-    large = all_.select(F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), "token", F.col("at").alias("pb"))
+    a_small = (F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))
+    shorter = low - F.ceil(F.lit(2 * percent) * low / (100 + percent)) + 1
     reach = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) + 1
-    allowed = ((F.col("ca") != F.col("cb")) & ((F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b"))))
-               & (100 * F.col("sa") >= percent * F.col("sb")) & ((100 + percent) * reach >= percent * (F.col("sa") + F.col("sb"))))
-    return small.join(large, "token").where(allowed).select("a", "b").distinct()
+    allowed = ((F.col("ca") != F.col("cb")) & (F.when(a_small, F.col("pa")).otherwise(F.col("pb")) <= shorter)
+               & (100 * low >= percent * high) & ((100 + percent) * reach >= percent * (F.col("sa") + F.col("sb"))))
+    return met.where(allowed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def repeated(rows: DataFrame) -> bool:

@@ -103,3 +103,13 @@ def test_stage_links_from_080(spark):
     assert got == brute(rows, 80) and got[601] == 600 and brute(rows)[601] == 601
     left = corpus_pipeline.minhash_dedup(spark, table, "").collect()
     assert {r["doc_id"] for r in left} == {i for i, c in got.items() if i == c}
+
+
+def test_a_linked_crowd_beside_a_stray_meets_in_linear_rows(spark):
+    """One component of m near copies and one document outside it that shares their tokens."""
+    met = {}
+    for m in (100, 200, 400):
+        rows = [(i, 0, 204, t, 1 + t) for i in range(m) for t in range(30)] + [(9999, 9999, 204, t, 1 + t) for t in range(30)]
+        held = spark.createDataFrame(rows, "node long, component long, size long, token long, at long")
+        met[m] = minhash.token_meetings(held).count()
+        assert met[m] == 30 * (m + 1)  # the stray meets each row of a token (and itself) once
