@@ -14,7 +14,8 @@ posterior(l) ~ host prior(l) * P(text | l) * P(declared markup language | l) * P
 A row is accepted if the winner is a language and its posterior reaches ``least``.
 
 Defined cases: null and empty texts (or texts without letters) have no text evidence and are
-rejected as undetermined; ties go to the alphabetically first language; repeated rows get equal
+rejected as undetermined; invalid UTF-8 is read as U+FFFD; markup that is never closed is
+removed up to the end of the page (scripts, styles, comments) or kept as text (tags); ties go to the alphabetically first language; repeated rows get equal
 results; an empty table gives no rows; no labelled rows at all leaves every row undetermined.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, col, free_name, materialize, prepare, runs, utf8
+from .common import claim, clean_utf8, col, free_name, materialize, prepare, runs, utf8
 
 CELLS = 1 << 14
 #: Distinct labelled rows of each language (expected number, by hash of id and text) that the text
@@ -39,7 +40,10 @@ TEMPER = 4.0
 #: Strength, in rows, of the parent's distribution in a host's or a domain's prior.
 KAPPA = 20.0
 UNDETERMINED_PRIOR = 1e-3
-MARKUP = r"(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&#?\w+;"
+#: Removed from pages.  A script, style or comment without an end reaches to the end of the page; a
+#: tag holds no further "<".  Every alternative passes a character once, so the scan is linear.
+MARKUP = r"(?s)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)|<[^<>]*+>|&#?\w++;"
+DECLARED = r"(?i)<html\b[^<>]*?\blang\s*+=\s*+[\"']?([A-Za-z]+)"
 
 
 @functools.cache
@@ -76,7 +80,7 @@ def _count_batches(languages):
     def count(batches):
         sums = np.zeros((len(languages), CELLS), np.int64)
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(clean_utf8(batch.column(1)))
             lang = np.array([known.get(x, -1) for x in batch.column(0).to_pylist()])
             for a, b in runs(offsets, 500_000):
                 cells, owner = trigram_cells(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
@@ -130,7 +134,7 @@ def log_likelihood(text: Column, model: TextModel) -> Column:
 
     @F.arrow_udf("array<double>")
     def language_likelihood(texts: pa.Array) -> pa.Array:
-        data, offsets = utf8(texts)
+        data, offsets = utf8(clean_utf8(texts))
         n, k = len(offsets) - 1, logp.shape[1]
         out, count = np.zeros((n, k)), np.zeros(n, np.int64)
         for a, b in runs(offsets, 500_000):
@@ -219,5 +223,5 @@ def page_columns(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     """Text, declared language, suffix and host of raw pages."""
     url, html = F.col(url_col).cast("string"), F.col(html_col).cast("string")
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    return {"text": F.regexp_replace(html, MARKUP, " "), "declared": F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1),
+    return {"text": F.regexp_replace(html, MARKUP, " "), "declared": F.regexp_extract(html, DECLARED, 1),
             "suffix": F.regexp_extract(host, r"\.([^.]+)$", 1), "host": host}

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from helpers import docs
@@ -146,3 +148,27 @@ def test_posterior_equals_loops(spark, model):
         best = int(p.argmax())
         assert abs(p.max() - got[i]["confidence"]) < 1e-9
         assert got[i]["code"] == [*model.languages, None][best] and got[i]["accepted"] == (best < k and p.max() >= 0.5)
+
+
+@pytest.mark.parametrize("piece", ["<", "<!--", "<script ", "<html ", "<style ", "&a", "<html lang ", "<html lang=", "<a b <"])
+def test_ten_megabytes_of_unclosed_markup_take_seconds(spark, piece):
+    n = 10_000_000 // len(piece)
+    page = spark.range(1).select(F.lit("http://a.b/").alias("url"), F.repeat(F.lit(piece), n).alias("html"))
+    began = time.time()
+    parts = langid.page_columns(page)
+    got = page.select(F.length(parts["text"]).alias("n"), parts["declared"].alias("declared")).first()
+    assert time.time() - began < 20 and got["declared"] == "" and got["n"] <= 10_000_000
+
+
+def test_unclosed_markup(spark):
+    pages = [("a<script>x</script>b<!-- c -->d<style>e</style>&amp;f<b>g", "a b d f g".replace(" ", "")), ("a<script>b", "a"), ("a<!-- b", "a"), ("a<style x", "a"), ("a <b c <i>d", "a<bcd")]
+    table = spark.createDataFrame([("", h) for h, _ in pages], "url string, html string")
+    got = [r["t"].replace(" ", "") for r in table.select(langid.page_columns(table)["text"].alias("t")).collect()]
+    assert got == [w for _, w in pages]
+
+
+def test_invalid_utf8(spark):
+    table = spark.sql("select 1L doc_id, cast(X'8061FF6263' as string) text, 'en' lang union all select 2L, 'abc def', 'en' union all select 3L, 'abd', 'en'")
+    model = langid.fit(table, "doc_id", "text", "lang")
+    none = F.lit(None).cast("string")
+    assert langid.identify(table, model, F.col("text"), F.col("lang"), none, none).count() == 3
