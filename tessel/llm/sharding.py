@@ -2,14 +2,17 @@
 
 Every record hashes into one of ``slots`` virtual slots.  Bytes and rows are aggregated per
 slot; a small versioned table maps slots to shards.  Version 1 deals the slots round robin;
-rebalancing edits the map (moves whole slots, writes a new version) and never rehashes a record.
+rebalancing loads the newest version, edits it (moves whole slots) and appends the next one; it
+never rehashes a record.
 
 Law: ``bytes``.  The edited map's shard sizes differ by at most about one small record, unless
 one record alone is larger than a shard's share.
 
 Defined cases: a null text counts as empty (size 1); null ids are allowed, the hash takes id,
-size and checksum, so rows without an id spread over the slots; repeated rows are counted, get
-consecutive positions and stay in one slot; an empty table gives no rows and an even map.  The
+size and checksum, so rows without an id spread over the slots; repeated rows are counted and cut
+into chunks of at most a fraction of a slot's mean bytes (at least one row), each of which hashes
+into a slot of its own, so a record that holds a third of all rows spreads too; an empty table
+gives no rows and an even map; a map of more shards than wanted has the others' slots dealt out.  The
 map and the per-slot sums have ``slots`` rows whatever the input, so the driver edits them and
 the join broadcasts them.
 """
@@ -28,13 +31,27 @@ SLOTS = 4096
 MAP_SCHEMA = "version int, slot int, shard int"
 
 
-def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """Distinct (id, size, checksum) with their number ``copies`` and their virtual slot."""
+#: Chunks of copies hold at most the bytes of a slot's mean divided by this.
+CHUNKS_OF_SLOT = 4
+
+
+def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Distinct (id, size, checksum) with their number ``copies``."""
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     slim = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + F.lit(1)).cast("long").alias("size"),
                        F.crc32(raw).alias("text_crc32"))
-    slot = F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(slots)).cast("int")
-    return slim.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies")).withColumn("virtual_slot", slot)
+    return slim.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def chunked(recs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Records with their copies cut into chunks, and each chunk's virtual slot.  All records
+    together make at most ``slots * CHUNKS_OF_SLOT`` chunks more than there are records."""
+    total = recs.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] or 0
+    most = F.greatest(F.lit(1), F.floor(F.lit(total // (slots * CHUNKS_OF_SLOT)) / F.col("size"))).cast("long")
+    last = F.floor((F.col("copies") - 1) / most).cast("long")
+    parts = recs.withColumn("most", most).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    slot = F.pmod(F.xxhash64("doc_id", "size", "text_crc32", "chunk"), F.lit(slots)).cast("int")
+    return parts.select("doc_id", "size", "text_crc32", "chunk", F.least("most", F.col("copies") - F.col("chunk") * F.col("most")).alias("copies"), slot.alias("virtual_slot"))
 
 
 def slot_sums(recs: DataFrame) -> DataFrame:
@@ -56,9 +73,9 @@ def rebalance(shard_of: np.ndarray, size: np.ndarray, shards: int, most_edits: i
     """
     out = np.asarray(shard_of).copy()
     size = np.asarray(size, np.int64)
-    load = np.bincount(out, size, shards).astype(np.int64)
-    mean = load.sum() / shards
-    pool = []
+    pool = np.flatnonzero(out >= shards).tolist()  # shards that are no more
+    mean = size.sum() / shards
+    load = np.bincount(out[out < shards], size[out < shards], shards).astype(np.int64)
     for k in np.flatnonzero(load > mean):
         own = np.flatnonzero(out == k)
         for s in own[np.lexsort((own, -size[own]))]:
@@ -122,10 +139,24 @@ def grow(shard_of: np.ndarray, size: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def store(spark: SparkSession, versions: list[np.ndarray], path: str | None = None) -> str:
-    """Append the versions to the stored map (a new folder in shared storage by default)."""
+def newest(spark: SparkSession, path: str) -> tuple[int, np.ndarray | None]:
+    """Number and slots of the newest stored version; 0 and nothing if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return 0, None
+    stored = spark.read.schema(MAP_SCHEMA).parquet(path)
+    version = stored.agg(F.max("version")).first()[0]
+    if version is None:
+        return 0, None
+    rows = stored.where(F.col("version") == version).orderBy("slot").collect()  # a row per slot
+    return version, np.array([r["shard"] for r in rows])
+
+
+def store(spark: SparkSession, versions: list[np.ndarray], path: str | None = None, first: int = 1) -> str:
+    """Append the versions, numbered from ``first``, to the stored map (a new folder in shared
+    storage by default)."""
     path = path or shared_dir(spark, "slot-map")
-    rows = [(v, int(s), int(k)) for v, m in enumerate(versions, 1) for s, k in enumerate(m)]
+    rows = [(v, int(s), int(k)) for v, m in enumerate(versions, first) for s, k in enumerate(m)]
     spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("append").parquet(path)
     return path
 
@@ -135,20 +166,27 @@ def load(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema(MAP_SCHEMA).parquet(path).where(F.col("version") == version)
 
 
-def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """One row per document: size, checksum, shard, gapless position in the shard, virtual slot."""
+def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+    """One row per document: size, checksum, shard, gapless position in the shard, virtual slot.
+
+    ``map_path`` holds the versions of the slot map: the newest one is edited for these documents
+    and the edited one appended (a first one is dealt if there is none, or none of so many slots).
+    Without a path the map lives in a folder of its own."""
     spark = docs.sparkSession
-    recs = materialize(records(docs, id_col, text_col, slots), "shard-records")
+    recs = materialize(chunked(materialize(records(docs, id_col, text_col), "shard-records"), slots), "shard-chunks")
     sums = {r["virtual_slot"]: r["bytes"] for r in slot_sums(recs).collect()}  # at most `slots` rows
     size = np.array([sums.get(s, 0) for s in range(slots)], np.int64)
-    versions = [first_map(shards, slots)]
-    versions.append(rebalance(versions[0], size, shards))
-    stored = load(spark, store(spark, versions), len(versions)).withColumnRenamed("slot", "virtual_slot")
-    before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
+    version, known = newest(spark, map_path) if map_path else (0, None)
+    fresh = known is None or len(known) != slots
+    before = first_map(shards, slots) if fresh else known
+    edited = rebalance(before, size, shards)
+    path = store(spark, [before, edited] if fresh else [edited], map_path, version + 1)
+    stored = load(spark, path, version + (2 if fresh else 1)).withColumnRenamed("slot", "virtual_slot")
+    earlier = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     placed = (stored.join(slot_sums(recs), "virtual_slot")  # at most `slots` rows
-              .withColumn("offset", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+              .withColumn("offset", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
               .select("virtual_slot", "shard", "offset", F.col("version").alias("map_version")))
-    inside = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32", "chunk").rowsBetween(Window.unboundedPreceding, -1)
     return (recs.withColumn("first", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
             .join(F.broadcast(placed), "virtual_slot")
             .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))

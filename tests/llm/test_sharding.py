@@ -52,3 +52,45 @@ def test_stored_versions(spark, tmp_path):
     path = sharding.store(spark, [sharding.first_map(3, 7), np.array([0, 1, 2, 0, 1, 2, 2])], str(tmp_path / "map"))
     got = [(r["slot"], r["shard"]) for r in sharding.load(spark, path, 2).orderBy("slot").collect()]
     assert got == list(enumerate([0, 1, 2, 0, 1, 2, 2]))
+
+
+def test_a_third_of_all_rows_alike_spreads(spark):
+    rows = [(None, "the same words again")] * 3000 + [(i, f"text number {i}") for i in range(6000)]
+    load = check(rows, 16, sharding.assign(docs(spark, rows), 16).collect())
+    assert max(load) - min(load) <= 64
+
+
+def test_against_plain_loops(spark, tmp_path):
+    rows = [(i % 70, "x" * (i % 13)) for i in range(400)] + [(None, "y")] * 200
+    path = str(tmp_path / "map")
+    got = sharding.assign(docs(spark, rows), 5, slots=64, map_path=path).collect()
+    version, shard_of = sharding.newest(spark, path)
+    assert version == 2 and {r["map_version"] for r in got} == {2}
+    size = np.zeros(64, np.int64)
+    for r in got:
+        assert r["shard"] == shard_of[r["virtual_slot"]]
+        size[r["virtual_slot"]] += r["size"]
+    load = [sum(r["size"] for r in got if r["shard"] == k) for k in range(5)]
+    assert sharding.rebalance(sharding.first_map(5, 64), size, 5).tolist() == shard_of.tolist() and max(load) - min(load) <= 16
+    for k in range(5):  # positions: slots in order, inside them by id, size and checksum
+        own = sorted((r for r in got if r["shard"] == k), key=lambda r: r["slot"])
+        order = [(r["virtual_slot"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in own]
+        assert order == sorted(order) and [r["slot"] for r in own] == list(range(len(own)))
+
+
+def test_a_second_run_edits_the_stored_map(spark, tmp_path):
+    path = str(tmp_path / "map")
+    rows = [(i, " ".join(words(i, 1 + i % 40))) for i in range(500)]
+    sharding.assign(docs(spark, rows), 4, slots=256, map_path=path).count()
+    _, one = sharding.newest(spark, path)
+    check(rows, 4, sharding.assign(docs(spark, rows), 4, slots=256, map_path=path).collect())
+    version, two = sharding.newest(spark, path)
+    assert version == 3 and (one != two).mean() < 0.05
+    more = rows + [(1000 + i, "z" * i) for i in range(60)]
+    load = check(more, 4, sharding.assign(docs(spark, more), 4, slots=256, map_path=path).collect())
+    version, three = sharding.newest(spark, path)
+    assert version == 4 and 0 < (two != three).sum() < 40 and max(load) - min(load) <= 64
+    load = check(more, 3, sharding.assign(docs(spark, more), 3, slots=256, map_path=path).collect())
+    version, four = sharding.newest(spark, path)
+    assert version == 5 and four.max() == 2 and max(load) - min(load) <= 64
+    assert (three != four)[three == 3].all()
