@@ -6,7 +6,8 @@ so the state before every character comes from an associative prefix scan over b
 monoid elements (one table lookup per composition).  A second table turns (state, class) into
 slice starts.  No regular expression runs on the text.
 
-Defined cases: a null text is an empty one (no slices, no ids); invalid vocabulary paths raise;
+Defined cases: a null text is an empty one (no slices, no ids); invalid UTF-8 is replaced by U+FFFD
+before offsets are taken; invalid vocabulary paths raise;
 repeated rows are encoded alike; rows are never split, merged or dropped.  One text is held
 whole in a worker (Arrow batches are bounded in bytes, a longer text is a batch of its own).
 """
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, prepare, runs, utf8
+from .common import claim, clean_utf8, prepare, runs, utf8
 
 # Classes.  Letters that can belong to a contraction ('s 't 'm 'd 're 've 'll) have their own.
 END, SPACE, BLANK, LETTER, STMD, LETTER_E, LETTER_RV, LETTER_L, NUMBER, QUOTE, OTHER = range(11)
@@ -352,7 +353,7 @@ def encode(text: Column, path: str) -> Column:
 
     @F.arrow_udf(ENCODED)
     def bpe_encode(texts: pa.Array) -> pa.Array:
-        return encode_arrow(texts, path, table)
+        return encode_arrow(clean_utf8(texts), path, table)
 
     return bpe_encode(text)
 

@@ -73,3 +73,10 @@ def test_digests_of_nulls_repeats_and_clashing_columns(spark, enc):
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.digests(bpe.encode_documents(docs(spark, []), PATH), PATH).count() == 0
+
+
+def test_invalid_utf8_is_replaced(spark, enc):
+    table = spark.sql("select 1L doc_id, cast(X'8061FF62C3' as string) text")
+    got = bpe.digests(bpe.encode_documents(table, PATH), PATH).first()
+    text = "�a�b�"
+    assert got["n_tokens"] == len(enc.encode_ordinary(text)) and got["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
