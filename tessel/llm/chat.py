@@ -13,7 +13,7 @@ driver chains these (two rows per partition), a second pass finds the state and
 piece hands on, a third renders.  Output has a row per input row and inserted turn; the rendered
 conversation is the concatenation of ``rendered`` by ``position``, never built in one place.
 
-Defined cases: rows order by (turn, role, text), nulls first; repeated rows are turns of their
+Defined cases: rows order by (turn, role, hash of the text, text), nulls first; repeated rows are turns of their
 own; a null conv_id is a conversation of its own; null and empty texts render as empty; roles
 compare without case and outer blanks; marker text inside a message is broken up so that it
 cannot open a turn; an empty table gives no rows.
@@ -139,10 +139,12 @@ def repair(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     prepare(spark)
     checkpoint_root(spark)
     base = rows.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    keys = ["conv_id", "turn", "role", "text"]
-    # Equal rows are interchangeable; the number only lets range partitioning part them.
-    base = base.withColumn("n", F.monotonically_increasing_id())
-    base = base.repartitionByRange(*keys, "n").sortWithinPartitions(*keys, "n").select(*keys).checkpoint()
+    # Rows of one turn are ordered by role, then by a hash of their texts: range partitioning samples
+    # its keys to the driver, which must not hold texts.  Equal rows are interchangeable; the
+    # number only lets range partitioning part them.
+    keys = ["conv_id", "turn", "role", "text_hash"]
+    base = base.withColumns({"text_hash": F.xxhash64("text"), "n": F.monotonically_increasing_id()})
+    base = base.repartitionByRange(*keys, "n").sortWithinPartitions(*keys, "text", "n").select("conv_id", "turn", "role", "text").checkpoint()
     edges = {r["pid"]: r for r in base.mapInArrow(_edges(lambda _, roles, pid: fold(roles)), EDGE).collect()}  # a row per partition
     pids = sorted(edges)
     going, free = {}, (0, 0, 0, 0)  # cost after a partition's last piece; conversations go on?

@@ -106,3 +106,18 @@ def test_result_is_legal(roles):
             assert to in chat.LEGAL[state]
             state = to
         assert state == after
+
+
+def test_range_keys_hold_no_texts(spark):
+    """A few hundred turns of a megabyte: what range partitioning samples stays small."""
+    rows = spark.range(300).select((F.col("id") % 3).alias("conv_id"), (F.col("id") / 3).cast("long").alias("turn"),
+                                   F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.concat(F.lit("x"), F.col("id")), 300_000).alias("text"))
+    seen = []
+    plain = type(rows).repartitionByRange
+    try:
+        type(rows).repartitionByRange = lambda self, *keys: seen.append(self.select(*keys)) or plain(self, *keys)
+        out = chat.repair(rows)
+    finally:
+        type(rows).repartitionByRange = plain
+    assert seen and all(t in ("bigint", "string") for _, t in seen[0].dtypes) and "text" not in seen[0].columns
+    assert out.agg(F.count("*"), F.sum((F.col("action") == "keep").cast("int"))).first()[0] >= 300
