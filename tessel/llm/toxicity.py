@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import claim, materialize, prepare, runs, utf8
 
 SAMPLE_ROWS = 12_000
-MOST_ENTRIES = 4000
-#: Candidates of a fold's lexicon: the most frequent in its toxic texts.
-CANDIDATES = 60_000
+#: An entry of the lexicon occurs in so large a share of the sample's toxic texts, and in three of
+#: them at least.  A text has so many stems on average, hence at most 100 times as many entries.
+SUPPORT = 0.01
 STEMS = (4, 5, 6)
 
 # Insults.
@@ -250,14 +250,14 @@ def _stem_counts(kept: frozenset | None):
 
 def _lexicon(counts, toxic_rows: int, other_rows: int) -> dict[str, float]:
     """Strength (log-odds, at most 8) of the entries far more frequent in toxic texts."""
-    least = max(3.0, 0.01 * toxic_rows)
+    least = max(3.0, SUPPORT * toxic_rows)
     scored = []
     for stem, n1, n0 in counts:
         if n1 >= least:
             odds = np.log((n1 + 0.5) / (toxic_rows + 1)) - np.log((n0 + 0.5) / (other_rows + 1))
             if odds >= np.log(8):
                 scored.append((n1 * odds, stem, float(min(odds, 8.0))))
-    return {s: o for _, s, o in sorted(scored, key=lambda z: (-z[0], z[1]))[:MOST_ENTRIES]}
+    return {s: o for _, s, o in sorted(scored, key=lambda z: (-z[0], z[1]))}
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict[int, float]]:
@@ -290,11 +290,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if min((size.get((f, y), 0) for f in (0, 1) for y in (0, 1))) < 2:
         return Model(n1 / (n1 + n0) if n1 + n0 else 0.0)
     schema = "stem string, fold long, toxic long, n long"
+    least = max(3.0, SUPPORT * min(size[f, 1] for f in (0, 1)))  # what any lexicon asks for
     top = (rows.where("toxic = 1").select("fold", "toxic", "text").mapInArrow(_stem_counts(None), schema)
-           .groupBy("stem").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.desc("n"), "stem").limit(CANDIDATES))
+           .groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("stem"))
     kept = frozenset(r["stem"] for r in top.collect())
     counted = rows.select("fold", "toxic", "text").mapInArrow(_stem_counts(kept), schema).groupBy("stem", "fold", "toxic").agg(F.sum("n").alias("n")).toPandas()
-    count = {(s, f, y): n for s, f, y, n in counted.itertuples(index=False)}  # at most 4 * CANDIDATES
+    count = {(s, f, y): n for s, f, y, n in counted.itertuples(index=False)}  # four counts of each entry
 
     def lexicon(folds):
         return _lexicon(((s, *(sum(count.get((s, f, y), 0) for f in folds) for y in (1, 0))) for s in sorted(kept)),
