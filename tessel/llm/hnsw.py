@@ -63,6 +63,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cosine of the rows of ``x`` and ``y`` in double precision."""
+    # Rows are scaled by powers of two: squares of very large or small ones stay finite, and no digit changes.
+    x, y = (np.ldexp(z, -np.frexp(np.abs(z).max(1, keepdims=True))[1]) for z in (x, y))
     return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
 
 
