@@ -18,20 +18,24 @@ from tessel.session import materialize
 DEFAULT_BUCKETS = 256
 
 
+def _cells(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """``(label, prediction, count)`` of the pairs that occur; rows that lack either are left out."""
+    both = df.select(F.col(label).alias("label"), F.col(prediction).alias("prediction"))
+    return (both.where(F.col("label").isNotNull() & F.col("prediction").isNotNull())
+            .groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("count")))
+
+
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """ML6: ``(label, prediction, count)`` for every pair of classes seen in either column,
     zero cells included.
+
+    The counts (a row per pair that occurs) are joined with the grid, so k classes cost k * k cells.
     """
-    counts = (df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction"))
-              .agg(F.count(F.lit(1)).alias("count")))
-    # the cells of a few classes in one row: one pass over the input
-    one = counts.agg(F.collect_list(F.struct("label", "prediction", "count")).alias("cells"),
-                     F.array_sort(F.array_union(F.collect_set("label"),
-                                                F.collect_set("prediction"))).alias("cls"))
-    grid = (one.select(F.explode("cls").alias("label"), "cls", "cells")
-            .select("label", F.explode("cls").alias("prediction"), "cells"))
-    own = F.filter("cells", lambda c: (c["label"] == F.col("label")) & (c["prediction"] == F.col("prediction")))
-    return grid.select("label", "prediction", F.coalesce(F.get(own, F.lit(0))["count"], F.lit(0)).alias("count"))
+    seen = df.select(F.explode(F.array(F.col(label), F.col(prediction))).alias("c")).where(F.col("c").isNotNull())
+    classes = seen.agg(F.collect_set("c").alias("cls"))  # a value per class
+    grid = classes.select(F.explode("cls").alias("label"), "cls").select("label", F.explode("cls").alias("prediction"))
+    return (grid.join(_cells(df, label, prediction), ["label", "prediction"], "left")
+            .select("label", "prediction", F.coalesce("count", F.lit(0)).alias("count")))
 
 
 def class_report(df: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -41,15 +45,15 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
     Rows ``(name, precision, recall, f1_score, support)`` in the layout of the
     transposed report: the ``accuracy`` row repeats the accuracy in every
     column.  A zero denominator gives 0.  ``digits``: round half to even.
+    Empty cells add nothing, so only the pairs that occur are read.
     """
-    cm = confusion(df, label, prediction)
     # every cell counts once for its label and once for its prediction: one pass
     hit = F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(F.lit(0))
     none = F.lit(0).cast("bigint")
     both = F.array(
         F.struct(F.col("label").alias("cls"), hit.alias("tp"), F.col("count").alias("support"), none.alias("pred")),
         F.struct(F.col("prediction").alias("cls"), none.alias("tp"), none.alias("support"), F.col("count").alias("pred")))
-    per = (cm.select(F.explode(both).alias("c")).select("c.*").groupBy("cls")
+    per = (_cells(df, label, prediction).select(F.explode(both).alias("c")).select("c.*").groupBy("cls")
            .agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("pred").alias("pred")))
     p = F.when(F.col("pred") > 0, F.col("tp") / F.col("pred")).otherwise(F.lit(0.0))
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
