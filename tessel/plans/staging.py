@@ -63,17 +63,18 @@ def write_json_records(df: DataFrame, folder: str) -> None:
     records.mapInArrow(lines, "value string").write.text(folder)
 
 
-def write_zipped_csv(df: DataFrame, folder: str, header: bool = True) -> int:
-    """One zip archive with one CSV member per partition; returns the number of archives."""
+def write_zipped_csv(df: DataFrame, folder: str, header: bool = True, members: int = 1) -> int:
+    """One zip archive per partition, its rows dealt over CSV members; returns the number of archives."""
     def encode(columns, rows):
-        text = io.StringIO()
-        w = csv.writer(text, lineterminator="\n")
-        if header:
-            w.writerow(columns)
-        w.writerows(["" if v is None else v for v in r] for r in rows)
         buf = io.BytesIO()
         with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("data/part.csv", text.getvalue())
+            for k in range(members):
+                text = io.StringIO()
+                w = csv.writer(text, lineterminator="\n")
+                if header:
+                    w.writerow(columns)
+                w.writerows(["" if v is None else v for v in r] for r in rows[k::members])
+                z.writestr(f"data/part{k or ''}.csv", text.getvalue())
         return buf.getvalue()
 
     return _write_files(df, folder, ".zip", encode)
