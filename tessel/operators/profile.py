@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from tessel.functions.columns import numeric_columns
 from tessel.functions.scalars import nan_to_null
+from tessel.operators import comoments
 from tessel.operators import quantiles as qt
 from tessel.operators.joins import checked_broadcast
+from tessel.operators.sketches import heavy_hitters
 from tessel.operators.ordering import top_k_per_group
-from tessel.session import materialize
+from tessel.session import materialize, ship_package
 
 DTYPE_WIDTH = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8,
                "boolean": 1, "date": 4, "timestamp": 8, "timestamp_ntz": 8}
@@ -114,24 +116,20 @@ def corr_matrix(df: DataFrame, cols=None) -> DataFrame:
     """AGG18: Pearson correlation of every pair of numeric columns, ``(col_a, col_b, corr)``.
 
     Pairwise-complete (a row counts for a pair when both values are present).
-    One code-generated aggregation: covariance and both deviations over the pair's
-    rows; a constant column yields NULL (NaN in pandas) instead of a division by zero.
-    The matrix is mirrored and the diagonal is 1 (NULL for a constant column).
+    One pass: blocks of rows become matrices of co-moments that are merged pairwise
+    (:mod:`tessel.operators.comoments`), so hundreds of columns cost matrix products, not
+    expressions.  A constant column yields NULL (NaN in pandas), and so do infinite values.
+    The matrix has both triangles and a diagonal of 1 (NULL for a constant column).
     """
     cols = list(cols) if cols else numeric_columns(df)
-    x = {c: _number(c) for c in cols}
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    aggs = []
-    for a, b in pairs:
-        xa, xb = F.when(x[b].isNotNull(), x[a]), F.when(x[a].isNotNull(), x[b])
-        aggs.append(F.try_divide(F.covar_samp(x[a], x[b]), F.stddev_samp(xa) * F.stddev_samp(xb)).alias(f"{a}\0{b}"))
-    aggs += [F.when(F.min(x[c]) < F.max(x[c]), F.lit(1.0)).alias(f"{c}\0{c}") for c in cols]
+    schema = "col_a string, col_b string, corr double"
     if not cols:
-        return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    cell = lambda a, b, name: F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"`{name}`").alias("corr"))
-    rows = [cell(p, q, f"{a}\0{b}") for a, b in pairs for p, q in ((a, b), (b, a))]
-    rows += [cell(c, c, f"{c}\0{c}") for c in cols]
-    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+        return df.sparkSession.createDataFrame([], schema)
+    ship_package(df.sparkSession)
+    at = [f"x{i}" for i in range(len(cols))]
+    found = comoments.correlations(df.select(*[_number(F.col(f"`{c}`")).alias(x) for c, x in zip(cols, at)]), at)
+    names = F.array(*[F.lit(c) for c in cols])
+    return found.select(F.get(names, F.col("i")).alias("col_a"), F.get(names, F.col("j")).alias("col_b"), "corr")
 
 
 def _bin_index(value, lo, hi, bins: int):
@@ -259,8 +257,8 @@ def pair_bins(df: DataFrame, cols, bins: int = 10) -> DataFrame:
 
 
 def _approximate_profile(df: DataFrame, num: set, top: int) -> DataFrame:
-    """One code-generated aggregate, no shuffle of values: sketched distinct counts, exact
-    missing counts, minima and maxima; the most frequent values stay NULL."""
+    """No shuffle of all values: one code-generated aggregate (sketched distinct counts, exact missing
+    counts, minima and maxima), and the exact most frequent texts by heavy-hitter candidates."""
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, (c, t) in enumerate(df.dtypes):
         x = nan_to_null(F.col(f"`{c}`")) if t in ("float", "double") else F.col(f"`{c}`")
@@ -271,12 +269,18 @@ def _approximate_profile(df: DataFrame, num: set, top: int) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     cells = []
     for i, (c, t) in enumerate(df.dtypes):
-        tops = [e for k in range(1, top + 1) for e in (none("string").alias(f"top{k}"), none("bigint").alias(f"top{k}_count"))]
         lo, hi = (F.col(f"lo{i}"), F.col(f"hi{i}")) if c in num else (none("double"), none("double"))
         cells.append(F.struct(F.lit(c).alias("column"), F.lit(t).alias("dtype"), F.col(f"u{i}").alias("n_unique"),
                               (F.col("rows") - F.col(f"n{i}")).alias("n_missing"), lo.alias("min"), hi.alias("max"),
-                              *tops, none("bigint").alias("others_count")))
-    return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+                              F.lit(c not in num).alias("_text"), F.col(f"n{i}").alias("_n")))
+    base = df.agg(*aggs).select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+    best = heavy_hitters(df, [c for c in df.columns if c not in num], top)  # `top` rows a column
+    pick = lambda k, of: F.max(F.when(F.col("rank") == k, F.col(of)))
+    tops = best.groupBy("column").agg(*[e for k in range(1, top + 1) for e in (pick(k, "value").alias(f"top{k}"), pick(k, "count").alias(f"top{k}_count"))])
+    names = [e for k in range(1, top + 1) for e in (f"top{k}", f"top{k}_count")]
+    taken = sum((F.coalesce(f"top{k}_count", F.lit(0)) for k in range(1, top + 1)), F.lit(0))
+    return (base.join(tops, "column", "left")
+            .select("column", "dtype", "n_unique", "n_missing", "min", "max", *names, F.when(F.col("_text"), F.col("_n") - taken).alias("others_count")))
 
 
 def column_profile(df: DataFrame, top: int = 2, exact: bool = True) -> DataFrame:
@@ -288,8 +292,9 @@ def column_profile(df: DataFrame, top: int = 2, exact: bool = True) -> DataFrame
     others_count)``.  One scan of the table: every column is packed as a
     (text, number) pair, unpivoted, and its values counted once (partial
     aggregation, written once); all figures come from that table, and the top
-    values per column from a salted two-stage ranking.  ``exact=False`` shuffles no
-    values: distinct counts are sketched and the top values are left out.
+    values per column from a salted two-stage ranking.  ``exact=False`` shuffles
+    candidates only: distinct counts are sketched, the top values (still exact) come from
+    :func:`tessel.operators.sketches.heavy_hitters`.
     """
     num = set(numeric_columns(df))
     if not exact:
