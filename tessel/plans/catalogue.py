@@ -20,8 +20,12 @@ from tessel.operators import ordering
 from tessel.operators import profile as pf
 from tessel.plans import classifier as cl
 from tessel.plans import flights as fl
+from tessel.plans import bucketed, profiling, rollup
 from tessel.session import shared_dir
-from tessel.sources import files, sinks, workbook, zipped
+from tessel.operators import density
+from tessel.operators import newton_cg as ncg
+from tessel.operators import sketches as sk
+from tessel.sources import archives, files, infer, sinks, workbook, zipped
 from tessel.functions import scalars
 from tessel.operators import quantiles as qt
 from tessel.plans import staging
@@ -404,6 +408,226 @@ def q_newton_gradient(spark, d):
     return g.select(F.explode(rows).alias("s")).select("s.*")
 
 
+# --- wide, stored and incremental forms ---------------------------------------------------
+
+WIDE = [*[f"w{k}" for k in range(20)], "l_quantity", "far", "flat", "empty"]
+
+
+def _wide(spark, d):
+    """Line items as 24 numeric columns: repeating residues with NULLs, a column far from zero, a
+    constant and an empty one."""
+    c = si.clinical(spark, d)
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    ws = {f"w{k}": F.when((key + k) % 13 != 0, (key * (k + 3) + line * (k * k + 1)) % (11 + 2 * k)) for k in range(20)}
+    return c.withColumns({**ws, "far": F.col("l_extendedprice") + 1e9, "flat": F.lit(7.25), "empty": F.lit(None).cast("double")}).select(*WIDE)
+
+
+def q_corr_wide(spark, d):
+    """AGG18 on many columns."""
+    return pf.corr_matrix(_wide(spark, d)).withColumn("corr", F.round("corr", 8))
+
+
+def q_zip_members(spark, d):
+    """SRC10, a partition per member: archives of five CSV members each."""
+    path = shared_dir(spark, "members-zip")
+    note = F.concat(F.col("customer_city"), F.lit(',\n"'), F.col("customer_id").cast("string"), F.lit('"'))
+    staging.write_zipped_csv(_with_large_ids(si.customers(spark, d)).withColumns({"note": note, "unused": F.lit("NaN")}), path, members=5)
+    return _ids_as_text(archives.read_zip_members(
+        spark, path, "note string, large_id bigint, customer_zip_code_prefix string, customer_id bigint, unused double"))
+
+
+def q_xlsx_sheets(spark, d):
+    """SRC7, a partition per sheet."""
+    path = shared_dir(spark, "sheets-xlsx")
+    staging.write_workbooks(_with_large_ids(si.customers(spark, d)), path)
+    return _ids_as_text(archives.read_workbook_sheets(spark, path, LARGE_SCHEMA))
+
+
+def q_route_rollup(spark, d):
+    """AGG1 + SNK6: the monthly route table of all months but one, refreshed when that month's
+    files arrive."""
+    folder, out = shared_dir(spark, "monthly-csv"), shared_dir(spark, "route-table")
+    month = F.substring("FlightDate", 1, 7)
+    flights = si.flights(spark, d).select("FlightDate", "Reporting_Airline", "Origin", "Dest").withColumn("file", F.coalesce(month, F.lit("none")))
+    airports = fl.load_airports(si.airports(spark, d))
+    read = lambda paths: files.read_csv(spark, paths, "FlightDate string, Reporting_Airline string, Origin string, Dest string")
+    for late, part in ((False, "early"), (True, "late")):
+        rows = flights.where((F.col("file") == "1995-03") == late)
+        rows.repartition("file").write.partitionBy("file").option("header", True).csv(f"{folder}/{part}")
+        rollup.refresh(spark, folder, out, airports, read)
+    return rollup.routes(spark, out)
+
+
+def _month_sketches(spark, d):
+    """The stored sketches of the enriched flights' months."""
+    path = shared_dir(spark, "month-sketches")
+    sinks.write_parquet(sk.partition_sketches(_enriched(spark, d), ["Year", "Month"], ["FlightDate"], ["OriginLat"]), path, partition_by=["Year", "Month"])
+    return spark.read.parquet(path)
+
+
+def q_stored_day_counts(spark, d):
+    """AGG9-AGG11: flights, days and flights per day of every year, from the months' sketches."""
+    out = sk.distinct_counts(_month_sketches(spark, d), "FlightDate", "Year")
+    return out.select("Year", F.col("rows").alias("total_flights"), F.col("distinct").alias("num_days"), F.col("per_distinct").alias("mean_per_day"))
+
+
+def q_stored_quantiles(spark, d):
+    """AGG14: quartiles from sketches stored by return flag and status; each answer's true rank."""
+    path = shared_dir(spark, "price-sketches")
+    sinks.write_parquet(sk.partition_sketches(si.clinical(spark, d), "l_linenumber", numeric=["l_extendedprice"]), path)
+    got = sk.quantiles(spark.read.parquet(path), "l_extendedprice", [0.1, 0.3, 0.5, 0.9])
+    price = si.clinical(spark, d).select("l_extendedprice")
+    answers = got.select("p", "n", "quantile")
+    below = price.join(F.broadcast(answers), price.l_extendedprice <= answers.quantile)  # four answers
+    return below.groupBy("p", "n").agg(F.round(F.count(F.lit(1)) / F.col("n"), 1).alias("rank"))
+
+
+def q_heavy_hitters(spark, d):
+    """AGG24: the three most frequent values of several columns without shuffling the values."""
+    return sk.heavy_hitters(si.airports_wide(spark, d), ["Name", "City", "Country", "Altitude"], 3)
+
+
+def q_column_profile_fast(spark, d):
+    """AGG24 ``exact=False``: all but the sketched distinct counts."""
+    out = pf.column_profile(si.airports_wide(spark, d), exact=False)
+    return out.where(F.col("dtype") == "string").select("column", "dtype", "n_missing", "top1", "top1_count", "top2", "top2_count", "others_count")
+
+
+def _many_classes(spark, d):
+    """Line items of 60 classes, predicted by another residue."""
+    c = si.clinical(spark, d)
+    return c.select((F.col("l_orderkey") % 60).cast("int").alias("label"), F.when(F.col("l_linenumber") < 3, F.col("l_orderkey") % 60)
+                    .otherwise((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 63).cast("int").alias("prediction"))
+
+
+def q_confusion_many(spark, d):
+    """ML6 with many classes."""
+    return ev.confusion(_many_classes(spark, d))
+
+
+def q_class_report_many(spark, d):
+    """ML7 with many classes."""
+    return ev.class_report(_many_classes(spark, d))
+
+
+def q_kde_binned(spark, d):
+    """AGG21 by linear binning."""
+    out = density.kde_binned(si.clinical(spark, d), "l_extendedprice", by="Outcome", tolerance=1e-9)
+    return out.withColumns({"x": F.round("x", 6), "density": F.round("density", 11)})
+
+
+def q_orders_bucketed(spark, d):
+    """JN5 on co-bucketed tables."""
+    orders, items = bucketed.store_orders(si.orders(spark, d), si.order_items(spark, d), 8)
+    return bucketed.orders_with_totals(orders, items).withColumns(
+        {"total_products": F.col("total_products").cast("double"), "total_sales": F.round("total_sales", 2)})
+
+
+def q_inferred_csv(spark, d):
+    """SRC1 + SRC2: types from the first rows; a later value that does not fit becomes NULL."""
+    path = shared_dir(spark, "customers-inferred")
+    c = _with_large_ids(si.customers(spark, d)).withColumns({"half": F.col("customer_id") / 2, "even": F.col("customer_id") % 2 == 0})
+    late = F.when(F.col("customer_id") > 120, F.concat(F.lit("n"), F.col("customer_id"))).otherwise(F.col("customer_id").cast("string"))
+    sinks.write_csv(c.withColumn("late", late).orderBy("customer_id"), path, single_file=True)
+    got = infer.read_csv_inferred(spark, path, text_columns=["customer_city"], prefix_rows=100)
+    kinds = spark.createDataFrame([(",".join(t for _, t in got.dtypes),)], "types string")
+    return _ids_as_text(got).withColumn("late", F.col("late").cast("string")).withColumn("types", kinds.select("types").scalar())
+
+
+def q_newton_cg_gradient(spark, d):
+    """ML3 on 21 features by Newton-CG: the objective's gradient at the weights: zero."""
+    keys = [f"w{k}" for k in range(20)]
+    wide = _wide(spark, d).select(*[(F.coalesce(c, F.lit(0)) / 10.0).alias(c) for c in keys], (F.col("l_quantity") / 50.0).alias("l_quantity"),
+                                  F.coalesce((F.col("w3") * 2 + F.col("w5") > 20).cast("int"), F.lit(0)).alias("y"))
+    names = [*keys, "l_quantity"]
+    w = ncg.train_logistic_cg(wide, names, "y", C=0.01)
+    scored = ml.predict_with_weights(w, wide, names)
+    r = 0.01 * (F.col("probability_1") - F.col("y"))
+    x = [*[F.col(c) for c in names], F.lit(1.0)]
+    g = scored.agg(*[(F.lit(float(w[j])) + F.sum(r * x[j])).alias(f"g{j}") for j in range(len(x))])
+    rows = F.array(*[F.struct(F.lit(n).alias("weight"), F.abs(F.round(F.col(f"g{j}"), 4)).alias("gradient")) for j, n in enumerate([*names, "intercept"])])
+    return g.select(F.explode(rows).alias("s")).select("s.*")
+
+
+# --- whole jobs ---------------------------------------------------------------------------
+
+def q_route_analysis(spark, d):
+    """W2 for one month: the dashboard's figures as (part, name, value)."""
+    job = fl.route_analysis(_enriched(spark, d), 1995, 3)
+    label = sinks.scalar(job["label"])  # SNK4
+    parts = [
+        job["total"].select(F.lit("total").alias("part"), F.lit(label).alias("name"), F.col("total_flights").cast("double").alias("value")),
+        job["top_origin"].select(F.lit("top_origin"), "IATA_ORIGIN", F.col("count").cast("double")),
+        job["top_dest"].select(F.lit("top_dest"), "IATA_DEST", F.col("count").cast("double")),
+        job["top_routes"].select(F.lit("top_routes"), fl.ROUTE_LABEL, F.col("total").cast("double")),
+        job["carrier_share"].select(F.lit("carrier_share"), "AIRLINE", F.round("share", 10)),
+        job["daily"].select(F.lit("daily"), F.col("FlightDate").cast("string"), F.col(fl.DAILY_COUNT).cast("double")),
+        job["routes"].groupBy("AIRLINE").agg(F.round(F.sum("weight"), 6).alias("w")).select(F.lit("weights"), "AIRLINE", "w"),
+        job["markers"].select(F.lit("markers"), "IATA", F.col("lat")),
+        job["filter_options"].select(F.concat(F.lit("option_"), "kind"), "value", F.lit(None).cast("double")),
+        job["route_options"].groupBy("kind").agg(F.count(F.lit(1)).cast("double").alias("n")).select(F.lit("route_options"), "kind", "n"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def q_profile_table(spark, d):
+    """The profiling job on the clinical table, label dropped from the features (PRJ6), as (part, name,
+    value)."""
+    data = clean.drop_columns(si.clinical(spark, d), "l_orderkey", "l_linenumber")
+    job = profiling.profile_table(data, label="Outcome", hist_cols=["l_quantity"], pair_cols=["l_discount", "l_tax"])
+    num = lambda c: F.col(c).cast("double")
+    cell = F.concat_ws("/", F.col("x_col"), "y_col", F.col("bx").cast("string"), F.col("by").cast("string"))
+    parts = [
+        job["info"].select(F.lit("info").alias("part"), F.col("column").alias("name"), num("non_null").alias("value")),
+        job["shape"].select(F.lit("shape"), F.lit("rows"), num("rows")),
+        job["size"].select(F.lit("size"), "column", num("bytes")),
+        job["describe"].select(F.lit("p50"), "column", _sig("p50")),
+        job["correlation"].select(F.lit("corr"), F.concat_ws("/", "col_a", "col_b"), F.round("corr", 8)),
+        job["column_profile"].select(F.lit("n_unique"), "column", num("n_unique")),
+        job["pair_bins"].select(F.lit("pair_bins"), cell, num("count")),
+        job["density"]["l_quantity"].where("i % 50 = 0").select(F.lit("density"), F.concat_ws("/", F.col("Outcome").cast("string"), F.col("i").cast("string")), F.round("density", 10)),
+        job["class_histograms"]["l_quantity"].select(F.lit("histogram"), F.concat_ws("/", F.col("Outcome").cast("string"), F.col("bin").cast("string")), num("count")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def q_evaluate_classifier(spark, d):
+    """W4's evaluation of fixed weights, as (part, name, value); an empty table has no report (FLT8)."""
+    keys = ["l_orderkey", "l_linenumber"]
+    pred = ml.predict_with_weights(FIXED_WEIGHTS, si.clinical(spark, d), NUMERIC_FEATURES)
+    job = cl.evaluate_classifier(pred, "Outcome", tie_keys=keys)
+    none = clean.is_empty(pred)
+    text = lambda *cs: F.concat_ws("/", *[F.col(c).cast("string") for c in cs])
+    parts = [job["confusion"].select(F.lit("confusion").alias("part"), text("label", "prediction").alias("name"), F.col("count").cast("double").alias("value"))]
+    if not none:
+        parts += [
+            job["report"].select(F.lit("recall"), "name", "recall"),
+            job["auc"].select(F.lit("auc"), F.lit(""), F.round("auc", 6)),
+            job["probability_histogram"].select(F.lit("histogram"), text("label", "bin"), F.col("count").cast("double")),
+            job["predictions"].select(F.lit("predictions"), text(*keys), F.col("probability (y=1)")),
+        ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def q_vector_element(spark, d):
+    """SC16: the second element of a probability vector, thresholded."""
+    from pyspark.ml.functions import array_to_vector
+
+    p = F.col("l_discount") * 4 + F.col("l_tax")
+    c = si.clinical(spark, d).select("l_orderkey", "l_linenumber", array_to_vector(F.array(1.0 - p, p)).alias("probability"))
+    second = scalars.vector_element("probability", 1)
+    return c.select("l_orderkey", "l_linenumber", F.round(second, 6).alias("probability_1"), (second > 0.25).cast("int").alias("predicted"))
+
+
 def q_stream_enrichment(spark, d):
     """Structured Streaming: flight CSV files enriched incrementally (stream-static joins,
     several micro-batches, parquet sink with checkpoint), read back as a table."""
@@ -479,4 +703,22 @@ QUERIES = {
     "quantiles_bucketed": q_quantiles_bucketed,
     "predict_fixed": q_predict_fixed,
     "newton_gradient": q_newton_gradient,
+    "corr_wide": q_corr_wide,
+    "zip_members": q_zip_members,
+    "xlsx_sheets": q_xlsx_sheets,
+    "route_rollup": q_route_rollup,
+    "stored_day_counts": q_stored_day_counts,
+    "stored_quantiles": q_stored_quantiles,
+    "heavy_hitters": q_heavy_hitters,
+    "column_profile_fast": q_column_profile_fast,
+    "confusion_many": q_confusion_many,
+    "class_report_many": q_class_report_many,
+    "kde_binned": q_kde_binned,
+    "orders_bucketed": q_orders_bucketed,
+    "inferred_csv": q_inferred_csv,
+    "newton_cg_gradient": q_newton_cg_gradient,
+    "route_analysis": q_route_analysis,
+    "profile_table": q_profile_table,
+    "evaluate_classifier": q_evaluate_classifier,
+    "vector_element": q_vector_element,
 }

@@ -197,6 +197,25 @@ def _corr_sql() -> str:
     return _with(CLINICAL, _union(parts))
 
 
+WIDE_NUMERIC = [*[f"w{k}" for k in range(20)], "l_quantity", "far", "flat", "empty"]
+
+
+def _corr_wide_sql() -> str:
+    ws = ", ".join(f"CASE WHEN (l_orderkey + {k}) % 13 <> 0 THEN (l_orderkey * {k + 3} + l_linenumber * {k * k + 1}) % {11 + 2 * k} END AS w{k}"
+                   for k in range(20))
+    ctes = CLINICAL + f""",
+wide AS (SELECT {ws}, l_quantity, l_extendedprice + 1000000000.0 AS far, l_extendedprice AS near, CAST(7.25 AS DOUBLE) AS flat, CAST(NULL AS DOUBLE) AS empty
+         FROM clinical)"""
+    # the correlation does not depend on the offset: the SQL side uses the column without it
+    use = lambda c: "near" if c == "far" else c
+    cells = []
+    for a in WIDE_NUMERIC:
+        for b in WIDE_NUMERIC:
+            v = "NULL" if {a, b} & {"flat", "empty"} else "1.0" if a == b else f"corr({use(a)}, {use(b)})"
+            cells.append(f"{{'col_a': '{a}', 'col_b': '{b}', 'corr': round(CAST({v} AS DOUBLE), 8)}}")
+    return _with(ctes, f"SELECT s.* FROM (SELECT unnest([{', '.join(cells)}]) AS s FROM wide)")
+
+
 def _hist_sql(source_ctes: str, table: str, col: str, bins: int, by: str | None,
               common: bool) -> str:
     g = f"{by}, " if by else ""
@@ -224,9 +243,9 @@ def _hist_sql(source_ctes: str, table: str, col: str, bins: int, by: str | None,
     return _with(f"{source_ctes},\n{data},\n{rng},\n{groups},\n{counts},\n{grid}", body)
 
 
-def _kde_sql() -> str:
-    ctes = CLINICAL + """,
-data AS (SELECT Outcome, CAST(l_quantity AS DOUBLE) AS v FROM clinical WHERE l_quantity IS NOT NULL),
+def _kde_sql(col: str = "l_quantity", x_digits: int = 8, digits: int = 10) -> str:
+    ctes = CLINICAL + f""",
+data AS (SELECT Outcome, CAST({col} AS DOUBLE) AS v FROM clinical WHERE {col} IS NOT NULL),
 p1 AS (SELECT Outcome, count(*) AS n, stddev_samp(v) AS s, min(v) AS mn, max(v) AS mx
        FROM data GROUP BY Outcome),
 p2 AS (SELECT *, s * pow(n, -0.2) AS h FROM p1),
@@ -236,8 +255,8 @@ sums AS (
   SELECT Outcome, i,
          sum(w * exp(-0.5 * ((lo + i * step - v) / h) * ((lo + i * step - v) / h))) AS k
   FROM weights JOIN p3 USING (Outcome), range(0, 200) t(i) GROUP BY ALL)"""
-    body = """SELECT Outcome, CAST(i AS INT) AS i, round(lo + i * step, 8) AS x,
-       round(k / (n * h * sqrt(2 * pi())), 10) AS density, CAST(n AS BIGINT) AS n
+    body = f"""SELECT Outcome, CAST(i AS INT) AS i, round(lo + i * step, {x_digits}) AS x,
+       round(k / (n * h * sqrt(2 * pi())), {digits}) AS density, CAST(n AS BIGINT) AS n
 FROM sums JOIN p3 USING (Outcome)"""
     return _with(ctes, body)
 
@@ -340,6 +359,63 @@ pf AS (
   FROM pm)"""
 
 
+def _report_sql(ctes: str) -> str:
+    """Report of ``per (cls, tp, support, pred)``."""
+    return _with(ctes + """,
+rates AS (SELECT *, CASE WHEN pred > 0 THEN tp / pred ELSE 0.0 END AS precision, CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM per),
+full_ AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END AS f1_score FROM rates)""", """
+SELECT CAST(cls AS VARCHAR) AS name, round_even(precision, 3) AS precision, round_even(recall, 3) AS recall,
+       round_even(f1_score, 3) AS f1_score, round_even(CAST(support AS DOUBLE), 3) AS support FROM full_
+UNION ALL
+SELECT 'accuracy', round_even(acc, 3), round_even(acc, 3), round_even(acc, 3), round_even(acc, 3) FROM (SELECT sum(tp) / sum(support) AS acc FROM full_)
+UNION ALL
+SELECT 'macro avg', round_even(avg(precision), 3), round_even(avg(recall), 3), round_even(avg(f1_score), 3), round_even(CAST(sum(support) AS DOUBLE), 3) FROM full_
+UNION ALL
+SELECT 'weighted avg', round_even(sum(precision * support) / sum(support), 3), round_even(sum(recall * support) / sum(support), 3),
+       round_even(sum(f1_score * support) / sum(support), 3), round_even(CAST(sum(support) AS DOUBLE), 3) FROM full_""")
+
+
+MANY = CLINICAL + """,
+many AS (
+  SELECT CAST(l_orderkey % 60 AS INT) AS label,
+         CAST(CASE WHEN l_linenumber < 3 THEN l_orderkey % 60 ELSE (l_orderkey * 7 + l_linenumber) % 63 END AS INT) AS prediction FROM clinical),
+many_cls AS (SELECT label AS c FROM many UNION SELECT prediction FROM many)"""
+
+MONTH_ROUTES = FLIGHTS + """,
+m AS (SELECT * FROM routes WHERE Year = 1995 AND Month = 3),
+e AS (SELECT * FROM enriched WHERE Year = 1995 AND Month = 3)"""
+
+PREDICTED = CLINICAL + """,
+pred AS (
+  SELECT *, 1.0 / (1.0 + exp(-(0.02 * l_quantity - 0.00001 * l_extendedprice + 1.5 * l_discount - 2.0 * l_tax - 0.75))) AS p FROM clinical),
+scored AS (SELECT *, CAST(p > 0.5 AS INT) AS q FROM pred),
+pcls AS (SELECT Outcome AS c FROM scored UNION SELECT q FROM scored),
+ranked AS (SELECT Outcome, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM scored),
+rng AS (SELECT Outcome AS label, min(p) AS lo, max(p) AS hi FROM scored GROUP BY 1),
+bins AS (
+  SELECT label, CAST(least(floor((p - lo) / (hi - lo) * 20), 19) AS INT) AS bin, count(*) AS n FROM scored JOIN rng ON Outcome = label GROUP BY ALL)"""
+
+
+def _profile_table_sql() -> str:
+    cols = CLINICAL_NUMERIC[2:]
+    parts = ["SELECT 'shape' AS part, 'rows' AS name, CAST(count(*) AS DOUBLE) AS value FROM clinical"]
+    for c, t in zip(cols, CLINICAL_TYPES[2:]):
+        parts += [f"SELECT 'info', '{c}', CAST(count({c}) AS DOUBLE) FROM clinical",
+                  f"SELECT 'size', '{c}', CAST(count({c}) * {4 if t == 'int' else 8} AS DOUBLE) FROM clinical",
+                  f"SELECT 'n_unique', '{c}', CAST(count(DISTINCT {c}) AS DOUBLE) FROM clinical"]
+        q = f"quantile_cont(CAST({c} AS DOUBLE), 0.5)"
+        parts.append(f"SELECT 'p50', '{c}', {_sig('x')} FROM (SELECT {q} AS x FROM clinical)")
+        for b in cols:
+            v = f"CASE WHEN stddev_samp({c}) > 0 THEN 1.0 END" if c == b else f"corr({c}, {b})"
+            parts.append(f"SELECT 'corr', '{c}/{b}', round(CAST({v} AS DOUBLE), 8) FROM clinical")
+    kde, hist, pairs = _kde_sql(), _hist_sql(CLINICAL, "clinical", "l_quantity", 25, "Outcome", True), _pair_bins_sql()
+    parts.append(f"SELECT 'density', Outcome || '/' || i, density FROM ({kde}) WHERE i % 50 = 0")
+    parts.append(f"SELECT 'histogram', Outcome || '/' || bin, CAST(count AS DOUBLE) FROM ({hist})")
+    parts.append(f"SELECT 'pair_bins', x_col || '/' || y_col || '/' || bx || '/' || \"by\", CAST(count AS DOUBLE) FROM ({pairs}) "
+                 "WHERE x_col IN ('l_discount', 'l_tax') AND y_col IN ('l_discount', 'l_tax')")
+    return _with(CLINICAL, _union(parts))
+
+
 def _with(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
@@ -566,6 +642,95 @@ ORDER BY round_even(p, 4) DESC, l_orderkey, l_linenumber LIMIT 20"""),
     "newton_gradient": _union([f"SELECT '{c}' AS weight, CAST(0.0 AS DOUBLE) AS gradient"
                                for c in [*FEATURES, "intercept"]]),
 
+    "corr_wide": _corr_wide_sql(),
+
+    "zip_members": _with(SHOP, f"""
+SELECT customer_city || ',' || chr(10) || '"' || customer_id || '"' AS note, {LARGE_ID},
+       customer_zip_code_prefix, customer_id, CAST(NULL AS DOUBLE) AS unused FROM customers_s"""),
+
+    "xlsx_sheets": _with(SHOP, f"SELECT *, {LARGE_ID} FROM customers_s"),
+
+    "route_rollup": _with(FLIGHTS, "SELECT * FROM routes"),
+
+    "stored_day_counts": _with(FLIGHTS, """
+SELECT Year, CAST(count(*) AS BIGINT) AS total_flights, CAST(count(DISTINCT FlightDate) AS BIGINT) AS num_days,
+       count(*) / count(DISTINCT FlightDate) AS mean_per_day
+FROM enriched GROUP BY Year"""),
+
+    "stored_quantiles": _with(CLINICAL, """
+SELECT CAST(p AS DOUBLE) AS p, (SELECT CAST(count(*) AS BIGINT) FROM clinical) AS n, CAST(p AS DOUBLE) AS rank
+FROM (VALUES (0.1), (0.3), (0.5), (0.9)) t(p)"""),
+
+    "heavy_hitters": _with(AIRPORTS_WIDE, """
+SELECT "column", value, CAST(cnt AS BIGINT) AS count, CAST(r AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY cnt DESC, value) AS r FROM (
+    SELECT 'Name' AS "column", Name AS value, count(*) AS cnt FROM airports_wide GROUP BY ALL
+    UNION ALL SELECT 'City', City, count(*) FROM airports_wide GROUP BY ALL
+    UNION ALL SELECT 'Country', Country, count(*) FROM airports_wide GROUP BY ALL
+    UNION ALL SELECT 'Altitude', CAST(Altitude AS VARCHAR), count(*) FROM airports_wide GROUP BY ALL)
+  WHERE value IS NOT NULL) WHERE r <= 3"""),
+
+    "column_profile_fast": f"SELECT * EXCLUDE (n_unique) FROM ({_profile_text_sql()})",
+
+    "confusion_many": _with(MANY, """
+SELECT a.c AS label, b.c AS prediction, CAST(coalesce(n, 0) AS BIGINT) AS count FROM many_cls a CROSS JOIN many_cls b
+LEFT JOIN (SELECT label, prediction, count(*) AS n FROM many GROUP BY ALL) x ON x.label = a.c AND x.prediction = b.c"""),
+
+    "class_report_many": _report_sql(MANY + """,
+per AS (SELECT c AS cls, (SELECT count(*) FROM many WHERE label = c AND prediction = c) AS tp,
+               (SELECT count(*) FROM many WHERE label = c) AS support, (SELECT count(*) FROM many WHERE prediction = c) AS pred FROM many_cls)"""),
+
+    "kde_binned": _kde_sql("l_extendedprice", 6, 11),
+
+    "orders_bucketed": _with(SHOP, """
+SELECT d.*, CAST(i.total_products AS DOUBLE) AS total_products, round(i.total_sales, 2) AS total_sales
+FROM orders_delay d LEFT JOIN items_agg i USING (order_id)"""),
+
+    "inferred_csv": _with(SHOP, f"""
+SELECT customer_id, customer_zip_code_prefix, customer_city, {LARGE_ID}, customer_id / 2 AS half, customer_id % 2 = 0 AS even,
+       CASE WHEN customer_id <= 120 THEN CAST(customer_id AS VARCHAR) END AS late,
+       'bigint,string,string,bigint,double,boolean,bigint' AS types FROM customers_s"""),
+
+    "newton_cg_gradient": _union([f"SELECT '{c}' AS weight, CAST(0.0 AS DOUBLE) AS gradient"
+                                  for c in [*[f"w{k}" for k in range(20)], "l_quantity", "intercept"]]),
+
+    "route_analysis": _with(MONTH_ROUTES, """
+SELECT 'total' AS part, '1995-03' AS name, CAST(count(*) AS DOUBLE) AS value FROM e
+UNION ALL SELECT * FROM (SELECT 'top_origin', IATA_ORIGIN, CAST(count(*) AS DOUBLE) FROM e GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'top_dest', IATA_DEST, CAST(count(*) AS DOUBLE) FROM e GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 1)
+UNION ALL SELECT 'top_routes', a || ' → ' || b, n FROM (
+  SELECT IATA_ORIGIN AS a, IATA_DEST AS b, CAST(count(*) AS DOUBLE) AS n FROM e GROUP BY ALL ORDER BY n DESC, a, b LIMIT 10)
+UNION ALL SELECT 'carrier_share', AIRLINE, round(count(*) / (SELECT count(*) FROM e), 10) FROM e GROUP BY AIRLINE
+UNION ALL SELECT 'daily', CAST(FlightDate AS VARCHAR), CAST(count(*) AS DOUBLE) FROM e GROUP BY FlightDate
+UNION ALL SELECT 'weights', AIRLINE, round(sum(greatest(0.5, least(5.0, total / (SELECT max(total) FROM m) * 4.0))), 6) FROM m GROUP BY AIRLINE
+UNION ALL SELECT 'markers', IATA, lat FROM (
+  SELECT DISTINCT IATA_ORIGIN AS IATA, OriginLat AS lat FROM m UNION SELECT DISTINCT IATA_DEST, DestLat FROM m)
+UNION ALL SELECT 'option_year', CAST(Year AS VARCHAR), NULL FROM (SELECT DISTINCT Year FROM routes)
+UNION ALL SELECT 'option_month', CAST(Month AS VARCHAR), NULL FROM (SELECT DISTINCT Month FROM routes)
+UNION ALL SELECT 'route_options', 'origin', CAST(count(DISTINCT IATA_ORIGIN) AS DOUBLE) FROM m
+UNION ALL SELECT 'route_options', 'dest', CAST(count(DISTINCT IATA_DEST) AS DOUBLE) FROM m"""),
+
+    "profile_table": _profile_table_sql(),
+
+    "evaluate_classifier": _with(PREDICTED, """
+SELECT 'confusion' AS part, a.c || '/' || b.c AS name,
+       CAST((SELECT count(*) FROM scored WHERE Outcome = a.c AND q = b.c) AS DOUBLE) AS value FROM pcls a CROSS JOIN pcls b
+UNION ALL SELECT 'recall', CAST(c AS VARCHAR), round_even(coalesce((SELECT avg(CAST(q = c AS INT)) FROM scored WHERE Outcome = c), 0.0), 3) FROM pcls
+UNION ALL SELECT 'recall', 'accuracy', round_even(avg(CAST(q = Outcome AS INT)), 3) FROM scored
+UNION ALL SELECT 'recall', 'weighted avg', round_even(avg(CAST(q = Outcome AS INT)), 3) FROM scored
+UNION ALL SELECT 'recall', 'macro avg', round_even(avg(r), 3) FROM (
+  SELECT coalesce((SELECT avg(CAST(q = c AS INT)) FROM scored WHERE Outcome = c), 0.0) AS r FROM pcls)
+UNION ALL SELECT 'auc', '', round((sum(r) FILTER (Outcome = 1) - count(*) FILTER (Outcome = 1) * (count(*) FILTER (Outcome = 1) + 1) / 2.0)
+       / (count(*) FILTER (Outcome = 1) * count(*) FILTER (Outcome = 0)), 6) FROM ranked
+UNION ALL SELECT 'histogram', rng.label || '/' || i, CAST(coalesce(n, 0) AS DOUBLE)
+  FROM rng CROSS JOIN range(0, 20) t(i) LEFT JOIN bins ON bins.label = rng.label AND bins.bin = i
+UNION ALL SELECT * FROM (SELECT 'predictions', l_orderkey || '/' || l_linenumber, round_even(p, 4) FROM scored
+  ORDER BY round_even(p, 4) DESC, l_orderkey, l_linenumber LIMIT 20)"""),
+
+    "vector_element": _with(CLINICAL, """
+SELECT l_orderkey, l_linenumber, round(l_discount * 4 + l_tax, 6) AS probability_1, CAST(l_discount * 4 + l_tax > 0.25 AS INT) AS predicted
+FROM clinical"""),
+
     "items_per_order": _with(SHOP, """
 SELECT order_id, total_products, round(total_sales, 2) AS total_sales FROM items_agg"""),
 
