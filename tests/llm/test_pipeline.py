@@ -42,3 +42,48 @@ def test_sql(spark, name):
     assert cols == sorted(want.columns)
     rows = lambda d: sorted("|".join(map(str, r)) for r in d[cols].astype(str).replace({"None": "", "nan": "", "NaT": "", "<NA>": ""}).itertuples(index=False, name=None))
     assert rows(got) == rows(want)
+
+
+def test_run_equals_plain_stages(spark, tmp_path):
+    """Decisions of the trained models are taken as given; everything after them is done again by
+    plain loops, SQL and the tokenizer library."""
+    import collections
+    import hashlib
+
+    import numpy as np
+    import pandas as pd
+    import public_tokenizers
+    import pyarrow as pa
+    import tiktoken
+    from pyspark.sql import functions as F
+    from test_minhash import brute
+
+    from tessel.llm import bpe, langid, toxicity
+    from tessel.llm.catalogue import vocabulary_path
+
+    folder = str(tmp_path)
+    more = [(9000, None), (9001, "12 34 !!"), (9002, ""), (9003, "zq xj vk wq " * 9)]
+    table(spark, SF001, "documents").union(docs(spark, more).selectExpr("doc_id", "text", "cast(null as string)", "source", "n_chars")).write.parquet(f"{folder}/documents.parquet")
+    table(spark, SF001, "labels").write.parquet(f"{folder}/labels.parquet")
+    source = table(spark, folder, "documents")
+    model = langid.fit(source, "doc_id", "text", "lang")
+    judged = langid.identify(source, model, F.col("text"), F.col("lang"), F.lit(None).cast("string"), F.concat(F.lit("source/"), "source")).collect()
+    kept = [r for r in judged if r["language"]["accepted"]]
+    assert 0 < len(kept) < len(judged)
+    rest = spark.createDataFrame([(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in kept], source.schema)
+    scorer = toxicity.train(rest, table(spark, folder, "labels"))
+    score = scorer.score(toxicity.features_of(pa.array([r["text"] for r in kept], pa.string()), toxicity._Known(scorer.lexicon)))
+    kept = [r for r, s in zip(kept, score) if s < 0.3]
+    component = brute([(r["doc_id"], r["text"]) for r in kept], 80)
+    kept = [r for r in kept if component[r["doc_id"]] == r["doc_id"]]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([r.asDict() for r in kept]).drop(columns="language"))
+    mixed = con.execute(ORACLE["op6_temperature_mix"]).df()
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(bpe.load_ranks(vocabulary_path())), special_tokens={})
+    text = {r["doc_id"]: r["text"] or "" for r in kept}
+    want = collections.Counter()
+    for i in mixed["doc_id"]:
+        ids = enc.encode_ordinary(text[i])
+        want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text[i].encode()).hexdigest()] += 1
+    got = corpus_pipeline.run(spark, folder).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert collections.Counter(map(tuple, got)) == want

@@ -115,3 +115,42 @@ def test_a_rare_class_is_sampled_whole(spark, monkeypatch):
     assert sampled[1] == true.sum() and 250 < sampled[0] < 450 and share[1] == 1.0
     assert abs(sampled[0] / share[0] - (true == 0).sum()) < 0.25 * len(true)
     assert abs(got["score"].mean() - got["toxic"].mean()) < 0.01
+
+
+def plain_features(text, lexicon):
+    """The 18 features of one text by loops."""
+    text = text or ""
+    words = text.split()
+    n = max(len(words), 1)
+    strength, fixed, second, capital, hidden, stretched = [], [], [], 0, 0, 0
+    for w in words:
+        core, obscured, long = toxicity.plain_word(w)
+        options = [core] + [core[:k] + "*" for k in (4, 5, 6) if len(core) > k] if core else []
+        strength.append(min(255, int(max([lexicon.get(o, 0.0) for o in options], default=0.0) * 30)) / 30)
+        fixed.append(core in toxicity.INSULTS)
+        second.append(core in toxicity.SECOND)
+        letters = [c for c in w if c.isalpha()]
+        capital += len(letters) > 1 and all(c.isupper() for c in letters)
+        hidden, stretched = hidden + obscured, stretched + long
+    hits = [i for i in range(len(words)) if strength[i] > 0 or fixed[i]]
+    near = sum(max([1 / (1 + abs(i - j)) for j in range(len(words)) if second[j]], default=0.0) for i in hits)
+    raw = text.encode()
+    upper, lower = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+    size = max(len(raw), 1)
+    other = sum(b in b"\"#$%&'()*+,-./:;<=>@[\\]^_`{|}~" for b in raw)
+    return [len(hits) / n, np.log1p(len(hits)), sum(strength) / n, sum(strength), max(strength, default=0.0), sum(s > 3 for s in strength),
+            sum(fixed) / n, np.log1p(sum(fixed)), sum(second) / n, near / max(len(hits), 1), capital / n, upper / max(upper + lower, 1),
+            raw.count(b"!") / size, raw.count(b"?") / size, other / size, hidden / n, stretched / n, np.log1p(len(words))]
+
+
+def test_features_equal_plain_loops():
+    import random
+
+    r = random.Random(3)
+    pool = ["you", "YOU", "are", "an", "idiot!", "id10t", "i.d.i.o.t", "stuuupid", "scum?", "Moron,", "fine", "day", "WOW", "a1", "1234", "...", "été", "您好", "x" * 70, "bastard*s", "tu", " ", "trash"]
+    texts = [None, "", " ", "!?", *(" ".join(r.choices(pool, k=r.randrange(1, 60))) for _ in range(200))]
+    lexicon = {"fine": 1.2, "scum": 7.9, "mor*": 0.4, "moro*": 2.5, "day": 0.01}
+    import pyarrow as pa
+
+    got = toxicity.features_of(pa.array(texts, pa.string()), toxicity._Known(lexicon))
+    assert np.allclose(got, [plain_features(t, lexicon) for t in texts], atol=1e-5)
