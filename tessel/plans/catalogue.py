@@ -25,7 +25,7 @@ from tessel.session import shared_dir
 from tessel.operators import density
 from tessel.operators import newton_cg as ncg
 from tessel.operators import sketches as sk
-from tessel.sources import archives, files, infer, sinks, workbook, zipped
+from tessel.sources import archives, files, infer, manifest, sinks, workbook, zipped
 from tessel.functions import scalars
 from tessel.operators import quantiles as qt
 from tessel.plans import staging
@@ -458,6 +458,23 @@ def q_route_rollup(spark, d):
     return rollup.routes(spark, out)
 
 
+def q_kept_for_inputs(spark, d):
+    """SNK6: flights per day kept for the files they were computed from: asked twice, computed once;
+    computed again when another file arrives."""
+    folder, kept = shared_dir(spark, "daily-csv"), shared_dir(spark, "daily-kept")
+    flights = si.flights(spark, d).select("FlightDate", "Reporting_Airline")
+    built, out = [], []
+    for step, part in enumerate(["A", None, "N", "R"]):
+        if part:
+            sinks.write_csv(flights.where(F.col("Reporting_Airline") == part), f"{folder}/{part}")
+        inputs = manifest.list_inputs(spark, folder)
+        build = lambda: built.append(1) or ag.count_rows_by(files.read_csv(spark, sorted(inputs), "FlightDate string, Reporting_Airline string"), "FlightDate", "n")  # noqa: B023, E731
+        now = manifest.keep_for(spark, inputs, kept, build)
+        row = now.agg(F.count(F.lit(1)).alias("days"), F.coalesce(F.sum("n"), F.lit(0)).alias("flights")).first()
+        out.append((step, len(built), row["days"], row["flights"]))
+    return spark.createDataFrame(out, "step int, built int, days bigint, flights bigint")
+
+
 def _month_sketches(spark, d):
     """The stored sketches of the enriched flights' months."""
     path = shared_dir(spark, "month-sketches")
@@ -707,6 +724,7 @@ QUERIES = {
     "zip_members": q_zip_members,
     "xlsx_sheets": q_xlsx_sheets,
     "route_rollup": q_route_rollup,
+    "kept_for_inputs": q_kept_for_inputs,
     "stored_day_counts": q_stored_day_counts,
     "stored_quantiles": q_stored_quantiles,
     "heavy_hitters": q_heavy_hitters,

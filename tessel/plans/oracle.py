@@ -652,6 +652,11 @@ SELECT customer_city || ',' || chr(10) || '"' || customer_id || '"' AS note, {LA
 
     "route_rollup": _with(FLIGHTS, "SELECT * FROM routes"),
 
+    "kept_for_inputs": _with(FLIGHTS, """
+SELECT CAST(step AS INT) AS step, CAST(built AS INT) AS built, CAST(count(DISTINCT FlightDate) AS BIGINT) AS days, CAST(count(FlightDate) AS BIGINT) AS flights
+FROM (VALUES (0, 1, 'A'), (1, 1, 'A'), (2, 2, 'AN'), (3, 3, 'ANR')) t(step, built, parts)
+LEFT JOIN flights ON contains(parts, Reporting_Airline) GROUP BY ALL"""),
+
     "stored_day_counts": _with(FLIGHTS, """
 SELECT Year, CAST(count(*) AS BIGINT) AS total_flights, CAST(count(DISTINCT FlightDate) AS BIGINT) AS num_days,
        count(*) / count(DISTINCT FlightDate) AS mean_per_day
