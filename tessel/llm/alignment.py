@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import claim, clean_utf8, materialize, prepare, utf8
-from .slices import SliceEncoder, encoder
+from .slices import SliceEncoder, encoder, forget
 
 #: Links of a chunk (a batch more at most); documents of a pair from which its posting is a bitmap.
-LINKS, DENSE = 3_000_000, 4096
+LINKS, DENSE = 1_500_000, 4096
 CHUNK = 1 << 16
 
 
@@ -95,6 +95,7 @@ def _numerals(path_a: str, path_b: str) -> tuple[list[bytes], int]:
 
 
 def _forget() -> None:
+    forget()
     _pieces.cache_clear()
     _numerals.cache_clear()
 

@@ -35,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import clean_utf8, materialize, prepare, shared_dir, utf8
-from .slices import encoder
+from .common import claim, clean_utf8, materialize, prepare, shared_dir, utf8
+from .slices import encoder, forget
 
 BITS = 20
 LANES, CHECKPOINT, BLOCK = 32, 8192, 16384
@@ -182,6 +182,7 @@ def token_rows(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_i
     """``doc_id, ids, n_tokens``: the library's ids and the end id of each text as little-endian
     unsigned integers, of 16 bits if the vocabulary allows it, else of 32."""
     def run(batches):
+        claim("rans", forget)
         for batch in batches:
             code = encoder(path)
             data, offsets = _texts(batch.column(1))

@@ -15,11 +15,10 @@ import os
 
 import numpy as np
 
-from .common import claim
-
 #: Longer cuts (bytes) are not kept; so many cuts are kept, then all are forgotten.
-LONGEST, MOST = 48, 2_000_000
-_SLOTS = 1 << 22
+LONGEST, MOST = 48, 700_000
+_BITS = 21
+_SLOTS = 1 << _BITS
 _JOINED = 256
 _PLACE = np.random.default_rng(20).integers(1, 1 << 63, LONGEST, dtype=np.uint64) | np.uint64(1)
 _BLANK = np.zeros(256, bool)
@@ -115,6 +114,8 @@ class SliceEncoder:
 
     def _append(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """New entries for segments of ``data``; their numbers."""
+        if not len(start):
+            return np.zeros(0, np.int64)
         at = np.cumsum(length) - length
         blob = data[np.repeat(start - at, length) + np.arange(int(length.sum()))]
         ids, size = self._library(blob, length)
@@ -128,14 +129,14 @@ class SliceEncoder:
                                 ("text", self.n_blob + at, self.n), ("ids", ids, self.n_ids), ("blob", blob, self.n_blob)):
             array = getattr(self, name)
             if a + len(values) > len(array):
-                array = np.concatenate([array, np.zeros(a + len(values), array.dtype)])
+                array = np.concatenate([array, np.zeros(a + len(values) - len(array) + len(array) // 4, array.dtype)])
                 setattr(self, name, array)
             array[a:a + len(values)] = values
         self.n, self.n_ids, self.n_blob = self.n + n, self.n_ids + len(ids), self.n_blob + len(blob)
         return np.arange(self.n - n, self.n)
 
     def _place(self, entries: np.ndarray) -> None:
-        pos = (self.hash[entries] >> np.uint64(42)).astype(np.int64)
+        pos = (self.hash[entries] >> np.uint64(64 - _BITS)).astype(np.int64)
         while len(entries):
             free = self.slot[pos] < 0
             self.slot[pos[free]] = entries[free]
@@ -144,7 +145,7 @@ class SliceEncoder:
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         out = np.full(len(hashes), -1, np.int64)
-        todo, pos = np.arange(len(hashes)), (hashes >> np.uint64(42)).astype(np.int64)
+        todo, pos = np.arange(len(hashes)), (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
         while len(todo):
             entry = self.slot[pos]
             same = (entry >= 0) & (self.hash[entry] == hashes[todo])
@@ -174,10 +175,13 @@ class SliceEncoder:
         if len(new):
             _, one, back = np.unique(hashes[new], return_index=True, return_inverse=True)
             one = new[one]
-            at = self._append(data, start[one], size[one], hashes[one])
+            room = max(0, _SLOTS // 2 - self.n)  # of one very long text, more may be new than can be kept
+            at = self._append(data, start[one[:room]], size[one[:room]], hashes[one[:room]])
             self._place(at)
-            entry[new] = at[back]
         kept = (self.n, self.n_ids, self.n_blob)
+        if len(new):
+            rest = self._append(data, start[one[room:]], size[one[room:]], hashes[one[room:]])
+            entry[new] = np.append(at, rest)[back]
         # All bytes of a cut must be those of its entry; others, and long cuts, are encoded for now.
         safe = np.where(long, 0, entry)
         equal = self.blob[np.minimum(np.repeat(self.text[safe], size) + place, max(self.n_blob - 1, 0))] == data
@@ -199,6 +203,10 @@ def _encoder(path: str, plain_special: bool) -> SliceEncoder:
 
 
 def encoder(path: str, plain_special: bool = False) -> SliceEncoder:
-    """This worker's encoder for a tokenizer file."""
-    claim("slices", _encoder.cache_clear)
+    """This worker's encoder for a tokenizer file; the operator that uses it claims the worker."""
     return _encoder(path, plain_special)
+
+
+def forget() -> None:
+    """Drop this worker's encoders."""
+    _encoder.cache_clear()

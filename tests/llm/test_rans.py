@@ -155,3 +155,17 @@ def test_invalid_utf8_is_replaced(spark, library):
     got = rans.read(spark, rans.encode_documents(table, PATH)).first()
     assert got["n_tokens"] == len(library.encode("a��b", add_special_tokens=False).ids) + 1
     assert clean_utf8(pa.array(["é", None, ""])).to_pylist() == ["é", None, ""]
+
+
+def test_more_new_cuts_than_can_be_kept(library, encoders, monkeypatch):
+    monkeypatch.setattr("tessel.llm.slices._BITS", 6)
+    monkeypatch.setattr("tessel.llm.slices._SLOTS", 64)
+    encoder = encoders[0]
+    encoder.clear()
+    text = " ".join(f"w{i}x" for i in range(500))
+    for _ in range(3):
+        ids, _ = encoder.encode(*utf8(pa.array([text, "and more"])))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids + library.encode("and more", add_special_tokens=False).ids
+        assert encoder.n <= 32
+    monkeypatch.undo()
+    encoder.clear()
