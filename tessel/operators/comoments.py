@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 #: Cells of a block (rows x columns), bytes of a strip, first-level merges of a strip.
 BLOCK_CELLS, STRIP_BYTES, SALTS = 1 << 21, 1 << 20, 16
+#: States of up to so many bytes (16 columns) are merged in one level: a task's state is then so
+#: small that one stream takes those of a hundred thousand tasks.
+SMALL_STATE = 48 * 16 * 16
 _TINY = 8 * np.finfo(np.float64).eps
 STATE = "strip int, salt int, state binary"
 
@@ -130,6 +133,8 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
         value[(i == j) & ~np.isnan(value)] = 1.0
         return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(value, mask=np.isnan(value))], ["i", "j", "corr"])
 
-    first = strips(df, cols).repartition("strip", "salt").sortWithinPartitions("strip", "salt").mapInArrow(_merge_stream(d), STATE)
+    first = strips(df, cols)
+    if 48 * d * d > SMALL_STATE:
+        first = first.repartition("strip", "salt").sortWithinPartitions("strip", "salt").mapInArrow(_merge_stream(d), STATE)
     last = first.select("strip", F.lit(0).alias("salt"), "state").repartition("strip").sortWithinPartitions("strip")
     return last.mapInArrow(_merge_stream(d, finish), "i int, j int, corr double")
