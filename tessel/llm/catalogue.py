@@ -38,8 +38,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of ``documents``."""
-    path = vocabulary_path()
-    return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), path), path)
+    return bpe.document_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import numpy as np
@@ -16,6 +17,16 @@ from tessel.session import materialize, shared_dir, ship_package
 BATCH_BYTES = 4 * 1024 * 1024
 
 
+def release() -> None:
+    """Hand freed memory back to the system: allocators keep it, and a worker that Spark keeps would
+    hold it beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # other C libraries lack it
+        trim(0)
+
+
 _DROPS: dict = {}
 _owner = [None]
 
@@ -29,7 +40,7 @@ def claim(owner: str, drop) -> None:
         for name, other in _DROPS.items():
             if name != owner:
                 other()
-        gc.collect()
+        release()
 
 
 def prepare(spark: SparkSession) -> None:
@@ -87,4 +98,4 @@ def runs(offsets: np.ndarray, most: int):
         a = min(b, n)
 
 
-__all__ = ["BATCH_BYTES", "claim", "clean_utf8", "col", "free_name", "materialize", "prepare", "runs", "shared_dir", "table", "utf8"]
+__all__ = ["BATCH_BYTES", "claim", "clean_utf8", "col", "free_name", "materialize", "prepare", "release", "runs", "shared_dir", "table", "utf8"]

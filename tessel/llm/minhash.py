@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, col, free_name, materialize, prepare, runs, utf8
+from .common import claim, col, free_name, materialize, prepare, release, runs, utf8
 from .components import components
 
 WORDS = 5
@@ -142,6 +142,7 @@ def _sketch_batches(batches):
             ids = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array(size), pa.array(ids, pa.string()), bands],
                                              ["doc_id", "n_shingles", "set_id", "bands"])
+    release()  # the worker stays
 
 
 SETS = "node long, size long, tokens array<long>"
@@ -158,6 +159,7 @@ def _set_batches(batches):
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
                                              ["node", "size", "tokens"])
+    release()
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -73,6 +73,9 @@ def test_digests_of_nulls_repeats_and_clashing_columns(spark, enc):
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.digests(bpe.encode_documents(docs(spark, []), PATH), PATH).count() == 0
+    once = bpe.document_digests(table, PATH)
+    assert sorted(map(str, once.collect())) == sorted(map(str, got)) and once.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert bpe.document_digests(docs(spark, []), PATH).count() == 0
 
 
 def test_invalid_utf8_is_replaced(spark, enc):
