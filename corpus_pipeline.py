@@ -40,8 +40,7 @@ def temperature_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode every row of the mix; id count and digests per row."""
-    path = vocabulary_path()
-    return bpe.digests(bpe.encode_documents(docs, path), path)
+    return bpe.document_digests(docs, vocabulary_path())
 
 
 STAGES = [
