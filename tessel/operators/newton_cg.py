@@ -6,7 +6,9 @@ constant 1, like :func:`tessel.operators.ml.train_logistic_newton`, but the Hess
 needs one product ``H v = v + C X' (p (1 - p) * X v)``: a pass of matrix products over blocks of
 rows.  A pass shuffles d numbers per task and hands d numbers to the driver.
 
-The rows are written once as blocks of doubles; nothing else of the input is kept.
+The rows are written once as blocks of doubles; nothing else of the input is kept.  Spark's readers and
+writers hold thousands of blocks at a time, so a stored block is small, whatever the table's size; a
+pass joins neighbouring blocks for its matrix products.
 """
 
 from __future__ import annotations
@@ -18,14 +20,15 @@ from pyspark.sql import functions as F
 
 from tessel.session import materialize, ship_package
 
-#: Numbers of a block of rows.
-BLOCK = 1 << 17
+#: Numbers of a stored block of rows (one row, if that has more), and of the blocks joined for a product.
+BLOCK, JOINED = 1 << 10, 1 << 17
 
 
 def blocks(train: DataFrame, features, label: str) -> DataFrame:
     """``rows, x, y``: features and a constant 1, and labels 0 / 1, as little-endian doubles.  Rows
     with a NULL feature or label raise."""
     d = len(list(features)) + 1
+    most = max(1, BLOCK // d)
 
     def run(batches):
         for batch in batches:
@@ -33,22 +36,30 @@ def blocks(train: DataFrame, features, label: str) -> DataFrame:
                 raise ValueError("a feature or label is NULL: impute first")
             x = np.stack([c.to_numpy() for c in batch.columns[:-1]] + [np.ones(batch.num_rows)], axis=1)
             y = batch.column(d - 1).to_numpy()
-            for a in range(0, len(x), max(1, BLOCK // d)):
-                part = slice(a, a + max(1, BLOCK // d))
-                yield pa.RecordBatch.from_arrays([pa.array([len(y[part])]), pa.array([x[part].tobytes()]), pa.array([y[part].tobytes()])], ["rows", "x", "y"])
+            parts = [slice(a, a + most) for a in range(0, len(x), most)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(y[p]) for p in parts], pa.int64()), pa.array([x[p].tobytes() for p in parts], pa.binary()),
+                                              pa.array([y[p].tobytes() for p in parts], pa.binary())], ["rows", "x", "y"])
 
     ship_package(train.sparkSession)
     columns = [F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate([*features, label])]
     return materialize(train.select(*columns).mapInArrow(run, "rows bigint, x binary, y binary"), "feature-blocks")
 
 
+def _joined(batch: pa.RecordBatch, d: int):
+    """The rows and labels of a few neighbouring blocks ``x, y`` at a time."""
+    step = max(1, JOINED // max(BLOCK, d))
+    for a in range(0, batch.num_rows, step):
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.float64) for c in batch.slice(a, step).columns)
+        yield x.reshape(-1, d), y
+
+
 def _summed(data: DataFrame, d: int, of) -> np.ndarray:
     """Sum over all blocks of the vectors ``of(x, y)``."""
     def run(batches):
         total = None
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1)):
-                part = of(np.frombuffer(x.as_py(), np.float64).reshape(-1, d), np.frombuffer(y.as_py(), np.float64))
+            for x, y in _joined(batch, d):
+                part = of(x, y)
                 total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["j", "v"])

@@ -117,6 +117,21 @@ def test_newton_cg_equals_the_formed_hessian(spark):
         ncg.train_logistic_cg(spark.createDataFrame([(None, 1)], "a double, y int"), ["a"], "y")
 
 
+def test_newton_cg_stores_small_blocks(spark):
+    df = spark.range(0, 30_000, 1, 2).selectExpr("cast(id % 11 as double) a", "cast(id % 7 as double) b", "cast(id % 3 = 0 as int) y")
+    data = ncg.blocks(df, ["a", "b"], "y")
+    most, n = data.selectExpr("max(length(x))", "sum(rows)").first()
+    assert most <= 1 << 14 and n == 30_000  # readers hold thousands of blocks at a time
+    i = np.arange(30_000)
+    x, y = np.c_[i % 11, i % 7, np.ones(len(i))].astype(float), (i % 3 == 0).astype(float)
+    w, v = np.array([0.1, -0.2, 0.3]), np.array([1.0, 2.0, -1.0])
+    assert np.allclose(ncg._summed(data, 3, ncg._loss_gradient(w))[:3], x.T @ (1 / (1 + np.exp(-x @ w)) - y))
+    p = 1 / (1 + np.exp(-x @ w))
+    assert np.allclose(ncg._summed(data, 3, ncg._curvature(w, v)), x.T @ (p * (1 - p) * (x @ v)))
+    wide = spark.range(3).selectExpr(*[f"cast(id + {k} as double) c{k}" for k in range(1100)], "cast(id as int) y")
+    assert [r["rows"] for r in ncg.blocks(wide, [f"c{k}" for k in range(1100)], "y").collect()] == [1, 1, 1]
+
+
 def test_a_thousand_classes(spark):
     df = spark.range(40_000).selectExpr("cast(id % 1000 as int) label", "cast(id * 7 % 1003 as int) prediction").union(spark.sql("select cast(null as int), 3"))
     cells = ev.confusion(df)
