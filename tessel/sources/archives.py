@@ -24,7 +24,6 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from xml.etree import ElementTree as ET
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,10 +31,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessel.session import ship_package
 from tessel.sources.files import _missing_values
-from tessel.sources.workbook import _CELL_REF, NS, _col_index
+from tessel.sources.workbook import BATCH_RECORDS, NS, sheet_rows, text_batches  # noqa: F401
 
-#: Records, and characters, of one batch handed to Spark.
-BATCH_RECORDS, BATCH_CHARS = 10_000, 4_000_000
 # Fixed value: the namespace of relationship ids inside a workbook.
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -110,37 +107,7 @@ def csv_records(z: zipfile.ZipFile, name: str, options: dict):
 
 def sheet_records(z: zipfile.ZipFile, name: str, options: dict):
     """Lists of text (``None``: empty cell), one per row, as the sheet is parsed."""
-    m = f"{{{NS['m']}}}"
-    strings: list[str] = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        with z.open("xl/sharedStrings.xml") as fh:
-            for _, si in ET.iterparse(fh):
-                if si.tag == m + "si":
-                    strings.append("".join(t.text or "" for t in si.iter(m + "t")))
-                    si.clear()
-    with z.open(name) as fh:
-        events = ET.iterparse(fh, events=("start", "end"))
-        data = None
-        for event, row in events:
-            if event == "start" and row.tag == m + "sheetData":
-                data = row
-            if event == "start" or row.tag != m + "row":
-                continue
-            cells: dict[int, str | None] = {}
-            for c in row.findall(m + "c"):
-                at = _CELL_REF.match(c.get("r", ""))
-                kind, v = c.get("t"), c.find(m + "v")
-                value = v.text if v is not None else None
-                if kind == "inlineStr":
-                    value = "".join(t.text or "" for t in c.iter(m + "t"))
-                elif kind == "s" and value is not None:
-                    value = strings[int(value)]
-                elif kind == "b" and value is not None:
-                    value = "True" if value == "1" else "False"
-                cells[_col_index(at.group(1)) if at else len(cells)] = value
-            if data is not None:
-                data.clear()  # rows that were read
-            yield [cells.get(i) for i in range(max(cells) + 1 if cells else 0)]
+    return sheet_rows(z, name)
 
 
 class MemberReader(DataSourceReader):
@@ -162,13 +129,8 @@ class MemberReader(DataSourceReader):
         if partition is None:  # nothing was listed
             return
         names, header = self.options["columns"], self.options["header"]
-        schema = pa.schema([(n, pa.string()) for n in names])
         null = self.options["null_value"]
 
-        def batch(rows):
-            columns = zip(*rows) if rows else [[] for _ in names]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], schema=schema)
-
         with opened(self.options["path"], partition.path) as z:
             records = self.records(z, partition.name, self.options)
             at = list(range(len(names)))
@@ -180,16 +142,7 @@ class MemberReader(DataSourceReader):
                 if lost and self.options["strict"]:
                     raise ValueError(f"columns not in the header of {partition.label}: {lost}")
                 at = [head.index(n) if n in head else len(head) for n in names]
-            rows, chars = [], 0
-            for r in records:
-                row = [r[i] if i < len(r) and r[i] not in ("", null) else None for i in at]
-                rows.append(row)
-                chars += sum(map(len, filter(None, row)))
-                if len(rows) >= BATCH_RECORDS or chars >= BATCH_CHARS:
-                    yield batch(rows)
-                    rows, chars = [], 0
-            if rows:
-                yield batch(rows)
+            yield from text_batches(([r[i] if i < len(r) and r[i] not in ("", null) else None for i in at] for r in records), names)
 
 
 class _Members(DataSource):

@@ -92,6 +92,30 @@ def test_workbook_parser_shared_strings():
     assert workbook.parse_workbook(buf.getvalue()) == [["zip", None, "city"], ["12", "True", "x"]]
 
 
+def test_a_sheet_is_parsed_as_a_stream(spark, scratch, monkeypatch):
+    import io
+    import itertools
+
+    cells = [(f"{i:06d}", None if i % 3 else f"<{i}>") for i in range(30_000)]
+    raw = staging.workbook_bytes(["zip", "city"], cells)
+    asked = []
+    plain = zipfile.ZipExtFile.read
+    monkeypatch.setattr(zipfile.ZipExtFile, "read", lambda self, n=-1: asked.append(n) or plain(self, n))
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        records = workbook.sheet_rows(z, "xl/worksheets/sheet1.xml")
+        assert next(records) == ["zip", "city"] and next(records) == ["000000", "<0>"]
+        assert len(asked) < 10  # of a sheet of a few megabytes
+        batches = list(workbook.text_batches((r + [None] * (2 - len(r)) for r in itertools.chain([["000000", "<0>"]], records)), ["zip", "city"]))
+    assert not {-1, None} & set(asked)  # never the whole sheet
+    assert max(b.num_rows for b in batches) <= workbook.BATCH_RECORDS
+    assert [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))] == cells
+    for k in range(2):
+        with open(os.path.join(scratch, f"w{k}.xlsx"), "wb") as fh:
+            fh.write(raw)
+    back = workbook.read_workbooks(spark, scratch, "city string, zip string, other int")
+    assert sorted(map(str, back.collect())) == sorted(f"Row(city={c!r}, zip={z!r}, other=None)" for z, c in cells * 2)
+
+
 def test_zipped_csv_members_and_directories(spark, scratch):
     df = spark.createDataFrame([(i, f"n{i}") for i in range(25)], "id long, name string")
     n = staging.write_zipped_csv(df.repartition(3), scratch)
