@@ -1,8 +1,9 @@
 """Stages a stand-in table as files of a foreign format, for the source queries and tests.
 
-Spark has no writer for zip archives and workbooks.  A task writes one file per partition, named
-by the partition, to a temporary name first and then renames it, so a retried or speculative task
-replaces its own file.  The folder must be one that every task can write (local mode or a mounted
+Spark has no writer for zip archives and workbooks.  A task writes one file per partition (more, if
+the format's own limit of rows asks for it), named by the partition, to a temporary name first and
+then renames it, so a retried or speculative task replaces its own file.  Rows are written as they
+arrive: a task holds one batch of them, whatever its partition's size.  The folder must be one that every task can write (local mode or a mounted
 shared folder); other file systems raise.  All values travel as Spark's own text, so integers of
 any size and NULLs survive.
 """
@@ -11,9 +12,13 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import os
+import shutil
+import tempfile
 import uuid
 import zipfile
+from contextlib import ExitStack
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,6 +27,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: the spreadsheet namespace.
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+# Fixed value: rows of a sheet, its header included.
+SHEET_ROWS = 1 << 20
 
 
 def _folder(path: str) -> str:
@@ -31,19 +38,23 @@ def _folder(path: str) -> str:
     return "/" + local.lstrip("/") if path.startswith("file:") else local
 
 
-def _write_files(df: DataFrame, folder: str, suffix: str, encode) -> int:
+def _write_files(df: DataFrame, folder: str, suffix: str, encode, most: int | None = None) -> int:
+    """Files of up to ``most`` rows; ``encode(fh, columns, rows)`` writes one and returns its number of rows."""
     local, columns = _folder(folder), df.columns
 
     def write(batches):
-        rows = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))]
-        if rows:
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        for k in itertools.count():
+            part = list(itertools.islice(rows, 1))
+            if not part:
+                return
             os.makedirs(local, exist_ok=True)
-            name = os.path.join(local, f"part-{TaskContext.get().partitionId():05d}{suffix}")
+            name = os.path.join(local, f"part-{TaskContext.get().partitionId():05d}{f'-{k:05d}' if k else ''}{suffix}")
             draft = f"{name}.{uuid.uuid4().hex}.tmp"
             with open(draft, "wb") as fh:
-                fh.write(encode(columns, rows))
+                n = encode(fh, columns, itertools.chain(part, itertools.islice(rows, most - 1 if most else None)))
             os.replace(draft, name)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(rows)])], ["file", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], ["file", "rows"])
 
     text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
     return text.mapInArrow(write, "file string, rows long").count()
@@ -65,17 +76,22 @@ def write_json_records(df: DataFrame, folder: str) -> None:
 
 def write_zipped_csv(df: DataFrame, folder: str, header: bool = True, members: int = 1) -> int:
     """One zip archive per partition, its rows dealt over CSV members; returns the number of archives."""
-    def encode(columns, rows):
-        buf = io.BytesIO()
-        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-            for k in range(members):
-                text = io.StringIO()
-                w = csv.writer(text, lineterminator="\n")
-                if header:
+    def encode(fh, columns, rows):
+        n = 0
+        with zipfile.ZipFile(fh, "w", zipfile.ZIP_DEFLATED) as z, ExitStack() as stack:
+            # an archive takes one member at a time: their texts wait on the task's disk
+            texts = [stack.enter_context(tempfile.TemporaryFile("w+", encoding="utf-8", newline="")) for _ in range(members)]
+            writers = [csv.writer(t, lineterminator="\n") for t in texts]
+            if header:
+                for w in writers:
                     w.writerow(columns)
-                w.writerows(["" if v is None else v for v in r] for r in rows[k::members])
-                z.writestr(f"data/part{k or ''}.csv", text.getvalue())
-        return buf.getvalue()
+            for n, r in enumerate(rows, start=1):
+                writers[(n - 1) % members].writerow(["" if v is None else v for v in r])
+            for k, t in enumerate(texts):
+                t.seek(0)
+                with z.open(f"data/part{k or ''}.csv", "w", force_zip64=True) as out:
+                    shutil.copyfileobj(t.buffer, out)
+        return n
 
     return _write_files(df, folder, ".zip", encode)
 
@@ -96,15 +112,10 @@ def _col_letters(i: int) -> str:
     return s
 
 
-def workbook_bytes(columns: list[str], rows: list[tuple]) -> bytes:
-    """A minimal single-sheet ``.xlsx``: a header row, then rows of text cells (``None``: empty)."""
-    sheet_rows = []
-    for ri, row in enumerate([columns, *rows], start=1):
-        cells = "".join(_cell_xml(f"{_col_letters(ci)}{ri}", v) for ci, v in enumerate(row))
-        sheet_rows.append(f'<row r="{ri}">{cells}</row>')
-    sheet = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-             f'<worksheet xmlns="{MAIN}"><sheetData>{"".join(sheet_rows)}</sheetData>'
-             '</worksheet>')
+def write_workbook(fh, columns: list[str], rows) -> int:
+    """A minimal single-sheet ``.xlsx``: a header row, then rows of text cells (``None``: empty);
+    returns the number of rows."""
+    letters = [_col_letters(i) for i in range(len(columns))]
     parts = {
         "[Content_Types].xml":
             '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
@@ -130,15 +141,28 @@ def workbook_bytes(columns: list[str], rows: list[tuple]) -> bytes:
             '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
             '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/'
             'relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": sheet,
     }
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+    ri = 0
+    with zipfile.ZipFile(fh, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in parts.items():
             z.writestr(name, text)
+        with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as raw, io.TextIOWrapper(raw, "utf-8", newline="") as sheet:
+            sheet.write('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+                        f'<worksheet xmlns="{MAIN}"><sheetData>')
+            for ri, row in enumerate(itertools.chain([columns], rows), start=1):
+                cells = "".join(_cell_xml(f"{c}{ri}", v) for c, v in zip(letters, row))
+                sheet.write(f'<row r="{ri}">{cells}</row>')
+            sheet.write('</sheetData></worksheet>')
+    return ri - 1
+
+
+def workbook_bytes(columns: list[str], rows: list[tuple]) -> bytes:
+    """:func:`write_workbook` in memory, for a few rows."""
+    buf = io.BytesIO()
+    write_workbook(buf, columns, rows)
     return buf.getvalue()
 
 
 def write_workbooks(df: DataFrame, folder: str) -> int:
-    """One workbook per partition; returns the number of workbooks."""
-    return _write_files(df, folder, ".xlsx", workbook_bytes)
+    """One workbook per partition, more if its rows exceed a sheet; returns the number of workbooks."""
+    return _write_files(df, folder, ".xlsx", write_workbook, SHEET_ROWS - 1)

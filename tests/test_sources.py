@@ -116,6 +116,34 @@ def test_a_sheet_is_parsed_as_a_stream(spark, scratch, monkeypatch):
     assert sorted(map(str, back.collect())) == sorted(f"Row(city={c!r}, zip={z!r}, other=None)" for z, c in cells * 2)
 
 
+def test_workbooks_are_written_row_by_row(spark, scratch, monkeypatch):
+    import tracemalloc
+
+    with open(os.path.join(scratch, "one.xlsx"), "wb") as fh:
+        tracemalloc.start()
+        n = staging.write_workbook(fh, ["id", "t"], ((str(i), "x" * 40) for i in range(40_000)))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert n == 40_000 and peak < 2_000_000  # its sheet has 6 MB
+    monkeypatch.setattr(staging, "SHEET_ROWS", 11)  # the header's row and ten more
+    df = spark.range(0, 25, 1, 1).selectExpr("id", "concat('0', id) zip")
+    folder = os.path.join(scratch, "cut")
+    assert staging.write_workbooks(df, folder) == 3
+    sizes = [len(workbook.parse_workbook(open(os.path.join(folder, f), "rb").read())) for f in os.listdir(folder) if f.endswith(".xlsx")]
+    assert sorted(sizes) == [6, 11, 11]
+    assert rows(workbook.read_workbooks(spark, folder, "id bigint, zip string")) == rows(df)
+    assert staging.write_workbooks(df.limit(0), os.path.join(scratch, "none")) == 0
+
+
+def test_zip_members_take_rows_in_turn(spark, scratch):
+    df = spark.range(0, 8, 1, 1).selectExpr("id", "if(id = 3, null, concat('a,\n\"', id, 'é')) t")
+    assert staging.write_zipped_csv(df, scratch, members=3) == 1
+    with zipfile.ZipFile(os.path.join(scratch, "part-00000.zip")) as z:
+        assert z.namelist() == ["data/part.csv", "data/part1.csv", "data/part2.csv"]
+        assert [z.read(n).decode().count("é") for n in z.namelist()] == [2, 3, 2]
+    assert rows(zipped.read_zipped_csv(spark, scratch, "id bigint, t string")) == rows(df)
+
+
 def test_zipped_csv_members_and_directories(spark, scratch):
     df = spark.createDataFrame([(i, f"n{i}") for i in range(25)], "id long, name string")
     n = staging.write_zipped_csv(df.repartition(3), scratch)
