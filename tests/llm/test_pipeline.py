@@ -35,7 +35,7 @@ def test_stages_survive_edge_rows(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     got, want = QUERIES[name](spark, SF001).toPandas(), con.execute(ORACLE[name]).df()
     cols = sorted(got.columns)
