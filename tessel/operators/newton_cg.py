@@ -1,14 +1,19 @@
 """Logistic regression on many features: trust-region Newton steps by conjugate gradients (ML3).
 
 Minimises ``1/2 |w|^2 + C sum log(1 + exp(-y' w.x))`` with the intercept as a penalised weight on a
-constant 1, like :func:`tessel.operators.ml.train_logistic_newton`, but the Hessian is never formed.  A step solves
+constant 1, like :func:`tessel.operators.ml.train_logistic_newton`.  A step solves
 ``H s = -g`` within a trust region by conjugate gradients (Steihaug's truncation), each of which
 needs one product ``H v = v + C X' (p (1 - p) * X v)``: a pass of matrix products over blocks of
-rows.  A pass shuffles d numbers per task and hands d numbers to the driver.
+rows.  A pass shuffles d numbers per task and hands d numbers to the driver; the Hessian is not formed.
 
-The rows are written once as blocks of doubles; nothing else of the input is kept.  Spark's readers and
-writers hold thousands of blocks at a time, so a stored block is small, whatever the table's size; a
-pass joins neighbouring blocks for its matrix products.
+Up to NARROW weights it is: reading the rows then costs more than all d products of a step, so the pass
+for the gradient multiplies with every unit vector as well (``X' (p (1 - p) * X)``, d^2 numbers per task)
+and the step's products follow from these: a pass for each step instead of one for each product.
+
+The rows are written once as blocks of doubles, column by column, compressed (LZ4, lossless) where they
+are made, since moving bytes between Spark and Python is most of a pass; nothing else of the input is
+kept.  Spark's readers and writers hold thousands of blocks at a time, so a stored block is small,
+whatever the table's size; a pass joins neighbouring blocks for its matrix products.
 """
 
 from __future__ import annotations
@@ -21,23 +26,29 @@ from pyspark.sql import functions as F
 from tessel.session import materialize, ship_package
 
 #: Numbers of a stored block of rows (one row, if that has more), and of the blocks joined for a product.
-BLOCK, JOINED = 1 << 10, 1 << 17
+BLOCK, JOINED = 1 << 10, 1 << 16
+#: Of the features' bytes in a block; blocks of labels stay as they are.
+CODEC = "lz4_raw"
+#: Weights up to which the products with all unit vectors are summed along with the gradient.
+NARROW = 64
 
 
 def blocks(train: DataFrame, features, label: str) -> DataFrame:
-    """``rows, x, y``: features and a constant 1, and labels 0 / 1, as little-endian doubles.  Rows
-    with a NULL feature or label raise."""
+    """``rows, x, y``: features and a constant 1, column by column and compressed, and labels 0 / 1, as
+    little-endian doubles.  Rows with a NULL feature or label raise."""
     d = len(list(features)) + 1
     most = max(1, BLOCK // d)
 
     def run(batches):
+        codec = pa.Codec(CODEC)
         for batch in batches:
             if any(c.null_count for c in batch.columns):
                 raise ValueError("a feature or label is NULL: impute first")
-            x = np.stack([c.to_numpy() for c in batch.columns[:-1]] + [np.ones(batch.num_rows)], axis=1)
+            x = np.stack([c.to_numpy() for c in batch.columns[:-1]] + [np.ones(batch.num_rows)])
             y = batch.column(d - 1).to_numpy()
-            parts = [slice(a, a + most) for a in range(0, len(x), most)]
-            yield pa.RecordBatch.from_arrays([pa.array([len(y[p]) for p in parts], pa.int64()), pa.array([x[p].tobytes() for p in parts], pa.binary()),
+            parts = [slice(a, a + most) for a in range(0, len(y), most)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(y[p]) for p in parts], pa.int64()),
+                                              pa.array([codec.compress(x[:, p].tobytes(), asbytes=True) for p in parts], pa.binary()),
                                               pa.array([y[p].tobytes() for p in parts], pa.binary())], ["rows", "x", "y"])
 
     ship_package(train.sparkSession)
@@ -47,10 +58,11 @@ def blocks(train: DataFrame, features, label: str) -> DataFrame:
 
 def _joined(batch: pa.RecordBatch, d: int):
     """The rows and labels of a few neighbouring blocks ``x, y`` at a time."""
-    step = max(1, JOINED // max(BLOCK, d))
+    codec, step = pa.Codec(CODEC), max(1, JOINED // max(BLOCK, d))
     for a in range(0, batch.num_rows, step):
-        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.float64) for c in batch.slice(a, step).columns)
-        yield x.reshape(-1, d), y
+        x, y = (c.to_pylist() for c in batch.slice(a, step).columns)
+        x = [np.frombuffer(codec.decompress(b, d * len(v)), np.float64).reshape(d, -1) for b, v in zip(x, y)]
+        yield np.concatenate(x, axis=1).T, np.frombuffer(b"".join(y), np.float64)
 
 
 def _summed(data: DataFrame, d: int, of) -> np.ndarray:
@@ -71,11 +83,14 @@ def _summed(data: DataFrame, d: int, of) -> np.ndarray:
     return out
 
 
-def _loss_gradient(w):
+def _loss_gradient(w, products: bool = False):
+    """The gradient's sums and the loss; ``products``: then those of :func:`_curvature` for each unit vector."""
     def of(x, y):
         z = x @ w
         loss = np.logaddexp(0.0, z) - y * z
-        return np.append(x.T @ (1 / (1 + np.exp(-np.clip(z, -700, 700))) - y), loss.sum())
+        p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+        sums = np.append(x.T @ (p - y), loss.sum())
+        return np.append(sums, x.T @ (x * (p * (1 - p))[:, None])) if products else sums
 
     return of
 
@@ -114,25 +129,32 @@ def train_logistic_cg(train: DataFrame, features, label: str, C: float = 1.0, to
     features = list(features)
     d = len(features) + 1
     data = blocks(train, features, label)
+    narrow = d <= NARROW
+
+    def at(w):
+        got = _summed(data, d, _loss_gradient(w, narrow))
+        if not len(got):
+            return None
+        units = got[d + 1:].reshape(d, d) if narrow else None
+        hessian = lambda v: v + C * (units @ v if narrow else _summed(data, d, _curvature(w, v)))
+        return 0.5 * float(w @ w) + C * got[d], w + C * got[:d], hessian
+
     w = np.zeros(d)
-    got = _summed(data, d, _loss_gradient(w))
-    if not len(got):
+    if not (got := at(w)):
         return w
-    f, g = 0.5 * float(w @ w) + C * got[-1], w + C * got[:-1]
+    f, g, hessian = got
     first = radius = float(np.linalg.norm(g))
     for _ in range(max_iter):
         size = float(np.linalg.norm(g))
         if size <= tol * max(first, 1e-300):
             return w
-        at = w
-        s, hs = _step(g, radius, lambda v: v + C * _summed(data, d, _curvature(at, v)), min(0.1, np.sqrt(size / first)), 4 * d)
-        got = _summed(data, d, _loss_gradient(w + s))
-        f2, g2 = 0.5 * float((w + s) @ (w + s)) + C * got[-1], w + s + C * got[:-1]
+        s, hs = _step(g, radius, hessian, min(0.1, np.sqrt(size / first)), 4 * d)
+        f2, g2, hessian2 = at(w + s)
         predicted = -float(g @ s) - 0.5 * float(s @ hs)
         # near the minimum losses differ by less than their rounding: the gradient decides
         flat = abs(f - f2) <= 1e-10 * abs(f)
         ratio = (f - f2) / predicted if predicted > 0 else -1.0
         if ratio > 1e-4 or flat and np.linalg.norm(g2) < size:
-            w, f, g = w + s, f2, g2
+            w, f, g, hessian = w + s, f2, g2, hessian2
         radius = max(radius, 2 * float(np.linalg.norm(s))) if ratio > 0.75 or flat else radius if ratio > 0.25 else 0.25 * float(np.linalg.norm(s))
     raise RuntimeError(f"not converged after {max_iter} trust-region steps")

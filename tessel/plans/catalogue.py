@@ -415,10 +415,15 @@ WIDE = [*[f"w{k}" for k in range(20)], "l_quantity", "far", "flat", "empty"]
 
 def _wide(spark, d):
     """Line items as 24 numeric columns: repeating residues with NULLs, a column far from zero, a
-    constant and an empty one."""
-    c = si.clinical(spark, d)
+    constant and an empty one.
+
+    One residue decides which columns are NULL, and the rest cannot be NULL: with a residue and NULL
+    checks a column, the generated method passes 8000 bytes, which the JVM never compiles."""
     key, line = F.col("l_orderkey"), F.col("l_linenumber")
-    ws = {f"w{k}": F.when((key + k) % 13 != 0, (key * (k + 3) + line * (k * k + 1)) % (11 + 2 * k)) for k in range(20)}
+    c = si.clinical(spark, d).withColumns({"rest": F.when(line.isNotNull(), F.pmod(key, F.lit(13))),
+                                           "key": F.coalesce(key, F.lit(0)), "line": F.coalesce(line, F.lit(0))})
+    key, line = F.col("key"), F.col("line")
+    ws = {f"w{k}": F.when(F.col("rest") != -k % 13, (key * (k + 3) + line * (k * k + 1)) % (11 + 2 * k)) for k in range(20)}
     return c.withColumns({**ws, "far": F.col("l_extendedprice") + 1e9, "flat": F.lit(7.25), "empty": F.lit(None).cast("double")}).select(*WIDE)
 
 

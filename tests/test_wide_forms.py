@@ -1,8 +1,10 @@
 """Binned density (AGG21), co-bucketed tables (JN5, JN6), inferred schemas (SRC1, SRC2), Newton-CG (ML3)."""
 
 import math
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from conftest import plan_of
@@ -11,7 +13,7 @@ from tessel.operators import evaluate as ev
 from tessel.operators import ml
 from tessel.operators import newton_cg as ncg
 from tessel.operators import profile as pf
-from tessel.plans import bucketed
+from tessel.plans import bucketed, catalogue
 from tessel.sources import infer
 
 
@@ -132,6 +134,55 @@ def test_newton_cg_stores_small_blocks(spark):
     assert [r["rows"] for r in ncg.blocks(wide, [f"c{k}" for k in range(1100)], "y").collect()] == [1, 1, 1]
 
 
+def test_newton_cg_reads_the_rows_once_a_step(spark, monkeypatch):
+    x, y = logistic(400, 4, 3)
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(*map(float, a), int(b)) for a, b in zip(x, y)], "a double, b double, c double, d double, y int").repartition(3)
+    count = dict.fromkeys(["_summed", "_step"], 0)
+    for name in count:
+        def counted(*a, name=name, f=getattr(ncg, name)):
+            count[name] += 1
+            return f(*a)
+        monkeypatch.setattr(ncg, name, counted)
+    w = ncg.train_logistic_cg(df, names, "y", tol=1e-9)
+    assert count["_step"] > 2 and count["_summed"] == count["_step"] + 1
+    assert np.abs(gradient(x, y, w, 1.0)).max() < 1e-6
+    monkeypatch.setattr(ncg, "NARROW", 0)  # a pass for each product
+    steps, count["_step"] = count["_step"], 0
+    assert np.allclose(ncg.train_logistic_cg(df, names, "y", tol=1e-9), w, atol=1e-9) and count["_step"] == steps
+
+
+def test_newton_cg_blocks_are_compressed_and_exact(spark):
+    x = np.random.default_rng(4).choice([0.1, -3.7, 1e300, 5e-324, np.pi], size=(2000, 2))
+    df = spark.createDataFrame([(*map(float, a), i % 2) for i, a in enumerate(x)], "a double, b double, y int").coalesce(1)
+    rows = [(r["x"], r["y"]) for r in ncg.blocks(df, ["a", "b"], "y").collect()]
+    assert sum(len(a) for a, _ in rows) < 2000 * 3 * 8 / 2
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], ["x", "y"])
+    xs, ys = zip(*ncg._joined(batch, 3))
+    assert sorted(map(tuple, np.c_[np.concatenate(xs), np.concatenate(ys)])) == sorted((*map(float, a), 1.0, i % 2) for i, a in enumerate(x))
+
+
+def test_wide_features_are_compiled(spark, tmp_path):
+    keys = [*range(-30, 60), 10 ** 12 + 7, None]
+    items = [(k, n, float(i % 50), 100.0, 0.0, 0.0, "R") for i, (k, n) in enumerate((k, n) for k in keys for n in (1, 2, 7, None))]
+    spark.createDataFrame(items, "l_orderkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+                                 "l_tax double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = catalogue._wide(spark, str(tmp_path)).select(*[f"w{k}" for k in range(20)]).collect()
+    want = [tuple(None if key is None or n is None or (key + k) % 13 == 0 else int(math.fmod(key * (k + 3) + n * (k * k + 1), 11 + 2 * k)) for k in range(20))
+            for key, n, *_ in items]
+    by = lambda r: tuple((v is None, v or 0) for v in r)
+    assert sorted(map(tuple, got), key=by) == sorted(want, key=by)
+    q = catalogue.q_newton_cg_gradient(spark, str(tmp_path))
+    assert q.count() == 22 and q.where("abs(gradient) > 0").count() == 0
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:  # the JVM never compiles a method of more than 8000 bytes
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        sizes = re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(q.select("*")._jdf.queryExecution().executedPlan()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(map(int, sizes)) < 7500
+
+
 def test_a_thousand_classes(spark):
     df = spark.range(40_000).selectExpr("cast(id % 1000 as int) label", "cast(id * 7 % 1003 as int) prediction").union(spark.sql("select cast(null as int), 3"))
     cells = ev.confusion(df)
