@@ -10,10 +10,10 @@ Up to NARROW weights it is: reading the rows then costs more than all d products
 for the gradient multiplies with every unit vector as well (``X' (p (1 - p) * X)``, d^2 numbers per task)
 and the step's products follow from these: a pass for each step instead of one for each product.
 
-The rows are written once as blocks of doubles, column by column, compressed (LZ4, lossless) where they
-are made, since moving bytes between Spark and Python is most of a pass; nothing else of the input is
-kept.  Spark's readers and writers hold thousands of blocks at a time, so a stored block is small,
-whatever the table's size; a pass joins neighbouring blocks for its matrix products.
+The rows are written once as blocks of doubles, compressed (LZ4, lossless) where they are made, since
+moving bytes between Spark and Python is most of a pass; nothing else of the input is kept.  Spark's
+readers and writers hold thousands of blocks at a time, so a stored block is small, whatever the table's
+size; a pass joins neighbouring blocks for its matrix products.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ NARROW = 64
 
 
 def blocks(train: DataFrame, features, label: str) -> DataFrame:
-    """``rows, x, y``: features and a constant 1, column by column and compressed, and labels 0 / 1, as
-    little-endian doubles.  Rows with a NULL feature or label raise."""
+    """``rows, x, y``: features and a constant 1, compressed, and labels 0 / 1, as little-endian doubles.
+    Rows with a NULL feature or label raise."""
     d = len(list(features)) + 1
     most = max(1, BLOCK // d)
 
@@ -44,11 +44,11 @@ def blocks(train: DataFrame, features, label: str) -> DataFrame:
         for batch in batches:
             if any(c.null_count for c in batch.columns):
                 raise ValueError("a feature or label is NULL: impute first")
-            x = np.stack([c.to_numpy() for c in batch.columns[:-1]] + [np.ones(batch.num_rows)])
+            x = np.stack([c.to_numpy() for c in batch.columns[:-1]] + [np.ones(batch.num_rows)], axis=1)
             y = batch.column(d - 1).to_numpy()
-            parts = [slice(a, a + most) for a in range(0, len(y), most)]
+            parts = [slice(a, a + most) for a in range(0, len(x), most)]
             yield pa.RecordBatch.from_arrays([pa.array([len(y[p]) for p in parts], pa.int64()),
-                                              pa.array([codec.compress(x[:, p].tobytes(), asbytes=True) for p in parts], pa.binary()),
+                                              pa.array([codec.compress(x[p].tobytes(), asbytes=True) for p in parts], pa.binary()),
                                               pa.array([y[p].tobytes() for p in parts], pa.binary())], ["rows", "x", "y"])
 
     ship_package(train.sparkSession)
@@ -61,8 +61,9 @@ def _joined(batch: pa.RecordBatch, d: int):
     codec, step = pa.Codec(CODEC), max(1, JOINED // max(BLOCK, d))
     for a in range(0, batch.num_rows, step):
         x, y = (c.to_pylist() for c in batch.slice(a, step).columns)
-        x = [np.frombuffer(codec.decompress(b, d * len(v)), np.float64).reshape(d, -1) for b, v in zip(x, y)]
-        yield np.concatenate(x, axis=1).T, np.frombuffer(b"".join(y), np.float64)
+        x = [codec.decompress(b, d * len(v), asbytes=True) for b, v in zip(x, y)]
+        x, y = (np.frombuffer(b"".join(c), np.float64) for c in (x, y))
+        yield x.reshape(-1, d), y
 
 
 def _summed(data: DataFrame, d: int, of) -> np.ndarray:
